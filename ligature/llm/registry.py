@@ -10,7 +10,8 @@ from pyspark.sql import functions as F
 Query = Callable[[SparkSession, str], DataFrame]
 
 #: Parameters of the queries.
-WORD_TOKENIZER, BYTE_TOKENIZER, END_ID, CAPACITY = "word_bpe_49k.json", "byte_bpe_50k.json", 2, 1024
+WORD_TOKENIZER, BYTE_TOKENIZER, PIECE_TOKENIZER = "word_bpe_49k.json", "byte_bpe_50k.json", "piece_bpe_32k.model"
+END_ID, CAPACITY = 2, 1024
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -23,6 +24,30 @@ def _tokenizer(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+def op1_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .secrets import sample_findings, scan, train
+
+    return scan(_table(spark, sf_dir, "documents"), train(sample_findings()))
+
+
+def op2_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .quality_model import classify
+
+    return classify(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
+
+
+def op3_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .ngram_join import ngram_jaccard_join
+
+    return ngram_jaccard_join(_table(spark, sf_dir, "documents"), 3, 90, 100)
+
+
+def op4_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .token_counts import count_tokens
+
+    return count_tokens(_table(spark, sf_dir, "documents"), _tokenizer(PIECE_TOKENIZER))
+
+
 def op5_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .token_store import token_store
 
@@ -42,13 +67,34 @@ def op7_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame
     return found.select("doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"), F.sha2(F.concat_ws(",", "items").cast("binary"), 256).alias("items_sha256"), "contaminated")
 
 
+def op8_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .line_dedup import dedup_lines
+
+    return dedup_lines(_table(spark, sf_dir, "documents")).select("row.doc_id", "n_lines", "n_removed", "row.text")
+
+
+def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .quality_rules import apply_policy, ledger
+
+    book = apply_policy(apply_policy(ledger(_table(spark, sf_dir, "documents")), "base", "base_kept"), "v1")
+    return book.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", (~F.col("base_kept")).alias("base_failed"), "kept")
+
+
+def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .language_id import identify, learn
+    from .rowwise import held_out
+
+    docs = _table(spark, sf_dir, "documents")
+    found = identify(docs, learn(docs))
+    return found.select("doc_id", held_out("doc_id").alias("held_out"), "lang_pred", "score", "ambiguous")
+
+
 def queries() -> dict[str, Query]:
-    return {
-        "op5_token_store": op5_token_store,
-        "op6_best_fit_packing": op6_best_fit_packing,
-        "op7_benchmark_decontamination": op7_benchmark_decontamination,
-    }
+    own = [op1_secret_scan, op2_quality_classifier, op3_ngram_jaccard_join, op4_token_counts, op5_token_store, op6_best_fit_packing, op7_benchmark_decontamination, op8_line_dedup, op9_quality_rules, op10_language_id]
+    return {f.__name__: f for f in own}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    from . import line_dedup, quality_rules
+
+    return {"op8_line_dedup": line_dedup.sql(), "op9_quality_rules": quality_rules.sql()}
