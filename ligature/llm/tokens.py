@@ -11,18 +11,33 @@ from __future__ import annotations
 import json
 import os
 import re
+import sys
+from array import array
 from collections.abc import Sequence
 
 import numpy as np
 
 #: Words kept per Python worker, in two generations; a few hundred bytes each.
-MEMO_WORDS = 600_000
+MEMO_WORDS = 1_000_000
 
 _ODD_SPACE = re.compile("[\x1c-\x1f\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]")
+#: ASCII punctuation but the apostrophe, which may begin a contraction.
+_MARKS = r"[!-&(-/:-@\[-`{-~]"
 #: Words, with plain letters parted from the punctuation behind them: more words repeat so.
-_DROPPED = re.compile(r"[a-zß-öø-ÿ]+(?=[.,;:!?]*(?:\s|\Z))|[.,;:!?]+(?=\s|\Z)|\S+")
-_LED = re.compile(r" ?[A-Za-zÀ-ÖØ-öø-ÿ]+(?=[.,;:!?]*(?:\s|\Z))|[.,;:!?]+(?=\s|\Z)| ?\S+|\s+(?!\S)|\s+")
-_UPPER = {c: c + 32 for c in range(65, 91)}
+_DROPPED = re.compile(rf"[a-zß-öø-ÿ]+(?={_MARKS}*(?:\s|\Z))|{_MARKS}+(?=\s|\Z)|\S+")
+_LED = re.compile(rf" ?[A-Za-zÀ-ÖØ-öø-ÿ]+(?={_MARKS}*(?:\s|\Z))|{_MARKS}+(?=\s|\Z)| ?\S+|\s+(?!\S)|\s+")
+#: Words of plain letters, which no step before the merges changes, by kind of cut.
+_PLAIN = {"dropped": re.compile(r"[a-zß-öø-ÿ]+"), "led": re.compile(r" ?[A-Za-zÀ-ÖØ-öø-ÿ]+")}
+
+
+def _byte_signs() -> dict[int, str]:
+    """The character by which byte-level vocabularies write each byte: itself if it prints."""
+    prints = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    rest = [b for b in range(256) if b not in prints]
+    return {b: chr(256 + k) for k, b in enumerate(rest)}
+
+
+_BYTES = _byte_signs()
 
 _memos: dict[tuple[str, int], "WordMemo"] = {}
 
@@ -45,6 +60,8 @@ class WordMemo:
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
         self.added = [t["content"] for t in spec["added_tokens"]]
+        plain = [t for t in spec["added_tokens"] if t["special"] and not (t["lstrip"] or t["rstrip"] or t["single_word"] or t["normalized"])]
+        self.parts = (plain[0]["content"], plain[0]["id"]) if plain else None
         pre = spec["pre_tokenizer"] or {}
         steps = pre.get("pretokenizers", [pre])
         #: "dropped": a split that keeps no white space; "led": byte level with its own pattern,
@@ -54,6 +71,9 @@ class WordMemo:
             self.cut = "dropped"
         elif steps[0].get("type") == "ByteLevel" and steps[0].get("use_regex") and not steps[0].get("add_prefix_space") and not spec["normalizer"]:
             self.cut = "led"
+        kinds = [p.get("type") for p in steps]
+        plain_model = spec["model"].get("type") == "BPE" and not any(spec["model"].get(k) for k in ("dropout", "unk_token", "fuse_unk", "ignore_merges"))
+        self.byte_level = self.cut != "whole" and kinds[-1] == "ByteLevel" and plain_model and sys.byteorder == "little" and array("I").itemsize == 4
         lowers = any(n.get("type") == "Lowercase" for n in (spec["normalizer"] or {}).get("normalizers", []))
         self.lower = self.cut == "dropped" and lowers
         self.limit, self.known, self.older = limit, {}, {}
@@ -65,7 +85,7 @@ class WordMemo:
         if self.cut == "whole" or _ODD_SPACE.search(text):
             return None
         if self.lower:
-            text = text.lower() if text.isascii() else text.translate(_UPPER)
+            text = text.encode().lower().decode()  # A-Z alone, as the tokenizer would in the end
         if any(t in text for t in self.added):
             return None
         return (_DROPPED if self.cut == "dropped" else _LED).findall(text)
@@ -78,8 +98,31 @@ class WordMemo:
         again = [w for w in new if w in older]
         known.update((w, older[w]) for w in again)
         fresh = list(new.difference(again))
-        for w, e in zip(fresh, self.tokenizer.encode_batch_fast(fresh, add_special_tokens=False), strict=True):
-            known[w] = np.array(e.ids, "<u4").tobytes()
+        known.update(zip(fresh, self._encode_words(fresh), strict=True))
+
+    def _encode_words(self, words: list[str]) -> list[bytes]:
+        """Plain words by the tokenizer's merges alone, which is all that happens to them."""
+        if not self.byte_level:
+            return self._encode_mixed(words)
+        merge, plain, out = self.tokenizer.model.tokenize, _PLAIN[self.cut].fullmatch, []
+        mixed = iter(self._encode_mixed([w for w in words if not plain(w)]))
+        for w in words:
+            if plain(w):
+                w = w.translate(_BYTES) if w.isascii() else w.encode().decode("latin-1").translate(_BYTES)
+                out.append(array("I", [t.id for t in merge(w)]).tobytes())
+            else:
+                out.append(next(mixed))
+        return out
+
+    def _encode_mixed(self, words: list[str]) -> list[bytes]:
+        """Words in one call, parted by an added token, whose id no word has."""
+        if not self.parts or len(words) < 2:
+            return [self.whole(w) for w in words]
+        sign, part = self.parts
+        ids = np.array(self.tokenizer.encode_batch_fast([sign.join(words)], add_special_tokens=False)[0].ids, "<u4")
+        ends = 4 * np.append(np.flatnonzero(ids == part), len(ids))
+        raw, starts = ids.tobytes(), [0, *(ends[:-1] + 4).tolist()]
+        return [raw[a:b] for a, b in zip(starts, ends.tolist(), strict=True)]
 
     def encode(self, texts: Sequence[str | None]) -> list[bytes]:
         out: list[bytes] = []
