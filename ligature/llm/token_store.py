@@ -15,7 +15,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..storage import shared_folder, ship
@@ -72,27 +72,26 @@ def write_store(docs: DataFrame, path: str, tokenizer: str, end_id: int, width:
 def read_store(spark: SparkSession, path: str) -> DataFrame:
     """One row per document from the shards: doc_id, start, n_tokens, ids_crc32.
 
-    ``start`` counts the ids of all documents before it. Task totals are one row per partition
-    of the store, so the window over them is short.
+    ``start`` counts the ids of all documents before it. It needs one number for each task that
+    wrote the store; these are summed up on the driver, and the shards themselves do not move.
     """
     ship(spark)
     shards = spark.read.schema(_SHARDS).parquet(path)
-    totals = shards.groupBy("part").agg(F.sum("n_tokens").alias("total"))
-    ahead = F.sum("total").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1))
-    bases = totals.select(F.col("part").alias("of"), F.coalesce(ahead, F.lit(0)).alias("base"))
-    placed = shards.join(bases, shards.part == bases.of).select((F.col("base") + F.col("before")).alias("base"), "shard")
+    totals = {r.part: r.total for r in shards.groupBy("part").agg(F.sum("n_tokens").alias("total")).collect()}  # a row per task
+    bases = dict(zip(sorted(totals), np.cumsum([0, *(totals[p] for p in sorted(totals))]).tolist(), strict=False))
 
     def index(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for i in range(batch.num_rows):
-                shard = Shard(batch.column(1)[i].as_py())
+                shard = Shard(batch.column(2)[i].as_py())
+                base = bases[batch.column(0)[i].as_py()] + batch.column(1)[i].as_py()
                 ends = shard.ends.decode()
                 starts = np.concatenate([[0], ends[:-1]]).astype(np.int64)
                 wide = shard.data.astype("<u4")
                 crcs = [zlib.crc32(wide[a:b]) for a, b in zip(starts.tolist(), ends.tolist(), strict=True)]
-                yield pa.RecordBatch.from_pydict({"doc_id": pa.array(shard.doc_ids(), pa.int64()), "start": starts + batch.column(0)[i].as_py(), "n_tokens": ends - starts, "ids_crc32": pa.array(crcs, pa.int64())})
+                yield pa.RecordBatch.from_pydict({"doc_id": pa.array(shard.doc_ids(), pa.int64()), "start": starts + base, "n_tokens": ends - starts, "ids_crc32": pa.array(crcs, pa.int64())})
 
-    return placed.mapInArrow(index, _INDEX)
+    return shards.select("part", "before", "shard").mapInArrow(index, _INDEX)
 
 
 def export_shards(spark: SparkSession, path: str, uri: str) -> DataFrame:
