@@ -125,7 +125,7 @@ def shuffled_bins(bins: DataFrame, seed: int = 0) -> DataFrame:
 
 def element_summary(members: DataFrame) -> DataFrame:
     """bin, length, gc (weighted by size), hit, n, contigs of bins of (bin, id, name, size, gc, hit)."""
-    names = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("id", "name"))), lambda x: x.name), ",")
+    names = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("id", "name"))), lambda x: x["name"]), ",")
     return members.groupBy("bin").agg(F.sum("size").alias("length"), F.try_divide(F.sum(F.col("gc") * F.col("size")), F.sum("size")).alias("gc"), F.sum("hit").alias("hit"), F.count("*").alias("n"), names.alias("contigs"))
 
 

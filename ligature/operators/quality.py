@@ -127,6 +127,10 @@ def pairs_of(pairs: DataFrame, contigs: DataFrame) -> DataFrame:
     return pairs
 
 
+def _below(at: Column):
+    return lambda site: site < at
+
+
 def fragment_index(pairs: DataFrame, sites: DataFrame) -> DataFrame:
     """Adds frag1 and frag2: how many sites of the contig (contig, sites: ascending) lie before.
 
@@ -135,7 +139,8 @@ def fragment_index(pairs: DataFrame, sites: DataFrame) -> DataFrame:
     """
     for k in ("1", "2"):
         side = sites.select(F.col("contig").alias(f"_s{k}"), F.col("sites").alias(f"_l{k}"))
-        before = F.size(F.filter(F.col(f"_l{k}"), lambda s, k=k: s < F.col(f"pos{k}")))
+        at = F.col(f"pos{k}")
+        before = F.size(F.filter(F.col(f"_l{k}"), _below(at)))
         pairs = pairs.join(side, F.col(f"c{k}") == F.col(f"_s{k}"), "left").withColumn(f"frag{k}", F.coalesce(F.greatest(before, F.lit(0)), F.lit(0))).drop(f"_s{k}", f"_l{k}")
     return pairs
 

@@ -361,7 +361,7 @@ def win_map_bins(spark: SparkSession, sf_dir: str) -> DataFrame:
     return layout.map_bins(P.bins(spark, sf_dir).where("bin != 'ND'"), MAP_BIN)
 
 
-@_query(with_views(f"{_MAP}, at AS (SELECT x.start + (x.init + pos1 - 1) // {MAP_BIN} AS a, y.start + (y.init + pos2 - 1) // {MAP_BIN} AS b FROM pairs JOIN mapped x ON x.id = c1 JOIN mapped y ON y.id = c2) SELECT least(a, b) AS f1, greatest(a, b) AS f2, count(*) AS n FROM at GROUP BY 1, 2"))
+@_query(with_views(f"{_MAP}, places AS (SELECT x.start + (x.init + pos1 - 1) // {MAP_BIN} AS a, y.start + (y.init + pos2 - 1) // {MAP_BIN} AS b FROM pairs JOIN mapped x ON x.id = c1 JOIN mapped y ON y.id = c2) SELECT least(a, b) AS f1, greatest(a, b) AS f2, count(*) AS n FROM places GROUP BY 1, 2"))
 def agg_contact_map(spark: SparkSession, sf_dir: str) -> DataFrame:
     return layout.contact_map(P.pairs(spark, sf_dir), layout.map_bins(P.bins(spark, sf_dir).where("bin != 'ND'"), MAP_BIN), MAP_BIN)
 

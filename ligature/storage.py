@@ -56,7 +56,15 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     spark = df.sparkSession
     path = f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex[:8]}"
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    made = spark.read.schema(df.schema).parquet(path)
+    made._ligature_path = path
+    return made
+
+
+def release(*tables: DataFrame) -> None:
+    """Delete materialised tables that no plan will read any more."""
+    for t in tables:
+        _remove(t._ligature_path)
 
 
 def small_side(df: DataFrame, max_rows: int = 1_000_000) -> DataFrame:

@@ -243,7 +243,7 @@ def test_balance(spark):
         want = want / np.linalg.norm(want, axis=0)
         want = want / np.linalg.norm(want, axis=1)[:, None]
     made = spark.createDataFrame([(i, j, float(m[i, j])) for i in range(3) for j in range(i, 3) if m[i, j]], "i long, j long, n double")
-    assert all(r.value == pytest.approx(want[r.i, r.j]) for r in balance(made, 6, 3).collect())
+    assert all(r.value == pytest.approx(want[r.i, r.j]) for r in balance(made, 6).collect())
 
 
 def test_pairing_and_options(spark):
