@@ -16,14 +16,19 @@ where only two segments meet, and the partial counts are summed per pair.
 
 Copies and hot groups: equal sets are one vertex. Within a batch, members of the same bucket keep
 one leader that alone goes to the shuffle, so a bucket with a third of all rows sends a row per
-batch. Members are verified against leaders (a star, not all pairs); components of the verified
-links then tell which buckets still hold several components, and for those alone the remaining
-pairs across components are verified. All links between different components are so found, and
-the components are exact.
+batch. Sets that buckets connect, each with its leader, are a family, and each is written as its
+difference to one set of the family, the pivot. Two sets differ by the symmetric difference of
+their differences, so a pair that links must share most of them, and a prefix filter on the
+rarest differences finds it. What the family has in common drops out, and pairs that differ too
+much do not meet. Of those that meet, all are first verified against one (a star, not all pairs);
+components of the verified links then tell where several components still meet, and only there
+the pairs across components are verified. So all links between different components are found,
+and the components are exact.
 """
 
 from __future__ import annotations
 
+import math
 from bisect import bisect_right
 from collections.abc import Iterator
 from dataclasses import dataclass, field
@@ -34,14 +39,17 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..operators.components import connected_components
-from ..storage import materialize, ship, small_side
+from ..storage import materialize, release, ship, small_side
 from . import words as W
 
 _U = np.uint64
 #: Fragments in which overlaps are counted.
 FRAGMENTS = 8
-#: Star rounds before all remaining pairs across components are verified.
-STAR_ROUNDS = 3
+#: Classes of the sizes of differences: so many for the D of a pivot, all of one width up to a
+#: number of them, and growing from there.
+CLASSES, CLASS_EVEN, CLASS_STEP = 8, 32, 1.05
+#: Where sets meet: their pivot, the classes of both sizes, and a difference to the pivot.
+_SPOT = ["pivot", "lo", "hi", "x"]
 _SETS = "doc_id long, key long, n long, thin boolean, sigs array<long>, near array<long>, leaders array<long>"
 _SEGMENTS = "key long, n long, fragment int, grams array<long>"
 
@@ -56,6 +64,7 @@ class Levels:
 
     def __post_init__(self):
         self.cuts: dict[tuple[int, int], np.ndarray] = {}
+        self.shapes: dict[int, int] = {}
 
     def _extend(self, n: int) -> None:
         while self.floor[-1] <= n:
@@ -77,10 +86,19 @@ class Levels:
 
     def shape(self, g: int) -> tuple[int, int]:
         """Fragments, and independent cuts that are combined."""
-        d = self.apart(g)
+        d, n = self.apart(g), self.floor[g]
         if d <= 3:
             return d + 1, {1: 3, 2: 2, 3: 2}.get(d, 1)
-        return d + 4 + d // 16, 1
+        if g not in self.shapes:
+            k = d + 4
+            while True:  # n random n-grams should leave more than d of k fragments filled, by far
+                bare = math.exp(-n / k)
+                spread = math.sqrt(max(0.0, k * bare * (1 - (1 + n / k) * bare)))
+                if k * (1 - bare) - 5 * spread >= d + 1 or k >= 16 * n:
+                    break
+                k += 1 + k // 32
+            self.shapes[g] = k
+        return self.shapes[g], 1
 
     def segments(self, grams: np.ndarray, g: int) -> tuple[np.ndarray, bool]:
         """Signatures of a sorted set in level g, and whether it is thin there."""
@@ -186,7 +204,7 @@ def _segments(docs: DataFrame, wanted: DataFrame, n: int, id_col: str, text_col:
                     if not len(g) or _key(g) != want[i]:  # another text under the same id
                         continue
                     cut = np.concatenate([[0], np.searchsorted(g, borders), [len(g)]])
-                    for f in np.flatnonzero(np.diff(cut)):
+                    for f in range(FRAGMENTS):
                         keys.append(want[i])
                         sizes.append(len(g))
                         fragment.append(f)
@@ -209,6 +227,75 @@ def _verify(pairs: DataFrame, segments: DataFrame, num: int, den: int) -> DataFr
     return total.where(den * F.col("shared") >= num * (F.col("na") + F.col("nb") - F.col("shared"))).select("a", "b")
 
 
+def _verify_differences(pairs: DataFrame, diffs: DataFrame, num: int, den: int) -> DataFrame:
+    """The same for pairs (pivot, a, b) by their differences to the pivot: what these share is
+    counted per fragment and summed, and the rest of them is what the sets differ by."""
+    left = diffs.select("pivot", F.col("key").alias("a"), F.col("n").alias("na"), F.col("size").alias("sa"), F.col("e").alias("ea"))
+    right = diffs.select("pivot", F.col("key").alias("b"), F.col("n").alias("nb"), F.col("size").alias("sb"), F.col("e").alias("eb"))
+    met = pairs.join(left, ["pivot", "a"]).join(right, ["pivot", "b"])
+    shared = F.aggregate(F.zip_with("ea", "eb", lambda x, y: F.size(F.array_intersect(x, y))), F.lit(0), lambda s, c: s + c)
+    apart = F.col("sa") + F.col("sb") - 2 * shared
+    return met.where(apart * (den + num) <= (F.col("na") + F.col("nb")) * (den - num)).select("a", "b")
+
+
+def _by_difference(families: DataFrame, segments: DataFrame, num: int, den: int) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Links (a, b) of sets with their pivot, the spots where sets of one pivot meet, and all differences.
+
+    ``families``: pivot, key. A spot is pivot, lo, hi, x, and has rows of key and far. With e the
+    difference of a set to the pivot, two sets link only if their differences share
+    t = (|e| + |f| - D) / 2 or more, where D is the most by which they may differ. If one of them does not link with the pivot, t is at least 1; if both do,
+    nothing is to be found. So the |e| - t + 1 rarest parts of one and the |f| - t + 1 rarest of
+    the other meet. |f| is bounded from below by classes of sizes, for each of which a set shows
+    as much as is needed. A set whose difference is larger than itself is loose: pairs with one
+    are found by the sets themselves, which are differences to the empty set, under the pivot's
+    complement as a name.
+    """
+    own = segments.select(F.col("key").alias("k"), "n", "fragment", F.col("grams").alias("g"))
+    pivot = segments.select(F.col("key").alias("p"), F.col("n").alias("np"), F.col("fragment").alias("fp"), F.col("grams").alias("gp"))
+    pivots = small_side(materialize(families.select("pivot").distinct(), "pivots"))
+    pivot = pivot.join(pivots, F.col("p") == F.col("pivot"), "left_semi")
+
+    def against_pivot(some: DataFrame) -> DataFrame:
+        met = own.join(small_side(some), F.col("k") == F.col("key")).join(pivot, (F.col("pivot") == F.col("p")) & (F.col("fragment") == F.col("fp")))
+        diff = F.concat(F.array_except("g", "gp"), F.transform(F.array_except("gp", "g"), lambda x: F.bitwise_not(x)))
+        return met.select("pivot", "key", "n", "np", "fragment", diff.alias("e"))
+
+    of = ["pivot", "key", "n", "np"]
+    sizes = materialize(against_pivot(families).groupBy(*of).agg(F.sum(F.size("e")).alias("size")), "difference-sizes")
+    tight, loose = sizes.where("size <= n"), sizes.where("size > n")
+    cut = F.transform(F.array_sort(F.collect_list(F.struct("fragment", "e"))), lambda f: f["e"]).alias("e")
+    links = F.col("size") * (den + num) <= (F.col("n") + F.col("np")) * (den - num)
+    tight_diffs = against_pivot(materialize(tight.select("pivot", "key"), "tight")).groupBy(*of).agg(cut)
+    tight_diffs = tight_diffs.join(small_side(sizes.select(F.col("pivot").alias("p1"), F.col("key").alias("k1"), "size")), (F.col("pivot") == F.col("p1")) & (F.col("key") == F.col("k1")))
+    mixed = sizes.join(loose.select("pivot").distinct(), "pivot", "left_semi").select(F.bitwise_not("pivot").alias("pivot"), "key", "np", (F.col("size") > F.col("n")).alias("far"))
+    plain = own.join(small_side(materialize(mixed, "plain")), F.col("k") == F.col("key")).select("pivot", "key", "n", "np", "far", "fragment", F.col("g").alias("e")).groupBy(*of, "far").agg(cut)
+    both = tight_diffs.select(*of, F.col("size"), (~links).alias("far"), "e").unionByName(plain.select(*of, F.col("n").alias("size"), "far", "e"))
+    diffs = materialize(both, "differences")
+    near = tight.where(links & (F.col("key") != F.col("pivot"))).select(F.col("key").alias("a"), F.col("pivot").alias("b"))
+
+    parts = diffs.select("pivot", "key", "n", "np", "size", "far", F.explode(F.flatten("e")).alias("x"))
+    often = parts.groupBy("pivot", "x").agg(F.count("*").alias("df")).where("df > 1")
+    shared = parts.join(often.withColumnsRenamed({"pivot": "p2", "x": "x2"}), (F.col("pivot") == F.col("p2")) & (F.col("x") == F.col("x2")))
+    one = Window.partitionBy("pivot", "key")
+    ranked = shared.withColumn("rank", F.col("size") - F.count("*").over(one) + F.row_number().over(one.orderBy("df", "x")))
+
+    def most(n):
+        return F.floor((F.col(n) + F.floor(F.col(n) * den / num)) * (den - num) / (den + num))
+
+    even = F.col("width") * CLASS_EVEN
+
+    def size_class(v):
+        beyond = F.floor(F.log(F.greatest(v, even) / even) / math.log(CLASS_STEP))
+        return F.when(v < even, F.floor(F.greatest(v, F.lit(1)) / F.col("width"))).otherwise(CLASS_EVEN + beyond)
+
+    bounded = ranked.withColumn("most", most("n")).withColumn("width", F.greatest(F.lit(1), F.floor(most("np") / CLASSES))).withColumn("c", size_class(F.col("size")))
+    spread = bounded.withColumn("d", F.explode(F.sequence(size_class(F.col("size") - F.col("most")), size_class(F.col("size") + F.col("most")))))
+    least = F.when(F.col("d") < CLASS_EVEN, F.col("d") * F.col("width")).otherwise(F.floor(even * F.pow(F.lit(CLASS_STEP), F.col("d") - CLASS_EVEN) * (1 - 1e-9)))
+    t = F.greatest(F.lit(1), F.ceil((F.col("size") + least - F.col("most")) / 2))
+    shown = spread.where(F.col("rank") <= F.col("size") - t + 1).select("pivot", "key", "far", "x", F.least("c", "d").alias("lo"), F.greatest("c", "d").alias("hi"))
+    return near, materialize(shown.distinct(), "prefixes"), diffs
+
+
 def _thin_pairs(docs: DataFrame, sets: DataFrame, n: int, num: int, den: int, id_col: str, text_col: str) -> DataFrame | None:
     """Candidates of thin sets by their single n-grams; None if no set is thin."""
     thin = materialize(sets.where("thin").select("key", "n").distinct(), "thin")
@@ -240,32 +327,25 @@ def ngram_jaccard_join(docs: DataFrame, n: int = 5, num: int = 4, den: int = 5,
     across = alone.select("sig", "key", F.min("key").over(bucket).alias("leader"), F.max("key").over(bucket).alias("last")).where("leader != last").drop("last")
     within = sets.select("key", F.explode(F.arrays_zip("near", "leaders")).alias("x")).select("x.near", "key", "x.leaders")
     members = materialize(across.union(within).distinct(), "buckets")
+    wide, sets = sets, materialize(sets.select("doc_id", "key", "n", "thin"), "gram-keys")
+    release(wide)
     wanted = sets.join(members.select("key").distinct(), "key", "left_semi").groupBy("key").agg(F.min("doc_id").alias("doc_id")).select("doc_id", "key")
     segments = materialize(_segments(docs, wanted, n, id_col, text_col), "segments")
 
-    shared = members.where("key != leader").groupBy("key", "leader").agg(F.count("*").alias("c"))
-    best = shared.groupBy("key").agg(F.max_by("leader", F.struct("c", "leader")).alias("leader"))
-    pairs = materialize(best.select(F.col("key").alias("a"), F.col("leader").alias("b")), "pairs")
-    links = materialize(_verify(pairs, segments, num, den), "links")
-    buckets = members.select("sig", "key").distinct()
-    for turn in range(STAR_ROUNDS + 1):
-        parts = materialize(connected_components(links, "a", "b"), "parts")
-        placed = buckets.join(parts, F.col("key") == F.col("node"), "left").select("sig", "key", F.coalesce("component", "key").alias("part"))
-        mixed = placed.groupBy("sig").agg(F.min(F.struct("part", "key")).alias("low"), F.max("part").alias("high"), F.count("*").alias("c")).where("low.part != high")
-        left = materialize(placed.join(mixed, "sig").select("sig", "key", "part", "low", "c"), "mixed")
-        size = left.agg(F.count("*").alias("n"), F.sum("c").alias("pairs")).first()
-        if not size.n:
-            break
-        last = turn == STAR_ROUNDS or size.pairs <= 32 * size.n
-        if last:
-            other = left.select(F.col("sig").alias("s2"), F.col("key").alias("b"), F.col("part").alias("p2"))
-            pairs = left.join(other, (F.col("sig") == F.col("s2")) & (F.col("part") < F.col("p2"))).select(F.col("key").alias("a"), "b")
-        else:
-            pairs = left.where("part != low.part").select(F.col("key").alias("a"), F.col("low.key").alias("b"))
-        more = _verify(materialize(pairs.distinct(), "pairs"), segments, num, den)
-        links = materialize(links.union(more), "links")
-        if last:
-            break
+    of_family = connected_components(members, "key", "leader").select(F.col("component").alias("pivot"), F.col("node").alias("key"))
+    near, shown, diffs = _by_difference(materialize(of_family, "families"), segments, num, den)
+    release(segments)
+    meets = shown.groupBy(*_SPOT).agg(F.min("key").alias("b"), F.max("key").alias("other"), F.max("far").alias("some")).where("b != other and some")
+    star = shown.join(meets.select(*_SPOT, "b"), _SPOT).where("key != b").select("pivot", F.col("key").alias("a"), "b").distinct()
+    links = materialize(near.union(_verify_differences(star, diffs, num, den)), "links")
+    parts = materialize(connected_components(links, "a", "b"), "parts")
+    placed = shown.join(parts, F.col("key") == F.col("node"), "left").select(*_SPOT, "key", "far", F.coalesce("component", "key").alias("part"))
+    mixed = placed.groupBy(*_SPOT).agg(F.min("part").alias("one"), F.max("part").alias("two"), F.max("far").alias("some")).where("one != two and some").select(*_SPOT)
+    left = materialize(placed.join(mixed, _SPOT), "mixed")
+    right = left.select(*[F.col(c).alias(f"{c}2") for c in left.columns])
+    same = (F.col("pivot") == F.col("pivot2")) & (F.col("lo") == F.col("lo2")) & (F.col("hi") == F.col("hi2")) & (F.col("x") == F.col("x2"))
+    pairs = left.join(right, same & (F.col("part") < F.col("part2")) & (F.col("far") | F.col("far2"))).select("pivot", F.col("key").alias("a"), F.col("key2").alias("b")).distinct()
+    links = materialize(links.union(_verify_differences(pairs, diffs, num, den)), "links")
     thin = _thin_pairs(docs, sets, n, num, den, id_col, text_col)
     if thin is not None:
         close = thin.select("a").union(thin.select("b")).distinct().withColumnRenamed("a", "key")

@@ -1,0 +1,495 @@
+"""The operators against brute force, on awkward rows and on the smallest table."""
+
+import hashlib
+import re
+import zlib
+
+import numpy as np
+import pytest
+
+from tests.conftest import rows
+
+SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, row string, key long, n_tokens int, score double, predicted int, ranges string, nth int"
+LONG = "Lorem dolor sit amet " * 3000
+PASSAGE = " ".join(f"word{k}" for k in range(60))
+LINES = "\n".join(" ".join(f"tok{k}x{j}" for j in range(20)) for k in range(4))
+
+
+def awkward():
+    """Nulls anywhere, empty and very long texts, repeated rows, shared and null ids."""
+    base = " ".join(f"alpha{k}" for k in range(100))
+    texts = [
+        (1, base), (2, base), (2, base), (3, base + " end"), (4, None), (5, ""), (6, " \n\t "), (7, "one"), (8, "two words"), (9, LONG), (10, "Ünï çödé ÑANDÚ"), (None, base), (None, None),
+        (11, PASSAGE), (12, "before\n" + PASSAGE + "\nafter"), (13, PASSAGE + "\n" + PASSAGE), (14, LINES), (15, "x y\n" + LINES + "\nz"), (15, "another text"), (-3, "a b c d\n\na b c d\na"),
+        (16, "A B C d"), (17, 'token = "24be64439e3e49cf46b2d7c90f3602a3d0b907ff" and <|endoftext|> x'), (18, "12 34 !!"), (19, PASSAGE.upper()),
+    ]
+    return [(i, t, "en" if t and i != 10 else None, None, None, "r", 5, 1, 0.5, None, "q", None) for i, t in texts]
+
+
+@pytest.fixture(scope="module")
+def docs(spark):
+    return spark.createDataFrame(awkward(), SCHEMA).repartition(3)
+
+
+@pytest.fixture(scope="module")
+def none(spark):
+    return spark.createDataFrame([], SCHEMA)
+
+
+def words(text, pattern=r"[^\x20\x09-\x0D]+", lower=True):
+    text = text or ""
+    return re.findall(pattern, re.sub("[A-Z]", lambda m: m[0].lower(), text) if lower else text)
+
+
+# ---- op3 -------------------------------------------------------------------------------------
+
+
+def brute_components(texts, n, num, den):
+    """(n_shingles, component) of each row by all pairs."""
+    sets = []
+    for _, t in texts:
+        w = words(t)
+        sets.append({tuple(w[k : k + n]) for k in range(max(1, len(w) - n + 1))} if w else set())
+    parent = list(range(len(sets)))
+
+    def root(x):
+        while parent[x] != x:
+            x = parent[x]
+        return x
+
+    for a in range(len(sets)):
+        for b in range(a):
+            both = len(sets[a] & sets[b])
+            if sets[a] and sets[b] and den * both >= num * (len(sets[a]) + len(sets[b]) - both):
+                parent[root(a)] = root(b)
+    out = []
+    for a, (i, _) in enumerate(texts):
+        ids = [texts[b][0] for b in range(len(sets)) if root(b) == root(a) and texts[b][0] is not None]
+        out.append((i if not sets[a] else min(ids, default=None), i, len(sets[a])))
+    return sorted(out, key=lambda t: [(v is None, v or 0) for v in t])
+
+
+def similar(rng, count=160):
+    """Groups of near copies, with edits, of short and long texts, and a shared passage."""
+    out, base = [], []
+    for k in range(count):
+        if k % 6 == 0:
+            base = [f"w{rng.integers(0, 60)}" for _ in range(int(rng.integers(3, 160)))]
+            if k % 12 == 0:
+                base += [f"p{j}" for j in range(40)]
+        own = list(base)
+        for _ in range(int(rng.integers(0, 3))):
+            own[int(rng.integers(0, len(own)))] = f"e{rng.integers(0, 10_000)}"
+        out.append((k, " ".join(own)))
+    return out
+
+
+@pytest.mark.parametrize(("n", "num", "den"), [(3, 90, 100), (5, 4, 5), (1, 1, 2)])
+def test_ngram_join(spark, docs, none, n, num, den):
+    from ligature.llm.ngram_join import ngram_jaccard_join
+
+    assert rows(ngram_jaccard_join(docs, n, num, den)) == brute_components([(r[0], r[1]) for r in awkward()], n, num, den)
+    texts = similar(np.random.default_rng(n))
+    got = rows(ngram_jaccard_join(spark.createDataFrame(texts, "doc_id long, text string").repartition(5), n, num, den))
+    assert got == brute_components(texts, n, num, den)
+    assert rows(ngram_jaccard_join(none, n, num, den)) == []
+
+
+def test_ngram_join_of_thin_sets(spark, monkeypatch):
+    """The exact way for sets with too many empty fragments."""
+    from ligature.llm import ngram_join as J
+
+    texts = similar(np.random.default_rng(3), 120)
+    want = brute_components(texts, 2, 4, 5)
+    assert rows(J.ngram_jaccard_join(spark.createDataFrame(texts, "doc_id long, text string"), 2, 4, 5)) == want
+
+    def all_thin(self, grams, g, cut=J.Levels.segments):
+        return cut(self, grams, g)[0][:0], self.apart(g) > 0
+
+    monkeypatch.setattr(J.Levels, "segments", all_thin)
+    assert rows(J.ngram_jaccard_join(spark.createDataFrame(texts, "doc_id long, text string"), 2, 4, 5)) == want
+
+
+@pytest.mark.parametrize(("num", "den"), [(9, 10), (4, 5), (1, 2)])
+def test_similar_sets_share_a_segment(num, den):
+    from ligature.llm.ngram_join import Levels
+
+    rng, levels = np.random.default_rng(1), Levels(num, den)
+    for _ in range(300):
+        n = int(rng.integers(2, 600))
+        a = np.unique(rng.integers(0, 2**63, n).astype(np.uint64))
+        gone = int(rng.integers(0, len(a) // 3 + 1))
+        b = np.unique(np.concatenate([rng.permutation(a)[: len(a) - gone], rng.integers(0, 2**63, int(rng.integers(0, gone + 2))).astype(np.uint64)]))
+        both = len(np.intersect1d(a, b))
+        if not len(b) or den * both < num * (len(a) + len(b) - both) or np.array_equal(a, b):
+            continue
+        made = [[levels.segments(x, g) for g in levels.of(len(x))] for x in (a, b)]
+        sigs = [set(np.concatenate([m[0] for m in ms]).tolist()) for ms in made]
+        assert sigs[0] & sigs[1] or any(m[1] for ms in made for m in ms)
+
+
+# ---- op5, op6 --------------------------------------------------------------------------------
+
+
+@pytest.fixture(scope="module")
+def tokenizer():
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    return lambda name: (public_tokenizers.path(name), Tokenizer.from_file(public_tokenizers.path(name)))
+
+
+def test_token_store(spark, docs, none, tokenizer, tmp_path):
+    from ligature.llm.elias_fano import Shard
+    from ligature.llm.token_store import export_shards, read_store, token_store, write_store
+
+    path, t = tokenizer("word_bpe_49k.json")
+    own = sorted(((r[0], r[1]) for r in awkward()), key=lambda r: (r[0] is not None, r[0] or 0, r[1] is not None, r[1] or ""))
+    start, want = 0, []
+    for i, x in own:
+        ids = np.array([*t.encode(x or "", add_special_tokens=False).ids, 2], "<u4")
+        want.append((i, zlib.crc32(ids.tobytes()), len(ids), start))
+        start += len(ids)
+    order = lambda r: [(v is None, v or 0) for v in r]
+    assert rows(token_store(docs, path, 2, shard_tokens=300)) == sorted(want, key=order)
+    write_store(docs, f"{tmp_path}/store", path, 2, 4)
+    assert rows(read_store(spark, f"{tmp_path}/store")) == sorted(want, key=order)
+    files = export_shards(spark, f"{tmp_path}/store", f"file://{tmp_path}/files").collect()
+    shards = [Shard((tmp_path / "files" / r.file).read_bytes()) for r in sorted(files, key=lambda r: r.file)]
+    assert [d for s in shards for d in s.doc_ids()] == [i for i, _ in own]
+    assert [zlib.crc32(s.tokens(k).astype("<u4").tobytes()) for s in shards for k in range(s.n)] == [w[1] for w in want]
+    assert rows(token_store(none, path, 2)) == []
+
+
+def test_elias_fano():
+    from ligature.llm.elias_fano import EliasFano
+
+    rng = np.random.default_rng(0)
+    for n, top in ((0, 1), (1, 0), (5, 3), (3000, 10**6), (3000, 100), (1000, 2**50), (700, 700)):
+        v = np.sort(rng.integers(0, top + 1, n))
+        e = EliasFano.from_bytes(EliasFano.encode(v).to_bytes())
+        assert (e.decode() == v).all()
+        assert all(e.select(k) == v[k] for k in range(n))
+        if n >= 700:
+            assert len(e.to_bytes()) * 8 / n < 2.6 + max(0, np.log2(top / n)) + 1
+
+
+def test_memo_gives_the_library_ids(tokenizer):
+    from ligature.llm.tokens import WordMemo
+
+    texts = [r[1] for r in awkward()] + ["a  b", " don't we'll 12 34\n\n\n x\t\ty ", "É ΑΣ Σ é ́x", "x\x1cy", "a \n b\r\n c   ", "a.b,, c!! ~~ d_ e__f g#$% -x- y{}", "x <|endoftext|>  y"]
+    for name in ("word_bpe_49k.json", "byte_bpe_50k.json"):
+        path, t = tokenizer(name)
+        for limit in (2, 40, 100_000):
+            memo = WordMemo(path, limit)
+            for x, b in zip(texts + texts, memo.encode(texts + texts), strict=True):
+                assert np.frombuffer(b, "<u4").tolist() == t.encode(x or "", add_special_tokens=False).ids
+
+
+def brute_best_fit(lengths, capacity):
+    import bisect
+
+    rooms, opened = [], 0
+    for n in sorted(lengths, reverse=True):
+        i = bisect.bisect_left(rooms, n)
+        opened += i == len(rooms)
+        room = rooms.pop(i) if i < len(rooms) else capacity
+        if room - n:
+            bisect.insort(rooms, room - n)
+    return opened
+
+
+def test_packing(spark, docs, none, tokenizer):
+    from ligature.llm.packing import pack, sequences
+
+    path, t = tokenizer("byte_bpe_50k.json")
+    packed = pack(docs, path, 2, 64, with_ids=True)
+    got = packed.collect()
+    pieces = {}
+    for r in got:
+        assert zlib.crc32(r.ids) == r.ids_crc32 and len(r.ids) == 4 * r.length and 0 < r.length <= 64
+        pieces.setdefault(r.doc_id, []).append((r.start, r.piece, r.ids))
+    for i in {r[0] for r in awkward()}:
+        want = sorted(np.array([*t.encode(x or "", add_special_tokens=False).ids, 2], "<u4").tobytes() for j, x, *_ in awkward() if j == i)
+        if len(want) == 1:
+            assert b"".join(p[2] for p in sorted(pieces[i])) == want[0]
+            assert [p[1] for p in sorted(pieces[i])] == list(range(len(pieces[i])))
+    used = {}
+    for r in got:
+        used.setdefault(r.sequence_id, []).append((r.offset, r.length))
+    for places in used.values():
+        at = 0
+        for offset, length in sorted(places):
+            assert offset == at
+            at += length
+        assert at <= 64
+    assert len(used) == brute_best_fit([r.length for r in got], 64)
+    whole = {r.sequence_id: r for r in sequences(packed).collect()}
+    assert {k: v.n_tokens for k, v in whole.items()} == {k: sum(x[1] for x in v) for k, v in used.items()}
+    assert all(len(r.ids) == 4 * r.n_tokens for r in whole.values())
+    assert pack(none, path, 2).collect() == []
+
+
+def test_plan_is_best_fit_decreasing():
+    from ligature.llm.packing import plan
+
+    rng = np.random.default_rng(2)
+    for _ in range(60):
+        capacity = int(rng.choice([1, 2, 7, 64, 1024]))
+        lengths = rng.integers(1, capacity + 1, int(rng.integers(0, 300))).tolist()
+        counts = {n: lengths.count(n) for n in set(lengths)}
+        runs = plan(counts, capacity)
+        top = max((int(r[2] + -(-counts[n] // r[1]) - 1) for n, rs in runs.items() for r in rs[-1:]), default=-1)
+        assert top + 1 <= brute_best_fit(lengths, capacity)
+
+
+# ---- op7 -------------------------------------------------------------------------------------
+
+
+def brute_hits(texts, items, window=13):
+    pattern = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
+    windows = {}
+    for i, t in items:
+        w = words(t, pattern)
+        for k in range(max(1, len(w) - window + 1) if w and i is not None else 0):
+            windows.setdefault(tuple(w[k : k + window]), set()).add(str(i))
+    out = []
+    for i, t in texts:
+        w = words(t, pattern)
+        hit, found = [0] * len(w), set()
+        for size in {len(k) for k in windows}:
+            for k in range(len(w) - size + 1):
+                if (names := windows.get(tuple(w[k : k + size]))) is not None:
+                    found |= names
+                    hit[k : k + size] = [1] * size
+        out.append((i, len(w), sum(hit), ",".join(sorted(found)), sum(hit) > 0 and 20 * sum(hit) >= len(w)))
+    return sorted(out, key=str)
+
+
+@pytest.mark.parametrize("block_bytes", [8 << 20, 40])
+def test_decontamination(spark, docs, none, block_bytes):
+    from ligature.llm.decontaminate import find_passages
+
+    items = [(1, PASSAGE), (2, "two words"), (10, " ".join(f"Alpha{k}" for k in range(20, 50))), (3, None), (None, "one"), (4, ""), (4, "a b"), (5, "dolor sit amet"), (2, "word5 word6 word7"), (6, " ".join(f"word{k}" for k in range(12)))]
+    bench = spark.createDataFrame([(i, t, "x") for i, t in items], "item_id long, text string, n_words string")
+    got = find_passages(docs, bench, block_bytes=block_bytes).collect()
+    assert sorted(((r.doc_id, r.n_words, r.n_hit, ",".join(r["items"]), r.contaminated) for r in got), key=str) == brute_hits([(r[0], r[1]) for r in awkward()], items)
+    for r in got:
+        assert sum(b - a for a, b in zip(r.spans[::2], r.spans[1::2], strict=True)) == r.n_hit
+    assert find_passages(none, bench).collect() == []
+    assert {r.n_hit for r in find_passages(docs, bench.limit(0)).collect()} == {0}
+
+
+def test_decontamination_query(spark, sf_dir, duck):
+    from ligature.llm.registry import queries
+
+    got = {r.doc_id: r for r in queries()["op7_benchmark_decontamination"](spark, sf_dir).collect()}
+    want = brute_hits(duck.sql("select doc_id, text from documents").fetchall(), duck.sql("select item_id, text from benchmark").fetchall())
+    assert len(got) == len(want)
+    for i, n, hit, names, bad in want:
+        r = got[i]
+        assert (r.n_words, r.n_hit, r.items_sha256, r.contaminated) == (n, hit, hashlib.sha256(names.encode()).hexdigest(), bad)
+
+
+# ---- op8, op9 --------------------------------------------------------------------------------
+
+
+def brute_lines(texts, min_words):
+    """Lines that lie in a run of min_words words that occurs before, by all pairs of places."""
+    docs = sorted(texts, key=lambda r: (r[0] is not None, r[0] or 0))
+    lines = [[(p, x.strip(" \t\n\x0b\x0c\r"), len(words(x))) for p, x in enumerate((t or "").split("\n")) if words(x)] for _, t in docs]
+    seen, out = {}, []
+    for d, own in enumerate(lines):
+        for a in range(len(own)):
+            for b in range(a, len(own)):
+                if sum(x[2] for x in own[a : b + 1]) >= min_words:
+                    seen.setdefault(tuple(x[1] for x in own[a : b + 1]), (d, a))
+                    break
+    for d, own in enumerate(lines):
+        gone = set()
+        for a in range(len(own)):
+            for b in range(a, len(own)):
+                run = own[a : b + 1]
+                if sum(x[2] for x in run) >= min_words:
+                    first = _first(lines, tuple(x[1] for x in run))
+                    if first < (d, a):
+                        gone |= {x[0] for x in run}
+        text = docs[d][1]
+        left = None if text is None else "\n".join(x for p, x in enumerate(text.split("\n")) if p not in gone)
+        out.append((docs[d][0], len(own), len(gone), left))
+    return sorted(out, key=str)
+
+
+def _first(lines, run):
+    for d, own in enumerate(lines):
+        for a in range(len(own) - len(run) + 1):
+            if tuple(x[1] for x in own[a : a + len(run)]) == run:
+                return d, a
+    return None
+
+
+def test_line_dedup(spark, docs, none):
+    from ligature.llm.line_dedup import dedup_lines
+
+    texts = [(r[0], r[1]) for r in awkward()]
+    once = [t for t in texts if t[0] not in (2, 15, None)]
+    got = dedup_lines(spark.createDataFrame(once, "doc_id long, text string"), 50).select("row.doc_id", "n_lines", "n_removed", "row.text").collect()
+    assert sorted((tuple(r) for r in got), key=str) == brute_lines(once, 50)
+    rng = np.random.default_rng(4)
+    made = [(k, "\n".join(" ".join(f"v{rng.integers(0, 2)}" for _ in range(int(rng.integers(0, 4)))) for _ in range(int(rng.integers(0, 12))))) for k in range(60)]
+    got = dedup_lines(spark.createDataFrame(made, "doc_id long, text string").repartition(3), 6).select("row.doc_id", "n_lines", "n_removed", "row.text").collect()
+    assert sorted((tuple(r) for r in got), key=str) == brute_lines(made, 6)
+    out = dedup_lines(docs, 50)
+    assert out.count() == len(texts)
+    assert out.select("row.*").columns == docs.columns
+    two = [r.row.text for r in out.where("row.doc_id = 2").collect()]
+    assert len(two) == 2 and two[0] == two[1]  # repeated rows are one document
+    assert dedup_lines(none).collect() == []
+
+
+def test_native_queries_match_sql(spark, sf_dir, duck):
+    from ligature.llm.registry import oracle_sql, queries
+
+    for name, sql in oracle_sql().items():
+        assert rows(queries()[name](spark, sf_dir)) == rows(duck.sql(sql)), name
+
+
+def test_quality_rules(spark, docs, none):
+    from ligature.llm.quality_rules import POLICIES, RULES, ablation, apply_policy, ledger, mask
+
+    book = ledger(docs)
+    got = sorted(((r.doc_id, r.n_words, r.word_chars, r.n_repeat_words, r.n_dup_lines) for r in book.collect()), key=str)
+    want = []
+    for i, t, *_ in awkward():
+        w = words(t, lower=False)
+        grams = [tuple(w[k : k + 3]) for k in range(len(w) - 2)]
+        again = {p for k, g in enumerate(grams) if grams.count(g) > 1 for p in (k, k + 1, k + 2)} if len(w) < 2000 else set(range(len(w)))
+        lines = [x for x in (t or "").split("\n") if words(x)]
+        want.append((i, len(w), sum(map(len, w)), len(again), len(lines) - len(set(lines))))
+    assert got == sorted(want, key=str)
+    assert ledger(none).collect() == []
+    kept = apply_policy(book, "v1").collect()
+    assert all(r.kept == (r.failed & mask(POLICIES["v1"]) == 0) for r in kept)
+    for r in ablation(book, "v1").collect():
+        bit = 1 << list(RULES).index(r.rule)
+        assert (r.fails, r.only) == (sum(k.failed & bit != 0 for k in kept), sum(k.failed == bit for k in kept))
+
+
+# ---- op1, op2, op4, op10 ---------------------------------------------------------------------
+
+
+def test_secret_scan(spark, docs, none, sf_dir, duck):
+    from ligature.llm.registry import queries
+    from ligature.llm.secrets import sample_findings, scan, train
+
+    findings = sample_findings(1500)
+    forest = train(findings)
+    held = sample_findings(400, seed=99)
+    made = spark.createDataFrame([(k, f[0]) for k, f in enumerate(held)], "doc_id long, text string")
+    best = {}
+    for r in scan(made, forest).collect():
+        best[r.doc_id] = max(best.get(r.doc_id, 0), r.score)
+    right = [(best.get(k, 0) >= 0.5) == bool(f[2]) for k, f in enumerate(held)]
+    assert np.mean(right) > 0.9
+    found = scan(docs, forest).collect()
+    assert [r.doc_id for r in found] == [17]
+    assert found[0].secret == "24be64439e3e49cf46b2d7c90f3602a3d0b907ff" and awkward()[21][1][found[0].start :][:40] == found[0].secret
+    assert scan(none, forest).collect() == []
+    assert {r.doc_id for r in queries()["op1_secret_scan"](spark, sf_dir).collect()} <= {r[0] for r in duck.sql("select doc_id from documents").fetchall()}
+
+
+def test_quality_classifier(spark, docs, none, sf_dir, duck):
+    from ligature.llm.quality_model import classify
+    from ligature.llm.registry import queries
+
+    labels = dict(duck.sql("select doc_id, quality from labels").fetchall())
+    got = queries()["op2_quality_classifier"](spark, sf_dir).collect()
+    right = [r.predicted == labels[r.doc_id] for r in got if r.doc_id in labels and r.held_out]
+    assert len(right) > 5 and np.mean(right) > 0.85
+    assert all(0 <= r.score <= 1 and r.predicted == (r.score >= 0.7) and r.held_out == (zlib.crc32(str(r.doc_id).encode()) % 4 == 2) for r in got)
+    own = spark.createDataFrame([(1, 1), (7, 0), (9, 0), (None, 1), (3, 5), (11, 1), (14, 1), (8, 0)], "doc_id long, quality int")
+    assert classify(docs, own).count() == len(awkward())
+    assert {r.score for r in classify(docs, own.limit(0)).collect()} == {0.5}
+    assert classify(none, own).collect() == []
+
+
+def test_discriminant_is_the_density_ratio(spark):
+    from ligature.llm.quality_model import IDENTITY, NAMES, POOLED, TEMPERATURE, fit
+
+    rng, d = np.random.default_rng(0), len(NAMES)
+    x = [rng.normal(0, 1, (150, d)), rng.normal(0.7, 2, (250, d))]
+    made = spark.createDataFrame([(r.tolist(), k) for k in (0, 1) for r in x[k]], "x array<float>, label int").repartition(3)
+    model = fit(made)
+    both = np.concatenate(x).astype(np.float32).astype(float)
+    z = [(v.astype(np.float32) - both.mean(axis=0)) / both.std(axis=0) for v in x]
+    pooled = sum(len(v) * np.cov(v.T, bias=True) for v in z) / 400
+    logs = []
+    for v in z:
+        s = (1 - POOLED - IDENTITY) * np.cov(v.T, bias=True) + POOLED * pooled + IDENTITY * np.trace(pooled) / d * np.eye(d)
+        diff = (both - both.mean(axis=0)) / both.std(axis=0) - v.mean(axis=0)
+        logs.append(np.log(len(v) / 400) - 0.5 * np.linalg.slogdet(s)[1] - 0.5 * np.einsum("ni,ij,nj->n", diff, np.linalg.inv(s), diff))
+    assert np.allclose(model.score(both), 1 / (1 + np.exp((logs[0] - logs[1]) / TEMPERATURE)), atol=1e-4)
+
+
+def test_token_counts(spark, docs, none, tokenizer):
+    import public_tokenizers
+
+    from ligature.llm.token_counts import LEAD, Unigram, count_tokens
+
+    path = public_tokenizers.path("piece_bpe_32k.model")
+    model = Unigram.from_sentencepiece(path)
+
+    def viterbi(word):
+        best = [(0.0, 0, 0)]
+        for end in range(1, len(word) + 1):
+            s, n, u = best[end - 1]
+            options = [(s + model.unknown, -n - 1, -u - 1)]
+            for start in range(end):
+                if word[start:end] in model.pieces:
+                    s, n, u = best[start]
+                    options.append((s + model.pieces[word[start:end]], -n - 1, -u))
+            s, n, u = max(options)
+            best.append((s, -n, -u))
+        return best[-1][1:]
+
+    got = {(r.doc_id, r.n_words, r.n_tokens, r.n_unknown) for r in count_tokens(docs, path).collect()}
+    memo = {}
+    for i, t, *_ in awkward():
+        w = (t or "").split()
+        each = [memo.setdefault(x, None) or memo.update({x: viterbi(LEAD + x)}) or memo[x] for x in w]
+        assert (i, len(w), sum(e[0] for e in each), sum(e[1] for e in each)) in got
+    assert count_tokens(none, path).collect() == []
+    small = Unigram({"a": -1.0, "ab": -1.5, "b": -1.0, "abc": -9.0}, -20.0, limit=4)
+    assert small.split_counts(["ab", "abc", "abab", "", "a"]) == {"": (0, 0), "a": (1, 0), "ab": (1, 0), "abab": (2, 0), "abc": (1, 0)}
+    assert [small.count("a ab b c abc a"), small.count("")] == [(6, 6, 1), (0, 0, 0)]
+
+
+def test_language_id(spark, docs, none, sf_dir, duck):
+    from ligature.llm.language_id import codebook, identify, learn
+    from ligature.llm.registry import queries
+
+    langs = dict(duck.sql("select doc_id, lang from documents").fetchall())
+    got = queries()["op10_language_id"](spark, sf_dir).collect()
+    assert np.mean([r.lang_pred == langs[r.doc_id] for r in got if r.held_out]) > 0.97
+    assert all(r.held_out == (zlib.crc32(str(r.doc_id).encode()) % 4 == 2) for r in got)
+    model = learn(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+    own = sorted(((r.doc_id, r.lang_pred, r.score) for r in identify(docs, model).collect()), key=str)
+    assert len(own) == len(awkward()) and all(0 <= s <= 1 for *_, s in own)
+    und = {i for i, t, *_ in awkward() if not t or not any(c.isalpha() for c in t)}
+    assert {i for i, lang, _ in own if lang == "und"} == und
+    assert learn(none) is None and {r.lang_pred for r in identify(docs, None).collect()} == {"und"}
+    assert identify(none, model).collect() == []
+    one = learn(docs)
+    assert one.langs == ["en"] and {r.lang_pred for r in identify(docs, one).collect()} == {"en", "und"}
+    for n in (2, 3, 4, 6, 9):
+        code = codebook(n)
+        assert len({tuple(r) for r in code}) == n and all(len(set(c)) == 2 for c in code.T)
+
+
+def test_queries_leave_rows_whole(spark, sf_dir, duck):
+    from ligature.llm.registry import queries
+
+    count = duck.sql("select count(*) from documents").fetchone()[0]
+    for name, query in queries().items():
+        if name not in ("op1_secret_scan", "op6_best_fit_packing"):
+            assert query(spark, sf_dir).count() == count, name
