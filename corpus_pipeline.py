@@ -22,6 +22,8 @@ from ligature.storage import materialize, small_side
 
 #: Word shingles and similarity of the near-copy stage.
 NEAR_WORDS, NEAR_NUM, NEAR_DEN = 5, 4, 5
+#: Words that a worker keeps while packing; other stages need the executor's memory as well.
+MEMO_WORDS = 250_000
 
 
 def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -62,7 +64,7 @@ def benchmark_decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str)
 
 def best_fit_packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One row per piece with its place in the packed sequences."""
-    return pack(docs, registry._tokenizer(registry.BYTE_TOKENIZER), registry.END_ID, registry.CAPACITY)
+    return pack(docs, registry._tokenizer(registry.BYTE_TOKENIZER), registry.END_ID, registry.CAPACITY, memo_words=MEMO_WORDS)
 
 
 STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [

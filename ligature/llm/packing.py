@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..storage import materialize, ship
-from .tokens import memo
+from .tokens import MEMO_WORDS, memo
 
 _PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long, part int, nth long"
 _PLACED = "doc_id long, piece int, start long, length long, ids_crc32 long, sequence_id long, offset long"
@@ -96,7 +96,7 @@ def _open(tree: CapacityTree, rooms: dict, room: int, first: int, n: int) -> Non
         tree.add(room, n)
 
 
-def pieces(docs: DataFrame, tokenizer: str, end_id: int, capacity: int, id_col: str = "doc_id", text_col: str = "text", with_ids: bool = False) -> DataFrame:
+def pieces(docs: DataFrame, tokenizer: str, end_id: int, capacity: int, id_col: str = "doc_id", text_col: str = "text", with_ids: bool = False, memo_words: int = MEMO_WORDS) -> DataFrame:
     """Tokenise, append ``end_id`` and cut what is longer than ``capacity``.
 
     All pieces of a cut document are full but the first. ``nth`` numbers the pieces of a length
@@ -105,7 +105,7 @@ def pieces(docs: DataFrame, tokenizer: str, end_id: int, capacity: int, id_col:
     ship(docs.sparkSession)
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words, part = memo(tokenizer), TaskContext.get().partitionId()
+        words, part = memo(tokenizer, memo_words), TaskContext.get().partitionId()
         end, seen = np.array([end_id], "<u4").tobytes(), [0] * (capacity + 1)
         for batch in batches:
             for i in range(0, batch.num_rows, 512):
@@ -133,14 +133,15 @@ def pieces(docs: DataFrame, tokenizer: str, end_id: int, capacity: int, id_col:
     return rows.mapInArrow(cut, _PIECES + ", ids binary" * with_ids)
 
 
-def pack(docs: DataFrame, tokenizer: str, end_id: int, capacity: int = 1024, id_col: str = "doc_id", text_col: str = "text", with_ids: bool = False) -> DataFrame:
+def pack(docs: DataFrame, tokenizer: str, end_id: int, capacity: int = 1024, id_col: str = "doc_id", text_col: str = "text", with_ids: bool = False, memo_words: int = MEMO_WORDS) -> DataFrame:
     """One row per piece with its ``sequence_id`` and ``offset`` there; sequences have no gaps.
 
     Null texts are empty and hold the end id alone; rows with the same or a null id are packed
     each for itself; an empty table gives no rows; other columns are not read. ``with_ids`` adds
-    the ids as little-endian unsigned 32-bit integers, for ``sequences``.
+    the ids as little-endian unsigned 32-bit integers, for ``sequences``. ``memo_words`` bounds the
+    words whose ids a worker keeps; it changes the time and the memory, not the result.
     """
-    made = materialize(pieces(docs, tokenizer, end_id, capacity, id_col, text_col, with_ids), "pieces")
+    made = materialize(pieces(docs, tokenizer, end_id, capacity, id_col, text_col, with_ids, memo_words), "pieces")
     by_task = materialize(made.groupBy("part", "length").agg(F.count("*").alias("n")), "piece-counts")
     before = F.sum("n").over(Window.partitionBy("length").orderBy("part").rowsBetween(Window.unboundedPreceding, -1))
     bases = by_task.select(F.col("part").alias("of"), F.col("length").alias("long"), F.coalesce(before, F.lit(0)).alias("base"))
