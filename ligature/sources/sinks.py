@@ -42,9 +42,15 @@ def export_pairs(pairs: DataFrame, contigs: DataFrame, path: str) -> None:
     spark = pairs.sparkSession
     sizes = [f"#chromsize: {r.name} {r.size}" for r in contigs.orderBy("id").select("name", "size").toLocalIterator()]
     head = spark.createDataFrame([("\n".join(["## pairs format v1.0", "#sorted: chr1-chr2-pos1-pos2", "#shape: upper triangle", *sizes, "#columns: readID chr1 pos1 chr2 pos2 strand1 strand2"]),)], "value string")
-    keyed = pairs.orderBy(natural_key(F.col("c1").cast("string")), natural_key(F.col("c2").cast("string")), "pos1", "pos2", "strand1")
-    body = keyed.select(F.concat_ws("\t", "read_id", "c1", "pos1", "c2", "pos2", "strand1", "strand2").alias("value"))
-    head.union(body.coalesce(1)).coalesce(1).write.text(path)
+    line = F.concat_ws("\t", "read_id", "c1", "pos1", "c2", "pos2", "strand1", "strand2").alias("value")
+    body = pairs.select(line, F.struct(natural_key(F.col("c1").cast("string")), natural_key(F.col("c2").cast("string")), "pos1", "pos2", "strand1").alias("place"))
+    _one_file(head, body, path)
+
+
+def _one_file(head: DataFrame, body: DataFrame, path: str) -> None:
+    """A head line and then rows (value, place) in their order, as one text file, by one task."""
+    rows = head.select("value").withColumn("place", F.lit(None).cast(body.schema["place"].dataType)).unionByName(body)
+    rows.repartition(1).sortWithinPartitions(F.col("place").asc_nulls_first()).select("value").write.text(path)
 
 
 def write_table(df: DataFrame, path: str, header: bool = True, single: bool = False) -> None:
@@ -99,8 +105,8 @@ def write_element_summary(summary: DataFrame, path: str) -> None:
 def write_matrix(matrix: DataFrame, path: str, n: int) -> None:
     """Text: rows, columns and entries, then i, j, value with three decimals."""
     size = matrix.agg(F.format_string(f"{n}\t{n}\t%d", F.count("*")).alias("value"))
-    body = matrix.orderBy("i", "j").select(F.format_string("%d\t%d\t%1.3f", "i", "j", "value").alias("value"))
-    size.union(body.coalesce(1)).coalesce(1).write.text(path)
+    body = matrix.select(F.format_string("%d\t%d\t%1.3f", "i", "j", "value").alias("value"), F.struct("i", "j").alias("place"))
+    _one_file(size, body, path)
 
 
 def map_as_bedgraph(counts: DataFrame, bins: DataFrame) -> DataFrame:
