@@ -170,7 +170,7 @@ def test_matching_and_paths(spark):
 
     assert match_ends(2, [(1, 2, 0.9), (0, 3, 0.5)], 0.1) == [(1, 2), (0, 3)]
     assert match_ends(3, [(1, 2, 0.9), (1, 4, 0.6)], 0.1) == [(1, 2)]
-    assert match_ends(3, [(1, 2, 0.9), (1, 4, 0.8), (2, 5, 0.95), (0, 3, 0.7)], 0.1)[0] == (0, 3)  # sure and alone
+    assert match_ends(3, [(1, 2, 0.9), (1, 4, 0.8), (2, 5, 0.85), (0, 3, 0.7)], 0.1)[0] == (2, 5)  # sure and alone
     assert paths(1, []) == [(0, 0, 0, False, False)]
     assert paths(2, [(1, 3)]) == [(0, 0, 0, False, False), (0, 1, 1, True, False)]
     assert paths(3, [(1, 2), (3, 4), (5, 0)]) == [(0, 0, 0, False, True), (0, 1, 1, False, True), (0, 2, 2, False, True)]
