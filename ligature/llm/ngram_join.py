@@ -341,10 +341,12 @@ def ngram_jaccard_join(docs: DataFrame, n: int = 5, num: int = 4, den: int = 5,
     parts = materialize(connected_components(links, "a", "b"), "parts")
     placed = shown.join(parts, F.col("key") == F.col("node"), "left").select(*_SPOT, "key", "far", F.coalesce("component", "key").alias("part"))
     mixed = placed.groupBy(*_SPOT).agg(F.min("part").alias("one"), F.max("part").alias("two"), F.max("far").alias("some")).where("one != two and some").select(*_SPOT)
-    left = materialize(placed.join(mixed, _SPOT), "mixed")
+    spots = F.collect_list("x").over(Window.partitionBy("pivot", "lo", "hi", "key")).alias("spots")
+    left = materialize(placed.join(mixed, _SPOT).select(*_SPOT, "key", "far", "part", spots), "mixed")
     right = left.select(*[F.col(c).alias(f"{c}2") for c in left.columns])
     same = (F.col("pivot") == F.col("pivot2")) & (F.col("lo") == F.col("lo2")) & (F.col("hi") == F.col("hi2")) & (F.col("x") == F.col("x2"))
-    pairs = left.join(right, same & (F.col("part") < F.col("part2")) & (F.col("far") | F.col("far2"))).select("pivot", F.col("key").alias("a"), F.col("key2").alias("b")).distinct()
+    once = F.array_min(F.array_intersect("spots", "spots2")) == F.col("x")  # at one of the spots where they meet
+    pairs = left.join(right, same & (F.col("part") < F.col("part2")) & (F.col("far") | F.col("far2")) & once).select("pivot", F.col("key").alias("a"), F.col("key2").alias("b")).distinct()
     links = materialize(links.union(_verify_differences(pairs, diffs, num, den)), "links")
     thin = _thin_pairs(docs, sets, n, num, den, id_col, text_col)
     if thin is not None:
