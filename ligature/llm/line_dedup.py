@@ -11,7 +11,8 @@ there cover all of it, so a match is extended both ways as far as it goes.
 
 A line goes if and only if it lies in a run of lines of ``min_words`` words or more that occurs,
 line for line, at an earlier place (smaller document id, or above in the document). The first
-occurrence of every line therefore stays.
+occurrence of every line therefore stays. Lines without a word are passed over when runs are
+compared; those inside a deleted run go with it.
 
 DataFrame functions only. Windows are found per document with range frames over word counts; the
 first place of each is a partial aggregation, so a passage in a third of all documents reaches

@@ -239,8 +239,9 @@ def test_plan_is_best_fit_decreasing():
         lengths = rng.integers(1, capacity + 1, int(rng.integers(0, 300))).tolist()
         counts = {n: lengths.count(n) for n in set(lengths)}
         runs = plan(counts, capacity)
-        top = max((int(r[2] + -(-counts[n] // r[1]) - 1) for n, rs in runs.items() for r in rs[-1:]), default=-1)
-        assert top + 1 <= brute_best_fit(lengths, capacity)
+        ends = {n: [*rs[1:, 0].tolist(), counts[n]] for n, rs in runs.items()}
+        top = max((int(r[2] + -(-(end - r[0]) // r[1]) - 1) for n, rs in runs.items() for r, end in zip(rs, ends[n], strict=True)), default=-1)
+        assert top + 1 == brute_best_fit(lengths, capacity)
 
 
 # ---- op7 -------------------------------------------------------------------------------------
@@ -313,10 +314,10 @@ def brute_lines(texts, min_words):
                 if sum(x[2] for x in run) >= min_words:
                     first = _first(lines, tuple(x[1] for x in run))
                     if first < (d, a):
-                        gone |= {x[0] for x in run}
+                        gone |= set(range(run[0][0], run[-1][0] + 1))  # with empty lines between
         text = docs[d][1]
         left = None if text is None else "\n".join(x for p, x in enumerate(text.split("\n")) if p not in gone)
-        out.append((docs[d][0], len(own), len(gone), left))
+        out.append((docs[d][0], len(own), len(gone & {x[0] for x in own}), left))
     return sorted(out, key=str)
 
 
