@@ -490,7 +490,7 @@ def test_language_id(spark, docs, none, sf_dir, duck):
 def test_queries_leave_rows_whole(spark, sf_dir, duck):
     from ligature.llm.registry import queries
 
-    count = duck.sql("select count(*) from documents").fetchone()[0]
+    count = duck.sql("select count(*) from documents").fetchall()[0][0]
     for name, query in queries().items():
         if name not in ("op1_secret_scan", "op6_best_fit_packing"):
             assert query(spark, sf_dir).count() == count, name
