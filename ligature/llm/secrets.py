@@ -33,9 +33,12 @@ FORMATS = {
     "stripe_key": r"\b[sr]k_live_[0-9A-Za-z]{16,64}\b",
     "web_token": r"\beyJ[0-9A-Za-z_-]{10,}\.[0-9A-Za-z_-]{10,}\.[0-9A-Za-z_-]{10,}",
     "private_key": r"-----BEGIN (?:RSA |EC |OPENSSH )?PRIVATE KEY-----",
-    "assigned": r"""\b(?:api_?key|access_?key|auth|credential|passwd|password|pwd|secret|token)\w*["']?\s*(?::=|=>|[:=])\s*["']?(?P<value>[^\s"'<>{}()]{8,200})""",
+    # The name may stand anywhere in a longer one; without a value the word is passed over at once, so that long words stay linear.
+    "assigned": r"""(?:api[_-]?key|access[_-]?key|auth|credential|passwd|password|pwd|secret|token)\w*+(?:(?:-key\w*+)?["']?\s*(?::=|=>|[:=])\s*["']?(?P<value>[^\s"'<>{}()]{8,200}))?""",
 }
 KEY_NAMES = ["api", "key", "auth", "credential", "passwd", "password", "pwd", "secret", "token"]
+#: Names of keys as they stand in configurations, for the labelled findings.
+LONG_NAMES = ["DB_PASSWORD", "aws_secret_access_key", "GITHUB_TOKEN", "client_secret", "API-KEY", "x-api-key", "spring.datasource.password", "app.secret-key", "authToken"]
 DOUBT_WORDS = ["example", "sample", "test", "dummy", "placeholder", "changeme", "your", "todo", "checksum", "sha", "md5", "commit", "hash", "uuid", "xxx"]
 COMMON_WORDS = ["the", "and", "for", "that", "with", "this", "from", "have", "name", "value", "user", "data", "file", "path", "config", "default", "enabled", "disabled", "true", "false", "none", "null", "string", "number", "server", "client", "service", "version", "index", "table", "account", "address", "public", "private", "required", "optional", "password", "secret", "token", "example", "sample", "test", "dummy", "placeholder", "change", "your", "here", "insert"]
 
@@ -78,6 +81,8 @@ def candidates(text: str) -> Iterator[tuple[str, int, int]]:
         return
     for m in _ANY.finditer(text):
         kind = m.lastgroup if m.lastgroup != "value" else "assigned"
+        if kind == "assigned" and m["value"] is None:
+            continue
         if kind in _CASED and not _CASED[kind].fullmatch(m[0]):
             continue
         yield (kind, *(m.span("value") if kind == "assigned" else m.span()))
@@ -161,7 +166,8 @@ def sample_findings(n: int = 2000, seed: int = 5) -> list[tuple[str, str, int]]:
 
     out = []
     for _ in range(n):
-        key, around = KEY_NAMES[int(rng.integers(0, len(KEY_NAMES)))], " ".join((words, prose, prose)[int(rng.integers(0, 3))](int(rng.integers(0, 8))))
+        names = (KEY_NAMES, LONG_NAMES)[int(rng.integers(0, 2))]
+        key, around = names[int(rng.integers(0, len(names)))], " ".join((words, prose, prose)[int(rng.integers(0, 3))](int(rng.integers(0, 8))))
         sign, quote = (" = ", ": ", "=")[int(rng.integers(0, 3))], ('"', "'", "")[int(rng.integers(0, 3))]
         real = [
             lambda: (f"{around} {key}{sign}{quote}", draw("0123456789abcdef", int(rng.choice([32, 40, 48, 64])))),

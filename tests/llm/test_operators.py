@@ -399,6 +399,18 @@ def test_secret_scan(spark, docs, none, sf_dir, duck):
     assert {r.doc_id for r in queries()["op1_secret_scan"](spark, sf_dir).collect()} <= {r[0] for r in duck.sql("select doc_id from documents").fetchall()}
 
 
+def test_secrets_under_longer_names(spark):
+    from ligature.llm.secrets import candidates, sample_findings, scan, train
+
+    value, names = "q7Zr1Lk9Xw3Tn5Vb8Yd2", ["DB_PASSWORD", "aws_secret_access_key", "GITHUB_TOKEN", "client_secret", "API-KEY", "x-api-key", "a.b.secret-key", "mySecretKey", "password"]
+    texts = [f"{name}{sign}{value}" for name in names for sign in ("=", " = ", ": ", '="', '": "')]
+    assert [[t[a:b] for _, a, b in candidates(t)] for t in texts] == [[value]] * len(texts)
+    assert list(candidates("the tokens and secret-santa, my_password only " + "token" * 50_000)) == []
+    found = scan(spark.createDataFrame([(k, "set it up " + t) for k, t in enumerate(texts)], "doc_id long, text string"), train(sample_findings())).where("is_secret").collect()
+    assert {r.doc_id for r in found} == set(range(len(texts)))
+    assert any(f[0].count("DB_PASSWORD") for f in sample_findings(500))
+
+
 def test_quality_classifier(spark, docs, none, sf_dir, duck):
     from ligature.llm.quality_model import classify
     from ligature.llm.registry import queries
