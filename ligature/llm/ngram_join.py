@@ -188,10 +188,22 @@ def _sets(docs: DataFrame, n: int, levels: Levels, id_col: str, text_col: str) -
     return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(run, _SETS)
 
 
+def _wanted(sets: DataFrame) -> DataFrame:
+    """Where the text of each key is read: key, its smallest doc_id, and whether that id has the
+    key in several rows. The id is null if all rows of a key have none."""
+    rows = sets.groupBy("key", "doc_id").agg(F.count("*").alias("c"))
+    least = rows.groupBy("key").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "c")).alias("at"))
+    return least.select("key", "at.doc_id", (F.col("at.c") > 1).alias("repeated"))
+
+
 def _segments(docs: DataFrame, wanted: DataFrame, n: int, id_col: str, text_col: str) -> DataFrame:
-    """Sets of the wanted keys, a row per fragment of the order. ``wanted``: doc_id, key."""
+    """Sets of the wanted keys, one row per key and fragment of the order. ``wanted``: see ``_wanted``.
+
+    Rows that repeat an id and its key each come out of the join; only they are shuffled, to keep
+    one of each.
+    """
     texts = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
-    rows = texts.join(small_side(materialize(wanted, "wanted")), F.col("id").eqNullSafe(F.col("doc_id"))).select("key", "text")
+    wanted = materialize(wanted, "wanted")
     borders = np.array([(i << 64) // FRAGMENTS for i in range(1, FRAGMENTS)], np.uint64)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -213,7 +225,13 @@ def _segments(docs: DataFrame, wanted: DataFrame, n: int, id_col: str, text_col:
                 flat = W.signed(np.concatenate([np.zeros(0, np.uint64), *grams]))
                 yield pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), pa.array(sizes, pa.int64()), pa.array(fragment, pa.int32()), W.ragged(flat, np.array(lengths, np.int64))], ["key", "n", "fragment", "grams"])
 
-    return rows.mapInArrow(run, _SEGMENTS)
+    def cut_up(some: DataFrame) -> DataFrame:
+        return texts.join(small_side(some), F.col("id").eqNullSafe(F.col("doc_id"))).select("key", "text").mapInArrow(run, _SEGMENTS)
+
+    repeated = wanted.where("repeated")
+    if repeated.isEmpty():
+        return cut_up(wanted)
+    return cut_up(wanted.where("not repeated")).unionByName(cut_up(repeated).dropDuplicates(["key", "fragment"]))
 
 
 def _verify(pairs: DataFrame, segments: DataFrame, num: int, den: int) -> DataFrame:
@@ -303,7 +321,7 @@ def _thin_pairs(docs: DataFrame, sets: DataFrame, n: int, num: int, den: int, id
     if span.lo is None:
         return None
     close = sets.where(f"key is not null and n * {den} >= {span.lo} * {num} and n * {num} <= {span.hi} * {den}")
-    found = materialize(_segments(docs, close.groupBy("key").agg(F.min("doc_id").alias("doc_id")).select("doc_id", "key"), n, id_col, text_col), "thin-segments")
+    found = materialize(_segments(docs, _wanted(close), n, id_col, text_col), "thin-segments")
     single = found.select("key", F.explode("grams").alias("gram"))
     one = single.join(thin.select("key"), "key", "left_semi").select(F.col("key").alias("b"), "gram")
     return one.join(single.withColumnRenamed("key", "a"), "gram").where("a != b").select("a", "b").distinct()
@@ -329,7 +347,7 @@ def ngram_jaccard_join(docs: DataFrame, n: int = 5, num: int = 4, den: int = 5,
     members = materialize(across.union(within).distinct(), "buckets")
     wide, sets = sets, materialize(sets.select("doc_id", "key", "n", "thin"), "gram-keys")
     release(wide)
-    wanted = sets.join(members.select("key").distinct(), "key", "left_semi").groupBy("key").agg(F.min("doc_id").alias("doc_id")).select("doc_id", "key")
+    wanted = _wanted(sets.join(members.select("key").distinct(), "key", "left_semi"))
     segments = materialize(_segments(docs, wanted, n, id_col, text_col), "segments")
 
     of_family = connected_components(members, "key", "leader").select(F.col("component").alias("pivot"), F.col("node").alias("key"))
@@ -351,7 +369,7 @@ def ngram_jaccard_join(docs: DataFrame, n: int = 5, num: int = 4, den: int = 5,
     thin = _thin_pairs(docs, sets, n, num, den, id_col, text_col)
     if thin is not None:
         close = thin.select("a").union(thin.select("b")).distinct().withColumnRenamed("a", "key")
-        wanted = sets.join(close, "key", "left_semi").groupBy("key").agg(F.min("doc_id").alias("doc_id")).select("doc_id", "key")
+        wanted = _wanted(sets.join(close, "key", "left_semi"))
         own = materialize(_segments(docs, wanted, n, id_col, text_col), "segments")
         links = materialize(links.union(_verify(materialize(thin, "pairs"), own, num, den)), "links")
     parts = materialize(connected_components(links, "a", "b"), "parts")

@@ -95,6 +95,36 @@ def test_ngram_join(spark, docs, none, n, num, den):
     assert rows(ngram_jaccard_join(none, n, num, den)) == []
 
 
+def repeated_rows():
+    """Families whose smallest id, or all of whose ids being null, is a repeated row."""
+    out = []
+    for k, (first, second) in enumerate([(10, 11), (None, None), (20, None), (None, 30)]):
+        base = [f"r{k}x{j}" for j in range(100)]
+        ids = [first, first, second, second, second]
+        for e, i in enumerate(ids):
+            own = list(base)
+            for at in ((), (), (50,), (20,), (20, 70))[e]:
+                own[at] = f"e{k}y{e}y{at}"
+            out.append((i, " ".join(own)))
+        out.append((None if first is None else first + 5, " ".join(base[:55] + [f"h{k}y{j}" for j in range(45)])))  # about half is the same
+    return out
+
+
+@pytest.mark.parametrize(("n", "num", "den"), [(3, 90, 100), (5, 4, 5)])
+@pytest.mark.parametrize("thin", [False, True])
+def test_ngram_join_of_repeated_rows(spark, monkeypatch, n, num, den, thin):
+    from ligature.llm import ngram_join as J
+
+    def all_thin(self, grams, g, cut=J.Levels.segments):
+        return cut(self, grams, g)[0][:0], self.apart(g) > 0
+
+    if thin:
+        monkeypatch.setattr(J.Levels, "segments", all_thin)
+    texts = repeated_rows()
+    got = rows(J.ngram_jaccard_join(spark.createDataFrame(texts, "doc_id long, text string").repartition(3), n, num, den))
+    assert got == brute_components(texts, n, num, den)
+
+
 def test_ngram_join_of_thin_sets(spark, monkeypatch):
     """The exact way for sets with too many empty fragments."""
     from ligature.llm import ngram_join as J
