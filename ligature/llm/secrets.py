@@ -11,6 +11,7 @@ from __future__ import annotations
 import hashlib
 import math
 import re
+from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -32,9 +33,10 @@ FORMATS = {
     "google_key": r"\bAIza[0-9A-Za-z_-]{35}\b",
     "stripe_key": r"\b[sr]k_live_[0-9A-Za-z]{16,64}\b",
     "web_token": r"\beyJ[0-9A-Za-z_-]{10,}\.[0-9A-Za-z_-]{10,}\.[0-9A-Za-z_-]{10,}",
-    "private_key": r"-----BEGIN (?:RSA |EC |OPENSSH )?PRIVATE KEY-----",
+    # Through the END line; where there is none, as far as its lines go.
+    "private_key": r"-----BEGIN (?:RSA |EC |OPENSSH )?PRIVATE KEY-----(?:(?:[^-]|-(?!----))*+-----END (?:RSA |EC |OPENSSH )?PRIVATE KEY-----|(?:(?:\s|\\[nr])*+[0-9A-Za-z+/=]{32,}+)*+)",
     # The name may stand anywhere in a longer one; without a value the word is passed over at once, so that long words stay linear.
-    "assigned": r"""(?:api[_-]?key|access[_-]?key|auth|credential|passwd|password|pwd|secret|token)\w*+(?:(?:-key\w*+)?["']?\s*(?::=|=>|[:=])\s*["']?(?P<value>[^\s"'<>{}()]{8,200}))?""",
+    "assigned": r"""(?:api[_-]?key|access[_-]?key|auth|credential|passwd|password|pwd|secret|token)\w*+(?:(?:-key\w*+)?["']?\s*(?::=|=>|[:=])\s*["']?(?P<value>(?!-----BEGIN )[^\s"'<>{}()]{8,}))?""",
 }
 KEY_NAMES = ["api", "key", "auth", "credential", "passwd", "password", "pwd", "secret", "token"]
 #: Names of keys as they stand in configurations, for the labelled findings.
@@ -60,7 +62,7 @@ def describe(kind: str, value: str, before: str, after: str) -> list[float]:
     """The features of a candidate between the texts around it."""
     n, kinds = len(value), _kinds(value)
     counts = [kinds.count(k) / n for k in range(4)]
-    chars = [value.count(c) / n for c in set(value)]
+    chars = [c / n for c in Counter(value).values()]
     covered = sum(len(w) for w in _WORD.findall(value) if w.lower() in _COMMON)
     low, near = value.lower(), (before[-60:] + " " + after[:60]).lower()
     run = longest = 1
@@ -164,6 +166,11 @@ def sample_findings(n: int = 2000, seed: int = 5) -> list[tuple[str, str, int]]:
         """Words of any language, and marks."""
         return [draw("abcdefghijklmnopqrstuvwxyz", int(rng.integers(1, 11))) + ("", "", "", ",", ".", "###", "!!", " |")[int(rng.integers(0, 8))] for _ in range(k)]
 
+    def pem(line) -> str:
+        """A private key of such lines."""
+        kind = ("", "RSA ", "EC ", "OPENSSH ")[int(rng.integers(0, 4))]
+        return "\n".join([f"-----BEGIN {kind}PRIVATE KEY-----", *(line() for _ in range(int(rng.integers(1, 26)))), f"-----END {kind}PRIVATE KEY-----"])
+
     out = []
     for _ in range(n):
         names = (KEY_NAMES, LONG_NAMES)[int(rng.integers(0, 2))]
@@ -177,6 +184,10 @@ def sample_findings(n: int = 2000, seed: int = 5) -> list[tuple[str, str, int]]:
             lambda: (f"{around} ", "ghp_" + draw(alnum, 36)),
             lambda: (f"{around} ", "AIza" + draw(alnum + "_-", 35)),
             lambda: (f"{around} ", "sk_live_" + draw(alnum, 24)),
+            lambda: (f"{around} {key}{sign}{quote}", draw(alnum + "_-+/", int(rng.integers(201, 1200)))),
+            lambda: (f"{around} ", pem(lambda: draw(alnum + "+/", 64))),
+            lambda: (f"{around} ", ".".join(("eyJ" + draw(alnum, int(rng.integers(15, 40))), "eyJ" + draw(alnum, int(rng.integers(20, 200))), draw(alnum + "_-", 43)))),
+            lambda: (f"{around} ", f"xox{draw('abpr', 1)}-{draw('0123456789', 11)}-{draw('0123456789', 12)}-{draw(alnum, 24)}"),
         ]
         fake = [
             lambda: (f"{around} {key}{sign}{quote}", "_".join(words(2)) or "some_value"),
@@ -187,6 +198,9 @@ def sample_findings(n: int = 2000, seed: int = 5) -> list[tuple[str, str, int]]:
             lambda: (f"{around} commit sha token{sign}{quote}", draw("0123456789abcdef", 40)),
             lambda: (f"{around} example ", "AKIA" + "EXAMPLE" + draw("ABCDEFGHI", 9)),
             lambda: (f"{around} {key}{sign}{quote}", "".join(words(2)) + ","),
+            lambda: (f"{around} ", pem(lambda: ("...", "x" * 64, "your key here")[int(rng.integers(0, 3))])),
+            lambda: (f"{around} example ", "eyJ" + ".".join("x" * int(rng.integers(12, 40)) for _ in range(3))),
+            lambda: (f"{around} ", f"xox{draw('abpr', 1)}-your-" + "-".join(words(2)) + "-here"),
         ]
         for label, makers in ((1, real), (0, fake)):
             before, value = makers[int(rng.integers(0, len(makers)))]()

@@ -441,6 +441,24 @@ def test_secrets_under_longer_names(spark):
     assert any(f[0].count("DB_PASSWORD") for f in sample_findings(500))
 
 
+def test_secrets_are_whole():
+    from ligature.llm.secrets import candidates, sample_findings
+
+    def found(text):
+        return [(kind, text[a:b]) for kind, a, b in candidates(text)]
+
+    long = "q7Zr1Lk9Xw3Tn5Vb8Yd2" * 50
+    lines = "\n".join(long[k : k + 64] for k in range(0, 960, 64))
+    pem = f"-----BEGIN RSA PRIVATE KEY-----\nProc-Type: 4,ENCRYPTED\n\n{lines}\n-----END RSA PRIVATE KEY-----"
+    assert found(f"password = {long} end") == [("assigned", long)]
+    assert found(f"a {pem} b {pem}\n") == [("private_key", pem)] * 2
+    assert found(f'secret = "{pem}"') == [("private_key", pem)]
+    cut = f"-----BEGIN PRIVATE KEY-----\n{lines}"
+    assert found(cut + "\n and more") == [("private_key", cut)]
+    kinds = {(kind, label) for line, value, label in sample_findings(1000) for kind, a, b in candidates(line) if line[a:b] == value}
+    assert kinds >= {(kind, label) for kind in ("private_key", "web_token", "slack_token") for label in (0, 1)}
+
+
 def test_quality_classifier(spark, docs, none, sf_dir, duck):
     from ligature.llm.quality_model import classify
     from ligature.llm.registry import queries
