@@ -1,13 +1,11 @@
-"""Deletion of passages that repeat earlier ones, by winnowing over line hashes.
+"""Deletion of passages that repeat earlier ones, by exact windows over line hashes.
 
 The lines of a document that hold a word form a sequence of hashes. Windows over it hold
 ``min_words`` words at least and no line more than they need: one begins at every line and grows
-to the right, one ends at every line and grows to the left. Each window selects the minimum of
-its line hashes as its fingerprint. A run of lines with ``min_words`` words contains whole
-windows, and what they select depends on the run alone, so two places that share a run share its
-fingerprints: that is winnowing's guarantee. Positions join on the fingerprint and on what the
-window holds to both sides of it. The windows that begin at a run's lines and those that end
-there cover all of it, so a match is extended both ways as far as it goes.
+to the right, one ends at every line and grows to the left. Every window is kept and positions
+join on the hash of all its lines. This replaces winnowing's selection by minima: the minimum is
+part of what is hashed but selects nothing. Nor are matches extended: the windows that begin at a
+run's lines and those that end there cover all of it, so their union is the whole match.
 
 A line goes if and only if it lies in a run of lines of ``min_words`` words or more that occurs,
 line for line, at an earlier place (smaller document id, or above in the document). The first
