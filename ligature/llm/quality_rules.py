@@ -41,13 +41,13 @@ def mask(rules: list[str]) -> int:
 def _measure(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """doc_id and the measurements.
 
-    Repeated windows of three words are found by sorting 64-bit keys: the window's hash above,
-    its position below. Positions of equal neighbours are those of repeated windows; the words
+    Repeated windows of three words are found by sorting pairs of the window's 64-bit hash and
+    its position. Positions of equal neighbours are those of repeated windows; the words
     that they cover are summed over their sorted gaps. Every column below is used more than once
     by the next projection, so none is worked out again for each element.
     """
     text = F.coalesce(F.col(text_col), F.lit(""))
-    none = F.array().cast("array<bigint>")
+    none, no_keys = F.array().cast("array<bigint>"), F.array().cast("array<struct<h:bigint,at:bigint>>")
     t = docs.select(F.col(id_col).cast("long").alias("doc_id"), text.alias("text"), F.btrim(text, F.lit(_SPACE)).alias("body"))
     lines = F.filter(F.split("text", "\n"), lambda x: F.btrim(x, F.lit(_SPACE)) != "")
     split = t.select(
@@ -61,18 +61,17 @@ def _measure(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     counted = split.select(
         "doc_id", "words", "n_symbols", "n_capitals", n.cast("long").alias("n_words"), F.char_length(F.array_join("words", "")).cast("long").alias("word_chars"),
         F.size("lines").cast("long").alias("n_lines"), (F.size("lines") - F.size(F.array_distinct("lines"))).cast("long").alias("n_dup_lines"),
-        F.length(F.bin(n.cast("long"))).alias("bits"),
     )
-    words, bits = F.col("words"), F.col("bits")
-    key = F.transform(F.sequence(F.lit(0), n - 3), lambda i: _shift(F.xxhash64(words[i], words[i + 1], words[i + 2]), bits).bitwiseOR(i.cast("long")))
-    keyed = counted.withColumn("keys", F.sort_array(F.when(n >= 3, key).otherwise(none)))
+    words = F.col("words")
+    key = F.transform(F.sequence(F.lit(0), n - 3), lambda i: F.struct(F.xxhash64(words[i], words[i + 1], words[i + 2]).alias("h"), i.cast("long").alias("at")))
+    keyed = counted.withColumn("keys", F.sort_array(F.when(n >= 3, key).otherwise(no_keys)))
     keys, m = F.col("keys"), F.size("keys")
 
     def same(a: Column, b: Column) -> Column:
-        return _unshift(keys[a], bits) == _unshift(keys[b], bits)
+        return keys[a]["h"] == keys[b]["h"]
 
     again = F.filter(F.sequence(F.lit(0), m - 1), lambda k: ((k > 0) & same(k, F.greatest(k - 1, F.lit(0)))) | ((k < m - 1) & same(k, F.least(k + 1, m - 1))))
-    places = F.transform(again, lambda k: keys[k] - _shift(_unshift(keys[k], bits), bits))
+    places = F.transform(again, lambda k: keys[k]["at"])
     found = keyed.withColumn("at", F.sort_array(F.when(m >= 2, places).otherwise(none)))
     at = F.col("at")
     gaps = F.aggregate(F.sequence(F.lit(1), F.size("at") - 1), F.lit(3).cast("long"), lambda s, k: s + F.least(F.lit(3).cast("long"), at[k] - at[k - 1]))
@@ -80,14 +79,6 @@ def _measure(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return found.select("doc_id", *[c for c in _MEASURES if c != "n_repeat_words"], repeats.alias("n_repeat_words"))
 
 
-def _shift(x: Column, bits: Column) -> Column:
-    return F.call_function("shiftleft", x, bits)
-
-
-def _unshift(x: Column, bits: Column) -> Column:
-    return F.call_function("shiftrightunsigned", x, bits)
-
-
 def ledger(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per document: doc_id, the measurements, and ``failed``, a bit for every rule.
 

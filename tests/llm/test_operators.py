@@ -406,6 +406,14 @@ def test_quality_rules(spark, docs, none):
         assert (r.fails, r.only) == (sum(k.failed & bit != 0 for k in kept), sum(k.failed == bit for k in kept))
 
 
+def test_repeated_windows_are_told_by_the_whole_hash(spark, monkeypatch):
+    from ligature.llm import quality_rules as Q
+
+    text = " ".join(chr(48 + k) for k in range(40))
+    monkeypatch.setattr(Q.F, "xxhash64", lambda *w: Q.F.shiftleft(Q.F.ascii(w[0]).cast("long"), 57))  # they differ in the upper bits alone
+    assert [r.n_repeat_words for r in Q.ledger(spark.createDataFrame([(1, text)], "doc_id long, text string")).collect()] == [0]
+
+
 # ---- op1, op2, op4, op10 ---------------------------------------------------------------------
 
 
