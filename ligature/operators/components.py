@@ -12,7 +12,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..storage import materialize
+from ..storage import materialize, release
 
 
 def _checksum(edges: DataFrame) -> tuple:
@@ -36,7 +36,8 @@ def connected_components(edges: DataFrame, src: str = "src", dst: str = "dst") -
         large = both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
         below = large.groupBy("u").agg(F.min("v").alias("m"))
         linked = large.join(below, "u").select(F.explode(F.array(F.struct("u", F.col("m").alias("v")), F.struct(F.col("v").alias("u"), F.col("m").alias("v")))).alias("e"))
-        now = materialize(linked.select("e.u", "e.v").where("u != v").distinct(), "stars")
+        last, now = now, materialize(linked.select("e.u", "e.v").where("u != v").distinct(), "stars")
+        release(last)
         before, mark = mark, _checksum(now)
         if before == mark:
             break

@@ -12,13 +12,17 @@ import os
 import tempfile
 import uuid
 import zipfile
+from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 from pathlib import Path
 
 from pyspark import SparkContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType
 
 _folders: dict[str, str] = {}
+_scopes: list[list[DataFrame]] = []
 _shipped: set[str] = set()
 
 
@@ -58,22 +62,53 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     df.write.parquet(path)
     made = spark.read.schema(df.schema).parquet(path)
     made._ligature_path = path
+    if _scopes:
+        _scopes[-1].append(made)
     return made
 
 
+@contextmanager
+def scratch() -> Iterator[Callable[[DataFrame], DataFrame]]:
+    """Deletes the tables that are materialised inside, at the end.
+
+    Gives a function ``keep``: a table that was passed to it outlives the scope. What is returned
+    from inside must be a kept table, as plans over deleted ones fail.
+    """
+    own: list[DataFrame] = []
+
+    def keep(table: DataFrame) -> DataFrame:
+        own[:] = [x for x in own if x is not table]
+        if len(_scopes) > 1:
+            _scopes[-2].append(table)
+        return table
+
+    _scopes.append(own)
+    try:
+        yield keep
+    finally:
+        _scopes.pop()
+        release(*own)
+
+
 def release(*tables: DataFrame) -> None:
     """Delete materialised tables that no plan will read any more."""
     for t in tables:
         _remove(t._ligature_path)
+        for scope in _scopes:
+            scope[:] = [x for x in scope if x is not t]
 
 
-def small_side(df: DataFrame, max_rows: int = 1_000_000) -> DataFrame:
+def small_side(df: DataFrame, max_rows: int = 1_000_000, max_elements: int = 4_000_000) -> DataFrame:
     """Hint a broadcast only when a count proves that the side is small; else Spark shuffles it.
 
-    ``df`` should be cheap to count (a materialised table). Rows are expected to be narrow, so
-    the bound of one million keeps the broadcast in the tens of megabytes.
+    ``df`` should be cheap to count (a materialised table). Rows are counted, and where columns
+    are arrays their elements as well, so the bounds keep the broadcast in the tens of megabytes.
     """
-    return F.broadcast(df) if df.limit(max_rows + 1).count() <= max_rows else df
+    arrays = [f.name for f in df.schema if isinstance(f.dataType, ArrayType)]
+    if not arrays:
+        return F.broadcast(df) if df.limit(max_rows + 1).count() <= max_rows else df
+    sized = df.limit(max_rows + 1).agg(F.count("*").alias("n"), *[F.coalesce(F.sum(F.greatest(F.size(c), F.lit(0))), F.lit(0)).alias(f"e{i}") for i, c in enumerate(arrays)]).first()
+    return F.broadcast(df) if sized.n <= max_rows and sum(sized[1:]) <= max_elements else df
 
 
 def ship(spark: SparkSession) -> None:
