@@ -1,29 +1,28 @@
 """Similarity join of documents' word n-gram sets under Jaccard, by vertical partitioning.
 
 The global order of n-grams is that of their 64-bit hashes. Cutting it into fragments cuts every
-document's sorted set into segments. Fragments serve twice.
+document's sorted set into segments, and whatever is counted is counted per fragment and summed.
+
+*Support.* The support of a set is how many of its n-grams some other set holds. A set of size n
+has a link only if its support reaches the threshold's share of n, and two sets link only if the
+smaller of their supports allows it. Every fragment holds all occurrences of its n-grams, so
+supports are counted there, fragment by fragment, and summed per set. Most sets end here.
 
 *Candidates.* Two sets that reach the threshold differ in at most D n-grams, where D follows from
 their sizes. Among more than D fragments at least one is then untouched: the two documents have
 the same segment there. So documents meet on (level of size, fragment, hash of the segment). The
 levels grow by a factor and a document near a border meets the level below too, hence no pair is
 missed. Small sets meet on segments of several independent cuts together, which are more telling.
-A set that leaves too many fragments empty for the argument is listed as thin and is joined with
-all sets of matching size on its single n-grams instead.
-
-*Verification.* The overlap of a candidate pair is counted per fragment of the global order,
-where only two segments meet, and the partial counts are summed per pair.
-
-Copies and hot groups: equal sets are one vertex. Within a batch, members of the same bucket keep
-one leader that alone goes to the shuffle, so a bucket with a third of all rows sends a row per
-batch. Sets that buckets connect, each with its leader, are a family, and each is written as its
-difference to one set of the family, the pivot. Two sets differ by the symmetric difference of
-their differences, so a pair that links must share most of them, and a prefix filter on the
-rarest differences finds it. What the family has in common drops out, and pairs that differ too
-much do not meet. Of those that meet, all are first verified against one (a star, not all pairs);
-components of the verified links then tell where several components still meet, and only there
-the pairs across components are verified. So all links between different components are found,
-and the components are exact.
+A set that leaves too many fragments empty for the argument is listed as thin; it meets others on
+its rarest n-grams, so many that a set which shares none of them cannot link with it.
+
+*Overlaps.* The overlap of a candidate pair is counted per fragment, where only two segments
+meet, and the partial counts are summed per pair.
+
+Copies and hot groups: equal sets are one vertex. Where many sets meet, all are compared with one
+of them, the best supported; the pairs of others are compared only if their sets are still in
+different components and their sizes and supports allow a link. So no group is expanded into all
+its pairs, while every link between components is found and the components are exact.
 """
 
 from __future__ import annotations
@@ -35,23 +34,23 @@ from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+import pyarrow.compute as pc
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..operators.components import connected_components
-from ..storage import materialize, release, ship, small_side
+from ..storage import materialize, release, scratch, ship, small_side
 from . import words as W
 
 _U = np.uint64
 #: Fragments in which overlaps are counted.
 FRAGMENTS = 8
-#: Classes of the sizes of differences: so many for the D of a pivot, all of one width up to a
-#: number of them, and growing from there.
-CLASSES, CLASS_EVEN, CLASS_STEP = 8, 32, 1.05
-#: Where sets meet: their pivot, the classes of both sizes, and a difference to the pivot.
-_SPOT = ["pivot", "lo", "hi", "x"]
-_SETS = "doc_id long, key long, n long, thin boolean, sigs array<long>, near array<long>, leaders array<long>"
-_SEGMENTS = "key long, n long, fragment int, grams array<long>"
+#: n-grams in a fragment in which supports are counted, and in a batch of documents there; both
+#: bound the memory of a task.
+FRAGMENT_GRAMS, BATCH_GRAMS = 1 << 21, 1 << 18
+_SETS = "doc_id long, key long, n long"
+_CUTS = "fragment int, keys binary, sizes binary, base binary, grams binary, common binary"
+_SEGMENTS = "key long, n long, fragment int, grams array<long>, sigs array<long>, thin boolean"
 
 
 @dataclass
@@ -144,50 +143,143 @@ def _key(grams: np.ndarray) -> int:
         return int(W.mix(np.array([total + _U(len(grams))], np.uint64)).view(np.int64)[0])
 
 
-def _sets(docs: DataFrame, n: int, levels: Levels, id_col: str, text_col: str) -> DataFrame:
-    """Per document the key and size of its set, and where it meets others.
+def _need(n, num: int, den: int):
+    """The least support of a set of size n that has a link."""
+    return (n * num + den - 1) // den
 
-    Within a batch, equal sets meet once; ``near`` are buckets with several sets of the batch,
-    with ``leaders`` beside them, and ``sigs`` the buckets that the set stands for outside.
-    """
+
+def _sets(docs: DataFrame, n: int, id_col: str, text_col: str) -> DataFrame:
+    """Per document the key and size of its set; no key without words."""
     ship(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            count = batch.num_rows
-            keys, sizes, thin = np.zeros(count, np.int64), np.zeros(count, np.int64), np.zeros(count, bool)
-            seen: set[int] = set()
-            sigs: list[np.ndarray] = [np.zeros(0, np.uint64)] * count
+            keys, sizes = np.zeros(batch.num_rows, np.int64), np.zeros(batch.num_rows, np.int64)
             for i, grams in _gram_sets(batch.column(1), n):
                 sizes[i] = len(grams)
-                keys[i] = key = _key(grams)
-                if len(grams) and key not in seen:
-                    seen.add(key)
-                    made = [levels.segments(grams, g) for g in levels.of(len(grams))]
-                    sigs[i] = np.concatenate([m[0] for m in made])
-                    thin[i] = any(m[1] for m in made)
-            flat, row = np.concatenate(sigs), np.repeat(np.arange(count), [len(s) for s in sigs])
-            order = np.argsort(flat, kind="stable")
-            flat, row = flat[order], row[order]
-            first = np.ones(len(flat), bool)
-            first[1:] = flat[1:] != flat[:-1]
-            group = np.cumsum(first) - 1
-            several = np.bincount(group, minlength=1)[group] > 1 if len(flat) else first
-            leader = keys[row[np.flatnonzero(first)[group]]] if len(flat) else keys[:0]
-
-            def column(pick: np.ndarray, values: np.ndarray) -> pa.Array:
-                by_row = np.argsort(row[pick], kind="stable")
-                return W.ragged(values[pick][by_row], np.bincount(row[pick], minlength=count))
-
-            arrays = [
-                batch.column(0).cast(pa.int64()), pa.array(keys, mask=sizes == 0), pa.array(sizes), pa.array(thin),
-                column(first, W.signed(flat)), column(several, W.signed(flat)), column(several, leader),
-            ]
-            yield pa.RecordBatch.from_arrays(arrays, ["doc_id", "key", "n", "thin", "sigs", "near", "leaders"])
+                keys[i] = _key(grams)
+            yield pa.RecordBatch.from_arrays([batch.column(0).cast(pa.int64()), pa.array(keys, mask=sizes == 0), pa.array(sizes)], ["doc_id", "key", "n"])
 
     return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(run, _SETS)
 
 
+def _packed(values: np.ndarray, lengths: np.ndarray) -> pa.Array:
+    """A binary column of a number of values of one width for each row."""
+    ends = np.zeros(len(lengths) + 1, np.int32)
+    np.cumsum(lengths * values.itemsize, out=ends[1:])
+    return pa.Array.from_buffers(pa.binary(), len(lengths), [None, pa.py_buffer(ends), pa.py_buffer(np.ascontiguousarray(values))])
+
+
+def _unpacked(column: pa.ChunkedArray, kind: type) -> np.ndarray:
+    """All values of such a column, row after row."""
+    parts = [np.zeros(0, kind)]
+    for chunk in column.chunks:
+        if len(chunk):
+            ends = np.frombuffer(chunk.buffers()[1], np.int32, len(chunk) + 1, 4 * chunk.offset)
+            parts.append(np.frombuffer(chunk.buffers()[2] or b"", np.uint8)[ends[0] : ends[-1]].view(kind))
+    return np.concatenate(parts)
+
+
+def _cut_batch(sets: list[tuple[int, np.ndarray]], fragments: int, home: int, num: int, den: int) -> pa.RecordBatch:
+    """The n-grams of different sets (key, n-grams) by fragment, as rows of ``_CUTS``.
+
+    ``keys`` and ``sizes`` say whose ``grams`` follow; these are the last 32 bits, which tell
+    n-grams of one fragment apart well enough (what they confuse only adds to a support).
+    ``common`` are n-grams of several of the sets, sent once and counted here. One more row, for
+    the fragment ``home``, has ``base`` in place of sizes: that count less what each set needs.
+    """
+    keys = np.array([k for k, _ in sets], np.int64)
+    lengths = np.array([len(g) for _, g in sets], np.int64)
+    flat, own = np.concatenate([g for _, g in sets]), np.repeat(np.arange(len(sets)), lengths)
+    order = np.argsort(flat)
+    flat, own = flat[order], own[order]
+    first = np.ones(len(flat), bool)
+    first[1:] = flat[1:] != flat[:-1]
+    several = ~first
+    several[:-1] |= ~first[1:]
+    base = (np.bincount(own[several], minlength=len(sets)) - _need(lengths, num, den)).astype(np.int32)
+
+    def fragment_of(grams: np.ndarray) -> np.ndarray:
+        return (((grams >> _U(32)) * _U(fragments)) >> _U(32)).astype(np.int64)
+
+    once, by, common = flat[~several], own[~several], flat[several & first]
+    f = fragment_of(once)
+    order = np.argsort(f * len(sets) + by, kind="stable")
+    once, by, f = once[order], by[order], f[order]
+    start = np.ones(len(f), bool)
+    start[1:] = (f[1:] != f[:-1]) | (by[1:] != by[:-1])
+    at = np.flatnonzero(start)
+    sizes, whose, where = np.diff(at, append=len(f)).astype(np.int32), by[at], f[at]
+    fc = fragment_of(common)
+    shown = np.unique(np.concatenate([f, fc]))
+
+    def rows(of: np.ndarray) -> np.ndarray:
+        """How many of the sorted values belong to each fragment, and to ``home`` at the end."""
+        return np.append(np.searchsorted(of, shown, "right") - np.searchsorted(of, shown), 0)
+
+    last, own_row = np.uint64(0xFFFFFFFF), np.zeros(len(shown) + 1, np.int64)
+    own_row[-1] = len(sets)
+    arrays = [
+        pa.array(np.append(shown, home).astype(np.int32)),
+        _packed(np.concatenate([keys[whose], keys]), rows(where) + own_row),
+        _packed(sizes, rows(where)),
+        _packed(base, own_row),
+        _packed((once & last).astype(np.uint32), rows(f)),
+        _packed((common & last).astype(np.uint32), rows(fc)),
+    ]
+    return pa.RecordBatch.from_arrays(arrays, ["fragment", "keys", "sizes", "base", "grams", "common"])
+
+
+def _count_fragment(cut: pa.Table) -> pa.Table:
+    """Per set with n-grams in a fragment, how many of these another set holds, plus its ``base``."""
+    home = pc.not_equal(pc.binary_length(cut["base"]), 0)
+    fixed, cut = cut.filter(home), cut.filter(pc.invert(home))
+    keys, sizes = _unpacked(cut["keys"], np.int64), _unpacked(cut["sizes"], np.int32)
+    grams, common = _unpacked(cut["grams"], np.uint32), _unpacked(cut["common"], np.uint32)
+    names, rank = np.unique(keys, return_inverse=True)
+    both = np.concatenate([grams, common]).astype(np.uint64)
+    both <<= _U(32)
+    both[: len(grams)] |= np.repeat(rank.astype(np.uint32), sizes)
+    both[len(grams) :] |= _U(len(names))  # common ones: as if of a set of no name
+    both.sort()
+    first = np.ones(len(both), bool)
+    first[1:] = (both[1:] ^ both[:-1]) > _U(0xFFFFFFFF)
+    own = both.astype(np.uint32)  # the lower half; sorted within a gram
+    del both
+    starts = np.flatnonzero(first)
+    ends = np.append(starts[1:], len(own)) if len(own) else starts
+    held = np.repeat(own[starts] != own[ends - 1], ends - starts)
+    sums = np.bincount(own[held], minlength=len(names) + 1)[: len(names)]
+    some = np.flatnonzero(sums)
+    return pa.table({"key": np.concatenate([names[some], _unpacked(fixed["keys"], np.int64)]), "c": np.concatenate([sums[some], _unpacked(fixed["base"], np.int32).astype(np.int64)])})
+
+
+def _supported(docs: DataFrame, n: int, num: int, den: int, fragments: int, text_col: str) -> DataFrame:
+    """The keys of sets whose support allows a link.
+
+    Each row of a set sends the n-grams and, once, what is missing to the need; so a set with
+    several rows has a multiple of its surplus, of the same sign.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: dict[int, np.ndarray] = {}
+        total = made = 0
+        for batch in batches:
+            for _, grams in _gram_sets(batch.column(0), n):
+                if len(grams) and (key := _key(grams)) not in held:
+                    held[key] = grams
+                    total += len(grams)
+                    if total >= BATCH_GRAMS:
+                        yield _cut_batch(list(held.items()), fragments, made % fragments, num, den)
+                        held, total, made = {}, 0, made + 1
+        if held:
+            yield _cut_batch(list(held.items()), fragments, made % fragments, num, den)
+
+    cut = docs.select(F.col(text_col).alias("text")).mapInArrow(run, _CUTS)
+    counted = cut.groupBy("fragment").applyInArrow(_count_fragment, "key long, c long")
+    return counted.groupBy("key").agg(F.sum("c").alias("surplus")).where("surplus >= 0").select("key")
+
+
 def _wanted(sets: DataFrame) -> DataFrame:
     """Where the text of each key is read: key, its smallest doc_id, and whether that id has the
     key in several rows. The id is null if all rows of a key have none."""
@@ -196,34 +288,40 @@ def _wanted(sets: DataFrame) -> DataFrame:
     return least.select("key", "at.doc_id", (F.col("at.c") > 1).alias("repeated"))
 
 
-def _segments(docs: DataFrame, wanted: DataFrame, n: int, id_col: str, text_col: str) -> DataFrame:
-    """Sets of the wanted keys, one row per key and fragment of the order. ``wanted``: see ``_wanted``.
+def _segments(docs: DataFrame, wanted: DataFrame, n: int, levels: Levels, id_col: str, text_col: str) -> DataFrame:
+    """Sets of the wanted keys (see ``_wanted``), one row per key and fragment of the order.
 
-    Rows that repeat an id and its key each come out of the join; only they are shuffled, to keep
-    one of each.
+    The row of fragment 0 has ``sigs``, where the set meets others, and whether it is thin. Rows
+    that repeat an id and its key each come out of the join; only they are shuffled, to keep one
+    of each.
     """
     texts = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
-    wanted = materialize(wanted, "wanted")
     borders = np.array([(i << 64) // FRAGMENTS for i in range(1, FRAGMENTS)], np.uint64)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for at in range(0, batch.num_rows, 512):
                 some = batch.slice(at, 512)
-                keys, sizes, fragment, grams, lengths = [], [], [], [], []
+                keys, sizes, grams, lengths, sigs, thin = [], [], [], [], [], []
                 want = some.column(0).to_pylist()
                 for i, g in _gram_sets(some.column(1), n):
                     if not len(g) or _key(g) != want[i]:  # another text under the same id
                         continue
-                    cut = np.concatenate([[0], np.searchsorted(g, borders), [len(g)]])
-                    for f in range(FRAGMENTS):
-                        keys.append(want[i])
-                        sizes.append(len(g))
-                        fragment.append(f)
-                        grams.append(g[cut[f] : cut[f + 1]])
-                        lengths.append(len(grams[-1]))
-                flat = W.signed(np.concatenate([np.zeros(0, np.uint64), *grams]))
-                yield pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), pa.array(sizes, pa.int64()), pa.array(fragment, pa.int32()), W.ragged(flat, np.array(lengths, np.int64))], ["key", "n", "fragment", "grams"])
+                    made = [levels.segments(g, level) for level in levels.of(len(g))]
+                    keys.append(want[i])
+                    sizes.append(len(g))
+                    grams.append(g)
+                    lengths.append(np.diff(np.concatenate([[0], np.searchsorted(g, borders), [len(g)]])))
+                    sigs.append(np.concatenate([m[0] for m in made]))
+                    thin.append(any(m[1] for m in made))
+                shown = np.zeros((len(keys), FRAGMENTS), np.int64)
+                shown[:, 0] = [len(s) for s in sigs]
+                arrays = [
+                    pa.array(np.repeat(np.array(keys, np.int64), FRAGMENTS)), pa.array(np.repeat(np.array(sizes, np.int64), FRAGMENTS)), pa.array(np.tile(np.arange(FRAGMENTS, dtype=np.int32), len(keys))),
+                    W.ragged(W.signed(np.concatenate([np.zeros(0, np.uint64), *grams])), np.concatenate([np.zeros(0, np.int64), *lengths])),
+                    W.ragged(W.signed(np.concatenate([np.zeros(0, np.uint64), *sigs])), shown.ravel()), pa.array(np.repeat(np.array(thin, bool), FRAGMENTS)),
+                ]
+                yield pa.RecordBatch.from_arrays(arrays, ["key", "n", "fragment", "grams", "sigs", "thin"])
 
     def cut_up(some: DataFrame) -> DataFrame:
         return texts.join(small_side(some), F.col("id").eqNullSafe(F.col("doc_id"))).select("key", "text").mapInArrow(run, _SEGMENTS)
@@ -237,94 +335,34 @@ def _segments(docs: DataFrame, wanted: DataFrame, n: int, id_col: str, text_col:
 def _verify(pairs: DataFrame, segments: DataFrame, num: int, den: int) -> DataFrame:
     """The pairs (a, b) that reach the threshold: partial overlaps per fragment, summed per pair."""
     left = segments.select(F.col("key").alias("a"), F.col("n").alias("na"), "fragment", F.col("grams").alias("ga"))
-    right = segments.select(F.col("key").alias("b"), F.col("n").alias("nb"), F.col("fragment").alias("fb"), F.col("grams").alias("gb"))
-    leaders = small_side(materialize(pairs.select("b").distinct(), "leaders"))
-    met = left.join(small_side(pairs), "a").join(right.join(leaders, "b", "left_semi").withColumnRenamed("b", "kb"), (F.col("b") == F.col("kb")) & (F.col("fragment") == F.col("fb")))
+    right = segments.select(F.col("key").alias("b"), F.col("n").alias("nb"), "fragment", F.col("grams").alias("gb"))
+    met = pairs.join(left, "a").join(right, ["b", "fragment"])
     partial = met.select("a", "b", "na", "nb", F.size(F.array_intersect("ga", "gb")).alias("shared"))
     total = partial.groupBy("a", "b", "na", "nb").agg(F.sum("shared").alias("shared"))
     return total.where(den * F.col("shared") >= num * (F.col("na") + F.col("nb") - F.col("shared"))).select("a", "b")
 
 
-def _verify_differences(pairs: DataFrame, diffs: DataFrame, num: int, den: int) -> DataFrame:
-    """The same for pairs (pivot, a, b) by their differences to the pivot: what these share is
-    counted per fragment and summed, and the rest of them is what the sets differ by."""
-    left = diffs.select("pivot", F.col("key").alias("a"), F.col("n").alias("na"), F.col("size").alias("sa"), F.col("e").alias("ea"))
-    right = diffs.select("pivot", F.col("key").alias("b"), F.col("n").alias("nb"), F.col("size").alias("sb"), F.col("e").alias("eb"))
-    met = pairs.join(left, ["pivot", "a"]).join(right, ["pivot", "b"])
-    shared = F.aggregate(F.zip_with("ea", "eb", lambda x, y: F.size(F.array_intersect(x, y))), F.lit(0), lambda s, c: s + c)
-    apart = F.col("sa") + F.col("sb") - 2 * shared
-    return met.where(apart * (den + num) <= (F.col("na") + F.col("nb")) * (den - num)).select("a", "b")
-
-
-def _by_difference(families: DataFrame, segments: DataFrame, num: int, den: int) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """Links (a, b) of sets with their pivot, the spots where sets of one pivot meet, and all differences.
-
-    ``families``: pivot, key. A spot is pivot, lo, hi, x, and has rows of key and far. With e the
-    difference of a set to the pivot, two sets link only if their differences share
-    t = (|e| + |f| - D) / 2 or more, where D is the most by which they may differ. If one of them does not link with the pivot, t is at least 1; if both do,
-    nothing is to be found. So the |e| - t + 1 rarest parts of one and the |f| - t + 1 rarest of
-    the other meet. |f| is bounded from below by classes of sizes, for each of which a set shows
-    as much as is needed. A set whose difference is larger than itself is loose: pairs with one
-    are found by the sets themselves, which are differences to the empty set, under the pivot's
-    complement as a name.
+def _allowed(num: int, den: int) -> Column:
+    """Whether the sizes (n, n2) and supports (s, s2) of two sets allow a link."""
+    most = F.least("s", "s2")
+    return den * most >= num * (F.col("n") + F.col("n2") - most)
+
+
+def _thin_pairs(thin: DataFrame, single: DataFrame, often: DataFrame, fit: DataFrame, num: int, den: int) -> DataFrame:
+    """Candidates (a, b) of thin sets by their rarest n-grams.
+
+    ``single``: key, gram; ``often``: n-grams of several sets with their number; ``fit``: key, n,
+    s. A set that links with one of size n and support s shares n - need + 1 of its n-grams at
+    least with every choice of that many; n - s of them occur nowhere else and come first.
     """
-    own = segments.select(F.col("key").alias("k"), "n", "fragment", F.col("grams").alias("g"))
-    pivot = segments.select(F.col("key").alias("p"), F.col("n").alias("np"), F.col("fragment").alias("fp"), F.col("grams").alias("gp"))
-    pivots = small_side(materialize(families.select("pivot").distinct(), "pivots"))
-    pivot = pivot.join(pivots, F.col("p") == F.col("pivot"), "left_semi")
-
-    def against_pivot(some: DataFrame) -> DataFrame:
-        met = own.join(small_side(some), F.col("k") == F.col("key")).join(pivot, (F.col("pivot") == F.col("p")) & (F.col("fragment") == F.col("fp")))
-        diff = F.concat(F.array_except("g", "gp"), F.transform(F.array_except("gp", "g"), lambda x: F.bitwise_not(x)))
-        return met.select("pivot", "key", "n", "np", "fragment", diff.alias("e"))
-
-    of = ["pivot", "key", "n", "np"]
-    sizes = materialize(against_pivot(families).groupBy(*of).agg(F.sum(F.size("e")).alias("size")), "difference-sizes")
-    tight, loose = sizes.where("size <= n"), sizes.where("size > n")
-    cut = F.transform(F.array_sort(F.collect_list(F.struct("fragment", "e"))), lambda f: f["e"]).alias("e")
-    links = F.col("size") * (den + num) <= (F.col("n") + F.col("np")) * (den - num)
-    tight_diffs = against_pivot(materialize(tight.select("pivot", "key"), "tight")).groupBy(*of).agg(cut)
-    tight_diffs = tight_diffs.join(small_side(sizes.select(F.col("pivot").alias("p1"), F.col("key").alias("k1"), "size")), (F.col("pivot") == F.col("p1")) & (F.col("key") == F.col("k1")))
-    mixed = sizes.join(loose.select("pivot").distinct(), "pivot", "left_semi").select(F.bitwise_not("pivot").alias("pivot"), "key", "np", (F.col("size") > F.col("n")).alias("far"))
-    plain = own.join(small_side(materialize(mixed, "plain")), F.col("k") == F.col("key")).select("pivot", "key", "n", "np", "far", "fragment", F.col("g").alias("e")).groupBy(*of, "far").agg(cut)
-    both = tight_diffs.select(*of, F.col("size"), (~links).alias("far"), "e").unionByName(plain.select(*of, F.col("n").alias("size"), "far", "e"))
-    diffs = materialize(both, "differences")
-    near = tight.where(links & (F.col("key") != F.col("pivot"))).select(F.col("key").alias("a"), F.col("pivot").alias("b"))
-
-    parts = diffs.select("pivot", "key", "n", "np", "size", "far", F.explode(F.flatten("e")).alias("x"))
-    often = parts.groupBy("pivot", "x").agg(F.count("*").alias("df")).where("df > 1")
-    shared = parts.join(often.withColumnsRenamed({"pivot": "p2", "x": "x2"}), (F.col("pivot") == F.col("p2")) & (F.col("x") == F.col("x2")))
-    one = Window.partitionBy("pivot", "key")
-    ranked = shared.withColumn("rank", F.col("size") - F.count("*").over(one) + F.row_number().over(one.orderBy("df", "x")))
-
-    def most(n):
-        return F.floor((F.col(n) + F.floor(F.col(n) * den / num)) * (den - num) / (den + num))
-
-    even = F.col("width") * CLASS_EVEN
-
-    def size_class(v):
-        beyond = F.floor(F.log(F.greatest(v, even) / even) / math.log(CLASS_STEP))
-        return F.when(v < even, F.floor(F.greatest(v, F.lit(1)) / F.col("width"))).otherwise(CLASS_EVEN + beyond)
-
-    bounded = ranked.withColumn("most", most("n")).withColumn("width", F.greatest(F.lit(1), F.floor(most("np") / CLASSES))).withColumn("c", size_class(F.col("size")))
-    spread = bounded.withColumn("d", F.explode(F.sequence(size_class(F.col("size") - F.col("most")), size_class(F.col("size") + F.col("most")))))
-    least = F.when(F.col("d") < CLASS_EVEN, F.col("d") * F.col("width")).otherwise(F.floor(even * F.pow(F.lit(CLASS_STEP), F.col("d") - CLASS_EVEN) * (1 - 1e-9)))
-    t = F.greatest(F.lit(1), F.ceil((F.col("size") + least - F.col("most")) / 2))
-    shown = spread.where(F.col("rank") <= F.col("size") - t + 1).select("pivot", "key", "far", "x", F.least("c", "d").alias("lo"), F.greatest("c", "d").alias("hi"))
-    return near, materialize(shown.distinct(), "prefixes"), diffs
-
-
-def _thin_pairs(docs: DataFrame, sets: DataFrame, n: int, num: int, den: int, id_col: str, text_col: str) -> DataFrame | None:
-    """Candidates of thin sets by their single n-grams; None if no set is thin."""
-    thin = materialize(sets.where("thin").select("key", "n").distinct(), "thin")
-    span = thin.agg(F.min("n").alias("lo"), F.max("n").alias("hi")).first()
-    if span.lo is None:
-        return None
-    close = sets.where(f"key is not null and n * {den} >= {span.lo} * {num} and n * {num} <= {span.hi} * {den}")
-    found = materialize(_segments(docs, _wanted(close), n, id_col, text_col), "thin-segments")
-    single = found.select("key", F.explode("grams").alias("gram"))
-    one = single.join(thin.select("key"), "key", "left_semi").select(F.col("key").alias("b"), "gram")
-    return one.join(single.withColumnRenamed("key", "a"), "gram").where("a != b").select("a", "b").distinct()
+    one = Window.partitionBy("key").orderBy("df", "gram")
+    own = single.join(small_side(thin), "key").join(often, "gram").withColumn("place", F.row_number().over(one))
+    rare = own.where(F.col("place") <= F.col("s") - _floor_need("n", num, den) + 1).select(F.col("key").alias("b"), "gram", F.col("n").alias("n2"), F.col("s").alias("s2"))
+    return rare.join(single.join(fit, "key").withColumnRenamed("key", "a"), "gram").where(F.col("a") != F.col("b")).where(_allowed(num, den)).select("a", "b").distinct()
+
+
+def _floor_need(n: str, num: int, den: int) -> Column:
+    return F.floor((F.col(n) * num + (den - 1)) / den)
 
 
 def ngram_jaccard_join(docs: DataFrame, n: int = 5, num: int = 4, den: int = 5, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -338,42 +376,52 @@ def ngram_jaccard_join(docs: DataFrame, n: int = 5, num: int = 4, den: int = 5,
     answered, and rows with a null id take part (component_id null if all of a component are);
     an empty table gives no rows; other columns are not read.
     """
+    with scratch() as keep:
+        sets = keep(materialize(_sets(docs, n, id_col, text_col), "gram-sets"))
+        parts = keep(_components(docs, sets, n, num, den, id_col, text_col))
+    classed = sets.join(small_side(parts), F.col("key") == F.col("node"), "left").select("doc_id", "n", F.coalesce("component", "key").alias("part"))
+    named = classed.groupBy("part").agg(F.min("doc_id").alias("smallest")).where("part is not null").withColumnRenamed("part", "of")
+    answered = classed.join(named, F.col("part") == F.col("of"), "left")
+    return answered.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("part").isNull(), F.col("doc_id")).otherwise(F.col("smallest")).alias("component_id"))
+
+
+def _components(docs: DataFrame, sets: DataFrame, n: int, num: int, den: int, id_col: str, text_col: str) -> DataFrame:
+    """node and component, both keys, of the sets that have a link."""
     levels = Levels(num, den)
-    sets = materialize(_sets(docs, n, levels, id_col, text_col), "gram-sets")
-    alone = sets.select("key", F.explode("sigs").alias("sig"))
-    bucket = Window.partitionBy("sig")
-    across = alone.select("sig", "key", F.min("key").over(bucket).alias("leader"), F.max("key").over(bucket).alias("last")).where("leader != last").drop("last")
-    within = sets.select("key", F.explode(F.arrays_zip("near", "leaders")).alias("x")).select("x.near", "key", "x.leaders")
-    members = materialize(across.union(within).distinct(), "buckets")
-    wide, sets = sets, materialize(sets.select("doc_id", "key", "n", "thin"), "gram-keys")
-    release(wide)
-    wanted = _wanted(sets.join(members.select("key").distinct(), "key", "left_semi"))
-    segments = materialize(_segments(docs, wanted, n, id_col, text_col), "segments")
-
-    of_family = connected_components(members, "key", "leader").select(F.col("component").alias("pivot"), F.col("node").alias("key"))
-    near, shown, diffs = _by_difference(materialize(of_family, "families"), segments, num, den)
-    release(segments)
-    meets = shown.groupBy(*_SPOT).agg(F.min("key").alias("b"), F.max("key").alias("other"), F.max("far").alias("some")).where("b != other and some")
-    star = shown.join(meets.select(*_SPOT, "b"), _SPOT).where("key != b").select("pivot", F.col("key").alias("a"), "b").distinct()
-    links = materialize(near.union(_verify_differences(star, diffs, num, den)), "links")
-    parts = materialize(connected_components(links, "a", "b"), "parts")
-    placed = shown.join(parts, F.col("key") == F.col("node"), "left").select(*_SPOT, "key", "far", F.coalesce("component", "key").alias("part"))
-    mixed = placed.groupBy(*_SPOT).agg(F.min("part").alias("one"), F.max("part").alias("two"), F.max("far").alias("some")).where("one != two and some").select(*_SPOT)
-    spots = F.collect_list("x").over(Window.partitionBy("pivot", "lo", "hi", "key")).alias("spots")
-    left = materialize(placed.join(mixed, _SPOT).select(*_SPOT, "key", "far", "part", spots), "mixed")
-    right = left.select(*[F.col(c).alias(f"{c}2") for c in left.columns])
-    same = (F.col("pivot") == F.col("pivot2")) & (F.col("lo") == F.col("lo2")) & (F.col("hi") == F.col("hi2")) & (F.col("x") == F.col("x2"))
-    once = F.array_min(F.array_intersect("spots", "spots2")) == F.col("x")  # at one of the spots where they meet
-    pairs = left.join(right, same & (F.col("part") < F.col("part2")) & (F.col("far") | F.col("far2")) & once).select("pivot", F.col("key").alias("a"), F.col("key2").alias("b")).distinct()
-    links = materialize(links.union(_verify_differences(pairs, diffs, num, den)), "links")
-    thin = _thin_pairs(docs, sets, n, num, den, id_col, text_col)
-    if thin is not None:
-        close = thin.select("a").union(thin.select("b")).distinct().withColumnRenamed("a", "key")
-        wanted = _wanted(sets.join(close, "key", "left_semi"))
-        own = materialize(_segments(docs, wanted, n, id_col, text_col), "segments")
-        links = materialize(links.union(_verify(materialize(thin, "pairs"), own, num, den)), "links")
+    total = sets.agg(F.sum("n")).first()[0] or 0
+    able = materialize(_supported(docs, n, num, den, max(1, -(-total // FRAGMENT_GRAMS)), text_col), "able")
+    wanted = materialize(_wanted(sets.join(small_side(able), "key", "left_semi")), "wanted")
+    segments = materialize(_segments(docs, wanted, n, levels, id_col, text_col), "segments")
+    release(able, wanted)
+
+    # Supports once more, among the sets that are left.
+    single = segments.select("key", F.explode("grams").alias("gram"))
+    often = materialize(single.groupBy("gram").agg(F.count("*").alias("df")).where("df > 1"), "often")
+    supports = single.join(often, "gram").groupBy("key").agg(F.count("*").alias("s"))
+    sized = segments.where("fragment = 0")
+    fit = materialize(sized.select("key", "n").join(supports, "key").where(F.col("s") >= _floor_need("n", num, den)), "fit")
+
+    spots = sized.select("key", F.explode("sigs").alias("sig")).join(small_side(fit), "key")
+    best = F.min(F.struct(((F.col("n") - F.col("s")) / F.col("n")).alias("alone"), "key", "n", "s")).alias("head")
+    heads = spots.groupBy("sig").agg(F.count("*").alias("c"), best).where("c > 1").select("sig", "head")
+    met = materialize(spots.join(heads, "sig"), "met")
+    star = met.where(F.col("key") != F.col("head.key")).select(F.col("key").alias("a"), F.col("head.key").alias("b"), "n", "s", F.col("head.n").alias("n2"), F.col("head.s").alias("s2")).where(_allowed(num, den)).select("a", "b").distinct()
+    thin = materialize(fit.join(sized.where("thin").select("key"), "key", "left_semi"), "thin")
+    if not thin.isEmpty():
+        star = star.union(_thin_pairs(thin, single, often, fit, num, den))
+    star = materialize(star, "star")
+    links = materialize(_verify(star, segments, num, den), "links")
+    release(star, often, thin, fit)
+
+    # Where sets of several components meet, all pairs across them that may link.
     parts = materialize(connected_components(links, "a", "b"), "parts")
-    classed = sets.join(parts, F.col("key") == F.col("node"), "left").select("doc_id", "n", F.coalesce("component", "key").alias("part"))
-    named = classed.groupBy("part").agg(F.min("doc_id").alias("smallest")).where("part is not null").withColumnRenamed("part", "of")
-    found = classed.join(named, F.col("part") == F.col("of"), "left")
-    return found.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("part").isNull(), F.col("doc_id")).otherwise(F.col("smallest")).alias("component_id"))
+    placed = met.join(small_side(parts), F.col("key") == F.col("node"), "left").select("sig", "key", "n", "s", F.coalesce("component", "key").alias("part"))
+    mixed = placed.groupBy("sig").agg(F.min("part").alias("one"), F.max("part").alias("two")).where("one != two").select("sig")
+    left = materialize(placed.join(mixed, "sig"), "mixed")
+    release(met, parts)
+    right = left.select("sig", *[F.col(c).alias(f"{c}2") for c in ("key", "n", "s", "part")])
+    pairs = left.join(right, "sig").where((F.col("part") < F.col("part2")) & _allowed(num, den)).select(F.col("key").alias("a"), F.col("key2").alias("b")).distinct()
+    pairs = materialize(pairs, "pairs")
+    found = materialize(_verify(pairs, segments, num, den), "links")
+    release(left, pairs, segments)
+    return materialize(connected_components(links.union(found), "a", "b"), "parts")
