@@ -1,21 +1,27 @@
-"""Deletion of passages that repeat earlier ones, by exact windows over line hashes.
+"""Deletion of passages that repeat earlier ones, by winnowing over line hashes.
 
 The lines of a document that hold a word form a sequence of hashes. Windows over it hold
 ``min_words`` words at least and no line more than they need: one begins at every line and grows
-to the right, one ends at every line and grows to the left. Every window is kept and positions
-join on the hash of all its lines. This replaces winnowing's selection by minima: the minimum is
-part of what is hashed but selects nothing. Nor are matches extended: the windows that begin at a
-run's lines and those that end there cover all of it, so their union is the whole match.
+to the right, one ends at every line and grows to the left. The line of the least hash in a
+window, the first of equals, is a fingerprint; most windows share theirs with their neighbours.
+Two places with the same window select the same line of it, so a run of lines that occurs again
+has a fingerprint in common with its earlier place, and fingerprints that occur once are done.
+
+Positions join on the fingerprint. Each is compared with the first place of its fingerprint: the
+match is extended line by line to both sides, as far as the windows reach that selected the line,
+and if it holds one of them, it goes. A common line may stand in many contexts, so windows that
+the first place doesn't match may still match another place; only they are compared as wholes, by
+a hash of their lines, with the first place of each.
 
 A line goes if and only if it lies in a run of lines of ``min_words`` words or more that occurs,
 line for line, at an earlier place (smaller document id, or above in the document). The first
 occurrence of every line therefore stays. Lines without a word are passed over when runs are
 compared; those inside a deleted run go with it.
 
-DataFrame functions only. Windows are found per document with range frames over word counts; the
-first place of each is a partial aggregation, so a passage in a third of all documents reaches
-the shuffle once a task; the later places then join it, a join that Spark may split where a
-passage is hot. Row counts stay linear in the number of lines.
+DataFrame functions only. Windows are found per document with range frames over word counts; first
+places are partial aggregations, so a passage in a third of all documents reaches the shuffle once
+a task; the later places then join the first, a join that Spark may split where a passage is hot.
+No pair of later places is compared, and row counts stay linear in the number of lines.
 """
 
 from __future__ import annotations
@@ -23,7 +29,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..storage import materialize, small_side
+from ..storage import materialize, release, scratch, small_side
 
 #: ASCII white space, as characters to trim and as a pattern between words.
 _SPACE, _SPACES = " \t\n\x0b\x0c\r", r"[\x20\x09-\x0D]+"
@@ -42,20 +48,40 @@ def _lines(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return hashed.repartition("k0", "k1").distinct()
 
 
-def _windows(lines: DataFrame, min_words: int) -> DataFrame:
-    """k0, k1, lo, hi, match: the windows of ``min_words`` words, and what must agree."""
+def _fingerprints(lines: DataFrame, min_words: int) -> DataFrame:
+    """k0, k1, p, h, windows: the lines p that some window selects, and the windows (lo, hi) that
+    do. Lines are counted by ``i``, from 1 in each document."""
     by_doc = Window.partitionBy("k0", "k1")
-    upto = F.sum("w").over(by_doc.orderBy("pos").rowsBetween(Window.unboundedPreceding, 0))
+    upto = F.sum("w").over(by_doc.orderBy("i").rowsBetween(Window.unboundedPreceding, 0))
     placed = lines.withColumn("upto", upto).withColumn("before", F.col("upto") - F.col("w"))
 
     def frame(over) -> Column:
-        return F.struct(F.sum("w").over(over).alias("w"), F.min("pos").over(over).alias("lo"), F.max("pos").over(over).alias("hi"), F.min("h").over(over).alias("fingerprint"), F.collect_list("h").over(over).alias("held"))
+        return F.struct(F.sum("w").over(over).alias("w"), F.min("i").over(over).alias("lo"), F.max("i").over(over).alias("hi"), F.min(F.struct("h", "i")).over(over).alias("least"))
 
     right = frame(by_doc.orderBy("before").rangeBetween(0, min_words - 1))
     left = frame(by_doc.orderBy("upto").rangeBetween(1 - min_words, 0))
     framed = placed.select("k0", "k1", right.alias("right"), left.alias("left"))
     both = framed.select("k0", "k1", F.explode(F.array("right", "left")).alias("f")).where(F.col("f.w") >= min_words)
-    return both.select("k0", "k1", "f.lo", "f.hi", F.xxhash64("f.fingerprint", "f.held").alias("match"))
+    return both.groupBy("k0", "k1", F.col("f.least.i").alias("p"), F.col("f.least.h").alias("h")).agg(F.collect_set(F.struct("f.lo", "f.hi")).alias("windows"))
+
+
+def _with_context(found: DataFrame, lines: DataFrame) -> DataFrame:
+    """Adds ``lo`` and ``held``: the first line that the windows of a fingerprint reach, and the
+    hashes and positions of all that they reach."""
+    lo, hi = F.array_min(F.transform("windows", lambda w: w["lo"])), F.array_max(F.transform("windows", lambda w: w["hi"]))
+    reach = found.select("k0", "k1", "p", F.explode(F.sequence(lo, hi)).alias("i"))
+    own = lines.select(F.col("k0").alias("d0"), F.col("k1").alias("d1"), F.col("i").alias("at"), "h", "pos")
+    lined = reach.join(own, F.col("k0").eqNullSafe(F.col("d0")) & (F.col("k1") == F.col("d1")) & (F.col("i") == F.col("at")))
+    held = lined.groupBy("k0", "k1", "p").agg(F.array_sort(F.collect_list(F.struct("i", "h", "pos"))).alias("held"))
+    held = held.withColumnsRenamed({"k0": "d0", "k1": "d1", "p": "dp"})
+    return found.join(held, F.col("k0").eqNullSafe(F.col("d0")) & (F.col("k1") == F.col("d1")) & (F.col("p") == F.col("dp"))).select("k0", "k1", "p", "h", "windows", F.col("held")[0]["i"].alias("lo"), "held")
+
+
+def _run(a: Column, b: Column) -> Column:
+    """How many lines two sequences have in common from their beginnings."""
+    same = F.zip_with(a, b, lambda x, y: F.coalesce(x["h"] == y["h"], F.lit(False)))
+    stop = F.array_position(same, False)
+    return F.when(stop == 0, F.size(same).cast("long")).otherwise(stop - 1)
 
 
 def repeated_ranges(docs: DataFrame, min_words: int = 50, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -63,14 +89,43 @@ def repeated_ranges(docs: DataFrame, min_words: int = 50, id_col: str = "doc_id"
 
     ``ranges`` are disjoint (lo, hi) in ascending order, counted in lines from 0.
     """
-    windows = materialize(_windows(_lines(docs, id_col, text_col), min_words), "line-windows")
+    numbered = _lines(docs, id_col, text_col).withColumn("i", F.row_number().over(Window.partitionBy("k0", "k1").orderBy("pos")))
+    lines = materialize(numbered, "lines")
+    found = materialize(_fingerprints(lines, min_words), "fingerprints")
+    place = F.struct("k0", "k1", "p")
+    several = found.groupBy("h").agg(F.min(place).alias("first"), F.max(place).alias("last")).where("first != last").select("h", "first")
+    known = materialize(_with_context(found.join(several.select("h"), "h", "left_semi"), lines), "contexts")
+    release(lines, found)
+
+    # Extension from the first place of each fingerprint.
+    first = known.groupBy("h").agg(F.min(F.struct("k0", "k1", "p", "lo", "held")).alias("e"))
+    later = known.join(first, "h").where(place > F.struct("e.k0", "e.k1", "e.p"))
+    at, at_first = F.col("p") - F.col("lo"), F.col("e.p") - F.col("e.lo")
+    right = _run(F.slice("held", at + 1, F.size("held")), F.slice("e.held", at_first + 1, F.size("e.held")))
+    left = _run(F.reverse(F.slice("held", F.lit(1), at)), F.reverse(F.slice("e.held", F.lit(1), at_first)))
+    extended = later.select("k0", "k1", "lo", "held", "windows", (F.col("p") - left).alias("from"), (F.col("p") + right - 1).alias("to"))
+    extended = materialize(extended, "extended")
+
+    def inside(w: Column) -> Column:
+        return (w["lo"] >= F.col("from")) & (w["hi"] <= F.col("to"))
+
+    def pos(i: Column) -> Column:
+        return F.element_at("held", (i - F.col("lo") + 1).cast("int"))["pos"]
+
+    matched = extended.where(F.exists("windows", inside)).select("k0", "k1", pos(F.col("from")).alias("lo"), pos(F.col("to")).alias("hi"))
+
+    # Windows that the first place doesn't match, as wholes.
+    rest = extended.withColumn("w", F.explode(F.filter("windows", lambda w: ~inside(w))))
+    lines_of = F.transform(F.slice("held", F.col("w.lo") - F.col("lo") + 1, F.col("w.hi") - F.col("w.lo") + 1), lambda x: x["h"])
+    whole = materialize(rest.select("k0", "k1", pos(F.col("w.lo")).alias("lo"), pos(F.col("w.hi")).alias("hi"), F.xxhash64(lines_of).alias("match")), "unmatched")
     place = F.struct("k0", "k1", "lo")
-    first = windows.groupBy("match").agg(F.min(place).alias("first"), F.max(place).alias("last")).where("first != last")
-    later = windows.join(first.select("match", "first"), "match").where(place > F.col("first")).select("k0", "k1", "lo", "hi")
+    again = whole.groupBy("match").agg(F.min(place).alias("first"), F.max(place).alias("last")).where("first != last")
+    others = whole.join(again.select("match", "first"), "match").where(place > F.col("first")).select("k0", "k1", "lo", "hi")
+
     in_doc = Window.partitionBy("k0", "k1").orderBy("lo", "hi")
     reached = F.max("hi").over(in_doc.rowsBetween(Window.unboundedPreceding, -1))
     begins = (F.coalesce(reached, F.lit(-2)) < F.col("lo") - 1).cast("long")
-    islands = later.withColumn("begins", begins).withColumn("island", F.sum("begins").over(in_doc.rowsBetween(Window.unboundedPreceding, 0)))
+    islands = matched.unionByName(others).withColumn("begins", begins).withColumn("island", F.sum("begins").over(in_doc.rowsBetween(Window.unboundedPreceding, 0)))
     merged = islands.groupBy("k0", "k1", "island").agg(F.min("lo").alias("lo"), F.max("hi").alias("hi"))
     return merged.groupBy("k0", "k1").agg(F.array_sort(F.collect_list(F.struct("lo", "hi"))).alias("ranges"))
 
@@ -89,7 +144,8 @@ def dedup_lines(docs: DataFrame, min_words: int = 50, id_col: str = "doc_id", te
     not a text are ordered by a hash of it; an empty table gives an empty result; other columns
     pass through in ``row`` whatever their names.
     """
-    ranges = small_side(materialize(repeated_ranges(docs, min_words, id_col, text_col), "line-ranges"))
+    with scratch() as keep:
+        ranges = small_side(keep(materialize(repeated_ranges(docs, min_words, id_col, text_col), "line-ranges")))
     keyed = docs.select(F.struct(*[docs[c] for c in docs.columns]).alias("row"), *_row_key(id_col, text_col))
     joined = keyed.withColumnsRenamed({"k0": "d0", "k1": "d1"}).join(ranges, F.col("d0").eqNullSafe(F.col("k0")) & (F.col("d1") == F.col("k1")), "left")
     text = F.col("row").getField(text_col)
