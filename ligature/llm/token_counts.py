@@ -21,6 +21,8 @@ from .rowwise import per_document
 
 #: Words kept per Python worker, in two generations.
 MEMO_WORDS = 600_000
+#: Texts whose new words share a trie.
+TRIE_TEXTS = 256
 #: The sign that stands for the white space before a word in the vocabulary.
 LEAD = "▁"
 
@@ -89,12 +91,14 @@ class Unigram:
     def count(self, text: str) -> tuple[int, int, int]:
         """Words, tokens and unknown tokens of a text."""
         words = text.split()
-        new = set(words).difference(self.known)
-        if new:
-            self.learn(new)
-            if len(self.known) < len(new) or not self.known.keys() >= set(words):
-                self.learn(set(words).difference(self.known))
-        got = [self.known[w] for w in words]
+        distinct, known = set(words), self.known
+        if len(distinct) > self.limit // 2:  # more than is kept: counted for this text alone
+            known = self.split_counts(distinct)
+        elif not distinct <= known.keys():
+            for _ in range(2):  # the first may begin a new generation, without the words known before
+                self.learn(distinct.difference(self.known))
+            known = self.known
+        got = [known[w] for w in words]
         return len(words), sum(g[0] for g in got), sum(g[1] for g in got)
 
 
@@ -123,8 +127,8 @@ def count_tokens(docs: DataFrame, vocabulary: str, id_col: str = "doc_id", text_
 
         def kernel(texts: pa.Array) -> list[pa.Array]:
             rows = np.zeros((len(texts), 3), np.int64)
-            for at in range(0, len(texts), 64):
-                some = [t or "" for t in texts.slice(at, 64).to_pylist()]
+            for at in range(0, len(texts), TRIE_TEXTS):
+                some = [t or "" for t in texts.slice(at, TRIE_TEXTS).to_pylist()]
                 new = set().union(*(t.split() for t in some)).difference(model.known)
                 if len(new) <= model.limit // 2:
                     model.learn(new)
