@@ -113,6 +113,8 @@ class Shard:
 
 def write_shard(doc_ids: list[int | None], lengths: np.ndarray, tokens: np.ndarray, width: int) -> bytes:
     """Documents in ascending id order, nulls first; ``tokens`` are those of all, in that order."""
+    if len(tokens) and int(tokens.max()) >= 1 << 8 * width:
+        raise ValueError(f"id {int(tokens.max())} does not fit {width} bytes")
     known = np.array([d for d in doc_ids if d is not None], np.int64)
     base = int(known[0]) if len(known) else 0
     ids = EliasFano.encode(known.astype(np.uint64) - np.uint64(base % (1 << 64))).to_bytes()

@@ -28,14 +28,26 @@ _SHARDS = "part int, seq int, before long, n_docs long, n_tokens long, shard bin
 _INDEX = "doc_id long, start long, n_tokens long, ids_crc32 long"
 
 
-def write_store(docs: DataFrame, path: str, tokenizer: str, end_id: int, width: int = 2, id_col: str = "doc_id", text_col: str = "text", shard_tokens: int = SHARD_TOKENS) -> None:
+def _width(tokenizer: str, end_id: int, width: int | None) -> int:
+    from tokenizers import Tokenizer
+
+    last = max([end_id, *Tokenizer.from_file(tokenizer).get_vocab(with_added_tokens=True).values()])
+    need = 2 if last < 1 << 16 else 4
+    if width is not None and (width not in (2, 4) or width < need):
+        raise ValueError(f"ids up to {last} need {need} bytes, not {width}")
+    return width or need
+
+
+def write_store(docs: DataFrame, path: str, tokenizer: str, end_id: int, width: int | None = None, id_col: str = "doc_id", text_col: str = "text", shard_tokens: int = SHARD_TOKENS) -> None:
     """Encode every whole text, append ``end_id``, and write the shards to ``path``.
 
-    ``width`` is the bytes of an id (2 up to 65,536 ids, else 4). Null texts are empty and have
+    ``width`` is the bytes of an id, 2 or 4; by default what the vocabulary and the end id need,
+    and a smaller one is refused. Null texts are empty and have
     the end id alone; null ids come first; rows that share an id keep a row each, ordered by
     their texts; an empty table gives an empty store. Other columns are not read.
     """
     ship(docs.sparkSession)
+    width = _width(tokenizer, end_id, width)
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words, part = memo(tokenizer), TaskContext.get().partitionId()
