@@ -5,7 +5,9 @@ room that still holds it. Pieces of one length are alike, so the placement is wo
 histogram of lengths, which has as many entries as the capacity however large the corpus: a
 segment tree over remaining capacities finds the tightest open sequence in logarithmic time, and
 runs of alike sequences move together. The runs say where the k-th piece of each length goes;
-the k is counted per task and made global by per-task totals, so pieces are never shuffled.
+the k is counted per task and made global by per-task totals, a row of ``capacity`` numbers per
+task. Pieces are not shuffled while these fit a broadcast of checked size (some thousand tasks);
+beyond, Spark shuffles the pieces by their task.
 """
 
 from __future__ import annotations
@@ -19,7 +21,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..storage import materialize, ship
+from ..storage import materialize, ship, small_side
 from .tokens import MEMO_WORDS, memo
 
 _PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long, part int, nth long"
@@ -133,21 +135,33 @@ def pieces(docs: DataFrame, tokenizer: str, end_id: int, capacity: int, id_col:
     return rows.mapInArrow(cut, _PIECES + ", ids binary" * with_ids)
 
 
+def _dense(capacity: int):
+    """From a task's rows (length, base) to one row with the base of every length."""
+
+    def run(rows: pa.Table) -> pa.Table:
+        bases = np.zeros(capacity, np.int64)
+        bases[rows["length"].to_numpy() - 1] = rows["base"].to_numpy()
+        return pa.table({"of": rows["part"].slice(0, 1), "bases": pa.array([bases], pa.list_(pa.int64()))})
+
+    return run
+
+
 def pack(docs: DataFrame, tokenizer: str, end_id: int, capacity: int = 1024, id_col: str = "doc_id", text_col: str = "text", with_ids: bool = False, memo_words: int = MEMO_WORDS) -> DataFrame:
     """One row per piece with its ``sequence_id`` and ``offset`` there; sequences have no gaps.
 
     Null texts are empty and hold the end id alone; rows with the same or a null id are packed
-    each for itself; an empty table gives no rows; other columns are not read. ``with_ids`` adds
+    each for itself; which of several pieces of one length goes where follows from their tasks and
+    their order there; an empty table gives no rows; other columns are not read. ``with_ids`` adds
     the ids as little-endian unsigned 32-bit integers, for ``sequences``. ``memo_words`` bounds the
     words whose ids a worker keeps; it changes the time and the memory, not the result.
     """
     made = materialize(pieces(docs, tokenizer, end_id, capacity, id_col, text_col, with_ids, memo_words), "pieces")
     by_task = materialize(made.groupBy("part", "length").agg(F.count("*").alias("n")), "piece-counts")
     before = F.sum("n").over(Window.partitionBy("length").orderBy("part").rowsBetween(Window.unboundedPreceding, -1))
-    bases = by_task.select(F.col("part").alias("of"), F.col("length").alias("long"), F.coalesce(before, F.lit(0)).alias("base"))
+    bases = materialize(by_task.withColumn("base", F.coalesce(before, F.lit(0))).groupBy("part").applyInArrow(_dense(capacity), "of int, bases array<long>"), "piece-bases")
     counts = {r.length: r.n for r in by_task.groupBy("length").agg(F.sum("n").alias("n")).collect()}  # capacity rows at most
     runs = plan(counts, capacity)
-    ranked = made.join(bases, (made.part == bases.of) & (made.length == bases.long)).drop("of", "long", "part")
+    ranked = made.join(small_side(bases), F.col("part") == F.col("of")).withColumn("base", F.element_at("bases", F.col("length").cast("int"))).drop("of", "bases", "part")
 
     def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
