@@ -7,20 +7,24 @@ over all of them. Document positions are joined with these prefix shingles only;
 the shingle in its window gives where the window must start (positional bound) and end (length
 bound); the words there are then compared one by one.
 
-The benchmark side is held in blocks of ``block_bytes`` of item text. A task keeps one block in
-memory at a time, so any number of items is matched exactly, and documents never move.
+The benchmark side is held in blocks of ``block_bytes`` of item text. They are built in tasks and
+kept as a table, as are the counts of their shingles; the driver passes one block after the other
+on to the workers. A task, and the driver, hold one block in memory at a time, so any number of
+items is matched exactly, and documents never move.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import pickle
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark.broadcast import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..storage import ship
+from ..storage import materialize, scratch, ship
 from . import words as W
 from .rowwise import per_document
 
@@ -116,15 +120,15 @@ def lookup(g: np.ndarray, keys: np.ndarray, bits: np.ndarray) -> tuple[np.ndarra
     return maybe[same], key[same]
 
 
-def _rarity(docs: DataFrame, text_col: str, keys: list, n_blocks: int) -> list[dict[int, np.ndarray]]:
-    """Occurrences of every block's shingles in all documents."""
+def _rarity(docs: DataFrame, text_col: str, keys: list[tuple[int, Broadcast]]) -> DataFrame:
+    """block, size, key, n: occurrences of every block's shingles in all documents."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sums: dict[tuple[int, int], np.ndarray] = {}
         for batch in batches:
             made = list(W.chunks(batch.column(0), W.ALNUM_LOWER))
-            for b in range(n_blocks):
-                for q, k in keys[b].value.items():
+            for b, held in keys:
+                for q, k in held.value.items():
                     total = sums.setdefault((b, q), np.zeros(len(k), np.int64))
                     bits = first_bits(k)
                     for c in made:
@@ -132,22 +136,44 @@ def _rarity(docs: DataFrame, text_col: str, keys: list, n_blocks: int) -> list[d
                         at, key = lookup(g, k, bits)
                         doc = np.searchsorted(c.bounds[1:], at, "right")
                         total += np.bincount(key[at + q <= c.bounds[1:][doc]], minlength=len(k))
-                _forget(keys[b], n_blocks)
+                _forget(held, len(keys))
         for (b, q), total in sums.items():
             i = np.flatnonzero(total)
             yield pa.RecordBatch.from_pydict({"block": pa.array(np.full(len(i), b, np.int32)), "size": pa.array(np.full(len(i), q, np.int32)), "key": i, "n": total[i]})
 
     counted = docs.select(text_col).mapInArrow(count, "block int, size int, key long, n long")
-    rows = counted.groupBy("block", "size", "key").agg(F.sum("n").alias("n")).toPandas()  # one row per benchmark shingle
-    out = []
-    for b in range(n_blocks):
-        out.append({q: np.zeros(len(k), np.int64) for q, k in keys[b].value.items()})
-        for q, some in rows[rows["block"] == b].groupby("size"):
-            out[b][q][some["key"].to_numpy()] = some["n"].to_numpy()
-    return out
+    return counted.groupBy("block", "size", "key").agg(F.sum("n").alias("n"))
 
 
-def _forget(value, n_blocks: int) -> None:
+def _build(window: int, shingle: int) -> Callable[[pa.Table], pa.Table]:
+    """From the items of a block to the block."""
+
+    def run(rows: pa.Table) -> pa.Table:
+        rows = rows.sort_by([("item", "ascending"), ("text", "ascending")])
+        block = Block(rows["item"].to_pylist(), rows["text"].to_pylist(), window, shingle)
+        return pa.table({"block": rows["block"].slice(0, 1), "made": [pickle.dumps(block)], "keys": [pickle.dumps(block.keys)]})
+
+    return run
+
+
+def _choose(blocks: pa.Table, counted: pa.Table) -> pa.Table:
+    """From a block and the counts of its shingles to its index."""
+    block = pickle.loads(blocks["made"][0].as_py())
+    counts = {q: np.zeros(len(k), np.int64) for q, k in block.keys.items()}
+    size, key, n = (counted[c].to_numpy() for c in ("size", "key", "n"))
+    for q, total in counts.items():
+        total[key[size == q]] = n[size == q]
+    return pa.table({"block": blocks["block"], "made": [pickle.dumps(block.choose(counts))]})
+
+
+def _passed_on(table: DataFrame, column: str) -> list[tuple[int, Broadcast]]:
+    """The blocks of a table, broadcast one after the other."""
+    sc = table.sparkSession.sparkContext
+    numbers = sorted(r.block for r in table.select("block").collect())
+    return [(b, sc.broadcast(pickle.loads(table.where(F.col("block") == b).select(column).first()[0]))) for b in numbers]
+
+
+def _forget(value: Broadcast, n_blocks: int) -> None:
     """Let go of one block before the next is loaded."""
     if n_blocks > 1 and hasattr(value, "_value"):
         del value._value
@@ -165,14 +191,12 @@ def find_passages(docs: DataFrame, benchmark: DataFrame, window: int = 13, shing
     ship(spark)
     items = benchmark.select(F.col(item_col).cast("string").alias("item"), F.col(item_text_col).alias("text")).where("item is not null and text is not null")
     size = items.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    n_blocks = max(1, -(-size // block_bytes))
-    sc, keys, built = spark.sparkContext, [], []
-    for b in range(n_blocks):
-        rows = items.where(F.pmod(F.xxhash64("item", "text"), F.lit(n_blocks)) == b).orderBy("item", "text").collect()  # block_bytes of text
-        built.append(Block([r.item for r in rows], [r.text for r in rows], window, shingle))
-        keys.append(sc.broadcast(built[-1].keys))
-    counts = _rarity(docs, text_col, keys, n_blocks)
-    indexes = [sc.broadcast(block.choose(n)) for block, n in zip(built, counts, strict=True)]
+    block = F.pmod(F.xxhash64("item", "text"), F.lit(max(1, -(-size // block_bytes)))).cast("int")
+    with scratch():
+        made = materialize(items.distinct().withColumn("block", block).groupBy("block").applyInArrow(_build(window, shingle), "block int, made binary, keys binary"), "benchmark-blocks")
+        counts = materialize(_rarity(docs, text_col, _passed_on(made, "keys")), "benchmark-counts")
+        chosen = made.select("block", "made").groupBy("block").cogroup(counts.groupBy("block")).applyInArrow(_choose, "block int, made binary")
+        indexes = [index for _, index in _passed_on(materialize(chosen, "benchmark-indexes"), "made")]
     num, den = share
 
     def make():
@@ -189,7 +213,7 @@ def find_passages(docs: DataFrame, benchmark: DataFrame, window: int = 13, shing
                     doc = c.first + np.searchsorted(c.bounds[1:], start, "right")
                     for i, v in set(zip(doc.tolist(), w.tolist(), strict=True)):
                         named[i].update(one.items[v])
-                _forget(index, n_blocks)
+                _forget(index, len(indexes))
             n_words, n_hit, spans = np.zeros(len(texts), np.int64), np.zeros(len(texts), np.int64), [[] for _ in range(len(texts))]
             for c, d in zip(made, cover, strict=True):
                 hit = np.cumsum(d[:-1]) > 0
