@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 
 from ..storage import materialize, scratch, ship
 from . import words as W
-from .rowwise import per_document
+from .rowwise import SLICE_ROWS, per_document, trim
 
 _COLUMNS = "n_words long, n_hit long, items array<string>, spans array<int>"
 _BITS = 20
@@ -125,7 +125,8 @@ def _rarity(docs: DataFrame, text_col: str, keys: list[tuple[int, Broadcast]]) -
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sums: dict[tuple[int, int], np.ndarray] = {}
-        for batch in batches:
+        step = SLICE_ROWS if len(keys) < 2 else None
+        for batch in (part.slice(at, step or part.num_rows) for part in batches for at in range(0, part.num_rows, step or max(part.num_rows, 1))):
             made = list(W.chunks(batch.column(0), W.ALNUM_LOWER))
             for b, held in keys:
                 for q, k in held.value.items():
@@ -140,6 +141,7 @@ def _rarity(docs: DataFrame, text_col: str, keys: list[tuple[int, Broadcast]]) -
         for (b, q), total in sums.items():
             i = np.flatnonzero(total)
             yield pa.RecordBatch.from_pydict({"block": pa.array(np.full(len(i), b, np.int32)), "size": pa.array(np.full(len(i), q, np.int32)), "key": i, "n": total[i]})
+        trim()
 
     counted = docs.select(text_col).mapInArrow(count, "block int, size int, key long, n long")
     return counted.groupBy("block", "size", "key").agg(F.sum("n").alias("n"))
@@ -229,5 +231,6 @@ def find_passages(docs: DataFrame, benchmark: DataFrame, window: int = 13, shing
 
         return kernel
 
-    found = per_document(docs, make, _COLUMNS, id_col, text_col, carry)
+    # A block is loaded once for each kernel call, so with several a call gets a whole batch.
+    found = per_document(docs, make, _COLUMNS, id_col, text_col, carry, SLICE_ROWS if len(indexes) < 2 else None)
     return found.withColumn("contaminated", (F.col("n_hit") > 0) & (den * F.col("n_hit") >= num * F.col("n_words")))

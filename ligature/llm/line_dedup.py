@@ -30,6 +30,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..storage import materialize, release, scratch, small_side
+from .rowwise import whole_row
 
 #: ASCII white space, as characters to trim and as a pattern between words.
 _SPACE, _SPACES = " \t\n\x0b\x0c\r", r"[\x20\x09-\x0D]+"
@@ -146,7 +147,7 @@ def dedup_lines(docs: DataFrame, min_words: int = 50, id_col: str = "doc_id", te
     """
     with scratch() as keep:
         ranges = small_side(keep(materialize(repeated_ranges(docs, min_words, id_col, text_col), "line-ranges")))
-    keyed = docs.select(F.struct(*[docs[c] for c in docs.columns]).alias("row"), *_row_key(id_col, text_col))
+    keyed = docs.select(whole_row(docs).alias("row"), *_row_key(id_col, text_col))
     joined = keyed.withColumnsRenamed({"k0": "d0", "k1": "d1"}).join(ranges, F.col("d0").eqNullSafe(F.col("k0")) & (F.col("d1") == F.col("k1")), "left")
     text = F.col("row").getField(text_col)
     lines = joined.select("row", "ranges", F.split(text, "\n").alias("lines"))

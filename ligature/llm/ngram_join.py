@@ -41,6 +41,7 @@ from pyspark.sql import functions as F
 from ..operators.components import connected_components
 from ..storage import materialize, release, scratch, ship, small_side
 from . import words as W
+from .rowwise import per_document, trim
 
 _U = np.uint64
 #: Fragments in which overlaps are counted.
@@ -159,6 +160,7 @@ def _sets(docs: DataFrame, n: int, id_col: str, text_col: str) -> DataFrame:
                 sizes[i] = len(grams)
                 keys[i] = _key(grams)
             yield pa.RecordBatch.from_arrays([batch.column(0).cast(pa.int64()), pa.array(keys, mask=sizes == 0), pa.array(sizes)], ["doc_id", "key", "n"])
+        trim()
 
     return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(run, _SETS)
 
@@ -274,6 +276,8 @@ def _supported(docs: DataFrame, n: int, num: int, den: int, fragments: int, text
                         held, total, made = {}, 0, made + 1
         if held:
             yield _cut_batch(list(held.items()), fragments, made % fragments, num, den)
+        held = {}
+        trim()
 
     cut = docs.select(F.col(text_col).alias("text")).mapInArrow(run, _CUTS)
     counted = cut.groupBy("fragment").applyInArrow(_count_fragment, "key long, c long")
@@ -365,7 +369,7 @@ def _floor_need(n: str, num: int, den: int) -> Column:
     return F.floor((F.col(n) * num + (den - 1)) / den)
 
 
-def ngram_jaccard_join(docs: DataFrame, n: int = 5, num: int = 4, den: int = 5, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def ngram_jaccard_join(docs: DataFrame, n: int = 5, num: int = 4, den: int = 5, id_col: str = "doc_id", text_col: str = "text", keys: bool = False) -> DataFrame:
     """One row per document: doc_id, n_shingles, component_id.
 
     Words are runs without ASCII white space after lowering A-Z; a set holds the distinct
@@ -374,15 +378,34 @@ def ngram_jaccard_join(docs: DataFrame, n: int = 5, num: int = 4, den: int = 5,
     Null, empty and blank texts have no shingles, link with nothing and are their own component;
     every row is a document of its own, so repeated rows and rows that share an id are each
     answered, and rows with a null id take part (component_id null if all of a component are);
-    an empty table gives no rows; other columns are not read.
+    an empty table gives no rows; other columns are not read. ``keys`` adds set_key (see
+    ``set_keys``) and component_key, which tell rows and components of one id apart; both are
+    null without words.
     """
     with scratch() as keep:
         sets = keep(materialize(_sets(docs, n, id_col, text_col), "gram-sets"))
         parts = keep(_components(docs, sets, n, num, den, id_col, text_col))
-    classed = sets.join(small_side(parts), F.col("key") == F.col("node"), "left").select("doc_id", "n", F.coalesce("component", "key").alias("part"))
-    named = classed.groupBy("part").agg(F.min("doc_id").alias("smallest")).where("part is not null").withColumnRenamed("part", "of")
-    answered = classed.join(named, F.col("part") == F.col("of"), "left")
-    return answered.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("part").isNull(), F.col("doc_id")).otherwise(F.col("smallest")).alias("component_id"))
+    part = F.coalesce("component", "key").alias("component_key")
+    classed = sets.join(small_side(parts), F.col("key") == F.col("node"), "left").select("doc_id", F.col("n").alias("n_shingles"), F.col("key").alias("set_key"), part)
+    named = classed.groupBy("component_key").agg(F.min("doc_id").alias("smallest")).where("component_key is not null").withColumnRenamed("component_key", "of")
+    answered = classed.join(named, F.col("component_key") == F.col("of"), "left")
+    component = F.when(F.col("component_key").isNull(), F.col("doc_id")).otherwise(F.col("smallest")).alias("component_id")
+    return answered.select("doc_id", "n_shingles", component, *["set_key", "component_key"] * keys)
+
+
+def set_keys(docs: DataFrame, n: int, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """doc_id, set_key and ``row``, the input row as a struct; rows with the same set have the same key."""
+
+    def make():
+        def kernel(texts: pa.Array) -> list[pa.Array]:
+            found = [None] * len(texts)
+            for i, grams in _gram_sets(texts, n):
+                found[i] = _key(grams) if len(grams) else None
+            return [pa.array(found, pa.int64())]
+
+        return kernel
+
+    return per_document(docs, make, "set_key long", id_col, text_col, carry=True)
 
 
 def _components(docs: DataFrame, sets: DataFrame, n: int, num: int, den: int, id_col: str, text_col: str) -> DataFrame:

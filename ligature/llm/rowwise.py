@@ -2,24 +2,49 @@
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..storage import ship
 
+#: Rows that a kernel gets at once; bounds its working memory.
+SLICE_ROWS = 1024
+
 #: From texts to the output columns.
 Kernel = Callable[[pa.Array], list[pa.Array]]
 
 
-def per_document(docs: DataFrame, make: Callable[[], Kernel], columns: str, id_col: str, text_col: str, carry: bool = False) -> DataFrame:
+def column(name: str) -> Column:
+    """A column by its name as it stands, dots and all."""
+    return F.col("`" + name.replace("`", "``") + "`")
+
+
+def whole_row(docs: DataFrame) -> Column:
+    """The row as a struct."""
+    return F.struct(*[column(c) for c in docs.columns])
+
+
+def trim() -> None:
+    """Give freed memory back to the system; workers live on for the next task."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+    except (OSError, AttributeError):  # another C library
+        pass
+
+
+def per_document(docs: DataFrame, make: Callable[[], Kernel], columns: str, id_col: str, text_col: str, carry: bool = False, slice_rows: int | None = SLICE_ROWS) -> DataFrame:
     """``doc_id`` and the kernel's columns; with ``carry`` also ``row``, the input row as a struct.
 
     Only the id and the text are read unless rows are carried, so other columns and their names
-    do not matter. ``make`` runs once per task.
+    do not matter. ``make`` runs once per task; a kernel gets ``slice_rows`` texts at once, or
+    with None a whole batch.
     """
     ship(docs.sparkSession)
     made = T._parse_datatype_string(columns) if isinstance(columns, str) else columns
@@ -28,17 +53,21 @@ def per_document(docs: DataFrame, make: Callable[[], Kernel], columns: str, id_c
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         kernel = make()
         for batch in batches:
-            row = batch.column(0) if carry else None
-            ids, texts = (row.field(id_at), row.field(text_at)) if carry else (batch.column(0), batch.column(1))
-            arrays = [ids.cast(pa.int64()), *kernel(texts)] + ([row] if carry else [])
-            yield pa.RecordBatch.from_arrays(arrays, ["doc_id", *made.names] + ["row"] * carry)
+            step = slice_rows or max(batch.num_rows, 1)
+            for at in range(0, batch.num_rows, step):
+                part = batch.slice(at, step)
+                row = part.column(0) if carry else None
+                ids, texts = (pc.struct_field(row, id_at), pc.struct_field(row, text_at)) if carry else (part.column(0), part.column(1))
+                arrays = [ids.cast(pa.int64()), *kernel(texts)] + ([row] if carry else [])
+                yield pa.RecordBatch.from_arrays(arrays, ["doc_id", *made.names] + ["row"] * carry)
+        trim()
 
     schema = T.StructType([T.StructField("doc_id", T.LongType()), *made.fields])
     if carry:
-        rows = docs.select(F.struct(*[docs[c] for c in docs.columns]).alias("row"))
+        rows = docs.select(whole_row(docs).alias("row"))
         schema.add(T.StructField("row", docs.schema))
     else:
-        rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
+        rows = docs.select(column(id_col).alias("doc_id"), column(text_col).alias("text"))
     return rows.mapInArrow(run, schema)
 
 
