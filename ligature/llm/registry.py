@@ -25,42 +25,50 @@ def _tokenizer(name: str) -> str:
 
 
 def op1_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from .secrets import sample_findings, scan, train
+    """Candidates of ``documents`` with the forest's verdict; trained amid lines of the same table."""
+    from .secrets import dictionary, plain_lines, sample_findings, scan, train
 
-    return scan(_table(spark, sf_dir, "documents"), train(sample_findings()))
+    docs, known = _table(spark, sf_dir, "documents"), dictionary(_tokenizer(WORD_TOKENIZER))
+    return scan(docs, train(sample_findings(known, plain_lines(docs)), known), known)
 
 
 def op2_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Quality of ``documents``, learned from ``labels`` outside the held-out fold."""
     from .quality_model import classify
 
     return classify(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
 
 
 def op3_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Three-word shingles of ``documents`` at 0.9."""
     from .ngram_join import ngram_jaccard_join
 
     return ngram_jaccard_join(_table(spark, sf_dir, "documents"), 3, 90, 100)
 
 
 def op4_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Counts under the piece vocabulary for ``documents``."""
     from .token_counts import count_tokens
 
     return count_tokens(_table(spark, sf_dir, "documents"), _tokenizer(PIECE_TOKENIZER))
 
 
 def op5_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The store of ``documents``, written and read again."""
     from .token_store import token_store
 
     return token_store(_table(spark, sf_dir, "documents"), _tokenizer(WORD_TOKENIZER), END_ID)
 
 
 def op6_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``documents`` packed into sequences of 1024 ids."""
     from .packing import pack
 
     return pack(_table(spark, sf_dir, "documents"), _tokenizer(BYTE_TOKENIZER), END_ID, CAPACITY)
 
 
 def op7_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Windows of ``benchmark`` in ``documents``, with a digest of the items."""
     from .decontaminate import find_passages
 
     found = find_passages(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
@@ -68,12 +76,14 @@ def op7_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame
 
 
 def op8_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``documents`` without passages that repeat earlier ones."""
     from .line_dedup import dedup_lines
 
     return dedup_lines(_table(spark, sf_dir, "documents")).select("row.doc_id", "n_lines", "n_removed", "row.text")
 
 
 def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The ledger of ``documents`` under the policies base and v1."""
     from .quality_rules import apply_policy, ledger
 
     book = apply_policy(apply_policy(ledger(_table(spark, sf_dir, "documents")), "base", "base_kept"), "v1")
@@ -81,6 +91,7 @@ def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Languages of ``documents``, learned outside the held-out fold."""
     from .language_id import identify, learn
     from .rowwise import held_out
 
@@ -90,11 +101,13 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Query]:
+    """Every query of this subpackage by name; each takes (spark, sf_dir)."""
     own = [op1_secret_scan, op2_quality_classifier, op3_ngram_jaccard_join, op4_token_counts, op5_token_store, op6_best_fit_packing, op7_benchmark_decontamination, op8_line_dedup, op9_quality_rules, op10_language_id]
     return {f.__name__: f for f in own}
 
 
 def oracle_sql() -> dict[str, str]:
+    """DuckDB SQL for the queries that SQL can express on whole tables."""
     from . import line_dedup, quality_rules
 
     return {"op8_line_dedup": line_dedup.sql(), "op9_quality_rules": quality_rules.sql()}

@@ -1,18 +1,21 @@
 """Secret scans: candidates by pattern, false positives removed by a random forest.
 
 Patterns find candidates in whole texts. The forest judges each from its length, the transitions
-between kinds of characters, its coverage by a dictionary, its path and the words beside it. It
-is trained from labelled findings, a table of (line, value, label), bounded by ``MAX_FINDINGS``;
-``sample_findings`` makes a labelled set of known kinds of secrets and of look-alikes.
+between kinds of characters, its coverage by a dictionary, its path and the words beside it. The
+dictionary is the whole words of a public tokenizer's vocabulary. The forest is trained from
+labelled findings, a table of (line, value, label), bounded by ``MAX_FINDINGS``;
+``sample_findings`` makes a labelled set of known kinds of secrets and of look-alikes, amid lines
+that are sampled from the documents and without a list that the features use.
 """
 
 from __future__ import annotations
 
 import hashlib
+import json
 import math
 import re
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 from dataclasses import dataclass
 
 import numpy as np
@@ -24,6 +27,9 @@ from ..storage import ship
 
 #: Labelled findings, at most, that a forest is trained on: a bounded sample by hash order.
 MAX_FINDINGS = 50_000
+#: Lines of the documents, at most, that stand around the values of ``sample_findings``; a sample
+#: by hash order, of lines of these lengths.
+MAX_LINES, LINE_CHARS = 2_000, (20, 400)
 
 # Prefixes and shapes of public token formats, and key names.
 FORMATS = {
@@ -42,29 +48,38 @@ KEY_NAMES = ["api", "key", "auth", "credential", "passwd", "password", "pwd", "s
 #: Names of keys as they stand in configurations, for the labelled findings.
 LONG_NAMES = ["DB_PASSWORD", "aws_secret_access_key", "GITHUB_TOKEN", "client_secret", "API-KEY", "x-api-key", "spring.datasource.password", "app.secret-key", "authToken"]
 DOUBT_WORDS = ["example", "sample", "test", "dummy", "placeholder", "changeme", "your", "todo", "checksum", "sha", "md5", "commit", "hash", "uuid", "xxx"]
-COMMON_WORDS = ["the", "and", "for", "that", "with", "this", "from", "have", "name", "value", "user", "data", "file", "path", "config", "default", "enabled", "disabled", "true", "false", "none", "null", "string", "number", "server", "client", "service", "version", "index", "table", "account", "address", "public", "private", "required", "optional", "password", "secret", "token", "example", "sample", "test", "dummy", "placeholder", "change", "your", "here", "insert"]
 
-_ANY = re.compile("|".join(f"(?P<{kind}>{p})" for kind, p in FORMATS.items()), re.IGNORECASE)
-_CASED = {kind: re.compile(p) for kind, p in FORMATS.items() if kind not in ("assigned", "private_key")}
+_FIXED = re.compile("|".join(f"(?P<{kind}>{p})" for kind, p in FORMATS.items() if kind != "assigned"))
+_ASSIGNED = re.compile(FORMATS["assigned"], re.IGNORECASE)
 #: A text without any of these has no candidate; found at the speed of a plain search.
 _HINTS = re.compile(r"AKIA|ASIA|gh[pousr]_|xox|AIza|k_live_|eyJ|BEGIN|key|auth|credential|passw|pwd|secret|token", re.IGNORECASE)
 _WORD = re.compile(r"[A-Za-z]{3,}")
-_COMMON, _DOUBT = frozenset(COMMON_WORDS), frozenset(DOUBT_WORDS)
+_DOUBT = frozenset(DOUBT_WORDS)
+#: Characters on either side that are looked at, and those right before that may name a key.
+NEAR, NAME = 60, 40
 
-FEATURES = ["kind", "log_length", "entropy", "transitions", "digits", "uppers", "lowers", "others", "distinct", "dictionary", "hex", "dots", "slashes", "is_path", "key_before", "doubt_near", "doubt_inside", "words_near", "quoted", "longest_run"]
+FEATURES = ["kind", "log_length", "entropy", "transitions", "digits", "uppers", "lowers", "others", "distinct", "dictionary", "hex", "dots", "slashes", "is_path", "key_before", "doubt_before", "doubt_near", "doubt_inside", "words_near", "quoted", "longest_run"]
 
 
 def _kinds(value: str) -> list[int]:
     return [0 if c.isdigit() else 1 if c.isupper() else 2 if c.islower() else 3 for c in value]
 
 
-def describe(kind: str, value: str, before: str, after: str) -> list[float]:
-    """The features of a candidate between the texts around it."""
+def dictionary(path: str) -> frozenset[str]:
+    """Words of three ASCII letters or more that a tokenizer's vocabulary marks as whole."""
+    with open(path, encoding="utf-8") as f:
+        vocabulary = json.load(f)["model"]["vocab"]
+    whole = (t.removesuffix("</w>") for t in vocabulary if t.endswith("</w>"))
+    return frozenset(w for w in whole if len(w) >= 3 and w.isascii() and w.isalpha())
+
+
+def describe(kind: str, value: str, before: str, after: str, known: frozenset[str]) -> list[float]:
+    """The features of a candidate between the texts around it; ``known`` is the dictionary."""
     n, kinds = len(value), _kinds(value)
     counts = [kinds.count(k) / n for k in range(4)]
     chars = [c / n for c in Counter(value).values()]
-    covered = sum(len(w) for w in _WORD.findall(value) if w.lower() in _COMMON)
-    low, near = value.lower(), (before[-60:] + " " + after[:60]).lower()
+    covered = sum(len(w) for w in _WORD.findall(value) if w.lower() in known)
+    low, near = value.lower(), (before[-NEAR:] + " " + after[:NEAR]).lower()
     run = longest = 1
     for a, b in zip(value, value[1:], strict=False):
         run = run + 1 if a == b else 1
@@ -73,21 +88,24 @@ def describe(kind: str, value: str, before: str, after: str) -> list[float]:
     return [
         float(list(FORMATS).index(kind)), math.log(n), -sum(p * math.log2(p) for p in chars), sum(a != b for a, b in zip(kinds, kinds[1:], strict=False)) / max(n - 1, 1), *counts, len(chars) / n, covered / n,
         float(all(c in "0123456789abcdef" for c in low)), value.count(".") / n, value.count("/") / n, float(bool(re.match(r"[./~]|[A-Za-z]:\\|https?:", value))),
-        float(any(k in near[-80:] for k in KEY_NAMES)), float(any(w.lower() in _DOUBT for w in beside)), float(any(w in low for w in DOUBT_WORDS)), sum(w in _COMMON for w in beside) / (len(beside) + 1), float(before[-1:] in "\"'"), longest / n,
+        float(any(k in before[-NAME:].lower() for k in KEY_NAMES)), float(any(w in _DOUBT for w in _WORD.findall(before[-NAME:].lower()))), float(any(w in _DOUBT for w in beside)), float(any(w in low for w in DOUBT_WORDS)), sum(w in known for w in beside) / (len(beside) + 1), float(before[-1:] in ("'", '"')), longest / n,
     ]
 
 
 def candidates(text: str) -> Iterator[tuple[str, int, int]]:
-    """(kind, start, end) of the values in a text, by code points, from left to right."""
+    """(kind, start, end) of the values in a text, by code points, from left to right.
+
+    A candidate inside another is left out; of two with the same span the fixed format stays.
+    """
     if not _HINTS.search(text):
         return
-    for m in _ANY.finditer(text):
-        kind = m.lastgroup if m.lastgroup != "value" else "assigned"
-        if kind == "assigned" and m["value"] is None:
-            continue
-        if kind in _CASED and not _CASED[kind].fullmatch(m[0]):
-            continue
-        yield (kind, *(m.span("value") if kind == "assigned" else m.span()))
+    found = [(*m.span(), m.lastgroup) for m in _FIXED.finditer(text)]
+    found += [(*m.span("value"), "assigned") for m in _ASSIGNED.finditer(text) if m["value"] is not None]
+    reached = 0
+    for a, b, kind in sorted(found, key=lambda f: (f[0], -f[1], f[2] == "assigned")):
+        if b > reached:
+            yield kind, a, b
+            reached = b
 
 
 @dataclass
@@ -151,19 +169,44 @@ class Forest:
         return total / len(self.roots)
 
 
-def sample_findings(n: int = 2000, seed: int = 5) -> list[tuple[str, str, int]]:
-    """Labelled findings (line, value, label): random tokens of known kinds, and look-alikes."""
+def plain_lines(docs: DataFrame, limit: int = MAX_LINES, text_col: str = "text") -> list[str]:
+    """Lines of the documents without a candidate, ``limit`` at most: those of the lowest hashes."""
+    line = docs.select(F.explode(F.split(F.col(text_col), "\n")).alias("line")).where(F.char_length("line").between(*LINE_CHARS))
+    rows = line.orderBy(F.xxhash64("line"), "line").limit(limit).collect()
+    return [r.line for r in rows if next(candidates(r.line), None) is None]
+
+
+def sample_findings(words: Sequence[str], lines: Sequence[str] = (), n: int = 2000, seed: int = 5) -> list[tuple[str, str, int]]:
+    """Labelled findings (line, value, label): random tokens of known kinds, and look-alikes.
+
+    Look-alikes are made of ``words``; around the values stand pieces of ``lines``, or random
+    words where there are none.
+    """
     rng = np.random.default_rng(seed)
     alnum = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789"
+    words = sorted(words)
 
     def draw(chars: str, size: int) -> str:
         return "".join(chars[k] for k in rng.integers(0, len(chars), size))
 
-    def words(k: int) -> list[str]:
-        return [COMMON_WORDS[i] for i in rng.integers(0, len(COMMON_WORDS), k)]
+    def some(k: int) -> list[str]:
+        return [words[i] for i in rng.integers(0, len(words), k)]
 
     def prose(k: int) -> list[str]:
-        """Words of any language, and marks."""
+        """Words of a document, of the dictionary or of no language, with marks."""
+        pick = int(rng.integers(0, 5))
+        if pick < 2 and lines:
+            own = lines[int(rng.integers(0, len(lines)))].split()
+            at = int(rng.integers(0, max(1, len(own) - k)))
+            return own[at : at + k]
+        if pick == 2:
+            return some(k)
+        if pick == 3:  # addresses and words of doubt stand beside secrets as well
+            own = some(k)
+            for _ in range(min(k, 2)):
+                odd = DOUBT_WORDS[int(rng.integers(0, len(DOUBT_WORDS)))]
+                own[int(rng.integers(0, k))] = (odd, f"{some(1)[0]}@{odd}.com", f"{some(1)[0]}.{rng.integers(0, 99)}@mail.example")[int(rng.integers(0, 3))]
+            return own
         return [draw("abcdefghijklmnopqrstuvwxyz", int(rng.integers(1, 11))) + ("", "", "", ",", ".", "###", "!!", " |")[int(rng.integers(0, 8))] for _ in range(k)]
 
     def pem(line) -> str:
@@ -174,7 +217,7 @@ def sample_findings(n: int = 2000, seed: int = 5) -> list[tuple[str, str, int]]:
     out = []
     for _ in range(n):
         names = (KEY_NAMES, LONG_NAMES)[int(rng.integers(0, 2))]
-        key, around = names[int(rng.integers(0, len(names)))], " ".join((words, prose, prose)[int(rng.integers(0, 3))](int(rng.integers(0, 8))))
+        key, around = names[int(rng.integers(0, len(names)))], " ".join(prose(int(rng.integers(0, 12))))
         sign, quote = (" = ", ": ", "=")[int(rng.integers(0, 3))], ('"', "'", "")[int(rng.integers(0, 3))]
         real = [
             lambda: (f"{around} {key}{sign}{quote}", draw("0123456789abcdef", int(rng.choice([32, 40, 48, 64])))),
@@ -190,25 +233,25 @@ def sample_findings(n: int = 2000, seed: int = 5) -> list[tuple[str, str, int]]:
             lambda: (f"{around} ", f"xox{draw('abpr', 1)}-{draw('0123456789', 11)}-{draw('0123456789', 12)}-{draw(alnum, 24)}"),
         ]
         fake = [
-            lambda: (f"{around} {key}{sign}{quote}", "_".join(words(2)) or "some_value"),
-            lambda: (f"{around} {key}{sign}{quote}", "your-" + "-".join(words(2)) + "-here"),
+            lambda: (f"{around} {key}{sign}{quote}", "_".join(some(2))),
+            lambda: (f"{around} {key}{sign}{quote}", "your-" + "-".join(some(2)) + "-here"),
             lambda: (f"{around} {key}{sign}{quote}", "x" * int(rng.integers(8, 40))),
-            lambda: (f"{around} {key}{sign}{quote}", "/".join(["", *words(3)])),
-            lambda: (f"{around} {key}{sign}{quote}", ".".join(words(3))),
+            lambda: (f"{around} {key}{sign}{quote}", "/".join(["", *some(3)])),
+            lambda: (f"{around} {key}{sign}{quote}", ".".join(some(3))),
             lambda: (f"{around} commit sha token{sign}{quote}", draw("0123456789abcdef", 40)),
             lambda: (f"{around} example ", "AKIA" + "EXAMPLE" + draw("ABCDEFGHI", 9)),
-            lambda: (f"{around} {key}{sign}{quote}", "".join(words(2)) + ","),
+            lambda: (f"{around} {key}{sign}{quote}", "".join(some(2)) + ","),
             lambda: (f"{around} ", pem(lambda: ("...", "x" * 64, "your key here")[int(rng.integers(0, 3))])),
             lambda: (f"{around} example ", "eyJ" + ".".join("x" * int(rng.integers(12, 40)) for _ in range(3))),
-            lambda: (f"{around} ", f"xox{draw('abpr', 1)}-your-" + "-".join(words(2)) + "-here"),
+            lambda: (f"{around} ", f"xox{draw('abpr', 1)}-your-" + "-".join(some(2)) + "-here"),
         ]
         for label, makers in ((1, real), (0, fake)):
             before, value = makers[int(rng.integers(0, len(makers)))]()
-            out.append((f"{before}{value}{quote if before.endswith(quote) else ''}{('', ' ', '###', '.')[int(rng.integers(0, 4))]} {' '.join((words, prose)[int(rng.integers(0, 2))](3))}", value, label))
+            out.append((f"{before}{value}{quote if before.endswith(quote) else ''}{('', ' ', '###', '.')[int(rng.integers(0, 4))]} {' '.join(prose(int(rng.integers(0, 12))))}", value, label))
     return out
 
 
-def train(findings: list[tuple[str, str, int]], limit: int = MAX_FINDINGS) -> Forest:
+def train(findings: list[tuple[str, str, int]], known: frozenset[str], limit: int = MAX_FINDINGS) -> Forest:
     """From (line, value, label). Beyond ``limit`` the findings of the lowest hashes are taken."""
     if len(findings) > limit:
         findings = sorted(findings, key=lambda f: hashlib.md5(repr(f).encode()).digest())[:limit]
@@ -216,7 +259,7 @@ def train(findings: list[tuple[str, str, int]], limit: int = MAX_FINDINGS) -> Fo
     for line, value, label in findings:
         for kind, a, b in candidates(line):
             if line[a:b] == value or value in line[a:b]:
-                x.append(describe(kind, line[a:b], line[:a], line[b:]))
+                x.append(describe(kind, line[a:b], line[:a], line[b:], known))
                 y.append(label)
                 break
     if not y:
@@ -227,7 +270,7 @@ def train(findings: list[tuple[str, str, int]], limit: int = MAX_FINDINGS) -> Fo
 _FOUND = "doc_id long, nth int, kind string, start int, length int, secret string, score double, is_secret boolean"
 
 
-def scan(docs: DataFrame, forest: Forest, threshold: float = 0.5, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def scan(docs: DataFrame, forest: Forest, known: frozenset[str], threshold: float = 0.5, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per candidate of a whole text: doc_id, nth, kind, start, length, secret, score,
     is_secret. ``start`` and ``length`` count code points; ``nth`` counts from 0 in the text.
 
@@ -236,9 +279,10 @@ def scan(docs: DataFrame, forest: Forest, threshold: float = 0.5, id_col: str =
     """
     spark = docs.sparkSession
     ship(spark)
-    shared = spark.sparkContext.broadcast(forest)
+    shared = spark.sparkContext.broadcast((forest, known))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        judge, words = shared.value
         for batch in batches:
             rows, x = [], []
             for at in range(0, batch.num_rows, 512):
@@ -246,8 +290,8 @@ def scan(docs: DataFrame, forest: Forest, threshold: float = 0.5, id_col: str =
                 for d, text in zip(some.column(0).to_pylist(), some.column(1).to_pylist(), strict=True):
                     for k, (kind, a, b) in enumerate(candidates(text or "")):
                         rows.append((d, k, kind, a, b - a, text[a:b]))
-                        x.append(describe(kind, text[a:b], text[max(0, a - 60) : a], text[b : b + 60]))
-            p = shared.value.score(np.array(x)) if x else np.zeros(0)
+                        x.append(describe(kind, text[a:b], text[max(0, a - NEAR) : a], text[b : b + NEAR], words))
+            p = judge.score(np.array(x)) if x else np.zeros(0)
             cols = list(zip(*rows, strict=True)) if rows else [[]] * 6
             kinds = [pa.int64(), pa.int32(), pa.string(), pa.int32(), pa.int32(), pa.string()]
             arrays = [pa.array(c, t) for c, t in zip(cols, kinds, strict=True)] + [pa.array(p, pa.float64()), pa.array(p >= threshold)]
