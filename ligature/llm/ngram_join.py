@@ -1,36 +1,33 @@
 """Similarity join of documents' word n-gram sets under Jaccard, by vertical partitioning.
 
-The global order of n-grams is that of their 64-bit hashes. Cutting it into fragments cuts every
+n-grams are 64-bit hashes, and the order of the hashes is cut into fragments. That cuts every
 document's sorted set into segments, and whatever is counted is counted per fragment and summed.
 
 *Support.* The support of a set is how many of its n-grams some other set holds. A set of size n
-has a link only if its support reaches the threshold's share of n, and two sets link only if the
-smaller of their supports allows it. Every fragment holds all occurrences of its n-grams, so
-supports are counted there, fragment by fragment, and summed per set. Most sets end here.
-
-*Candidates.* Two sets that reach the threshold differ in at most D n-grams, where D follows from
-their sizes. Among more than D fragments at least one is then untouched: the two documents have
-the same segment there. So documents meet on (level of size, fragment, hash of the segment). The
-levels grow by a factor and a document near a border meets the level below too, hence no pair is
-missed. Small sets meet on segments of several independent cuts together, which are more telling.
-A set that leaves too many fragments empty for the argument is listed as thin; it meets others on
-its rarest n-grams, so many that a set which shares none of them cannot link with it.
+has a link only if its support reaches the threshold's share of n. Every fragment holds all
+occurrences of its n-grams, so supports are counted there, fragment by fragment, and summed per
+set. Most sets end here.
+
+*Candidates.* The n-grams of the sets that are left are ordered by how many of these sets hold
+them, rarest first. Two sets of sizes m and n that link share at least a n-grams, where a follows
+from the threshold and m + n. At the first n-gram that they share, in that order, a n-grams are
+left in both, it included. So sets meet on n-grams near the beginning of their order, and a place
+too far down for the two sizes rules a pair out. Rare n-grams that nobody shares come first, so
+sets with many of them don't meet on the common ones.
 
 *Overlaps.* The overlap of a candidate pair is counted per fragment, where only two segments
 meet, and the partial counts are summed per pair.
 
 Copies and hot groups: equal sets are one vertex. Where many sets meet, all are compared with one
-of them, the best supported; the pairs of others are compared only if their sets are still in
-different components and their sizes and supports allow a link. So no group is expanded into all
-its pairs, while every link between components is found and the components are exact.
+of them, the best supported, and those that are still in another component with the best of
+these. Only then are the pairs across components compared, and only where the places allow it. So
+no group is expanded into all its pairs, while every link between components is found and the
+components are exact.
 """
 
 from __future__ import annotations
 
-import math
-from bisect import bisect_right
-from collections.abc import Iterator
-from dataclasses import dataclass, field
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -51,77 +48,8 @@ FRAGMENTS = 8
 FRAGMENT_GRAMS, BATCH_GRAMS = 1 << 21, 1 << 18
 _SETS = "doc_id long, key long, n long"
 _CUTS = "fragment int, keys binary, sizes binary, base binary, grams binary, common binary"
-_SEGMENTS = "key long, n long, fragment int, grams array<long>, sigs array<long>, thin boolean"
-
-
-@dataclass
-class Levels:
-    """Size levels for the threshold num / den, and how each cuts the order."""
-
-    num: int
-    den: int
-    floor: list[int] = field(default_factory=lambda: [1])
-
-    def __post_init__(self):
-        self.cuts: dict[tuple[int, int], np.ndarray] = {}
-        self.shapes: dict[int, int] = {}
-
-    def _extend(self, n: int) -> None:
-        while self.floor[-1] <= n:
-            b = self.floor[-1]
-            self.floor.append(max(3 * b // 2, b * self.den // self.num) + 1)
-
-    def of(self, n: int) -> list[int]:
-        """The levels in which a set of size n meets others: its own, and that below if a smaller
-        partner can lie there."""
-        self._extend(n + 1)
-        g = bisect_right(self.floor, n) - 1
-        return [g] if not g or n * self.num > (self.floor[g] - 1) * self.den else [g, g - 1]
-
-    def apart(self, g: int) -> int:
-        """The most n-grams by which a pair of level g, its smaller set in g, may differ."""
-        self._extend(self.floor[g] + 1)
-        top = self.floor[g + 1] - 1
-        return (top + top * self.den // self.num) * (self.den - self.num) // (self.den + self.num)
-
-    def shape(self, g: int) -> tuple[int, int]:
-        """Fragments, and independent cuts that are combined."""
-        d, n = self.apart(g), self.floor[g]
-        if d <= 3:
-            return d + 1, {1: 3, 2: 2, 3: 2}.get(d, 1)
-        if g not in self.shapes:
-            k = d + 4
-            while True:  # n random n-grams should leave more than d of k fragments filled, by far
-                bare = math.exp(-n / k)
-                spread = math.sqrt(max(0.0, k * bare * (1 - (1 + n / k) * bare)))
-                if k * (1 - bare) - 5 * spread >= d + 1 or k >= 16 * n:
-                    break
-                k += 1 + k // 32
-            self.shapes[g] = k
-        return self.shapes[g], 1
-
-    def segments(self, grams: np.ndarray, g: int) -> tuple[np.ndarray, bool]:
-        """Signatures of a sorted set in level g, and whether it is thin there."""
-        d = self.apart(g)
-        if not d:  # only equal sets link
-            return np.zeros(0, np.uint64), False
-        k, cuts = self.shape(g)
-        if (g, k) not in self.cuts:
-            self.cuts[g, k] = np.array([(i << 64) // k for i in range(1, k)], np.uint64)
-        borders = self.cuts[g, k]
-        sums, sizes = np.zeros(1, np.uint64), np.zeros(1, np.int64)
-        for c in range(cuts):
-            by = grams if c == 0 else np.sort(W.mix(grams + _U(c)))
-            at = np.concatenate([[0], np.searchsorted(by, borders), [len(by)]])
-            total = np.zeros(len(by) + 1, np.uint64)
-            np.cumsum(W.mix(by ^ _U(0x5851F42D4C957F2D)), out=total[1:])
-            own = W.mix(total[at[1:]] - total[at[:-1]] + _U(c))
-            sums = (sums[:, None] * _U(0x9E3779B97F4A7C15) + own[None, :]).ravel()
-            sizes = (sizes[:, None] + np.diff(at)[None, :]).ravel()
-        full = sizes > 0
-        thin = not full.all() if cuts > 1 else int(full.sum()) <= d
-        place = (np.arange(len(sums), dtype=np.uint64) << _U(20)) + _U(g)
-        return W.mix(sums + W.mix(place + _U(1)))[full], thin
+_COUNTS = "bucket int, keys binary, counts binary"
+_SEGMENTS = "key long, n long, fragment int, grams array<long>"
 
 
 def _gram_sets(texts: pa.Array, n: int) -> Iterator[tuple[int, np.ndarray]]:
@@ -232,31 +160,50 @@ def _cut_batch(sets: list[tuple[int, np.ndarray]], fragments: int, home: int, nu
     return pa.RecordBatch.from_arrays(arrays, ["fragment", "keys", "sizes", "base", "grams", "common"])
 
 
-def _count_fragment(cut: pa.Table) -> pa.Table:
-    """Per set with n-grams in a fragment, how many of these another set holds, plus its ``base``."""
-    home = pc.not_equal(pc.binary_length(cut["base"]), 0)
-    fixed, cut = cut.filter(home), cut.filter(pc.invert(home))
-    keys, sizes = _unpacked(cut["keys"], np.int64), _unpacked(cut["sizes"], np.int32)
-    grams, common = _unpacked(cut["grams"], np.uint32), _unpacked(cut["common"], np.uint32)
-    names, rank = np.unique(keys, return_inverse=True)
-    both = np.concatenate([grams, common]).astype(np.uint64)
-    both <<= _U(32)
-    both[: len(grams)] |= np.repeat(rank.astype(np.uint32), sizes)
-    both[len(grams) :] |= _U(len(names))  # common ones: as if of a set of no name
-    both.sort()
-    first = np.ones(len(both), bool)
-    first[1:] = (both[1:] ^ both[:-1]) > _U(0xFFFFFFFF)
-    own = both.astype(np.uint32)  # the lower half; sorted within a gram
-    del both
-    starts = np.flatnonzero(first)
-    ends = np.append(starts[1:], len(own)) if len(own) else starts
-    held = np.repeat(own[starts] != own[ends - 1], ends - starts)
-    sums = np.bincount(own[held], minlength=len(names) + 1)[: len(names)]
-    some = np.flatnonzero(sums)
-    return pa.table({"key": np.concatenate([names[some], _unpacked(fixed["keys"], np.int64)]), "c": np.concatenate([sums[some], _unpacked(fixed["base"], np.int32).astype(np.int64)])})
-
-
-def _supported(docs: DataFrame, n: int, num: int, den: int, fragments: int, text_col: str) -> DataFrame:
+def _count_fragment(buckets: int) -> Callable[[pa.Table], pa.Table]:
+    """From a fragment's rows of ``_CUTS`` to rows of ``_COUNTS``, by the bucket of the key.
+
+    Per set with n-grams in the fragment, how many of these another set holds, plus its ``base``.
+    """
+
+    def run(cut: pa.Table) -> pa.Table:
+        home = pc.not_equal(pc.binary_length(cut["base"]), 0)
+        fixed, cut = cut.filter(home), cut.filter(pc.invert(home))
+        keys, sizes = _unpacked(cut["keys"], np.int64), _unpacked(cut["sizes"], np.int32)
+        grams, common = _unpacked(cut["grams"], np.uint32), _unpacked(cut["common"], np.uint32)
+        names, rank = np.unique(keys, return_inverse=True)
+        both = np.concatenate([grams, common]).astype(np.uint64)
+        both <<= _U(32)
+        both[: len(grams)] |= np.repeat(rank.astype(np.uint32), sizes)
+        both[len(grams) :] |= _U(len(names))  # common ones: as if of a set of no name
+        both.sort()
+        first = np.ones(len(both), bool)
+        first[1:] = (both[1:] ^ both[:-1]) > _U(0xFFFFFFFF)
+        own = both.astype(np.uint32)  # the lower half; sorted within a gram
+        del both
+        starts = np.flatnonzero(first)
+        ends = np.append(starts[1:], len(own)) if len(own) else starts
+        held = np.repeat(own[starts] != own[ends - 1], ends - starts)
+        sums = np.bincount(own[held], minlength=len(names) + 1)[: len(names)]
+        some = np.flatnonzero(sums)
+        keys = np.concatenate([names[some], _unpacked(fixed["keys"], np.int64)])
+        counts = np.concatenate([sums[some].astype(np.int32), _unpacked(fixed["base"], np.int32)])
+        bucket = keys % buckets
+        order = np.argsort(bucket, kind="stable")
+        shown, n = np.unique(bucket, return_counts=True)
+        return pa.table({"bucket": shown.astype(np.int32), "keys": _packed(keys[order], n), "counts": _packed(counts[order], n)})
+
+    return run
+
+
+def _sum_counts(rows: pa.Table) -> pa.Table:
+    """The keys of a bucket whose counts sum to no less than 0."""
+    keys, at = np.unique(_unpacked(rows["keys"], np.int64), return_inverse=True)
+    sums = np.bincount(at, weights=_unpacked(rows["counts"], np.int32), minlength=len(keys))
+    return pa.table({"key": keys[sums >= 0]})
+
+
+def _supported(docs: DataFrame, n: int, num: int, den: int, fragments: int, buckets: int, text_col: str) -> DataFrame:
     """The keys of sets whose support allows a link.
 
     Each row of a set sends the n-grams and, once, what is missing to the need; so a set with
@@ -280,8 +227,8 @@ def _supported(docs: DataFrame, n: int, num: int, den: int, fragments: int, text
         trim()
 
     cut = docs.select(F.col(text_col).alias("text")).mapInArrow(run, _CUTS)
-    counted = cut.groupBy("fragment").applyInArrow(_count_fragment, "key long, c long")
-    return counted.groupBy("key").agg(F.sum("c").alias("surplus")).where("surplus >= 0").select("key")
+    counted = cut.groupBy("fragment").applyInArrow(_count_fragment(buckets), _COUNTS)
+    return counted.groupBy("bucket").applyInArrow(_sum_counts, "key long")
 
 
 def _wanted(sets: DataFrame) -> DataFrame:
@@ -292,12 +239,11 @@ def _wanted(sets: DataFrame) -> DataFrame:
     return least.select("key", "at.doc_id", (F.col("at.c") > 1).alias("repeated"))
 
 
-def _segments(docs: DataFrame, wanted: DataFrame, n: int, levels: Levels, id_col: str, text_col: str) -> DataFrame:
+def _segments(docs: DataFrame, wanted: DataFrame, n: int, id_col: str, text_col: str) -> DataFrame:
     """Sets of the wanted keys (see ``_wanted``), one row per key and fragment of the order.
 
-    The row of fragment 0 has ``sigs``, where the set meets others, and whether it is thin. Rows
-    that repeat an id and its key each come out of the join; only they are shuffled, to keep one
-    of each.
+    Rows that repeat an id and its key each come out of the join; only they are shuffled, to keep
+    one of each.
     """
     texts = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
     borders = np.array([(i << 64) // FRAGMENTS for i in range(1, FRAGMENTS)], np.uint64)
@@ -306,26 +252,21 @@ def _segments(docs: DataFrame, wanted: DataFrame, n: int, levels: Levels, id_col
         for batch in batches:
             for at in range(0, batch.num_rows, 512):
                 some = batch.slice(at, 512)
-                keys, sizes, grams, lengths, sigs, thin = [], [], [], [], [], []
+                keys, sizes, grams, lengths = [], [], [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)]
                 want = some.column(0).to_pylist()
                 for i, g in _gram_sets(some.column(1), n):
                     if not len(g) or _key(g) != want[i]:  # another text under the same id
                         continue
-                    made = [levels.segments(g, level) for level in levels.of(len(g))]
                     keys.append(want[i])
                     sizes.append(len(g))
                     grams.append(g)
                     lengths.append(np.diff(np.concatenate([[0], np.searchsorted(g, borders), [len(g)]])))
-                    sigs.append(np.concatenate([m[0] for m in made]))
-                    thin.append(any(m[1] for m in made))
-                shown = np.zeros((len(keys), FRAGMENTS), np.int64)
-                shown[:, 0] = [len(s) for s in sigs]
                 arrays = [
                     pa.array(np.repeat(np.array(keys, np.int64), FRAGMENTS)), pa.array(np.repeat(np.array(sizes, np.int64), FRAGMENTS)), pa.array(np.tile(np.arange(FRAGMENTS, dtype=np.int32), len(keys))),
-                    W.ragged(W.signed(np.concatenate([np.zeros(0, np.uint64), *grams])), np.concatenate([np.zeros(0, np.int64), *lengths])),
-                    W.ragged(W.signed(np.concatenate([np.zeros(0, np.uint64), *sigs])), shown.ravel()), pa.array(np.repeat(np.array(thin, bool), FRAGMENTS)),
+                    W.ragged(W.signed(np.concatenate(grams)), np.concatenate(lengths)),
                 ]
-                yield pa.RecordBatch.from_arrays(arrays, ["key", "n", "fragment", "grams", "sigs", "thin"])
+                yield pa.RecordBatch.from_arrays(arrays, ["key", "n", "fragment", "grams"])
+        trim()
 
     def cut_up(some: DataFrame) -> DataFrame:
         return texts.join(small_side(some), F.col("id").eqNullSafe(F.col("doc_id"))).select("key", "text").mapInArrow(run, _SEGMENTS)
@@ -346,27 +287,35 @@ def _verify(pairs: DataFrame, segments: DataFrame, num: int, den: int) -> DataFr
     return total.where(den * F.col("shared") >= num * (F.col("na") + F.col("nb") - F.col("shared"))).select("a", "b")
 
 
-def _allowed(num: int, den: int) -> Column:
-    """Whether the sizes (n, n2) and supports (s, s2) of two sets allow a link."""
-    most = F.least("s", "s2")
-    return den * most >= num * (F.col("n") + F.col("n2") - most)
+def _postings(segments: DataFrame, num: int, den: int) -> DataFrame:
+    """gram, key, n, rest, alone: the n-grams on which sets may meet another.
 
+    ``rest`` is how many n-grams of the set are left from this one on, in the order of rarity,
+    and ``alone`` the share of those that no other set holds.
+    """
+    single = segments.select("key", "n", F.explode("grams").alias("gram"))
+    often = single.groupBy("gram").agg(F.count("*").alias("df")).where("df > 1")
+    own = Window.partitionBy("key")
+    shared = single.join(often, "gram").select("key", "n", "gram", F.count("*").over(own).alias("s"), F.row_number().over(own.orderBy("df", "gram")).alias("nth"))
+    placed = shared.withColumn("rest", F.col("s") - F.col("nth") + 1)
+    return placed.where(den * F.col("rest") >= num * F.col("n")).select("gram", "key", "n", "rest", ((F.col("n") - F.col("s")) / F.col("n")).alias("alone"))
 
-def _thin_pairs(thin: DataFrame, single: DataFrame, often: DataFrame, fit: DataFrame, num: int, den: int) -> DataFrame:
-    """Candidates (a, b) of thin sets by their rarest n-grams.
 
-    ``single``: key, gram; ``often``: n-grams of several sets with their number; ``fit``: key, n,
-    s. A set that links with one of size n and support s shares n - need + 1 of its n-grams at
-    least with every choice of that many; n - s of them occur nowhere else and come first.
-    """
-    one = Window.partitionBy("key").orderBy("df", "gram")
-    own = single.join(small_side(thin), "key").join(often, "gram").withColumn("place", F.row_number().over(one))
-    rare = own.where(F.col("place") <= F.col("s") - _floor_need("n", num, den) + 1).select(F.col("key").alias("b"), "gram", F.col("n").alias("n2"), F.col("s").alias("s2"))
-    return rare.join(single.join(fit, "key").withColumnRenamed("key", "a"), "gram").where(F.col("a") != F.col("b")).where(_allowed(num, den)).select("a", "b").distinct()
+def _may_link(num: int, den: int) -> Column:
+    """Whether two sets that first meet here (n, rest and n2, rest2) may reach the threshold."""
+    return (num + den) * F.least("rest", "rest2") >= num * (F.col("n") + F.col("n2"))
 
 
-def _floor_need(n: str, num: int, den: int) -> Column:
-    return F.floor((F.col(n) * num + (den - 1)) / den)
+def _star(met: DataFrame, num: int, den: int, first: DataFrame | None = None) -> DataFrame:
+    """Pairs (a, b) of all sets that meet on an n-gram with the best supported of them.
+
+    ``met``: postings with ``part``, the component; pairs within one are left out. With ``first``
+    (gram, of) the best is taken among those outside the component ``of``.
+    """
+    best = F.min(F.struct("alone", "key", "n", "rest", "part")).alias("head")
+    among = met if first is None else met.join(first, "gram").where(F.col("part") != F.col("of"))
+    heads = among.groupBy("gram").agg(best).select("gram", F.col("head.key").alias("b"), F.col("head.n").alias("n2"), F.col("head.rest").alias("rest2"), F.col("head.part").alias("part2"))
+    return met.join(heads, "gram").where((F.col("part") != F.col("part2")) & _may_link(num, den)).select(F.col("key").alias("a"), "b").distinct()
 
 
 def ngram_jaccard_join(docs: DataFrame, n: int = 5, num: int = 4, den: int = 5, id_col: str = "doc_id", text_col: str = "text", keys: bool = False) -> DataFrame:
@@ -410,41 +359,33 @@ def set_keys(docs: DataFrame, n: int, id_col: str = "doc_id", text_col: str = "t
 
 def _components(docs: DataFrame, sets: DataFrame, n: int, num: int, den: int, id_col: str, text_col: str) -> DataFrame:
     """node and component, both keys, of the sets that have a link."""
-    levels = Levels(num, den)
     total = sets.agg(F.sum("n")).first()[0] or 0
-    able = materialize(_supported(docs, n, num, den, max(1, -(-total // FRAGMENT_GRAMS)), text_col), "able")
+    # Enough buckets that the counts of one stay small.
+    buckets = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), total >> 22)
+    able = materialize(_supported(docs, n, num, den, max(1, -(-total // FRAGMENT_GRAMS)), buckets, text_col), "able")
     wanted = materialize(_wanted(sets.join(small_side(able), "key", "left_semi")), "wanted")
-    segments = materialize(_segments(docs, wanted, n, levels, id_col, text_col), "segments")
+    segments = materialize(_segments(docs, wanted, n, id_col, text_col), "segments")
     release(able, wanted)
-
-    # Supports once more, among the sets that are left.
-    single = segments.select("key", F.explode("grams").alias("gram"))
-    often = materialize(single.groupBy("gram").agg(F.count("*").alias("df")).where("df > 1"), "often")
-    supports = single.join(often, "gram").groupBy("key").agg(F.count("*").alias("s"))
-    sized = segments.where("fragment = 0")
-    fit = materialize(sized.select("key", "n").join(supports, "key").where(F.col("s") >= _floor_need("n", num, den)), "fit")
-
-    spots = sized.select("key", F.explode("sigs").alias("sig")).join(small_side(fit), "key")
-    best = F.min(F.struct(((F.col("n") - F.col("s")) / F.col("n")).alias("alone"), "key", "n", "s")).alias("head")
-    heads = spots.groupBy("sig").agg(F.count("*").alias("c"), best).where("c > 1").select("sig", "head")
-    met = materialize(spots.join(heads, "sig"), "met")
-    star = met.where(F.col("key") != F.col("head.key")).select(F.col("key").alias("a"), F.col("head.key").alias("b"), "n", "s", F.col("head.n").alias("n2"), F.col("head.s").alias("s2")).where(_allowed(num, den)).select("a", "b").distinct()
-    thin = materialize(fit.join(sized.where("thin").select("key"), "key", "left_semi"), "thin")
-    if not thin.isEmpty():
-        star = star.union(_thin_pairs(thin, single, often, fit, num, den))
-    star = materialize(star, "star")
-    links = materialize(_verify(star, segments, num, den), "links")
-    release(star, often, thin, fit)
-
-    # Where sets of several components meet, all pairs across them that may link.
-    parts = materialize(connected_components(links, "a", "b"), "parts")
-    placed = met.join(small_side(parts), F.col("key") == F.col("node"), "left").select("sig", "key", "n", "s", F.coalesce("component", "key").alias("part"))
-    mixed = placed.groupBy("sig").agg(F.min("part").alias("one"), F.max("part").alias("two")).where("one != two").select("sig")
-    left = materialize(placed.join(mixed, "sig"), "mixed")
-    release(met, parts)
-    right = left.select("sig", *[F.col(c).alias(f"{c}2") for c in ("key", "n", "s", "part")])
-    pairs = left.join(right, "sig").where((F.col("part") < F.col("part2")) & _allowed(num, den)).select(F.col("key").alias("a"), F.col("key2").alias("b")).distinct()
-    pairs = materialize(pairs, "pairs")
-    found = materialize(_verify(pairs, segments, num, den), "links")
-    release(left, pairs, segments)
-    return materialize(connected_components(links.union(found), "a", "b"), "parts")
+    postings = materialize(_postings(segments, num, den), "postings")
+
+    pairs = materialize(_star(postings.withColumn("part", F.col("key")), num, den), "pairs")
+    links = materialize(_verify(pairs, segments, num, den), "links")
+    release(pairs)
+    for last in (False, True):
+        parts = materialize(connected_components(links, "a", "b"), "parts")
+        placed = postings.join(small_side(parts), F.col("key") == F.col("node"), "left").select(*postings.columns, F.coalesce("component", "key").alias("part"))
+        best = placed.groupBy("gram").agg(F.min("part").alias("one"), F.max("part").alias("two"), F.min(F.struct("alone", "key", "part")).alias("head"))
+        mixed = materialize(best.where("one != two").select("gram", F.col("head.part").alias("of")), "mixed")
+        met = materialize(placed.join(mixed.select("gram"), "gram"), "met")
+        if not last:
+            pairs = _star(met, num, den, mixed)
+        else:  # what is outside the best one's component, with all across
+            here = met.join(mixed, "gram").where(F.col("part") != F.col("of")).drop("of", "alone")
+            there = met.select("gram", *[F.col(c).alias(f"{c}2") for c in ("key", "n", "rest", "part")])
+            across = here.join(there, "gram").where((F.col("part") != F.col("part2")) & _may_link(num, den))
+            pairs = across.select(F.least("key", "key2").alias("a"), F.greatest("key", "key2").alias("b")).distinct()
+        pairs = materialize(pairs, "pairs")
+        found = materialize(_verify(pairs, segments, num, den), "links")
+        release(pairs, met, mixed, parts)
+        links = materialize(links.union(found), "links")
+    return materialize(connected_components(links, "a", "b"), "parts")
