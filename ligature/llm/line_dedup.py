@@ -94,16 +94,17 @@ def repeated_ranges(docs: DataFrame, min_words: int = 50, id_col: str = "doc_id"
     lines = materialize(numbered, "lines")
     found = materialize(_fingerprints(lines, min_words), "fingerprints")
     place = F.struct("k0", "k1", "p")
-    several = found.groupBy("h").agg(F.min(place).alias("first"), F.max(place).alias("last")).where("first != last").select("h", "first")
-    known = materialize(_with_context(found.join(several.select("h"), "h", "left_semi"), lines), "contexts")
-    release(lines, found)
+    several = materialize(found.groupBy("h").agg(F.min(place).alias("first"), F.max(place).alias("last")).where("first != last").select("h"), "repeated")
+    known = materialize(_with_context(found.join(small_side(several), "h", "left_semi"), lines), "contexts")
+    release(lines, found, several)
 
     # Extension from the first place of each fingerprint.
     first = known.groupBy("h").agg(F.min(F.struct("k0", "k1", "p", "lo", "held")).alias("e"))
-    later = known.join(first, "h").where(place > F.struct("e.k0", "e.k1", "e.p"))
-    at, at_first = F.col("p") - F.col("lo"), F.col("e.p") - F.col("e.lo")
-    right = _run(F.slice("held", at + 1, F.size("held")), F.slice("e.held", at_first + 1, F.size("e.held")))
-    left = _run(F.reverse(F.slice("held", F.lit(1), at)), F.reverse(F.slice("e.held", F.lit(1), at_first)))
+    first = materialize(first.select("h", "e.*").toDF("h", "e0", "e1", "ep", "elo", "eheld"), "first-places")
+    later = known.join(small_side(first), "h").where(place > F.struct(F.col("e0").alias("k0"), F.col("e1").alias("k1"), F.col("ep").alias("p")))
+    at, at_first = F.col("p") - F.col("lo"), F.col("ep") - F.col("elo")
+    right = _run(F.slice("held", at + 1, F.size("held")), F.slice("eheld", at_first + 1, F.size("eheld")))
+    left = _run(F.reverse(F.slice("held", F.lit(1), at)), F.reverse(F.slice("eheld", F.lit(1), at_first)))
     extended = later.select("k0", "k1", "lo", "held", "windows", (F.col("p") - left).alias("from"), (F.col("p") + right - 1).alias("to"))
     extended = materialize(extended, "extended")
 
@@ -120,8 +121,8 @@ def repeated_ranges(docs: DataFrame, min_words: int = 50, id_col: str = "doc_id"
     lines_of = F.transform(F.slice("held", F.col("w.lo") - F.col("lo") + 1, F.col("w.hi") - F.col("w.lo") + 1), lambda x: x["h"])
     whole = materialize(rest.select("k0", "k1", pos(F.col("w.lo")).alias("lo"), pos(F.col("w.hi")).alias("hi"), F.xxhash64(lines_of).alias("match")), "unmatched")
     place = F.struct("k0", "k1", "lo")
-    again = whole.groupBy("match").agg(F.min(place).alias("first"), F.max(place).alias("last")).where("first != last")
-    others = whole.join(again.select("match", "first"), "match").where(place > F.col("first")).select("k0", "k1", "lo", "hi")
+    again = materialize(whole.groupBy("match").agg(F.min(place).alias("first"), F.max(place).alias("last")).where("first != last").select("match", "first"), "first-windows")
+    others = whole.join(small_side(again), "match").where(place > F.col("first")).select("k0", "k1", "lo", "hi")
 
     in_doc = Window.partitionBy("k0", "k1").orderBy("lo", "hi")
     reached = F.max("hi").over(in_doc.rowsBetween(Window.unboundedPreceding, -1))
