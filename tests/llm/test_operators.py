@@ -120,7 +120,7 @@ def test_supports_are_counted_whole(spark, monkeypatch, fragments):
         for x in g:
             held[x] = held.get(x, 0) + 1
     want = {k for k, g in sets.items() if sum(held[x] > 1 for x in g) * 5 >= 4 * len(g)}
-    assert {r.key for r in J._supported(made, 3, 4, 5, fragments, "text").collect()} == want
+    assert {r.key for r in J._supported(made, 3, 4, 5, fragments, 5, "text").collect()} == want
     assert 0 < len(want) < len(sets)
 
 
@@ -140,51 +140,36 @@ def repeated_rows():
 
 
 @pytest.mark.parametrize(("n", "num", "den"), [(3, 90, 100), (5, 4, 5)])
-@pytest.mark.parametrize("thin", [False, True])
-def test_ngram_join_of_repeated_rows(spark, monkeypatch, n, num, den, thin):
-    from ligature.llm import ngram_join as J
-
-    def all_thin(self, grams, g, cut=J.Levels.segments):
-        return cut(self, grams, g)[0][:0], self.apart(g) > 0
+def test_ngram_join_of_repeated_rows(spark, n, num, den):
+    from ligature.llm.ngram_join import ngram_jaccard_join
 
-    if thin:
-        monkeypatch.setattr(J.Levels, "segments", all_thin)
     texts = repeated_rows()
-    got = rows(J.ngram_jaccard_join(spark.createDataFrame(texts, "doc_id long, text string").repartition(3), n, num, den))
+    got = rows(ngram_jaccard_join(spark.createDataFrame(texts, "doc_id long, text string").repartition(3), n, num, den))
     assert got == brute_components(texts, n, num, den)
 
 
-def test_ngram_join_of_thin_sets(spark, monkeypatch):
-    """The exact way for sets with too many empty fragments."""
-    from ligature.llm import ngram_join as J
-
-    texts = similar(np.random.default_rng(3), 120)
-    want = brute_components(texts, 2, 4, 5)
-    assert rows(J.ngram_jaccard_join(spark.createDataFrame(texts, "doc_id long, text string"), 2, 4, 5)) == want
-
-    def all_thin(self, grams, g, cut=J.Levels.segments):
-        return cut(self, grams, g)[0][:0], self.apart(g) > 0
-
-    monkeypatch.setattr(J.Levels, "segments", all_thin)
-    assert rows(J.ngram_jaccard_join(spark.createDataFrame(texts, "doc_id long, text string"), 2, 4, 5)) == want
-
-
-@pytest.mark.parametrize(("num", "den"), [(9, 10), (4, 5), (1, 2)])
-def test_similar_sets_share_a_segment(num, den):
-    from ligature.llm.ngram_join import Levels
+@pytest.mark.parametrize(("seed", "num", "den"), [(0, 4, 5), (1, 9, 10), (2, 1, 2), (3, 4, 5)])
+def test_ngram_join_of_families(spark, seed, num, den):
+    """Families with and without their base, at every distance from it, and chains of small steps."""
+    from ligature.llm.ngram_join import ngram_jaccard_join
 
-    rng, levels = np.random.default_rng(1), Levels(num, den)
-    for _ in range(300):
-        n = int(rng.integers(2, 600))
-        a = np.unique(rng.integers(0, 2**63, n).astype(np.uint64))
-        gone = int(rng.integers(0, len(a) // 3 + 1))
-        b = np.unique(np.concatenate([rng.permutation(a)[: len(a) - gone], rng.integers(0, 2**63, int(rng.integers(0, gone + 2))).astype(np.uint64)]))
-        both = len(np.intersect1d(a, b))
-        if not len(b) or den * both < num * (len(a) + len(b) - both) or np.array_equal(a, b):
-            continue
-        made = [[levels.segments(x, g) for g in levels.of(len(x))] for x in (a, b)]
-        sigs = [set(np.concatenate([m[0] for m in ms]).tolist()) for ms in made]
-        assert sigs[0] & sigs[1] or any(m[1] for ms in made for m in ms)
+    rng, out = np.random.default_rng(seed), []
+    for f in range(6):
+        base = [f"b{f}w{j}" for j in range(int(rng.integers(20, 90)))]
+        for _ in range(14):
+            own = list(base)
+            for _ in range(int(rng.integers(0, max(2, len(base) // 6)))):
+                at = int(rng.integers(0, len(own)))
+                own[at : at + int(rng.integers(0, 2))] = [f"x{rng.integers(0, 8)}"]
+            out.append(" ".join(own))
+        step = list(base)
+        for _ in range(8):  # each next to the last, far from the first
+            step = step[2:] + [f"s{rng.integers(0, 10**6)}"]
+            out.append(" ".join(step))
+    texts = [(int(i), out[i]) for i in rng.permutation(len(out))]
+    got = rows(ngram_jaccard_join(spark.createDataFrame(texts, "doc_id long, text string").repartition(4), 2, num, den))
+    want = brute_components(texts, 2, num, den)
+    assert got == want and 6 <= len({w[0] for w in want}) < len(texts)
 
 
 # ---- op5, op6 --------------------------------------------------------------------------------
