@@ -92,9 +92,15 @@ def bin_parts(name: Column) -> tuple[Column, Column]:
 
 
 def natural_key(name: Column) -> Column:
-    """Orders names as people do: digits by value. Up to 18 digits in a run."""
+    """Orders names as people do: digits by value, however many, before other characters."""
     parts = F.regexp_extract_all(name, F.lit("([0-9]+|[^0-9]+)"))
-    return F.transform(parts, lambda p: F.when(p.rlike("^[0-9]"), F.struct(F.lit(0).alias("kind"), F.try_to_number(p, F.lit("9" * 18)).cast("long").alias("number"), F.lit("").alias("text"))).otherwise(F.struct(F.lit(1).alias("kind"), F.lit(0).cast("long").alias("number"), p.alias("text"))))
+
+    def key(part: Column) -> Column:
+        value = F.ltrim(part, F.lit("0"))  # of two numbers without leading zeros the longer is larger
+        digits = F.struct(F.lit(0).alias("kind"), F.char_length(value).alias("size"), value.alias("text"))
+        return F.when(part.rlike("^[0-9]"), digits).otherwise(F.struct(F.lit(1).alias("kind"), F.lit(0).alias("size"), part.alias("text")))
+
+    return F.transform(parts, key)
 
 
 def composition(seqs: DataFrame, pattern: str, name: str = "name", seq: str = "seq") -> DataFrame:

@@ -6,6 +6,8 @@ compared within an iteration.
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -64,8 +66,33 @@ def core_agreement(cores: DataFrame) -> DataFrame:
     return met.groupBy("core_a", "core_b").agg((F.count("*") / F.first("of")).alias("agreement"))
 
 
+def close_cores(cores: DataFrame, overlap: float = 0.8) -> DataFrame:
+    """core_a < core_b and agreement where it reaches ``overlap``.
+
+    Two such cores differ in few iterations, at most d. Of d + 1 stretches of the iterations one
+    is then the same in both, so cores meet on whole stretches in place of single labels, and a
+    label that many cores share brings together only those that share its neighbours too.
+    """
+    of = cores.agg(F.max(F.size("labels"))).first()[0] or 0
+    need = math.ceil(overlap * of - EPSILON * of) if of else 0
+    parts = min(of, of - need + 1)
+    borders = [k * of // parts for k in range(parts + 1)] if parts else []
+    stretch = F.array(*[F.struct(F.lit(k).alias("k"), F.slice("labels", a + 1, b - a).alias("held")) for k, (a, b) in enumerate(zip(borders, borders[1:], strict=False))])
+    if not parts:
+        return cores.select(F.col("core_id").alias("core_a"), F.col("core_id").alias("core_b"), F.lit(1.0).alias("agreement")).limit(0)
+    each = cores.select("core_id", "labels", F.explode(stretch).alias("x")).select("core_id", "labels", "x.k", F.xxhash64("x.held").alias("h"))
+    a = each.select(F.col("core_id").alias("core_a"), F.col("labels").alias("la"), "k", "h")
+    b = each.select(F.col("core_id").alias("core_b"), F.col("labels").alias("lb"), "k", "h")
+    same = F.aggregate(F.zip_with("la", "lb", lambda x, y: (x == y).cast("int")), F.lit(0), lambda s, v: s + v)
+    met = a.join(b, ["k", "h"]).where("core_a < core_b").select("core_a", "core_b", (same / F.size("la")).alias("agreement"))
+    return met.where(F.col("agreement") >= overlap - EPSILON).distinct()
+
+
 def overlapping_bins(agreement: DataFrame, cores: DataFrame, overlap: float = 0.8) -> DataFrame:
-    """core_id and bin: components of cores that agree by ``overlap``, numbered from 1 by least core."""
+    """core_id and bin: components of cores that agree by ``overlap``, numbered from 1 by least core.
+
+    ``agreement`` may hold all pairs (``core_agreement``) or only the close ones (``close_cores``).
+    """
     edges = agreement.where(F.col("agreement") >= overlap - EPSILON).select(F.col("core_a").alias("src"), F.col("core_b").alias("dst"))
     found = connected_components(edges)
     placed = cores.join(found, F.col("core_id") == F.col("node"), "left").select("core_id", F.coalesce("component", "core_id").alias("component"))

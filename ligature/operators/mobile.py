@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
-import numpy as np
+import heapq
+import math
+from collections.abc import Iterable
+
 import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -19,42 +22,53 @@ def element_contacts(pairs: DataFrame, elements: DataFrame, min_gap: int = 1000)
     return far.groupBy(F.least("c1", "c2").alias("i"), F.greatest("c1", "c2").alias("j")).agg(F.count("*").alias("n"))
 
 
-def merge_greedily(raw: np.ndarray, threshold: float) -> list[tuple[int, int, float]]:
-    """The merges (i, j, score) of one dense matrix, best score first.
+def merge_greedily(contacts: Iterable[tuple[int, int, float]], threshold: float) -> list[tuple[int, int, float]]:
+    """The merges (i, j, score) of one sparse matrix (i <= j, n), best score first.
 
     Scores are contacts over the root of both diagonals (0 if one is 0). While the best exceeds
     the threshold, the first such pair in row order merges: j's contacts go to i, whose scores
-    are worked out anew, and j leaves.
+    are worked out anew, and j leaves. A heap holds the pairs above the threshold; those of an
+    end that has changed since are passed over. Memory follows the contacts, not their square.
     """
-    raw = np.triu(raw.astype(float))
-    inner = np.diag(raw).copy()
-    sym = raw + raw.T
-    np.fill_diagonal(sym, 0.0)
-    n = len(raw)
-
-    def scores_of(contacts: np.ndarray, own: float) -> np.ndarray:
-        base = own * inner
-        return np.divide(contacts, np.sqrt(base), out=np.zeros(n), where=base > 0)
-
-    score = np.zeros((n, n))
-    for i in range(n):
-        score[i, i + 1 :] = scores_of(sym[i], inner[i])[i + 1 :]
+    inner: dict[int, float] = {}
+    around: dict[int, dict[int, float]] = {}
+    for i, j, n in contacts:
+        if i == j:
+            inner[i] = inner.get(i, 0.0) + n
+            around.setdefault(i, {})
+        else:
+            for a, b in ((i, j), (j, i)):
+                near = around.setdefault(a, {})
+                near[b] = near.get(b, 0.0) + n
+    turn = dict.fromkeys(around, 0)
+    heap: list[tuple[float, int, int, int, int]] = []
+
+    def offer(a: int, b: int) -> None:
+        base = inner.get(a, 0.0) * inner.get(b, 0.0)
+        score = around[a][b] / math.sqrt(base) if base > 0 else 0.0
+        if score > threshold:
+            i, j = min(a, b), max(a, b)
+            heapq.heappush(heap, (-score, i, j, turn[i], turn[j]))
+
+    for a, near in around.items():
+        for b in near:
+            if a < b:
+                offer(a, b)
     merges = []
-    while n > 1:
-        flat = int(score.argmax())
-        i, j = divmod(flat, n)
-        best = float(score[i, j])
-        if not best > threshold:
-            break
-        merges.append((i, j, best))
-        inner[i] += inner[j] + sym[i, j]
-        sym[i] += sym[j]
-        sym[:, i] = sym[i]
-        sym[i, i] = inner[j] = 0.0
-        sym[j] = sym[:, j] = 0.0
-        score[j] = score[:, j] = 0.0
-        new = scores_of(sym[i], inner[i])
-        score[i, i + 1 :], score[:i, i] = new[i + 1 :], new[:i]
+    while heap:
+        score, i, j, ti, tj = heapq.heappop(heap)
+        if turn[i] != ti or turn[j] != tj:
+            continue
+        merges.append((i, j, -score))
+        inner[i] = inner.get(i, 0.0) + inner.pop(j, 0.0) + around[i].pop(j)
+        gone = around.pop(j)
+        turn[i], turn[j] = ti + 1, -1
+        for k, n in gone.items():
+            if k != i:
+                del around[k][j]
+                around[i][k] = around[k][i] = around[i].get(k, 0.0) + n
+        for k in around[i]:
+            offer(i, k)
     return merges
 
 
@@ -101,10 +115,8 @@ def bin_elements(contacts: DataFrame, elements: DataFrame, threshold: float = 0.
     def solve(pdf: pd.DataFrame) -> pd.DataFrame:
         ids = sorted(set(pdf["i"]) | set(pdf["j"]))
         at = {v: k for k, v in enumerate(ids)}
-        raw = np.zeros((len(ids), len(ids)))
-        for i, j, n in zip(pdf["i"], pdf["j"], pdf["n"], strict=True):
-            raw[at[min(i, j)], at[max(i, j)]] += n
-        rows = bins_of_merges(ids, merge_greedily(raw, threshold))
+        own = ((at[min(i, j)], at[max(i, j)], float(n)) for i, j, n in zip(pdf["i"], pdf["j"], pdf["n"], strict=True))
+        rows = bins_of_merges(ids, merge_greedily(own, threshold))
         out = pd.DataFrame(rows, columns=["id", "bin", "score"])
         out["bin"] = out.groupby("bin")["id"].transform("min")
         return out.astype({"id": "int64", "bin": "int64", "score": "float64"})
@@ -195,3 +207,24 @@ def guest_histogram(found: DataFrame, hosts: DataFrame, top: int = 3) -> DataFra
     per = found.groupBy(F.col("mag").alias("_m")).agg(F.count("*").alias("g"))
     own = hosts.select("mag").distinct().join(per, F.col("mag") == F.col("_m"), "left")
     return own.groupBy(F.least(F.coalesce("g", F.lit(0)), F.lit(top)).cast("long").alias("n_guests")).agg(F.count("*").alias("n_mags"))
+
+
+def signal_frame(noise: DataFrame, bins: DataFrame, quality: DataFrame) -> DataFrame:
+    """The frame behind the noise plot: mag, type, class, signal, log_signal, scaled_signal.
+
+    One row per bin for its inner signal (0 if none), and one per pair of different bins and side
+    for the signal between them, 0 where the two do not meet. Logarithms are scaled over each type.
+    The number of rows is that of pairs of bins, as plotted; bins are few beside contigs.
+    """
+    own = bins.select(F.col("bin").alias("mag")).distinct()
+    inner = noise.where("mag1 = mag2").select(F.col("mag1").alias("_m"), "signal")
+    intra = own.join(inner, F.col("mag") == F.col("_m"), "left").select("mag", F.lit("intra").alias("type"), F.coalesce("signal", F.lit(0.0)).alias("signal"))
+    between = noise.where("mag1 != mag2")
+    both = between.select(F.col("mag1").alias("_m"), "signal").unionByName(between.select(F.col("mag2").alias("_m"), "signal"))
+    met = both.groupBy("_m").agg(F.array_sort(F.collect_list("signal")).alias("found"))
+    others = bins.select("bin").distinct().agg((F.count("*") - 1).cast("int").alias("_n"))  # one row
+    missing = F.array_repeat(F.lit(0.0), F.greatest(F.col("_n") - F.size(F.coalesce("found", F.array().cast("array<double>"))), F.lit(0)))
+    every = F.concat(F.coalesce("found", F.array().cast("array<double>")), missing)
+    inter = own.join(met, F.col("mag") == F.col("_m"), "left").join(F.broadcast(others)).select("mag", F.lit("inter").alias("type"), F.explode(every).alias("signal"))
+    frame = log_scaled(intra, "signal").unionByName(log_scaled(inter, "signal"))
+    return frame.join(quality.select(F.col("bin").alias("_q"), "class"), F.col("mag") == F.col("_q"), "left").select("mag", "type", F.coalesce("class", F.lit("Unknown")).alias("class"), "signal", "log_signal", "scaled_signal")

@@ -33,17 +33,21 @@ def join_mates(forward: DataFrame, reverse: DataFrame) -> DataFrame:
     return one.join(two, "read_id")
 
 
-def pair_interleaved(alignments: DataFrame, min_quality: int = 30) -> DataFrame:
+def pair_interleaved(alignments: DataFrame, min_quality: int = 30, strict: bool = False) -> DataFrame:
     """Pairs from one table with both mates (``first`` tells which), by the read's name.
 
     Both mates must be mapped, not supplementary, and have the quality. Positions from 0 become
-    positions from 1, each mate's its own.
+    positions from 1, each mate's its own. With ``strict`` a read whose mate is missing from the
+    table, so that the two do not stand under one name, is an error when the result is read.
     """
     bits = F.col("flag")
-    kept = alignments.where((bits.bitwiseAND(F.lit(4)) == 0) & (bits.bitwiseAND(F.lit(2048 | 256)) == 0))
+    kept = alignments.where(bits.bitwiseAND(F.lit(2048 | 256)) == 0)
     end = F.struct("contig", (F.col("pos") + 1).alias("pos"), F.when(bits.bitwiseAND(F.lit(16)) != 0, "-").otherwise("+").alias("strand"), "mapq")
-    first = bits.bitwiseAND(F.lit(64)) != 0
-    mates = kept.groupBy("read_id").agg(F.max(F.when(first, end)).alias("a"), F.max(F.when(~first, end)).alias("b"))
+    first, mapped = bits.bitwiseAND(F.lit(64)) != 0, bits.bitwiseAND(F.lit(4)) == 0
+    mates = kept.groupBy("read_id").agg(F.max(F.when(first & mapped, end)).alias("a"), F.max(F.when(~first & mapped, end)).alias("b"), F.count_if(first).alias("n1"), F.count_if(~first).alias("n2"))
+    if strict:
+        alone = F.concat(F.lit("reads should be paired: "), F.col("read_id"))
+        mates = mates.where(F.when((F.col("n1") == 1) & (F.col("n2") == 1), F.lit(True)).otherwise(F.raise_error(alone).cast("boolean")))
     both = mates.where(F.col("a").isNotNull() & F.col("b").isNotNull() & (F.least("a.mapq", "b.mapq") >= min_quality))
     return both.select("read_id", F.col("a.contig").alias("c1"), F.col("a.pos").alias("pos1"), F.col("a.strand").alias("strand1"), F.col("b.contig").alias("c2"), F.col("b.pos").alias("pos2"), F.col("b.strand").alias("strand2"))
 

@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..storage import materialize
+from .consensus import ordinals
+
 COUNTS = ["weird", "loops", "religated", "informative_intra", "informative_inter", "noise", "intra_contigs"]
 
 
@@ -131,17 +134,35 @@ def _below(at: Column):
     return lambda site: site < at
 
 
-def fragment_index(pairs: DataFrame, sites: DataFrame) -> DataFrame:
+def site_buckets(sites: DataFrame, width: int = 10_000) -> DataFrame:
+    """contig, bucket, last, base, near: sites by stretches of ``width`` bases.
+
+    ``base`` is how many sites lie before the stretch, ``near`` those inside; every stretch up
+    to that of the contig's last site has a row, and ``last`` is its number.
+    """
+    each = sites.select("contig", F.posexplode("sites").alias("nth", "site")).withColumn("bucket", F.floor(F.col("site") / width).cast("long"))
+    held = each.groupBy("contig", "bucket").agg(F.count("*").alias("n"), F.array_sort(F.collect_list("site")).alias("near"))
+    spread = each.groupBy("contig").agg(F.max("bucket").alias("last")).select("contig", "last", F.explode(F.sequence(F.lit(0).cast("long"), "last")).alias("bucket"))
+    rows = spread.join(held, ["contig", "bucket"], "left")
+    before = F.sum(F.coalesce("n", F.lit(0))).over(Window.partitionBy("contig").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1))
+    return rows.select("contig", "bucket", "last", F.coalesce(before, F.lit(0)).alias("base"), F.coalesce("near", F.array().cast(each.select(F.array("site")).schema[0].dataType)).alias("near"))
+
+
+def fragment_index(pairs: DataFrame, sites: DataFrame, width: int = 10_000) -> DataFrame:
     """Adds frag1 and frag2: how many sites of the contig (contig, sites: ascending) lie before.
 
-    The list of a contig's sites travels with the join, so a pair finds its place without a
-    range join.
+    An end looks at the sites of its own stretch alone, which an equi-join finds; positions past
+    the last site's stretch look there. Contigs without a site have fragment 0.
     """
+    made = materialize(site_buckets(sites, width), "site-buckets")
+    last = made.where("bucket = 0").select(F.col("contig").alias("_t"), F.col("last").alias("_last"))
     for k in ("1", "2"):
-        side = sites.select(F.col("contig").alias(f"_s{k}"), F.col("sites").alias(f"_l{k}"))
         at = F.col(f"pos{k}")
-        before = F.size(F.filter(F.col(f"_l{k}"), _below(at)))
-        pairs = pairs.join(side, F.col(f"c{k}") == F.col(f"_s{k}"), "left").withColumn(f"frag{k}", F.coalesce(F.greatest(before, F.lit(0)), F.lit(0))).drop(f"_s{k}", f"_l{k}")
+        stretch = F.least(F.floor(at / width).cast("long"), F.col("_last"))
+        side = made.select(F.col("contig").alias("_s"), F.col("bucket").alias("_b"), "base", "near")
+        pairs = pairs.join(last, F.col(f"c{k}") == F.col("_t"), "left").withColumn("_at", stretch).join(side, (F.col(f"c{k}") == F.col("_s")) & (F.col("_at") == F.col("_b")), "left")
+        found = F.col("base") + F.size(F.filter("near", _below(at)))
+        pairs = pairs.withColumn(f"frag{k}", F.coalesce(found, F.lit(0))).drop("_t", "_last", "_at", "_s", "_b", "base", "near")
     return pairs
 
 
@@ -185,3 +206,66 @@ def row_shares(counts: DataFrame, group: str, class_col: str, value: str) -> Dat
     """Share in percent of each class within its group (the frame behind stacked bars)."""
     total = counts.groupBy(F.col(group).alias("_g")).agg(F.sum(value).alias("_t"))
     return counts.join(total, F.col(group) == F.col("_g")).select(group, class_col, F.try_divide(F.col(value) * F.lit(100.0), F.col("_t")).alias("share"))
+
+
+def with_final_bins(contigs: DataFrame, records: DataFrame) -> DataFrame:
+    """Final_bin of contigs by the bins' sequence records (bin, name); what is in none keeps its own."""
+    named = records.select(F.col("name").alias("_n"), F.col("bin").alias("_b")).groupBy("_n").agg(F.max("_b").alias("_b"))
+    found = contigs.join(named, F.col("Name") == F.col("_n"), "left")
+    return found.withColumn("Final_bin", F.coalesce("_b", "Final_bin")).drop("_n", "_b")
+
+
+def bins_by_prefix(members: DataFrame, mobile: str = "MetaTOR_MGE_", host: str = "metator_", column: str = "bin") -> DataFrame:
+    """Adds ``kind``: mobile or host by how a bin's name begins; other contigs drop out."""
+    name = F.col(column)
+    kind = F.when(F.startswith(name, F.lit(mobile)), "mobile").when(F.startswith(name, F.lit(host)), "host")
+    return members.withColumn("kind", kind).where("kind is not null")
+
+
+def with_quality(members: DataFrame, summary: DataFrame) -> DataFrame:
+    """Bins with completeness, redundancy and host class; bins without a summary are Unknown."""
+    own = members.select("bin").distinct().join(summary.select(F.col("bin").alias("_b"), "completeness", "redundancy"), F.col("bin") == F.col("_b"), "left").drop("_b")
+    return own.withColumn("class", class_for_hosts(F.col("completeness"), F.col("redundancy")))
+
+
+def coverage_frame(contigs: DataFrame, summary: DataFrame) -> DataFrame:
+    """The contigs behind the box plots: bin, id, size, gc, coverage, hic_cov, size_weight, class.
+
+    Contigs without a bin (ND) are left out; hic_cov is 100 hits per base, size_weight the size
+    over the smallest size, cut to a whole number. ``weighted`` repeats rows by it.
+    """
+    own = contigs.where("bin != 'ND'")
+    least = own.agg(F.min("size").alias("_s"))  # one row
+    of = summary.select(F.col("bin").alias("_b"), class_for_figures(F.col("completeness"), F.col("redundancy")).alias("class"))
+    found = own.join(F.broadcast(least)).join(of, F.col("bin") == F.col("_b"))
+    return found.select("bin", "id", "size", "gc", "coverage", (F.lit(100) * F.col("hit") / F.col("size")).alias("hic_cov"), F.floor(F.col("size") / F.col("_s")).cast("int").alias("size_weight"), "class")
+
+
+def weighted(frame: DataFrame, weight: str = "size_weight") -> DataFrame:
+    """Each row as often as its weight says; none for 0, less or null."""
+    n = F.greatest(F.coalesce(F.col(weight), F.lit(0)), F.lit(0)).cast("int")
+    return frame.withColumn("_x", F.explode(F.array_repeat(F.lit(1), n))).drop("_x")
+
+
+def box_frame(frame: DataFrame, value: str, weight: str = "size_weight") -> DataFrame:
+    """bin, class, n, low, q1, median, q3, high of a value per bin, each contig counting ``weight`` times.
+
+    The order of the plot is ``place``: bins by falling median, then by name.
+    """
+    cuts = F.percentile(F.col(value), F.array(*[F.lit(p) for p in (0.0, 0.25, 0.5, 0.75, 1.0)]), F.col(weight).cast("long"))
+    own = frame.groupBy("bin", "class").agg(F.sum(F.col(weight).cast("long")).alias("n"), cuts.alias("c"))
+    named = own.select("bin", "class", "n", *[F.col("c")[k].alias(x) for k, x in enumerate(("low", "q1", "median", "q3", "high"))])
+    return ordinals(named.withColumn("_m", -F.col("median")), ["_m", "bin"], "place").drop("_m")
+
+
+def completeness_frame(summary: DataFrame, cap: float = 105.0) -> DataFrame:
+    """place, bin, completeness, redundancy: bins by falling completeness, redundancy no higher than ``cap``."""
+    own = summary.select("bin", "completeness", F.least("redundancy", F.lit(cap)).alias("redundancy"), (-F.col("completeness")).alias("_c"))
+    return ordinals(own, ["_c", "bin"], "place").drop("_c")
+
+
+def viral_pie(viral: DataFrame) -> DataFrame:
+    """class, n, size, share: the summary of mobile bins with the percent of all their size."""
+    own = viral_summary(viral)
+    total = own.agg(F.sum("size").alias("_t"))  # one row
+    return own.join(F.broadcast(total)).select("class", "n", "size", F.try_divide(F.col("size") * F.lit(100.0), F.col("_t")).alias("share"))

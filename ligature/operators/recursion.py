@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..storage import materialize
 from .community import cluster
-from .consensus import core_agreement, core_bins, core_members, label_vectors, overlapping_bins
+from .consensus import close_cores, core_bins, core_members, label_vectors, overlapping_bins
 from .layout import recursive_ids
 from .network import induced
 from .quality import compare_generations, contaminated
@@ -30,7 +30,7 @@ def recluster(edges: DataFrame, members: DataFrame, iterations: int = 10, overla
     whole = vectors.join(members.select(F.col("id").alias("_i"), "bin"), F.col("id") == F.col("_i"))
     split = materialize(whole.select("id", F.transform("labels", lambda x: F.concat_ws("/", "bin", x.cast("string"))).alias("labels")), "labels")
     cores = materialize(core_bins(split), "cores")
-    found = overlapping_bins(core_agreement(cores), cores, overlap)
+    found = overlapping_bins(close_cores(cores, overlap), cores, overlap)
     named = core_members(split, cores).join(found.withColumnRenamed("bin", "label"), "core_id").select("id", "label")
     return named.join(members.select(F.col("id").alias("_i"), F.col("bin").alias("over_id")), F.col("id") == F.col("_i")).select("over_id", "label", "id")
 

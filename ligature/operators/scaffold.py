@@ -6,7 +6,9 @@ groups; within a bin, matching is a sequence of choices and runs in one kernel.
 
 from __future__ import annotations
 
-import numpy as np
+import heapq
+from collections.abc import Iterable
+
 import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -16,25 +18,45 @@ from ..storage import ship
 _PATHS = "bin string, scaffold int, rank int, nth int, is_reverse boolean, circular boolean"
 
 
-def match_ends(n: int, scores: list[tuple[int, int, float]], threshold: float, sure: float = 5.0) -> list[tuple[int, int]]:
+def match_ends(scores: Iterable[tuple[int, int, float]], threshold: float, sure: float = 5.0) -> list[tuple[int, int]]:
     """Pairs of ends, each end once, by falling score.
 
     An end with a single candidate above the threshold comes first if its score exceeds
     ``sure`` times the threshold, the best of such; else the best of all, in row order on ties.
+    Only scores above the threshold are held, in two heaps: all, and those of ends with one left.
     """
-    m = np.zeros((2 * n, 2 * n))
+    near: dict[int, dict[int, float]] = {}
     for i, j, s in scores:
-        if i // 2 != j // 2:
-            m[i, j] = m[j, i] = s
+        if i // 2 != j // 2 and s > threshold:
+            near.setdefault(i, {})[j] = near.setdefault(j, {})[i] = s
+    every = [(-s, i, j) for i, row in near.items() for j, s in row.items() if i < j]
+    alike: dict[float, list[tuple[int, int]]] = {}
+    for s, i, j in sorted(every, reverse=True):
+        alike.setdefault(-s, []).append((i, j))  # popped in row order
+    heapq.heapify(every)
+    lone = [e for e in every if len(near[e[1]]) == 1 or len(near[e[2]]) == 1]
+    heapq.heapify(lone)
+
+    def top(heap: list[tuple[float, int, int]]) -> float:
+        while heap and heap[0][2] not in near.get(heap[0][1], ()):
+            heapq.heappop(heap)
+        return -heap[0][0] if heap else 0.0
+
     pairs = []
-    while m.size and (top := m.max()) > threshold:
-        one = (m > threshold).sum(axis=1) == 1
-        lone = m[one].max() if one.any() else 0.0
-        pick = lone if lone > sure * threshold else top
-        i, j = divmod(int((m == pick).argmax()), 2 * n)
+    while (best := top(every)) > threshold:
+        single = top(lone)
+        same = alike[single if single > sure * threshold else best]
+        i, j = same.pop()
+        while j not in near.get(i, ()):
+            i, j = same.pop()
         pairs.append((i, j))
-        m[[i, j]] = 0.0
-        m[:, [i, j]] = 0.0
+        for end in (i, j):
+            for other in near.pop(end):
+                if other in near:
+                    del near[other][end]
+                    if len(near[other]) == 1:
+                        (last, s), = near[other].items()
+                        heapq.heappush(lone, (-s, min(other, last), max(other, last)))
     return pairs
 
 
@@ -80,7 +102,7 @@ def scaffolds(scores: DataFrame, contigs: DataFrame, threshold: float = 0.05) ->
     def solve(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
         listed = pdf["end_j"] < 0
         n = int(listed.sum())
-        rows = paths(n, match_ends(n, sorted(pdf.loc[~listed, ["end_i", "end_j", "score"]].itertuples(index=False, name=None)), threshold))
+        rows = paths(n, match_ends(sorted(pdf.loc[~listed, ["end_i", "end_j", "score"]].itertuples(index=False, name=None)), threshold))
         return pd.DataFrame([(key[0], *r) for r in rows], columns=["bin", "scaffold", "rank", "nth", "is_reverse", "circular"]).astype({"scaffold": "int32", "rank": "int32", "nth": "int32"})
 
     return ends.unionByName(own).groupBy("bin").applyInPandas(solve, _PATHS)

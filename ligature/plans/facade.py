@@ -6,12 +6,14 @@ from __future__ import annotations
 from collections.abc import Callable
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions.sequences import site_pattern
 from ..operators import community, consensus, layout, mobile, quality, recursion, scaffold
 from ..operators import network as net
 from ..operators.pairs import drop_duplicates, join_mates, keep_alignments, one_based, unknown_contigs, upper_triangle
+from ..sources import readers
 from ..storage import materialize
 
 NEEDS = {"abundance": ["coverage"], "rs": ["rs"], "theoritical_hit": ["coverage", "rs"]}
@@ -51,6 +53,23 @@ def build_network(pairs: DataFrame, contigs: DataFrame, normalisation: str = "em
     return Network(contigs, net.hits(pairs), net.network(pairs, contigs, normalisation, edge, self_contacts, per_sample), net.contact_ratio(pairs, contigs, edge))
 
 
+def network_of_files(spark: SparkSession, fasta: str | list[str], pairs: str | list[str], depth: str | None = None, enzymes: str | None = None, normalisation: str = "empirical_hit", edge: int = 0, self_contacts: bool = False) -> Network:
+    """From an assembly, pairs and a depth table, as files, to the network.
+
+    Contigs get ids in the order of the assembly; pairs name contigs, and names become ids.
+    """
+    contigs = materialize(readers.assembly(spark, fasta, depth, site_pattern(enzymes) if enzymes else None), "contigs")
+    named = readers.read_pairs(spark, pairs)
+    stray = unknown_contigs(named, contigs, "name").limit(3).collect()
+    if stray:
+        raise KeyError(f"pairs name contigs that are not listed: {[r.contig for r in stray]}")
+    for k in ("1", "2"):
+        side = contigs.select(F.col("id").alias(f"_i{k}"), F.col("name").alias(f"_n{k}"))
+        named = named.join(side, F.col(f"c{k}") == F.col(f"_n{k}")).withColumn(f"c{k}", F.col(f"_i{k}")).drop(f"_i{k}", f"_n{k}")
+    rows = materialize(upper_triangle(named.withColumn("sample", F.lit(0))), "pairs")
+    return build_network(rows, contigs, normalisation, edge, self_contacts)
+
+
 @dataclass
 class Partition:
     table: DataFrame
@@ -70,9 +89,8 @@ def partition(edges: DataFrame, contigs: DataFrame, algorithm: str = "louvain",
     vectors = materialize(consensus.label_vectors(runs), "vectors")
     cores = materialize(consensus.core_bins(vectors), "cores")
     members = materialize(consensus.core_members(vectors, cores), "members")
-    agreement = materialize(consensus.core_agreement(cores), "agreement")
-    bins = materialize(consensus.overlapping_bins(agreement, cores, overlap), "bins")
-    return Partition(consensus.partition_table(contigs, members, cores, bins), members, cores, agreement, bins)
+    bins = materialize(consensus.overlapping_bins(consensus.close_cores(cores, overlap), cores, overlap), "bins")
+    return Partition(consensus.partition_table(contigs, members, cores, bins), members, cores, consensus.core_agreement(cores), bins)
 
 
 def validate(edges: DataFrame, contigs: DataFrame, bins: DataFrame, quality_of: Callable[[DataFrame], DataFrame], **options) -> tuple[DataFrame, DataFrame]:
@@ -95,25 +113,23 @@ def pipeline(pairs: DataFrame, contigs: DataFrame, quality_of: Callable[[DataFra
     return validate(edges, contigs, bins, quality_of, size=size, seed=seed)
 
 
-def library_quality(pairs: DataFrame, contigs: DataFrame, bin_quality: DataFrame, sites: DataFrame, loop_sites: int, uncut_sites: int) -> DataFrame:
+def library_quality(pairs: DataFrame, contigs: DataFrame, bin_quality: DataFrame, sites: DataFrame, loop_sites: int, uncut_sites: int, completeness: float = 0.7, redundancy: float = 1.15, size: int = 100_000) -> DataFrame:
     """Events and ratios over pairs of good contigs. Thresholds are given, never guessed."""
-    good = materialize(quality.good_contigs(contigs, bin_quality), "good")
+    good = materialize(quality.good_contigs(contigs, bin_quality, completeness, redundancy, size), "good")
     own = quality.fragment_index(quality.pairs_of(pairs, good), sites)
     return quality.library_ratios(quality.library_events(own, loop_sites, uncut_sites), good.select("bin").distinct().count())
 
 
 def object_map(pairs: DataFrame, contigs: DataFrame, column: str, value: str, bin_size: int = 5000, min_size: int = 5000, unique: bool = True) -> DataFrame:
     """The contact map of one object, with duplicates dropped first."""
-    own = layout.object_contigs(contigs, column, value, min_size).withColumn("_g", F.lit(value))
+    own = layout.object_contigs(contigs, column, value, min_size).withColumn("_object", F.lit(value))
     inside = pairs.join(own.select(F.col("id").alias("_a")), F.col("c1") == F.col("_a"), "left_semi").join(own.select(F.col("id").alias("_b")), F.col("c2") == F.col("_b"), "left_semi")
-    return layout.contact_map(drop_duplicates(inside) if unique else inside, layout.map_bins(own, bin_size, "_g"), bin_size)
+    return layout.contact_map(drop_duplicates(inside) if unique else inside, layout.map_bins(own, bin_size, "_object"), bin_size)
 
 
 def scaffold_bins(pairs: DataFrame, contigs: DataFrame, window: int = 5000, threshold: float = 0.05) -> DataFrame:
     """Scaffolds of every bin of ``contigs`` (id, name, size, bin), all at once."""
-    own = materialize(scaffold.numbered(contigs), "numbered")
-    wide = own.withColumn("_all", F.row_number().over(_by_id()) - 1)
-    place = materialize(wide.select("id", "name", "size", "bin", "nth", F.col("_all").cast("long").alias("all")), "places")
+    place = materialize(consensus.ordinals(scaffold.numbered(contigs), ["id"], "all").select("id", "name", "size", "bin", "nth", "all"), "places")
     scores = _scores(pairs, place.withColumnRenamed("nth", "_k").withColumnRenamed("all", "nth"), window)
     ends = place.select(F.explode(F.array(F.struct((F.col("all") * 2).alias("g"), (F.col("nth") * 2).alias("e")), F.struct((F.col("all") * 2 + 1).alias("g"), (F.col("nth") * 2 + 1).alias("e")))).alias("x"), "bin").select("x.g", "x.e", "bin")
     for k in ("i", "j"):
@@ -122,12 +138,6 @@ def scaffold_bins(pairs: DataFrame, contigs: DataFrame, window: int = 5000, thre
     return scaffold.scaffold_table(scaffold.scaffolds(local, place, threshold), place)
 
 
-def _by_id():
-    from pyspark.sql import Window
-
-    return Window.orderBy("id")
-
-
 def _scores(pairs: DataFrame, contigs: DataFrame, window: int) -> DataFrame:
     counts = materialize(layout.edge_contacts(pairs, layout.edge_windows(contigs, window)), "edge-counts")
     return layout.edge_scores(counts, layout.edge_norms(pairs, contigs, counts, window))
