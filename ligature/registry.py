@@ -41,10 +41,16 @@ def _query(sql: str | None = None, name: str | None = None):
 
 
 def queries() -> dict[str, Query]:
+    """Every query of the library by name; each takes (spark, sf_dir)."""
+    from . import registry_tables  # noqa: F401  adds its own
+
     return dict(_QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
+    """DuckDB SQL of the queries that SQL can express."""
+    from . import registry_tables  # noqa: F401
+
     return dict(_SQL)
 
 
@@ -98,37 +104,6 @@ def scan_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _upper(spark, sf_dir).select(*pairs.ENDS)
 
 
-@_query(with_views("SELECT sample, strand1, count(*) AS n FROM pairs WHERE mapq >= 30 GROUP BY sample, strand1"))
-def filter_mapq(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return P.pairs(spark, sf_dir).where("mapq >= 30").groupBy("sample", "strand1").agg(F.count("*").alias("n"))
-
-
-@_query(with_views("SELECT * FROM (" + " UNION ALL ".join(f"SELECT {e} AS edge, count(*) AS n_kept FROM pairs JOIN contigs x ON x.id = c1 JOIN contigs y ON y.id = c2 WHERE {_FAR.format(e=e)}" for e in (0, 500, 2500)) + ")"))
-def filter_edge(spark: SparkSession, sf_dir: str) -> DataFrame:
-    located = pairs.locate(P.pairs(spark, sf_dir), P.contigs(spark, sf_dir)).where("c1 != c2")
-    near = F.least("pos1", "pos2", F.col("size1") - F.col("pos1"), F.col("size2") - F.col("pos2"))
-    kept = located.agg(*[F.count_if(near > e).alias(str(e)) for e in (0, 500, 2500)])
-    return kept.select(F.explode(F.array(*[F.struct(F.lit(e).alias("edge"), F.col(str(e)).alias("n_kept")) for e in (0, 500, 2500)])).alias("x")).select("x.*")
-
-
-@_query(with_views("SELECT c1 = c2 AS intra, count(*) AS n FROM pairs GROUP BY 1"))
-def filter_self_contacts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return pairs.away_from_ends(P.pairs(spark, sf_dir), self_contacts=True).groupBy((F.col("c1") == F.col("c2")).alias("intra")).agg(F.count("*").alias("n"))
-
-
-@_query(with_views("SELECT DISTINCT read_id, c1, c2 FROM pairs"))
-def join_mates(spark: SparkSession, sf_dir: str) -> DataFrame:
-    reads = materialize(P.pairs(spark, sf_dir).select("read_id", "c1", "pos1", "strand1", "c2", "pos2", "strand2").dropDuplicates(["read_id"]), "reads")
-    one, two = (reads.select("read_id", F.col(f"c{k}").alias("contig"), F.col(f"pos{k}").alias("pos"), F.col(f"strand{k}").alias("strand")) for k in (1, 2))
-    return pairs.join_mates(one, two).select("read_id", "c1", "c2")
-
-
-@_query(with_views("SELECT c1, count(*) AS n FROM pairs WHERE c1 NOT IN (SELECT id FROM contigs WHERE kind > 40) GROUP BY c1"))
-def join_unlisted(spark: SparkSession, sf_dir: str) -> DataFrame:
-    long = P.contigs(spark, sf_dir).where("kind > 40").select("id")
-    return P.pairs(spark, sf_dir).join(long, F.col("c1") == F.col("id"), "left_anti").groupBy("c1").agg(F.count("*").alias("n"))
-
-
 @_query(with_views(f"{_UPPER} SELECT r.region AS r1, s.region AS r2, count(*) AS n FROM upper JOIN (SELECT id, 'a' || (id % 3) AS region, 1 AS lo, size // 2 AS hi FROM contigs) r ON r.id = c1 AND pos1 BETWEEN r.lo AND r.hi JOIN (SELECT id, 'a' || (id % 3) AS region, 1 AS lo, size // 2 AS hi FROM contigs) s ON s.id = c2 AND pos2 BETWEEN s.lo AND s.hi GROUP BY 1, 2"))
 def join_regions(spark: SparkSession, sf_dir: str) -> DataFrame:
     regions = P.contigs(spark, sf_dir).select(F.col("id").alias("contig"), F.concat(F.lit("a"), F.col("id") % 3).alias("region"), F.lit(1).alias("start"), F.floor(F.col("size") / 2).alias("end"))
@@ -299,11 +274,11 @@ def _children(spark: SparkSession, sf_dir: str) -> DataFrame:
     return own.groupBy("parent", F.concat_ws(".", "parent", F.col("kind") % 3).alias("bin")).agg((F.sum("kind") * 7 % 100 / F.lit(100.0)).alias("completeness"), F.lit(1.0).alias("redundancy"))
 
 
-@_query(with_views(f"""{_CHILDREN}, best AS (SELECT parent, max(completeness) AS best FROM children GROUP BY parent), judged AS (SELECT q.bin, coalesce(best - 0.4::DOUBLE > (completeness - 0.4::DOUBLE) / 1.6::DOUBLE, false) AS ok FROM bin_quality q LEFT JOIN best b ON b.parent = q.bin)
- SELECT bin, false AS recursive, CAST(NULL AS INTEGER) AS step FROM judged WHERE NOT ok UNION ALL SELECT c.bin, true, {STEP} FROM children c JOIN judged j ON j.bin = c.parent AND j.ok"""))
+@_query(with_views(f"""{_CHILDREN}, best AS (SELECT parent, max(completeness) AS best FROM children GROUP BY parent), judged AS (SELECT q.*, coalesce(best - 0.4::DOUBLE > (completeness - 0.4::DOUBLE) / 1.6::DOUBLE, false) AS ok FROM bin_quality q LEFT JOIN best b ON b.parent = q.bin)
+ SELECT bin, false AS recursive, CAST(NULL AS INTEGER) AS step, CAST(NULL AS VARCHAR) AS parent, round(completeness, 6) AS completeness, round(redundancy, 6) AS redundancy FROM judged WHERE NOT ok UNION ALL SELECT c.bin, true, {STEP}, c.parent, c.completeness, c.redundancy FROM children c JOIN judged j ON j.bin = c.parent AND j.ok"""))
 def agg_compare_bins(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = quality.compare_generations(P.bin_quality(spark, sf_dir).select("bin", "completeness", "redundancy"), _children(spark, sf_dir), STEP)
-    return found.select("bin", "recursive", "step")
+    return found.select("bin", "recursive", "step", "parent", F.round("completeness", 6).alias("completeness"), F.round("redundancy", 6).alias("redundancy"))
 
 
 @_query(with_views(f"{_HITS}, own AS (SELECT bin, size, coverage, coalesce(hit, 0) AS hit FROM bins b LEFT JOIN hits h ON h.id = b.id) SELECT bin, round(sum(hit) * 100.0::DOUBLE / (SELECT sum(hit) FROM own) / 2, 6) AS hic_abundance, round(sum(size * coverage) * 100.0::DOUBLE / (SELECT sum(size * coverage) FROM own), 6) AS sg_abundance FROM own WHERE bin <> 'ND' GROUP BY bin"))
@@ -329,19 +304,28 @@ def filter_hq_contigs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.good_contigs(P.bins(spark, sf_dir), P.bin_quality(spark, sf_dir), size=30_000)
 
 
+def _frag(pos: str) -> str:
+    """How many of the sites k * SITE_GAP + k * 37 % 211, k = 1, 2, ..., lie before a position."""
+    k = f"(({pos} - 1) // {SITE_GAP})"
+    return f"CASE WHEN {k} >= 1 THEN {k} - 1 + CAST({k} * {SITE_GAP} + {k} * 37 % 211 < {pos} AS INTEGER) ELSE 0 END"
+
+
 _EVENTS = f"""good AS (SELECT id, bin FROM bins WHERE size > 10000 AND bin IN (SELECT bin FROM bin_quality WHERE completeness > 0.3 AND redundancy < 1.3)),
- located AS (SELECT c1 = c2 AS same, x.bin = y.bin AS close, CASE WHEN pos1 > pos2 THEN strand2 || strand1 ELSE strand1 || strand2 END AS kind, abs((pos1 - 1) // {SITE_GAP} - (pos2 - 1) // {SITE_GAP}) AS apart FROM upper JOIN good x ON x.id = c1 JOIN good y ON y.id = c2),
+ located AS (SELECT c1 = c2 AS same, x.bin = y.bin AS close, CASE WHEN pos1 > pos2 THEN strand2 || strand1 ELSE strand1 || strand2 END AS kind, abs({_frag('pos1')} - {_frag('pos2')}) AS apart FROM upper JOIN good x ON x.id = c1 JOIN good y ON y.id = c2),
  classed AS (SELECT same, CASE WHEN NOT same THEN CASE WHEN close THEN 'informative_inter' ELSE 'noise' END WHEN apart = 0 AND kind IN ('++', '--') THEN 'weird' WHEN apart <= {LOOP_SITES} AND kind = '-+' THEN 'loops' WHEN apart <= {UNCUT_SITES} AND kind = '+-' THEN 'religated' ELSE 'informative_intra' END AS event FROM located),
  counted AS (SELECT count(*) FILTER (event = 'weird') AS weird, count(*) FILTER (event = 'loops') AS loops, count(*) FILTER (event = 'religated') AS religated, count(*) FILTER (event = 'informative_intra') AS informative_intra, count(*) FILTER (event = 'informative_inter') AS informative_inter, count(*) FILTER (event = 'noise') AS noise, count(*) FILTER (same) AS intra_contigs FROM classed)"""
 
 
-@_query(with_views(f"{_UPPER}, {_EVENTS} SELECT *, round((informative_intra + informative_inter) * 100.0::DOUBLE / (intra_contigs + informative_inter + noise), 6) AS info_ratio, round(noise * 100.0::DOUBLE / (intra_contigs + informative_inter + noise), 6) AS noise_ratio FROM counted"))
+@_query(with_views(f"""{_UPPER}, {_EVENTS}, bins_n AS (SELECT count(DISTINCT bin) AS k FROM good), spread AS (SELECT *, noise / (k * (k - 1) / 2) AS x, (intra_contigs + informative_inter) / k AS y FROM counted, bins_n)
+ SELECT weird, loops, religated, informative_intra, informative_inter, noise, intra_contigs, round((informative_intra + informative_inter) * 100.0::DOUBLE / (intra_contigs + informative_inter + noise), 6) AS info_ratio, round(noise * 100.0::DOUBLE / (intra_contigs + informative_inter + noise), 6) AS noise_ratio, round(x / (y + x), 6) AS noise_score FROM spread"""))
 def agg_qc_events(spark: SparkSession, sf_dir: str) -> DataFrame:
-    good = quality.good_contigs(P.bins(spark, sf_dir), P.bin_quality(spark, sf_dir), 0.3, 1.3, 10_000)
-    sites = P.contigs(spark, sf_dir).select(F.col("id").alias("contig"), F.sequence(F.lit(SITE_GAP).cast("long"), F.col("size"), F.lit(SITE_GAP).cast("long")).alias("sites"))
-    events = quality.library_events(quality.fragment_index(quality.pairs_of(_upper(spark, sf_dir), good), sites), LOOP_SITES, UNCUT_SITES)
-    found = quality.library_ratios(events, 2)
-    return found.select(*quality.COUNTS, F.round("info_ratio", 6).alias("info_ratio"), F.round("noise_ratio", 6).alias("noise_ratio"))
+    """Events, ratios and noise score of the library, over sites at uneven distances."""
+    from .plans.facade import library_quality
+
+    each = F.transform(F.sequence(F.lit(1).cast("long"), F.floor(F.col("size") / SITE_GAP).cast("long")), lambda k: k * SITE_GAP + k * 37 % 211)
+    sites = P.contigs(spark, sf_dir).select(F.col("id").alias("contig"), each.alias("sites"))
+    found = library_quality(_upper(spark, sf_dir), P.bins(spark, sf_dir), P.bin_quality(spark, sf_dir), sites, LOOP_SITES, UNCUT_SITES, 0.3, 1.3, 10_000)
+    return found.select(*quality.COUNTS, *[F.round(c, 6).alias(c) for c in ("info_ratio", "noise_ratio", "noise_score")])
 
 
 # ---- positions -------------------------------------------------------------------------------
@@ -409,18 +393,6 @@ def fn_edge_normaliser(spark: SparkSession, sf_dir: str) -> DataFrame:
 # ---- sets and sorts --------------------------------------------------------------------------
 
 
-@_query(with_views(f"{_UPPER} SELECT (SELECT count(*) FROM upper) AS n_before, count(*) AS n_after FROM (SELECT DISTINCT c1, pos1, strand1, c2, pos2, strand2 FROM upper)"))
-def set_dedup_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    per = _upper(spark, sf_dir).groupBy(*pairs.ENDS).agg(F.count("*").alias("n"))
-    return per.agg(F.sum("n").alias("n_before"), F.count("*").alias("n_after"))
-
-
-@_query(with_views("SELECT sample, count(*) AS n FROM pairs GROUP BY sample"))
-def set_union_samples(spark: SparkSession, sf_dir: str) -> DataFrame:
-    p = P.pairs(spark, sf_dir)
-    return pairs.union_samples([p.where("sample = 0").drop("sample"), p.where("sample = 1").drop("sample")]).groupBy("sample").agg(F.count("*").alias("n"))
-
-
 @_query(with_views(f"{_UPPER} SELECT row_number() OVER (ORDER BY c1, c2, pos1, pos2, strand1, strand2) AS place, c1, c2, pos1, pos2, strand1, strand2 FROM upper"))
 def sort_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     order = ["c1", "c2", "pos1", "pos2", "strand1", "strand2"]

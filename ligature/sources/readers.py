@@ -9,6 +9,7 @@ from __future__ import annotations
 import bz2
 import gzip
 import io
+import re
 import struct
 import zipfile
 from collections.abc import Iterator
@@ -17,6 +18,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions.sequences import gc_content, restriction_sites
+from ..operators.consensus import ordinals
 from ..storage import ship
 
 PAIRS = "read_id string, c1 string, pos1 int, c2 string, pos2 int, strand1 string, strand2 string"
@@ -46,14 +49,18 @@ def read_sam(spark: SparkSession, path: str | list[str]) -> DataFrame:
 
 
 def read_bam(spark: SparkSession, path: str | list[str]) -> DataFrame:
-    """Alignments of BAM files, decoded a file per task: the same columns as ``read_sam``."""
+    """Alignments of BAM files: the same columns as ``read_sam``.
+
+    A file is one task and 2 GB at most, the limit of Spark's binary files; it is held packed and
+    unpacked as it is read. Larger libraries come as several files or as text.
+    """
     ship(spark)
 
     def decode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for raw in batch.column(0):
                 rows = []
-                for row in _bam_rows(gzip.decompress(raw.as_py())):
+                for row in _bam_rows(gzip.GzipFile(fileobj=io.BytesIO(raw.as_py()))):
                     rows.append(row)
                     if len(rows) == 50_000:
                         yield _alignments(rows)
@@ -69,20 +76,23 @@ def _alignments(rows: list[tuple]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds, strict=True)], ["read_id", "flag", "contig", "pos", "mapq"])
 
 
-def _bam_rows(raw: bytes) -> Iterator[tuple]:
-    if raw[:4] != b"BAM\x01":
+def _bam_rows(raw: io.IOBase) -> Iterator[tuple]:
+    """Records of an unpacked stream, one after the other."""
+
+    def number() -> int:
+        return struct.unpack("<i", raw.read(4))[0]
+
+    if raw.read(4) != b"BAM\x01":
         raise ValueError("not a BAM file")
-    at = 8 + struct.unpack_from("<i", raw, 4)[0]
-    (n,), at = struct.unpack_from("<i", raw, at), at + 4
+    raw.read(number())
     names = []
-    for _ in range(n):
-        (size,) = struct.unpack_from("<i", raw, at)
-        names.append(raw[at + 4 : at + 3 + size].decode())
-        at += 8 + size
-    while at < len(raw):
-        size, ref, pos, name_size, mapq, _, _, flag = struct.unpack_from("<iiiBBHHH", raw, at)
-        yield raw[at + 36 : at + 35 + name_size].decode(), flag, names[ref] if ref >= 0 else "*", pos, mapq
-        at += 4 + size
+    for _ in range(number()):
+        names.append(raw.read(number())[:-1].decode())
+        raw.read(4)
+    while len(head := raw.read(4)) == 4:
+        body = raw.read(struct.unpack("<i", head)[0])
+        ref, pos, name_size, mapq, _, _, flag = struct.unpack_from("<iiBBHHH", body)
+        yield body[32 : 31 + name_size].decode(), flag, names[ref] if ref >= 0 else "*", pos, mapq
 
 
 def read_any_text(spark: SparkSession, path: str | list[str]) -> DataFrame:
@@ -117,11 +127,14 @@ def opened(raw: bytes) -> io.IOBase:
 
 
 def read_fasta(spark: SparkSession, path: str | list[str]) -> DataFrame:
-    """name (up to the first white space), description and seq of each record, and its file."""
+    """name (up to the first white space), description and seq of each record, its file, and its
+    ``place``, which orders records as they stand in their files."""
     records = spark.read.option("lineSep", ">").text(path).where("value != ''").withColumn("file", F.input_file_name())
     head = F.regexp_extract("value", r"^([^\r\n]*)", 1)
     seq = F.regexp_replace(F.regexp_replace("value", r"^[^\r\n]*", ""), r"\s+", "")
-    return records.select(F.split(head, r"\s+")[0].alias("name"), head.alias("description"), seq.alias("seq"), "file")
+    # Where a record lies: its file, its part of the file, and its turn there.
+    place = F.struct("file", F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("turn"))
+    return records.select(F.split(head, r"\s+")[0].alias("name"), head.alias("description"), seq.alias("seq"), "file", place.alias("place"))
 
 
 def read_depth(spark: SparkSession, path: str) -> DataFrame:
@@ -184,14 +197,52 @@ def read_names(spark: SparkSession, path: str) -> DataFrame:
 def read_bin_folder(spark: SparkSession, folder: str, suffix: str = ".fa") -> DataFrame:
     """bin, name and seq from a folder of FASTA files named after their bins."""
     found = read_fasta(spark, f"{folder.rstrip('/')}/*{suffix}")
-    base = F.element_at(F.split("file", "/"), -1)
-    return found.select(F.expr(f"substring({'element_at(split(file, chr(47)), -1)'}, 1, length(element_at(split(file, chr(47)), -1)) - {len(suffix)})").alias("bin"), "name", "seq", base.alias("file_name"))
+    return found.select(_stem(suffix).alias("bin"), "name", "seq", F.element_at(F.split("file", "/"), -1).alias("file_name"))
+
+
+def _stem(suffix: str) -> Column:
+    """A file's name without folder and suffix."""
+    return F.regexp_extract("file", rf"([^/]*){re.escape(suffix)}$", 1)
+
+
+def read_pairs_folder(spark: SparkSession, folder: str, suffix: str = ".pairs.gz") -> DataFrame:
+    """The pairs of all files of a folder, with the name of each one's file as ``library``."""
+    rows = read_pairs(spark, f"{folder.rstrip('/')}/*{suffix}").withColumn("file", F.input_file_name())
+    return rows.withColumn("library", _stem(suffix)).drop("file")
+
+
+def assembly(spark: SparkSession, fasta: str | list[str], depth: str | None = None, pattern: str | None = None) -> DataFrame:
+    """The contigs of FASTA files: id (from 1, in the order of the files), name, size, gc, and with
+    a depth table coverage, with a pattern rs.
+
+    The depth table is joined by name; a contig without a row there has no coverage.
+    """
+    seqs = read_fasta(spark, fasta)
+    own = seqs.select("place", "name", F.char_length("seq").cast("long").alias("size"), gc_content(F.col("seq")).alias("gc"), *([restriction_sites(F.upper("seq"), pattern).alias("rs")] if pattern else []))
+    made = ordinals(own, ["place"], "id", 1).drop("place")
+    if depth is not None:
+        made = with_depth(made, read_depth(spark, depth))
+    return made.select("id", *[c for c in ("name", "size", "gc", "coverage", "rs") if c in made.columns])
+
+
+def with_depth(contigs: DataFrame, depth: DataFrame) -> DataFrame:
+    """Adds coverage by the contig's name, never by the place in the table; null without a row."""
+    return contigs.join(depth.select(F.col("name").alias("_d"), "coverage"), F.col("name") == F.col("_d"), "left").drop("_d")
 
 
 def looks_like_fasta(spark: SparkSession, path: str) -> bool:
     """Whether the first line begins a FASTA record."""
+    return kind_of(spark, path) == "fasta"
+
+
+def kind_of(spark: SparkSession, path: str) -> str:
+    """fasta, pairs, sam or table, by a file's first line; empty if it has none."""
     first = spark.read.text(path).limit(1).collect()
-    return bool(first) and first[0].value.startswith(">")
+    if not first:
+        return "empty"
+    line = first[0].value
+    starts = {">": "fasta", "## pairs": "pairs", "@HD\t": "sam", "@SQ\t": "sam"}
+    return next((kind for start, kind in starts.items() if line.startswith(start)), "table")
 
 
 def element_table(contigs: DataFrame, elements: DataFrame, binning: DataFrame) -> DataFrame:

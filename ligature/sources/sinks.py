@@ -6,11 +6,12 @@ that region queries skip most row groups. Text is for export and may be one file
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.utils import AnalysisException
 
 from ..functions.sequences import natural_key
+from ..operators.consensus import ordinals
 
 ORDER = ["c1", "c2", "pos1", "pos2", "strand1"]
 
@@ -37,14 +38,22 @@ def region(pairs: DataFrame, c1: str, start1: int, end1: int, c2: str, start2: i
     return pairs.where((F.col("c1") == c1) & F.col("pos1").between(start1, end1) & (F.col("c2") == c2) & F.col("pos2").between(start2, end2))
 
 
-def export_pairs(pairs: DataFrame, contigs: DataFrame, path: str) -> None:
-    """One text file with its header: contigs with their sizes, then pairs in natural order."""
+def export_pairs(pairs: DataFrame, contigs: DataFrame, path: str, single: bool = True) -> None:
+    """Text with its header: contigs with their sizes, then pairs in natural order.
+
+    One file by one task, or with ``single`` false the header below ``path/head`` and the pairs
+    below ``path/body``, in sorted ranges by as many tasks; the files read one after the other
+    are the same text.
+    """
     spark = pairs.sparkSession
     sizes = [f"#chromsize: {r.name} {r.size}" for r in contigs.orderBy("id").select("name", "size").toLocalIterator()]
     head = spark.createDataFrame([("\n".join(["## pairs format v1.0", "#sorted: chr1-chr2-pos1-pos2", "#shape: upper triangle", *sizes, "#columns: readID chr1 pos1 chr2 pos2 strand1 strand2"]),)], "value string")
     line = F.concat_ws("\t", "read_id", "c1", "pos1", "c2", "pos2", "strand1", "strand2").alias("value")
     body = pairs.select(line, F.struct(natural_key(F.col("c1").cast("string")), natural_key(F.col("c2").cast("string")), "pos1", "pos2", "strand1").alias("place"))
-    _one_file(head, body, path)
+    if single:
+        return _one_file(head, body, path)
+    head.write.text(f"{path.rstrip('/')}/head")
+    body.repartitionByRange("place").sortWithinPartitions("place").select("value").write.text(f"{path.rstrip('/')}/body")
 
 
 def _one_file(head: DataFrame, body: DataFrame, path: str) -> None:
@@ -58,6 +67,12 @@ def write_table(df: DataFrame, path: str, header: bool = True, single: bool = Fa
     (df.coalesce(1) if single else df).write.csv(path, sep="\t", header=header, nullValue="-")
 
 
+def write_final_table(contigs: DataFrame, path: str) -> None:
+    """The final contig table, with the row's number from 0 as a first column ``index``."""
+    numbered = ordinals(contigs, ["ID"], "index")
+    write_table(numbered.select("index", *contigs.columns), path)
+
+
 def write_hits(by_sample: DataFrame, names: DataFrame, path: str) -> bool:
     """id, name and a column per sample without a header, if there is more than one sample."""
     hits = [c for c in by_sample.columns if c.startswith("hit_")]
@@ -117,6 +132,14 @@ def map_as_bedgraph(counts: DataFrame, bins: DataFrame) -> DataFrame:
     return out.select("name1", "start1", "end1", "name2", "start2", "end2", "n")
 
 
+def map_as_fragments(counts: DataFrame, bins: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """The two tables of a fragment-based map: fragments (id, chrom, start_pos, end_pos, size, from 1
+    in each contig, with the place in the map before them) and entries (row, col, n)."""
+    nth = F.row_number().over(Window.partitionBy("name").orderBy("start"))
+    fragments = bins.select(F.col("bin").alias("place"), nth.alias("id"), F.col("name").alias("chrom"), F.col("start").alias("start_pos"), F.col("end").alias("end_pos"), (F.col("end") - F.col("start")).alias("size"))
+    return fragments, counts.select(F.col("f1").alias("row"), F.col("f2").alias("col"), "n")
+
+
 def write_scaffold_report(table: DataFrame, path: str) -> None:
     """Per scaffold a line with its form and length, then contig, start, end and strand."""
     line = F.concat_ws("\t", "name", "start", "end", "strand")
