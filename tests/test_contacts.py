@@ -17,9 +17,32 @@ def test_query_matches_sql(spark, sf_dir, duck, name):
     assert got == want
 
 
-@pytest.mark.parametrize("name", sorted(set(queries()) - set(oracle_sql())))
-def test_kernel_query_runs(spark, sf_dir, name):
-    assert queries()[name](spark, sf_dir).count() > 0
+def test_kernel_queries(spark, sf_dir):
+    """What must hold of the seeded kernels whatever they find."""
+    from ligature import projection as P
+    from ligature.registry import _edges
+
+    found = {n: queries()[n](spark, sf_dir) for n in set(queries()) - set(oracle_sql())}
+    edges = _edges(spark, sf_dir).where("src != dst and w > 0").select("src", "dst").collect()
+    nodes = {v for r in edges for v in (r.src, r.dst)}
+    for name in ("graph_louvain", "graph_leiden"):
+        labels = found[name].collect()
+        assert len(labels) == len({(r.id, r.iteration) for r in labels}) and {r.id for r in labels} == nodes
+        of = {(r.id, r.iteration): r.label for r in labels}
+        inside = sum(of[r.src, 0] == of[r.dst, 0] for r in edges) / len(edges)
+        sizes = np.bincount([k for (_, it), k in of.items() if it == 0])
+        assert inside > ((sizes / sizes.sum()) ** 2).sum()  # more edges within than by chance
+    mobile = {r.id for r in P.bins(spark, sf_dir).where("mobile").collect()}
+    assert sorted(r.id for r in found["graph_mge_bins"].collect()) == sorted(mobile)
+    binned = {(r.bin, r.name): r.size for r in P.bins(spark, sf_dir).where("bin != 'ND'").collect()}
+    table = found["graph_scaffolds"].collect()
+    assert sorted((r.bin, r.name) for r in table) == sorted(binned) and all(r.end == binned[r.bin, r.name] for r in table)
+    for key in {(r.bin, r.scaffold) for r in table}:
+        assert sorted(r["rank"] for r in table if (r.bin, r.scaffold) == key) == list(range(sum((r.bin, r.scaffold) == key for r in table)))
+    assert {(r.i, r.j) for r in found["graph_balanced_map"].collect()} == {(r.f1, r.f2) for r in queries()["agg_contact_map"](spark, sf_dir).collect()}
+    recursive = found["pipeline_recursive"].collect()
+    assert sorted(r.id for r in recursive) == sorted(r.id for r in P.contigs(spark, sf_dir).collect()) and {r.step for r in recursive} <= {0, 1, 2}
+    assert set(found) == {"graph_louvain", "graph_leiden", "graph_mge_bins", "graph_scaffolds", "graph_balanced_map", "pipeline_recursive"}
 
 
 # Contigs (size, hit, coverage, sites) of the normalisation examples.
@@ -38,38 +61,58 @@ def test_normalisation(spark, mode, a, b, n, want, off):
     assert normalise(edges, contigs, mode).first().w == pytest.approx(want, abs=off)
 
 
-VECTORS = [[0, 0, 0, 0, 0], [1, 1, 0, 1, 1], [2, 2, 1, 2, 2], [2, 2, 1, 2, 2], [3, 3, 2, 3, 3], [4, 4, 3, 4, 4], [4, 4, 4, 0, 4], [5, 5, 5, 5, 5], [6, 6, 6, 6, 6], [4, 4, 3, 4, 4]]
+# The published example of ten contigs' labels in five iterations.
+VECTORS = ["0;13;0;10;5", "0;6;3;10;5", "7;0;7;0;0", "7;0;7;0;0", "1;1;7;10;0", "2;8;1;13;1", "8;11;6;4;1", "6;9;15;4;13", "10;7;3;2;8", "2;8;1;13;1"]
 
 
 def test_consensus(spark):
+    """Cores, agreement, bins and matrix of the example, with its published sums."""
     from ligature.operators import consensus as C
 
-    vectors = spark.createDataFrame([(k + 1, v) for k, v in enumerate(VECTORS)], "id long, labels array<int>")
+    vectors = C.parse_vectors(spark.createDataFrame([(k + 1, v) for k, v in enumerate(VECTORS)], "id long, vector string")).cache()
     cores = C.core_bins(vectors).cache()
     members = C.core_members(vectors, cores)
     got = {}
     for r in members.collect():
         got.setdefault(r.core_id, []).append(r.id)
     assert {k: sorted(v) for k, v in got.items()} == {0: [1], 1: [2], 2: [3, 4], 3: [5], 4: [6, 10], 5: [7], 6: [8], 7: [9]}
-    want = {}
-    for a in range(8):
-        for b in range(a, 8):
-            x, y = (VECTORS[min(got[k]) - 1] for k in (a, b))
-            share = sum(p == q for p, q in zip(x, y, strict=True)) / 5
-            if share:
-                want[a, b] = share
     agreement = C.core_agreement(cores).cache()
-    assert {(r.core_a, r.core_b): r.agreement for r in agreement.collect()} == want
-    bins = C.overlapping_bins(agreement, cores, 0.6)
-    placed = {}
-    for r in members.join(bins, "core_id").collect():
-        placed.setdefault(r.bin, []).append(r.id)
-    assert sorted(sorted(v) for v in placed.values()) == [[1], [2], [3, 4], [5], [6, 7, 10], [8], [9]]
+    share = {(r.core_a, r.core_b): r.agreement for r in agreement.collect()}
+    labels = {k: VECTORS[v[0] - 1].split(";") for k, v in got.items()}
+    same = {(a, b): sum(x == y for x, y in zip(labels[a], labels[b], strict=True)) / 5 for a in range(8) for b in range(a, 8)}
+    assert share == {k: v for k, v in same.items() if v}
+    full = {**share, **{(b, a): v for (a, b), v in share.items()}}
+    assert sum(v for (a, _), v in full.items() if a == 0) == pytest.approx(1.8) and sum(a == 0 for a, _ in full) == 3
+    assert sum(full.values()) == pytest.approx(12) and len(full) == 22
+    want = {1: [1, 2], 2: [3, 4], 3: [5], 4: [6, 10], 5: [7], 6: [8], 7: [9]}
+    for edges in (agreement, C.close_cores(cores, 0.6)):
+        placed = {}
+        for r in members.join(C.overlapping_bins(edges, cores, 0.6), "core_id").collect():
+            placed.setdefault(r.bin, []).append(r.id)
+        assert {k: sorted(v) for k, v in placed.items()} == want
     matrix = {(r.i, r.j): r.value for r in C.clustering_matrix(members, agreement).collect()}
     core_of = {m: k for k, ms in got.items() for m in ms}
-    full = {(i, j): min(1.0, want.get(tuple(sorted((core_of[i], core_of[j]))), 0)) for i in range(1, 11) for j in range(i, 11)}
-    assert matrix == {k: v for k, v in full.items() if v}
-    assert [r.labels for r in C.parse_vectors(spark.createDataFrame([("3;0;7",)], "vector string")).collect()] == [[3, 0, 7]]
+    pairs = {(i, j): 1.0 if core_of[i] == core_of[j] else full.get((core_of[i], core_of[j]), 0) for i in range(1, 11) for j in range(i, 11)}
+    assert matrix == {k: v for k, v in pairs.items() if v}
+    assert sum(matrix.values()) == pytest.approx(14.6) and len(matrix) == 21
+
+
+@pytest.mark.parametrize(("of", "overlap"), [(5, 0.6), (10, 0.8), (7, 1.0), (4, 0.01), (1, 0.5)])
+def test_close_cores(spark, of, overlap):
+    from ligature.operators import consensus as C
+
+    rng = np.random.default_rng(of)
+    labels = sorted({tuple(int(x) for x in rng.integers(0, 3, of)) for _ in range(60)})
+    cores = spark.createDataFrame([(k, list(v)) for k, v in enumerate(labels)], "core_id long, labels array<int>")
+    want = {}
+    for a in range(len(labels)):
+        for b in range(a + 1, len(labels)):
+            share = sum(x == y for x, y in zip(labels[a], labels[b], strict=True)) / of
+            if share >= overlap - 1e-10:
+                want[a, b] = share
+    got = C.close_cores(cores, overlap).collect()
+    assert {(r.core_a, r.core_b): r.agreement for r in got} == want and len(got) == len(want)
+    assert C.close_cores(cores.limit(0), overlap).collect() == []
 
 
 def test_components(spark):
@@ -116,6 +159,11 @@ def test_clustering(spark, algorithm):
     g = Graph(60, a, b, w)
     label = ALGORITHMS[algorithm](g, 1)
     assert g.modularity(label) > g.modularity(np.arange(60)) and g.modularity(label) > 0.5
+    assert rows(cluster(edges, 3, algorithm, seed=5, sent_edges=10)) == rows(got)  # a copy of the edges for each iteration
+    two = edges.withColumn("g", F.lit("one")).unionByName(edges.withColumn("g", F.lit("two")))
+    each = cluster(two, 3, algorithm, seed=5, by="g")
+    assert rows(each.where("g = 'two'").drop("g")) == rows(got) and each.count() == 2 * got.count()
+    assert cluster(edges.limit(0), 2, algorithm).collect() == []
     with pytest.raises(ValueError):
         cluster(edges, 1, "spinglass")
 
@@ -152,7 +200,8 @@ def test_greedy_merges():
     for _ in range(20):
         raw = np.triu(rng.integers(0, 6, (9, 9)))
         np.fill_diagonal(raw, rng.integers(0, 9, 9))
-        got, want = merge_greedily(raw, 0.5), brute(raw, 0.5)
+        sparse = [(i, j, float(raw[i, j])) for i in range(9) for j in range(i, 9) if raw[i, j]]
+        got, want = merge_greedily(sparse, 0.5), brute(raw, 0.5)
         assert [g[:2] for g in got] == [w[:2] for w in want] and np.allclose([g[2] for g in got], [w[2] for w in want])
         binned = bins_of_merges(list(range(9)), got)
         assert sorted(b[0] for b in binned) == list(range(9))
@@ -168,9 +217,25 @@ def test_greedy_merges():
 def test_matching_and_paths(spark):
     from ligature.operators.scaffold import match_ends, paths, scaffold_sequences, scaffold_table, scaffolds
 
-    assert match_ends(2, [(1, 2, 0.9), (0, 3, 0.5)], 0.1) == [(1, 2), (0, 3)]
-    assert match_ends(3, [(1, 2, 0.9), (1, 4, 0.6)], 0.1) == [(1, 2)]
-    assert match_ends(3, [(1, 2, 0.9), (1, 4, 0.8), (2, 5, 0.85), (0, 3, 0.7)], 0.1)[0] == (2, 5)  # sure and alone
+    def dense(n, scores, threshold, sure=5.0):
+        """The rule as a whole matrix, looked through anew for every pair."""
+        m = np.zeros((2 * n, 2 * n))
+        for i, j, s in scores:
+            if i // 2 != j // 2:
+                m[i, j] = m[j, i] = s
+        pairs = []
+        while m.max() > threshold:
+            lone = [m[r].max() for r in range(2 * n) if (m[r] > threshold).sum() == 1]
+            pick = max(lone) if lone and max(lone) > sure * threshold else m.max()
+            i, j = next((i, j) for i in range(2 * n) for j in range(2 * n) if m[i, j] == pick)
+            pairs.append((i, j))
+            m[[i, j]] = 0.0
+            m[:, [i, j]] = 0.0
+        return pairs
+
+    assert match_ends([(1, 2, 0.9), (0, 3, 0.5)], 0.1) == [(1, 2), (0, 3)]
+    assert match_ends([(1, 2, 0.9), (1, 4, 0.6)], 0.1) == [(1, 2)]
+    assert match_ends([(1, 2, 0.9), (1, 4, 0.8), (2, 5, 0.85), (0, 3, 0.7)], 0.1)[0] == (2, 5)  # sure and alone
     assert paths(1, []) == [(0, 0, 0, False, False)]
     assert paths(2, [(1, 3)]) == [(0, 0, 0, False, False), (0, 1, 1, True, False)]
     assert paths(3, [(1, 2), (3, 4), (5, 0)]) == [(0, 0, 0, False, True), (0, 1, 1, False, True), (0, 2, 2, False, True)]
@@ -178,7 +243,9 @@ def test_matching_and_paths(spark):
     for _ in range(20):
         n = int(rng.integers(1, 9))
         ends = [(int(a), int(b), float(s)) for a, b, s in zip(rng.integers(0, 2 * n, 12), rng.integers(0, 2 * n, 12), rng.random(12), strict=True) if a != b]
-        pairs = match_ends(n, ends, 0.2)
+        ends = [(a, b, round(s, 1)) for a, b, s in {(min(a, b), max(a, b)): (a, b, s) for a, b, s in ends}.values()]  # many ties
+        pairs = match_ends(ends, 0.2)
+        assert pairs == dense(n, ends, 0.2) and match_ends(ends, 0.1) == dense(n, ends, 0.1)
         used = [e for p in pairs for e in p]
         assert len(used) == len(set(used))
         placed = paths(n, pairs)
@@ -264,3 +331,49 @@ def test_pairing_and_options(spark):
     assert [r.contig for r in unknown_contigs(pairs, contigs).collect()] == [9]
     with pytest.raises(KeyError):
         build_network(pairs, contigs)
+    alone = spark.createDataFrame([("r", 65, "a", 9, 40), ("r", 129, "b", 19, 35), ("s", 65, "a", 1, 60)], reads.schema)
+    assert pair_interleaved(alone).count() == 1
+    with pytest.raises(Exception, match="should be paired: s"):
+        pair_interleaved(alone, strict=True).collect()
+
+
+def test_fragments_of_uneven_sites(spark):
+    from ligature.operators.quality import fragment_index
+
+    rng = np.random.default_rng(5)
+    sites = {c: sorted({int(x) for x in rng.integers(1, 90_000, n)}) for c, n in ((1, 60), (2, 1), (3, 7))}
+    pairs = [(k, int(rng.integers(1, 5)), int(rng.integers(1, 120_000)), int(rng.integers(1, 5)), int(rng.integers(1, 120_000))) for k in range(200)]
+    made = spark.createDataFrame(list(sites.items()), "contig long, sites array<long>")
+    got = {r.k: (r.frag1, r.frag2) for r in fragment_index(spark.createDataFrame(pairs, "k long, c1 long, pos1 long, c2 long, pos2 long"), made, 10_000).collect()}
+    before = lambda c, pos: sum(s < pos for s in sites.get(c, []))
+    assert got == {k: (before(c1, p1), before(c2, p2)) for k, c1, p1, c2, p2 in pairs}
+
+
+def test_edits_of_a_bin(spark):
+    """Against a list of single bases, edited one by one."""
+    from ligature.operators import regions as R
+
+    rng = np.random.default_rng(9)
+    layout = {b: [(f"c{b}{k}", int(s), int(s + n), bool(r)) for k, (s, n, r) in enumerate(zip(rng.integers(0, 5, 4), rng.integers(1, 9, 4), rng.integers(0, 2, 4), strict=True))] for b in range(6)}
+    segments = spark.createDataFrame([(b, k, *s) for b, ss in layout.items() for k, s in enumerate(ss)], "bin long, rank long, name string, start long, end long, is_reverse boolean")
+
+    def bases(rows):
+        return [(n, p, r) for n, s, e, r in rows for p in (range(e - 1, s - 1, -1) if r else range(s, e))]
+
+    def of(df):
+        out = {}
+        for r in sorted(df.collect(), key=lambda r: (r.bin, r["rank"])):
+            out.setdefault(r.bin, []).append((r.name, r.start, r.end, r.is_reverse))
+        return {b: bases(v) for b, v in out.items()}
+
+    whole = {b: bases(v) for b, v in layout.items()}
+    spans = {b: sorted(int(x) for x in rng.choice(len(whole[b]) + 1, 2, replace=False)) for b in range(5)}
+    asked = spark.createDataFrame([(b, *v) for b, v in spans.items()], "bin long, lo long, hi long")
+    turned = {b: v if b not in spans else v[: spans[b][0]] + [(n, p, not r) for n, p, r in reversed(v[spans[b][0] : spans[b][1]])] + v[spans[b][1] :] for b, v in whole.items()}
+    assert of(R.invert(segments, asked)) == turned
+    assert of(R.between(segments, asked)) == {b: whole[b][lo:hi] for b, (lo, hi) in spans.items()}
+    assert of(R.delete(segments, asked)) == {b: v for b, v in ((b, v if b not in spans else v[: spans[b][0]] + v[spans[b][1] :]) for b, v in whole.items()) if v}
+    new = spark.createDataFrame([(b, lo, "n", 2, 5, True) for b, (lo, _) in spans.items()], "bin long, place long, name string, start long, end long, is_reverse boolean")
+    assert of(R.insert(segments, new)) == {b: v if b not in spans else v[: spans[b][0]] + bases([("n", 2, 5, True)]) + v[spans[b][0] :] for b, v in whole.items()}
+    with pytest.raises(Exception, match="outside the bin"):
+        R.invert(segments, spark.createDataFrame([(0, 0, 999)], asked.schema)).collect()

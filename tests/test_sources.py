@@ -91,8 +91,30 @@ def test_sequences(spark, tmp_path):
     assert S.site_pattern(["HinfI", "DpnII", "MboI"]) == "GA.TC|GATC"
     with pytest.raises(ValueError):
         S.site_pattern("Nothing")
-    names = spark.createDataFrame([("n10",), ("n9",), ("n9b",), ("m",)], "name string")
-    assert [r.name for r in names.orderBy(S.natural_key(F.col("name"))).collect()] == ["m", "n9", "n9b", "n10"]
+    names = spark.createDataFrame([("n10",), ("n9",), ("n9b",), ("m",), ("n" + "9" * 30,), ("n1" + "0" * 30,), ("n007",)], "name string")
+    assert [r.name for r in names.orderBy(S.natural_key(F.col("name"))).collect()] == ["m", "n007", "n9", "n9b", "n10", "n" + "9" * 30, "n1" + "0" * 30]
+
+
+def test_assembly_in_the_order_of_its_files(spark, tmp_path):
+    """Ids follow the records, whatever the sizes of the files and of the parts read at once."""
+    names = []
+    for k, n in enumerate((3, 400, 20)):
+        own = [f"f{k}r{j}" for j in range(n)]
+        (tmp_path / f"{k}.fa").write_text("".join(f">{x} about\n{'ACGT' * (j % 9)}\nA\n" for j, x in enumerate(own)))
+        names += own
+    (tmp_path / "depth.txt").write_text("n\tl\td\n" + "".join(f"{x}\t1\t{j}.5\n" for j, x in enumerate(reversed(names[:100]))))
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "1500")
+    try:
+        got = R.assembly(spark, f"{tmp_path}/*.fa", f"{tmp_path}/depth.txt", S.site_pattern("MboI")).orderBy("id").collect()
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+    assert [(r.id, r.name) for r in got] == list(enumerate(names, 1))
+    assert [r.coverage for r in got[:101]] == [99.5 - j for j in range(100)] + [None] and got[4].size == 5
+    assert R.kind_of(spark, f"{tmp_path}/0.fa") == "fasta" and R.kind_of(spark, f"{tmp_path}/depth.txt") == "table"
+    (tmp_path / "lib").mkdir()
+    (tmp_path / "lib" / "a.pairs.gz").write_bytes(gzip.compress(PAIRS.encode()))
+    (tmp_path / "lib" / "b.pairs.gz").write_bytes(gzip.compress(PAIRS.encode()))
+    assert {(r.library, r.read_id) for r in R.read_pairs_folder(spark, f"{tmp_path}/lib").collect()} == {(x, r) for x in "ab" for r in ("r1", "r2")}
 
 
 def test_tables(spark, tmp_path):
