@@ -18,13 +18,23 @@ from ligature.llm.decontaminate import find_passages
 from ligature.llm.line_dedup import dedup_lines
 from ligature.llm.ngram_join import ngram_jaccard_join, set_keys
 from ligature.llm.packing import pack
-from ligature.llm.quality_model import features, learn, score
+from ligature.llm.quality_model import features, judge, learn
 from ligature.storage import materialize, scratch, small_side
 
 #: Word shingles and similarity of the near-copy stage.
 NEAR_WORDS, NEAR_NUM, NEAR_DEN = 5, 4, 5
 #: Words that a worker keeps while packing; other stages need the executor's memory as well.
 MEMO_WORDS = 250_000
+#: Rows that go to a Python worker at once, at most. Whole documents in larger batches cost an
+#: executor more memory, on either side, than they save time.
+BATCH_ROWS = 1_000
+_BATCH = "spark.sql.execution.arrow.maxRecordsPerBatch"
+
+
+def _small_batches(spark: SparkSession) -> None:
+    """Lowers the session's setting where it is higher, or unlimited."""
+    if not 0 < int(spark.conf.get(_BATCH)) <= BATCH_ROWS:
+        spark.conf.set(_BATCH, str(BATCH_ROWS))
 
 
 def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -34,14 +44,14 @@ def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
     null id isn't learned from. Without labels of both classes nothing is learned and every row
     stays. An empty table stays empty; other columns pass through whatever their names.
     """
+    _small_batches(spark)
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
     known = labels.select(F.col("doc_id").alias("labelled")).where("labelled is not null").distinct()
     few = small_side(known)
     # Only labelled texts are measured for learning, if a broadcast can tell them.
     own = docs.join(few, docs["doc_id"] == few["labelled"], "left_semi") if few is not known else docs
     model = learn(features(own), labels)
-    scored = score(features(docs, carry=True), model)
-    return scored.where("predicted = 1").select("row.*") if model else docs
+    return judge(docs, model, carry=True).where("predicted = 1").select("row.*") if model else docs
 
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -63,6 +73,7 @@ def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     id. Of rows that share an id, those of one group count as its copies and those of different
     groups as different documents. An empty table stays empty; other columns pass through.
     """
+    _small_batches(spark)
     found = materialize(ngram_jaccard_join(docs, NEAR_WORDS, NEAR_NUM, NEAR_DEN, keys=True), "near").where("doc_id is not null and n_shingles > 0")
     gone = materialize(found.where("doc_id != component_id").select(F.col("doc_id").alias("gone")).distinct(), "near-gone")
     shared = materialize(docs.where("doc_id is not null").groupBy(F.col("doc_id").alias("shared")).agg(F.count("*").alias("c")).where("c > 1").select("shared"), "near-shared")
@@ -83,6 +94,7 @@ def benchmark_decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str)
     Null, empty and wordless texts are clean; rows with the same or a null id are each judged;
     with an empty benchmark all stay. An empty table stays empty; other columns pass through.
     """
+    _small_batches(spark)
     found = find_passages(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"), carry=True)
     return found.where("not contaminated").select("row.*")
 
@@ -93,6 +105,7 @@ def best_fit_packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
     Null and empty texts are the end id alone; rows with the same or a null id are each packed.
     An empty table gives no piece; other columns are not read.
     """
+    _small_batches(spark)
     return pack(docs, registry._tokenizer(registry.BYTE_TOKENIZER), registry.END_ID, registry.CAPACITY, memo_words=MEMO_WORDS)
 
 
