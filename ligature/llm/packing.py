@@ -22,7 +22,8 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..storage import materialize, ship, small_side
-from .tokens import MEMO_WORDS, memo
+from .rowwise import trim
+from .tokens import MEMO_WORDS, Facts, memo
 
 _PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long, part int, nth long"
 _PLACED = "doc_id long, piece int, start long, length long, ids_crc32 long, sequence_id long, offset long"
@@ -105,9 +106,10 @@ def pieces(docs: DataFrame, tokenizer: str, end_id: int, capacity: int, id_col:
     within their task ``part``.
     """
     ship(docs.sparkSession)
+    facts = Facts.of(tokenizer)
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words, part = memo(tokenizer, memo_words), TaskContext.get().partitionId()
+        words, part = memo(tokenizer, memo_words, facts), TaskContext.get().partitionId()
         end, seen = np.array([end_id], "<u4").tobytes(), [0] * (capacity + 1)
         for batch in batches:
             for i in range(0, batch.num_rows, 512):
@@ -130,6 +132,7 @@ def pieces(docs: DataFrame, tokenizer: str, end_id: int, capacity: int, id_col:
                     arrays.append(pa.array(cols[7], pa.binary()))
                     names.append("ids")
                 yield pa.RecordBatch.from_arrays(arrays, names)
+        trim()
 
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     return rows.mapInArrow(cut, _PIECES + ", ids binary" * with_ids)

@@ -190,6 +190,21 @@ def score(rows: DataFrame, model: Discriminant | None) -> DataFrame:
     return rows.mapInArrow(run, schema)
 
 
+def judge(docs: DataFrame, model: Discriminant | None, id_col: str = "doc_id", text_col: str = "text", carry: bool = False) -> DataFrame:
+    """doc_id, score and predicted of whole texts in one pass; the same as ``score`` over ``features``."""
+    shared = docs.sparkSession.sparkContext.broadcast(model)
+
+    def make():
+        def kernel(texts: pa.Array) -> list[pa.Array]:
+            x = statistics(texts).astype(np.float32).astype(np.float64)
+            p = shared.value.score(x) if shared.value else np.full(len(x), 0.5)
+            return [pa.array(p), pa.array((p >= THRESHOLD).astype(np.int32))]
+
+        return kernel
+
+    return per_document(docs, make, "score double, predicted int", id_col, text_col, carry)
+
+
 def learn(made: DataFrame, labels: DataFrame, id_col: str = "doc_id", label_col: str = "quality", pooled: float = POOLED, identity: float = IDENTITY) -> Discriminant | None:
     """Fit on the features of labelled documents that aren't held out.
 

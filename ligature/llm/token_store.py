@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 
 from ..storage import shared_folder, ship
 from .elias_fano import Shard, write_shard
-from .tokens import memo
+from .tokens import Facts, memo
 
 #: Ids in a shard; a longer document has a shard of its own.
 SHARD_TOKENS = 1 << 20
@@ -47,10 +47,10 @@ def write_store(docs: DataFrame, path: str, tokenizer: str, end_id: int, width:
     their texts; an empty table gives an empty store. Other columns are not read.
     """
     ship(docs.sparkSession)
-    width = _width(tokenizer, end_id, width)
+    width, facts = _width(tokenizer, end_id, width), Facts.of(tokenizer)
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words, part = memo(tokenizer), TaskContext.get().partitionId()
+        words, part = memo(tokenizer, facts=facts), TaskContext.get().partitionId()
         end = np.array([end_id], "<u4").tobytes()
         ids: list[int | None] = []
         parts: list[bytes] = []

@@ -14,6 +14,7 @@ import re
 import sys
 from array import array
 from collections.abc import Sequence
+from dataclasses import dataclass
 
 import numpy as np
 
@@ -42,40 +43,54 @@ _BYTES = _byte_signs()
 _memos: dict[tuple[str, int], "WordMemo"] = {}
 
 
-def memo(path: str, limit: int = MEMO_WORDS) -> "WordMemo":
+@dataclass(frozen=True)
+class Facts:
+    """What a tokenizer file says about its cuts; found once on the driver, as reading the whole
+    file takes a worker more memory than its words do."""
+
+    added: tuple[str, ...]
+    parts: tuple[str, int] | None
+    cut: str
+    byte_level: bool
+    lower: bool
+
+    @classmethod
+    def of(cls, path: str) -> "Facts":
+        with open(path, encoding="utf-8") as f:
+            spec = json.load(f)
+        plain = [t for t in spec["added_tokens"] if t["special"] and not (t["lstrip"] or t["rstrip"] or t["single_word"] or t["normalized"])]
+        pre = spec["pre_tokenizer"] or {}
+        steps = pre.get("pretokenizers", [pre])
+        # "dropped": a split that keeps no white space; "led": byte level with its own pattern,
+        # where one space leads a word; else texts are encoded whole.
+        cut = "whole"
+        if steps[0].get("type") == "Split" and steps[0].get("invert") and steps[0].get("behavior") == "Removed":
+            cut = "dropped"
+        elif steps[0].get("type") == "ByteLevel" and steps[0].get("use_regex") and not steps[0].get("add_prefix_space") and not spec["normalizer"]:
+            cut = "led"
+        plain_model = spec["model"].get("type") == "BPE" and not any(spec["model"].get(k) for k in ("dropout", "unk_token", "fuse_unk", "ignore_merges"))
+        byte_level = cut != "whole" and steps[-1].get("type") == "ByteLevel" and plain_model and sys.byteorder == "little" and array("I").itemsize == 4
+        lowers = any(n.get("type") == "Lowercase" for n in (spec["normalizer"] or {}).get("normalizers", []))
+        return cls(tuple(t["content"] for t in spec["added_tokens"]), (plain[0]["content"], plain[0]["id"]) if plain else None, cut, byte_level, cut == "dropped" and lowers)
+
+
+def memo(path: str, limit: int = MEMO_WORDS, facts: Facts | None = None) -> "WordMemo":
     """This process's memo for a tokenizer file; it outlives a task."""
     if (path, limit) not in _memos:
-        _memos[path, limit] = WordMemo(path, limit)
+        _memos[path, limit] = WordMemo(path, limit, facts)
     return _memos[path, limit]
 
 
 class WordMemo:
     """``encode(texts)``: per text, its ids as little-endian unsigned 32-bit integers in bytes."""
 
-    def __init__(self, path: str, limit: int = MEMO_WORDS):
+    def __init__(self, path: str, limit: int = MEMO_WORDS, facts: Facts | None = None):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        with open(path, encoding="utf-8") as f:
-            spec = json.load(f)
-        self.added = [t["content"] for t in spec["added_tokens"]]
-        plain = [t for t in spec["added_tokens"] if t["special"] and not (t["lstrip"] or t["rstrip"] or t["single_word"] or t["normalized"])]
-        self.parts = (plain[0]["content"], plain[0]["id"]) if plain else None
-        pre = spec["pre_tokenizer"] or {}
-        steps = pre.get("pretokenizers", [pre])
-        #: "dropped": a split that keeps no white space; "led": byte level with its own pattern,
-        #: where one space leads a word; else texts are encoded whole.
-        self.cut = "whole"
-        if steps[0].get("type") == "Split" and steps[0].get("invert") and steps[0].get("behavior") == "Removed":
-            self.cut = "dropped"
-        elif steps[0].get("type") == "ByteLevel" and steps[0].get("use_regex") and not steps[0].get("add_prefix_space") and not spec["normalizer"]:
-            self.cut = "led"
-        kinds = [p.get("type") for p in steps]
-        plain_model = spec["model"].get("type") == "BPE" and not any(spec["model"].get(k) for k in ("dropout", "unk_token", "fuse_unk", "ignore_merges"))
-        self.byte_level = self.cut != "whole" and kinds[-1] == "ByteLevel" and plain_model and sys.byteorder == "little" and array("I").itemsize == 4
-        lowers = any(n.get("type") == "Lowercase" for n in (spec["normalizer"] or {}).get("normalizers", []))
-        self.lower = self.cut == "dropped" and lowers
+        facts = facts or Facts.of(path)
+        self.added, self.parts, self.cut, self.byte_level, self.lower = facts.added, facts.parts, facts.cut, facts.byte_level, facts.lower
         self.limit, self.known, self.older = limit, {}, {}
 
     def whole(self, text: str) -> bytes:
