@@ -602,6 +602,12 @@ def test_quality_classifier(spark, docs, none, sf_dir, duck):
     own = spark.createDataFrame([(1, 1), (7, 0), (9, 0), (None, 1), (3, 5), (11, 1), (14, 1), (8, 0)], "doc_id long, quality int")
     assert classify(docs, own).count() == len(awkward())
     assert {r.score for r in classify(docs, own.limit(0)).collect()} == {0.5}
+    from ligature.llm.quality_model import features, judge, learn, score
+
+    made = features(docs)
+    model = learn(made, own)
+    assert rows(judge(docs, model)) == rows(score(made, model)) and {r.score for r in judge(docs, None).collect()} == {0.5}
+    assert judge(none, model).collect() == []
     assert classify(none, own).collect() == []
 
 
