@@ -98,7 +98,7 @@ def release(*tables: DataFrame) -> None:
             scope[:] = [x for x in scope if x is not t]
 
 
-def small_side(df: DataFrame, max_rows: int = 1_000_000, max_elements: int = 4_000_000) -> DataFrame:
+def small_side(df: DataFrame, max_rows: int = 1_000_000, max_elements: int = 1_000_000) -> DataFrame:
     """Hint a broadcast only when a count proves that the side is small; else Spark shuffles it.
 
     ``df`` should be cheap to count (a materialised table). Rows are counted, and where columns
