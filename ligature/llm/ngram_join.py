@@ -333,13 +333,22 @@ def ngram_jaccard_join(docs: DataFrame, n: int = 5, num: int = 4, den: int = 5,
     """
     with scratch() as keep:
         sets = keep(materialize(_sets(docs, n, id_col, text_col), "gram-sets"))
-        parts = keep(_components(docs, sets, n, num, den, id_col, text_col))
-    part = F.coalesce("component", "key").alias("component_key")
-    classed = sets.join(small_side(parts), F.col("key") == F.col("node"), "left").select("doc_id", F.col("n").alias("n_shingles"), F.col("key").alias("set_key"), part)
-    named = classed.groupBy("component_key").agg(F.min("doc_id").alias("smallest")).where("component_key is not null").withColumnRenamed("component_key", "of")
-    answered = classed.join(named, F.col("component_key") == F.col("of"), "left")
-    component = F.when(F.col("component_key").isNull(), F.col("doc_id")).otherwise(F.col("smallest")).alias("component_id")
-    return answered.select("doc_id", "n_shingles", component, *["set_key", "component_key"] * keys)
+        parts = _components(docs, sets, n, num, den, id_col, text_col)
+        shared = keep(materialize(_smallest(sets, parts), "shared-keys"))
+    own = sets.withColumnRenamed("key", "set_key").join(small_side(shared), F.col("set_key") == F.col("key"), "left")
+    component = F.when(F.col("key").isNull(), F.col("doc_id")).otherwise(F.col("smallest")).alias("component_id")
+    part = F.coalesce("part", "set_key").alias("component_key")
+    return own.select("doc_id", F.col("n").alias("n_shingles"), component, *["set_key", part] * keys)
+
+
+def _smallest(sets: DataFrame, parts: DataFrame) -> DataFrame:
+    """key, part, smallest: component and its least doc_id, of sets with several rows or a link."""
+    per = sets.where("key is not null").groupBy("key").agg(F.min("doc_id").alias("least"), F.count("*").alias("c"))
+    placed = per.join(small_side(parts), F.col("key") == F.col("node"), "left").where("c > 1 or component is not null")
+    placed = materialize(placed.select("key", "component", "least"), "placed-keys")
+    of = placed.where("component is not null").groupBy(F.col("component").alias("of")).agg(F.min("least").alias("smallest"))
+    found = placed.join(small_side(materialize(of, "smallest")), F.col("component") == F.col("of"), "left")
+    return found.select("key", F.coalesce("component", "key").alias("part"), F.when(F.col("component").isNull(), F.col("least")).otherwise(F.col("smallest")).alias("smallest"))
 
 
 def set_keys(docs: DataFrame, n: int, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
