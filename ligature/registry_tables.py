@@ -63,7 +63,8 @@ def io_pairs_one_file(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lines.select(*[F.col("t")[k].cast(kind).alias(name) for k, (name, kind) in enumerate(kinds)])
 
 
-@_query(with_views(f"{_UPPER}, {_NAMED} SELECT count(*) AS n, sum(pos1)::BIGINT AS pos1, sum(pos2)::BIGINT AS pos2 FROM named WHERE c1 = 'NODE_7' AND pos1 BETWEEN 100 AND 20000 AND c2 = 'NODE_7' AND pos2 BETWEEN 1 AND 30000"))
+@_query(with_views(f"""{_UPPER}, {_NAMED} SELECT count(*) AS n, sum(pos1)::BIGINT AS pos1, sum(pos2)::BIGINT AS pos2 FROM named WHERE c1 = 'NODE_7'
+ AND pos1 BETWEEN 100 AND 20000 AND c2 = 'NODE_7' AND pos2 BETWEEN 1 AND 30000"""))
 def scan_region(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A rectangle out of the sorted store."""
     store = _folder(spark, "store")
@@ -80,7 +81,8 @@ def _alignments(spark: SparkSession, sf_dir: str) -> DataFrame:
     return P.pairs(spark, sf_dir).select("read_id", F.element_at(flags, (F.col("pos1") % 5 + 1).cast("int")).alias("flag"), F.col("c1").alias("contig"), (F.col("pos1") - 1).alias("pos"), "mapq")
 
 
-@_query(with_views(f"{_FLAGS} SELECT contig, CASE WHEN flag = 16 THEN '-' ELSE '+' END AS strand, count(*) AS n, sum(pos + 1)::BIGINT AS pos FROM al WHERE mapq >= 30 AND flag IN (0, 16) GROUP BY ALL"))
+@_query(with_views(f"""{_FLAGS} SELECT contig, CASE WHEN flag = 16 THEN '-' ELSE '+' END AS strand, count(*) AS n, sum(pos + 1)::BIGINT AS pos FROM al
+ WHERE mapq >= 30 AND flag IN (0, 16) GROUP BY ALL"""))
 def filter_mapq(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Alignments of the plain flags with enough quality, counted from 1."""
     kept = pairs.one_based(pairs.keep_alignments(_alignments(spark, sf_dir), 30))
@@ -126,7 +128,8 @@ def join_interleaved_mates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pairs.pair_interleaved(one.unionByName(two).unionByName(extra), 12, strict=True)
 
 
-@_query(with_views("SELECT DISTINCT contig FROM (SELECT c1 AS contig FROM pairs UNION ALL SELECT c2 FROM pairs) WHERE contig NOT IN (SELECT id FROM contigs WHERE kind > 25)"))
+@_query(with_views("""SELECT DISTINCT contig FROM (SELECT c1 AS contig FROM pairs UNION ALL SELECT c2 FROM pairs) WHERE contig NOT IN (SELECT id FROM contigs
+ WHERE kind > 25)"""))
 def join_unlisted(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Contigs that pairs name but a shorter table does not list."""
     return pairs.unknown_contigs(P.pairs(spark, sf_dir), P.contigs(spark, sf_dir).where("kind > 25"))
@@ -147,7 +150,8 @@ def filter_edge(spark: SparkSession, sf_dir: str) -> DataFrame:
     return kept[0].unionByName(kept[1]).unionByName(kept[2]).groupBy("edge").agg(F.count("*").alias("n_kept"), F.sum("pos1").alias("pos"))
 
 
-@_query(with_views(f"SELECT true AS with_self, c1 = c2 AS intra, count(*) AS n, sum(pos1)::BIGINT AS pos {_LOCATED} GROUP BY ALL UNION ALL SELECT false, c1 = c2, count(*), sum(pos1)::BIGINT {_LOCATED} WHERE {_near_end(500)} GROUP BY ALL"))
+@_query(with_views(f"""SELECT true AS with_self, c1 = c2 AS intra, count(*) AS n, sum(pos1)::BIGINT AS pos {_LOCATED} GROUP BY ALL UNION ALL SELECT false, c1 = c2,
+ count(*), sum(pos1)::BIGINT {_LOCATED} WHERE {_near_end(500)} GROUP BY ALL"""))
 def filter_self_contacts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What stays with and without contacts within a contig."""
     located = materialize(pairs.locate(P.pairs(spark, sf_dir), P.contigs(spark, sf_dir)), "located")
@@ -155,7 +159,8 @@ def filter_self_contacts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return kept[0].unionByName(kept[1]).groupBy("with_self", (F.col("c1") == F.col("c2")).alias("intra")).agg(F.count("*").alias("n"), F.sum("pos1").alias("pos"))
 
 
-@_query(with_views(f"{_UPPER} SELECT c1, count(*) AS n, count(DISTINCT (pos1, c2, pos2)) AS n_places FROM (SELECT DISTINCT c1, pos1, strand1, c2, pos2, strand2 FROM upper) GROUP BY c1"))
+@_query(with_views(f"""{_UPPER} SELECT c1, count(*) AS n, count(DISTINCT (pos1, c2, pos2)) AS n_places FROM (SELECT DISTINCT c1, pos1, strand1, c2, pos2, strand2
+ FROM upper) GROUP BY c1"""))
 def set_dedup_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Pairs without duplicates, by coordinates with and without strands."""
     own = _upper(spark, sf_dir).select(*pairs.ENDS)
@@ -164,7 +169,8 @@ def set_dedup_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return one.join(two, F.col("c1") == F.col("_c")).select("c1", "n", "n_places")
 
 
-@_query(with_views("SELECT sample, count(*) AS n, sum(pos1)::BIGINT AS pos FROM (SELECT 0 AS sample, pos1 FROM pairs WHERE mapq < 12 UNION ALL SELECT 1, pos1 FROM pairs WHERE c1 = c2 UNION ALL SELECT 2, pos1 FROM pairs) GROUP BY sample"))
+@_query(with_views("""SELECT sample, count(*) AS n, sum(pos1)::BIGINT AS pos FROM (SELECT 0 AS sample, pos1 FROM pairs WHERE mapq < 12 UNION ALL SELECT 1, pos1
+ FROM pairs WHERE c1 = c2 UNION ALL SELECT 2, pos1 FROM pairs) GROUP BY sample"""))
 def set_union_samples(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Three overlapping tables one after the other."""
     p = P.pairs(spark, sf_dir).drop("sample")
@@ -186,7 +192,8 @@ def _write_fasta(seqs: DataFrame, path: str) -> None:
     seqs.repartitionByRange("id").sortWithinPartitions("id").select(line.alias("value")).write.text(path)
 
 
-@_query(with_views(f"{_SEQS} SELECT id, name, length(seq) AS size, round(length(regexp_replace(seq, '[AT]', '', 'g')) * 100.0::DOUBLE / length(seq), 6) AS gc, CASE WHEN id % 3 <> 0 THEN coverage END AS coverage, len(regexp_extract_all(seq, '{S.site_pattern(ENZYMES)}')) + 1 AS rs FROM seqs"))
+@_query(with_views(f"""{_SEQS} SELECT id, name, length(seq) AS size, round(length(regexp_replace(seq, '[AT]', '', 'g')) * 100.0::DOUBLE / length(seq), 6) AS gc,
+ CASE WHEN id % 3 <> 0 THEN coverage END AS coverage, len(regexp_extract_all(seq, '{S.site_pattern(ENZYMES)}')) + 1 AS rs FROM seqs"""))
 def io_assembly(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Sequences and depths as files, with ids in the order of the records."""
     path, seqs = _folder(spark, "assembly"), _sequences(spark, sf_dir)
@@ -196,9 +203,11 @@ def io_assembly(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.withColumn("gc", F.round("gc", 6)).withColumn("size", F.col("size").cast("long"))
 
 
-_SHORT = f"""{_SEQS}, own AS (SELECT id, length(seq) AS size, coverage FROM seqs), near AS (SELECT c1, pos1 % x.size + 1 AS pos1, c2, pos2 % y.size + 1 AS pos2 FROM pairs JOIN own x ON x.id = c1 JOIN own y ON y.id = c2),
+_SHORT = f"""{_SEQS}, own AS (SELECT id, length(seq) AS size, coverage FROM seqs),
+ near AS (SELECT c1, pos1 % x.size + 1 AS pos1, c2, pos2 % y.size + 1 AS pos2 FROM pairs JOIN own x ON x.id = c1 JOIN own y ON y.id = c2),
  h AS (SELECT id, count(*) AS hit FROM (SELECT c1 AS id FROM near UNION ALL SELECT c2 FROM near) GROUP BY id),
- e AS (SELECT least(c1, c2) AS src, greatest(c1, c2) AS dst, count(*) AS n FROM near JOIN own x ON x.id = c1 JOIN own y ON y.id = c2 WHERE pos1 > 3 AND pos2 > 3 AND x.size - pos1 > 3 AND y.size - pos2 > 3 AND c1 <> c2 GROUP BY ALL)"""
+ e AS (SELECT least(c1, c2) AS src, greatest(c1, c2) AS dst, count(*) AS n FROM near JOIN own x ON x.id = c1 JOIN own y ON y.id = c2
+ WHERE pos1 > 3 AND pos2 > 3 AND x.size - pos1 > 3 AND y.size - pos2 > 3 AND c1 <> c2 GROUP BY ALL)"""
 
 
 @_query(with_views(f"{_SHORT} SELECT src, dst, n, round(n / sqrt(CAST(x.hit AS DOUBLE) * y.hit), 6) AS w FROM e JOIN h x ON x.id = src JOIN h y ON y.id = dst"))
@@ -214,7 +223,8 @@ def network_of_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.edges.withColumn("w", F.round("w", 6))
 
 
-@_query(with_views(f"{_SEQS}, own AS (SELECT b.bin, b.id, b.name, seq FROM bins b JOIN seqs s ON s.id = b.id WHERE bin <> 'ND') SELECT bin, name, length(seq) AS n, md5(seq) AS digest FROM own"))
+@_query(with_views(f"""{_SEQS}, own AS (SELECT b.bin, b.id, b.name, seq FROM bins b JOIN seqs s ON s.id = b.id WHERE bin <> 'ND')
+ SELECT bin, name, length(seq) AS n, md5(seq) AS digest FROM own"""))
 def io_bin_sequences(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A folder of sequences for each bin, read as one."""
     path, own = _folder(spark, "bins"), P.bins(spark, sf_dir).where("bin != 'ND'").select("bin", "name")
@@ -223,7 +233,8 @@ def io_bin_sequences(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select(F.regexp_extract("file", "bin=([^/]*)/", 1).alias("bin"), "name", F.char_length("seq").cast("long").alias("n"), F.md5(F.col("seq").cast("binary")).alias("digest"))
 
 
-@_query(with_views(f"{_SEQS}, own AS (SELECT b.block AS bin, string_agg(seq, repeat('N', 7) ORDER BY b.id) AS seq FROM bins b JOIN seqs s ON s.id = b.id WHERE mobile GROUP BY b.block) SELECT bin, length(seq) AS n, md5(seq) AS digest FROM own"))
+@_query(with_views(f"""{_SEQS}, own AS (SELECT b.block AS bin, string_agg(seq, repeat('N', 7) ORDER BY b.id) AS seq FROM bins b JOIN seqs s ON s.id = b.id
+ WHERE mobile GROUP BY b.block) SELECT bin, length(seq) AS n, md5(seq) AS digest FROM own"""))
 def agg_joined_sequences(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A bin's sequences in id order with a spacer."""
     own = P.bins(spark, sf_dir).where("mobile").select(F.col("block").alias("bin"), "id", "name")
@@ -238,7 +249,9 @@ def fn_composition(spark: SparkSession, sf_dir: str) -> DataFrame:
     return S.composition(docs, S.site_pattern(ENZYMES).lower()).select("name", "length", "rs")
 
 
-@_query("SELECT doc_id, md5(CASE WHEN doc_id % 2 = 0 THEN substring(text, 6, 40) ELSE reverse(translate(substring(text, 6, 40), 'ACGTacgt', 'TGCAtgca')) END) AS digest FROM documents")
+@_query("""SELECT doc_id, md5(CASE
+ WHEN doc_id % 2 = 0 THEN substring(text, 6, 40) ELSE reverse(translate(substring(text, 6, 40), 'ACGTacgt', 'TGCAtgca')) END) AS digest
+ FROM documents""")
 def fn_fetch(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A stretch of each text, of the other strand for odd ids."""
     part = S.fetch(F.col("text"), F.lit(5), F.lit(45), F.col("doc_id") % 2 == 1)
@@ -248,7 +261,9 @@ def fn_fetch(spark: SparkSession, sf_dir: str) -> DataFrame:
 # ---- tables as files --------------------------------------------------------------------------
 
 
-@_query(with_views(f"{_HITS} SELECT c.id::INTEGER AS ID, name AS Name, size AS Size, round(kind / 3.0::DOUBLE, 6) AS GC_content, coalesce(hit, 0) AS Hit, coverage AS Shotgun_coverage, CASE WHEN kind % 4 <> 0 THEN rs::INTEGER END AS Restriction_site FROM contigs c LEFT JOIN hits h ON h.id = c.id"))
+@_query(with_views(f"""{_HITS} SELECT c.id::INTEGER AS ID, name AS Name, size AS Size, round(kind / 3.0::DOUBLE, 6) AS GC_content, coalesce(hit, 0) AS Hit,
+ coverage AS Shotgun_coverage, CASE WHEN kind % 4 <> 0 THEN rs::INTEGER END AS Restriction_site FROM contigs c LEFT
+ JOIN hits h ON h.id = c.id"""))
 def io_contigs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The contig table as text, - for what is missing."""
     path = _folder(spark, "contigs")
@@ -290,7 +305,8 @@ def io_hits(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.csv(path, sep="\t", schema="id long, name string, hit_0 long, hit_1 long")
 
 
-_SUMMARY = "SELECT bin, round(completeness, 2) AS completeness, round(redundancy, 2) AS redundancy, completeness < 0.5 AS recursive, round(completeness * 3, 4) AS hic_abundance, CASE WHEN completeness > 0.7 THEN bin END AS parent FROM bin_quality"
+_SUMMARY = """SELECT bin, round(completeness, 2) AS completeness, round(redundancy, 2) AS redundancy, completeness < 0.5 AS recursive,
+ round(completeness * 3, 4) AS hic_abundance, CASE WHEN completeness > 0.7 THEN bin END AS parent FROM bin_quality"""
 
 
 @_query(with_views(_SUMMARY))
@@ -315,7 +331,8 @@ def io_markers(spark: SparkSession, sf_dir: str) -> DataFrame:
     return readers.read_markers(spark, path).select("bin", "completeness", "redundancy", "cds")
 
 
-@_query(with_views("SELECT bin, 'k__' || (bin LIKE '%1_00000')::VARCHAR AS lineage, round(completeness * 100, 2) AS completeness, 1000::BIGINT AS size, CASE WHEN completeness > 0.5 THEN 'p__x' ELSE '-' END AS taxonomy FROM bin_quality"))
+@_query(with_views("""SELECT bin, 'k__' || (bin LIKE '%1_00000')::VARCHAR AS lineage, round(completeness * 100, 2) AS completeness, 1000::BIGINT AS size, CASE
+ WHEN completeness > 0.5 THEN 'p__x' ELSE '-' END AS taxonomy FROM bin_quality"""))
 def io_lineage_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Fixed-width reports and a taxonomy that lacks some bins."""
     path, q = _folder(spark, "lineage"), P.bin_quality(spark, sf_dir)
@@ -326,7 +343,9 @@ def io_lineage_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     return readers.read_lineage_report(spark, f"{path}/results", f"{path}/taxonomy").select("bin", "lineage", "completeness", "size", "taxonomy")
 
 
-_PLACED = "placed AS (SELECT id, 'NODE_' || id AS name, (id - 1) // 20 AS over_id, kind % 3 AS rec_id FROM contigs), kept AS (SELECT DISTINCT 'b_' || lpad(over_id::VARCHAR, 5, '0') || '_' || lpad(rec_id::VARCHAR, 5, '0') AS bin FROM placed WHERE (over_id + rec_id) % 2 = 0)"
+_PLACED = """placed AS (SELECT id, 'NODE_' || id AS name, (id - 1) // 20 AS over_id, kind % 3 AS rec_id FROM contigs),
+ kept AS (SELECT DISTINCT 'b_' || lpad(over_id::VARCHAR, 5, '0') || '_' || lpad(rec_id::VARCHAR, 5, '0') AS bin FROM placed
+ WHERE (over_id + rec_id) % 2 = 0)"""
 
 
 def _final_members(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -344,7 +363,8 @@ def io_binning(spark: SparkSession, sf_dir: str) -> DataFrame:
     return readers.read_binning(spark, path)
 
 
-@_query(with_views(f"{_PLACED} SELECT c.name AS \"Name\", kind % 5 = 0 AS mobile, coalesce(k.bin, 'ND') AS bin FROM contigs c JOIN placed p USING (id) LEFT JOIN kept k ON k.bin = 'b_' || lpad(over_id::VARCHAR, 5, '0') || '_' || lpad(rec_id::VARCHAR, 5, '0')"))
+@_query(with_views(f"""{_PLACED} SELECT c.name AS "Name", kind % 5 = 0 AS mobile, coalesce(k.bin, 'ND') AS bin FROM contigs c JOIN placed p USING (id) LEFT
+ JOIN kept k ON k.bin = 'b_' || lpad(over_id::VARCHAR, 5, '0') || '_' || lpad(rec_id::VARCHAR, 5, '0')"""))
 def join_element_table(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Contigs with a list of mobile ones, read from text, and a binning."""
     path, own = _folder(spark, "names"), P.contigs(spark, sf_dir)
@@ -360,7 +380,9 @@ def join_final_bins(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.with_final_bins(own.select(F.col("name").alias("Name"), F.lit("old").alias("Final_bin")), records)
 
 
-@_query(with_views("SELECT i, j, round(n * 0.001::DOUBLE, 3) AS value FROM (SELECT least(c1, c2) AS i, greatest(c1, c2) AS j, count(*) AS n FROM pairs GROUP BY 1, 2) UNION ALL SELECT max(id), max(id), (SELECT count(*) FROM (SELECT DISTINCT least(c1, c2), greatest(c1, c2) FROM pairs)) FROM contigs"))
+@_query(with_views("""SELECT i, j, round(n * 0.001::DOUBLE, 3) AS value FROM (SELECT least(c1, c2) AS i, greatest(c1, c2) AS j, count(*) AS n FROM pairs
+ GROUP BY 1, 2) UNION ALL SELECT max(id), max(id), (SELECT count(*) FROM (SELECT DISTINCT least(c1, c2), greatest(c1, c2) FROM pairs))
+ FROM contigs"""))
 def io_matrix(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A sparse matrix as text; its head line is a row of the result."""
     path, p = _folder(spark, "matrix"), P.pairs(spark, sf_dir)
@@ -387,7 +409,9 @@ def fn_label_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @_query(with_views(f"""{_CORES}, {_REACH}, placed AS (SELECT id, core_id, bin, size FROM members JOIN overlapping USING (core_id) JOIN contigs USING (id))
- SELECT c.id, lpad((core_id + 1)::VARCHAR, 5, '0') AS "Core_bin_ID", count(*) OVER k AS "Core_bin_contigs", (sum(p.size) OVER k)::BIGINT AS "Core_bin_size", lpad(bin::VARCHAR, 5, '0') AS "Overlapping_bin_ID", count(*) OVER o AS "Overlapping_bin_contigs", (sum(p.size) OVER o)::BIGINT AS "Overlapping_bin_size"
+ SELECT c.id, lpad((core_id + 1)::VARCHAR, 5, '0') AS "Core_bin_ID",
+ count(*) OVER k AS "Core_bin_contigs", (sum(p.size) OVER k)::BIGINT AS "Core_bin_size", lpad(bin::VARCHAR, 5, '0') AS "Overlapping_bin_ID",
+ count(*) OVER o AS "Overlapping_bin_contigs", (sum(p.size) OVER o)::BIGINT AS "Overlapping_bin_size"
  FROM contigs c LEFT JOIN placed p ON p.id = c.id WINDOW k AS (PARTITION BY core_id), o AS (PARTITION BY bin)""", recursive=True))
 def agg_partition_table(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The contig table with its bins."""
@@ -397,8 +421,12 @@ def agg_partition_table(spark: SparkSession, sf_dir: str) -> DataFrame:
     return consensus.partition_table(P.contigs(spark, sf_dir).select("id", "size"), members, cores, bins).drop("size")
 
 
-@_query(with_views("""kids AS (SELECT bin AS parent, bin || '.' || (kind % 3) AS bin, (sum(kind) * 7 % 100)::DOUBLE AS completeness FROM bins JOIN contigs USING (id) WHERE bin <> 'ND' GROUP BY bin, kind % 3), best AS (SELECT parent, max(completeness) AS best FROM kids GROUP BY parent),
- judged AS (SELECT q.bin, q.completeness * 100 AS completeness, coalesce(best > q.completeness * 100 / 2 AND best > 50, false) AS ok FROM bin_quality q LEFT JOIN best b ON b.parent = q.bin) SELECT bin, round(completeness, 6) AS completeness FROM judged WHERE NOT ok UNION ALL SELECT k.bin, k.completeness FROM kids k JOIN judged j ON j.bin = k.parent AND j.ok"""))
+@_query(with_views("""kids AS (SELECT bin AS parent, bin || '.' || (kind % 3) AS bin, (sum(kind) * 7 % 100)::DOUBLE AS completeness FROM bins
+ JOIN contigs USING (id) WHERE bin <> 'ND' GROUP BY bin, kind % 3), best AS (SELECT parent, max(completeness) AS best FROM kids
+ GROUP BY parent),
+ judged AS (SELECT q.bin, q.completeness * 100 AS completeness, coalesce(best > q.completeness * 100 / 2 AND best > 50, false) AS ok
+ FROM bin_quality q LEFT JOIN best b ON b.parent = q.bin) SELECT bin, round(completeness, 6) AS completeness FROM judged WHERE NOT ok
+ UNION ALL SELECT k.bin, k.completeness FROM kids k JOIN judged j ON j.bin = k.parent AND j.ok"""))
 def agg_compare_half(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The older comparison, in percent."""
     own = P.bins(spark, sf_dir).where("bin != 'ND'").select(F.col("id").alias("_i"), F.col("bin").alias("parent")).join(P.contigs(spark, sf_dir), F.col("_i") == F.col("id"))
@@ -407,24 +435,32 @@ def agg_compare_half(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.compare_by_half(parents, kids).withColumn("completeness", F.round("completeness", 6))
 
 
-@_query(with_views(f"{_SIZES}, q AS (SELECT bin, completeness AS c, redundancy AS r FROM bin_quality), own AS (SELECT CASE WHEN c < 0.5 THEN 'Other' WHEN r > 1.1 THEN 'Contaminated' WHEN c >= 0.9 AND r <= 1.05 THEN 'HQ' WHEN c >= 0.7 THEN 'MQ' ELSE 'LQ' END AS class, count(*) AS n, coalesce(sum(size), 0)::BIGINT AS size FROM q LEFT JOIN sizes USING (bin) GROUP BY 1) SELECT class, n, size FROM own UNION ALL SELECT 'Unbinned', 0, (SELECT sum(size) FROM contigs)::BIGINT - sum(size)::BIGINT FROM own"))
+@_query(with_views(f"""{_SIZES}, q AS (SELECT bin, completeness AS c, redundancy AS r FROM bin_quality), own AS (SELECT CASE WHEN c < 0.5 THEN 'Other'
+ WHEN r > 1.1 THEN 'Contaminated' WHEN c >= 0.9 AND r <= 1.05 THEN 'HQ' WHEN c >= 0.7 THEN 'MQ' ELSE 'LQ' END AS class, count(*) AS n,
+ coalesce(sum(size), 0)::BIGINT AS size FROM q LEFT JOIN sizes USING (bin) GROUP BY 1) SELECT class, n, size FROM own UNION ALL
+ SELECT 'Unbinned', 0, (SELECT sum(size) FROM contigs)::BIGINT - sum(size)::BIGINT FROM own"""))
 def agg_class_sizes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Sizes of the classes and of what is in no bin."""
     total = P.contigs(spark, sf_dir).agg(F.sum("size")).first()[0]
     return quality.class_sizes(P.bin_quality(spark, sf_dir), _sizes(spark, sf_dir), F.lit(total))
 
 
-_VIRAL = "viral AS (SELECT CASE WHEN kind % 9 = 0 THEN 'NA' ELSE (kind * 7 % 101)::VARCHAR END AS completeness, CASE WHEN kind % 4 = 0 THEN 'Yes' ELSE 'No' END AS provirus, size FROM contigs), classed AS (SELECT CASE WHEN c >= 90 THEN '90-100' WHEN c >= 70 THEN '70-90' WHEN c >= 50 THEN '50-70' WHEN c >= 30 THEN '30-50' ELSE '0-30' END AS class, size FROM (SELECT coalesce(try_cast(completeness AS DOUBLE), 0) AS c, size FROM viral WHERE provirus = 'No'))"
+_VIRAL = """viral AS (SELECT CASE WHEN kind % 9 = 0 THEN 'NA' ELSE (kind * 7 % 101)::VARCHAR END AS completeness, CASE
+ WHEN kind % 4 = 0 THEN 'Yes' ELSE 'No' END AS provirus, size FROM contigs), classed AS (SELECT CASE WHEN c >= 90 THEN '90-100'
+ WHEN c >= 70 THEN '70-90' WHEN c >= 50 THEN '50-70' WHEN c >= 30 THEN '30-50' ELSE '0-30' END AS class, size
+ FROM (SELECT coalesce(try_cast(completeness AS DOUBLE), 0) AS c, size FROM viral WHERE provirus = 'No'))"""
 
 
-@_query(with_views(f"{_VIRAL} SELECT class, count(*) AS n, sum(size)::BIGINT AS size, round(sum(size) * 100.0::DOUBLE / (SELECT sum(size) FROM classed), 6) AS share FROM classed GROUP BY class"))
+@_query(with_views(f"""{_VIRAL} SELECT class, count(*) AS n, sum(size)::BIGINT AS size, round(sum(size) * 100.0::DOUBLE / (SELECT sum(size)
+ FROM classed), 6) AS share FROM classed GROUP BY class"""))
 def frame_viral_pie(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Mobile bins by completeness, with shares of size."""
     viral = P.contigs(spark, sf_dir).select(F.when(F.col("kind") % 9 == 0, "NA").otherwise((F.col("kind") * 7 % 101).cast("string")).alias("completeness"), F.when(F.col("kind") % 4 == 0, "Yes").otherwise("No").alias("provirus"), F.col("size").alias("contig_length"))
     return quality.viral_pie(viral).withColumn("share", F.round("share", 6))
 
 
-@_query(with_views("SELECT kind % 5 AS g, kind % 3 AS class, round(sum(size) * 100.0::DOUBLE / sum(sum(size)) OVER (PARTITION BY kind % 5), 6) AS share FROM contigs GROUP BY kind % 5, kind % 3"))
+@_query(with_views("""SELECT kind % 5 AS g, kind % 3 AS class, round(sum(size) * 100.0::DOUBLE / sum(sum(size)) OVER (PARTITION BY kind % 5), 6) AS share
+ FROM contigs GROUP BY kind % 5, kind % 3"""))
 def frame_row_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Shares of classes within groups."""
     counts = P.contigs(spark, sf_dir).groupBy((F.col("kind") % 5).alias("g"), (F.col("kind") % 3).alias("class")).agg(F.sum("size").alias("size"))
@@ -438,8 +474,10 @@ def agg_percentile(spark: SparkSession, sf_dir: str) -> DataFrame:
     return layout.percentile_of(counts).withColumn("percentile", F.round("percentile", 6))
 
 
-_CLASS = "CASE WHEN completeness < 0.5 THEN 'Other' WHEN redundancy > 1.1 THEN 'Contaminated' WHEN completeness >= 0.9 AND redundancy <= 1.05 THEN 'HQ' WHEN completeness >= 0.7 THEN 'MQ' ELSE 'LQ' END"
-_FRAME = f"""{_HITS}, own AS (SELECT b.bin, b.id, b.size, c.kind * 1.0::DOUBLE AS gc, b.coverage, 100.0::DOUBLE * coalesce(hit, 0) / b.size AS hic_cov FROM bins b JOIN contigs c ON c.id = b.id LEFT JOIN hits h ON h.id = b.id WHERE bin <> 'ND'),
+_CLASS = """CASE WHEN completeness < 0.5 THEN 'Other' WHEN redundancy > 1.1 THEN 'Contaminated' WHEN completeness >= 0.9
+ AND redundancy <= 1.05 THEN 'HQ' WHEN completeness >= 0.7 THEN 'MQ' ELSE 'LQ' END"""
+_FRAME = f"""{_HITS}, own AS (SELECT b.bin, b.id, b.size, c.kind * 1.0::DOUBLE AS gc, b.coverage, 100.0::DOUBLE * coalesce(hit, 0) / b.size AS hic_cov
+ FROM bins b JOIN contigs c ON c.id = b.id LEFT JOIN hits h ON h.id = b.id WHERE bin <> 'ND'),
  frame AS (SELECT o.*, (size // (SELECT min(size) FROM own))::INTEGER AS size_weight, {_CLASS} AS class FROM own o JOIN bin_quality USING (bin))"""
 
 
@@ -456,7 +494,10 @@ def frame_coverage(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _frame(spark, sf_dir).withColumn("hic_cov", F.round("hic_cov", 6))
 
 
-@_query(with_views(f"{_FRAME}, spread AS (SELECT bin, class, gc, unnest(range(size_weight)) AS k FROM frame), boxes AS (SELECT bin, class, count(*) AS n, min(gc) AS low, quantile_cont(gc, 0.25) AS q1, quantile_cont(gc, 0.5) AS median, quantile_cont(gc, 0.75) AS q3, max(gc) AS high FROM spread GROUP BY bin, class) SELECT bin, class, n, low, round(q1, 6) AS q1, round(median, 6) AS median, round(q3, 6) AS q3, high, row_number() OVER (ORDER BY median DESC, bin) - 1 AS place FROM boxes"))
+@_query(with_views(f"""{_FRAME}, spread AS (SELECT bin, class, gc, unnest(range(size_weight)) AS k FROM frame), boxes AS (SELECT bin, class,
+ count(*) AS n, min(gc) AS low, quantile_cont(gc, 0.25) AS q1, quantile_cont(gc, 0.5) AS median, quantile_cont(gc, 0.75) AS q3, max(gc) AS high
+ FROM spread GROUP BY bin, class) SELECT bin, class, n, low, round(q1, 6) AS q1, round(median, 6) AS median, round(q3, 6) AS q3, high,
+ row_number() OVER (ORDER BY median DESC, bin) - 1 AS place FROM boxes"""))
 def frame_boxes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Weighted quartiles per bin, in the order of the plot."""
     made = quality.box_frame(_frame(spark, sf_dir), "gc")
@@ -469,16 +510,22 @@ def frame_weighted(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.weighted(_frame(spark, sf_dir)).groupBy("bin").agg(F.count("*").alias("n"))
 
 
-@_query(with_views("SELECT row_number() OVER (ORDER BY completeness DESC, bin) - 1 AS place, bin, round(completeness, 6) AS completeness, least(redundancy, 1.1::DOUBLE) AS redundancy FROM bin_quality"))
+@_query(with_views("""SELECT row_number() OVER (ORDER BY completeness DESC, bin) - 1 AS place, bin,
+ round(completeness, 6) AS completeness, least(redundancy, 1.1::DOUBLE) AS redundancy FROM bin_quality"""))
 def frame_completeness(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Bins by falling completeness, redundancy cut off."""
     return quality.completeness_frame(P.bin_quality(spark, sf_dir), 1.1).withColumn("completeness", F.round("completeness", 6))
 
 
-_NOISE = """signals AS (SELECT least(x.bin, y.bin) AS mag1, greatest(x.bin, y.bin) AS mag2, w FROM network JOIN bins x ON x.id = src JOIN bins y ON y.id = dst WHERE x.bin <> 'ND' AND y.bin <> 'ND'), mean AS (SELECT mag1, mag2, avg(w) AS s FROM signals GROUP BY 1, 2),
- own AS (SELECT DISTINCT bin AS mag FROM bins WHERE bin <> 'ND'), sides AS (SELECT mag1 AS a, mag2 AS b, s FROM mean WHERE mag1 <> mag2 UNION ALL SELECT mag2, mag1, s FROM mean WHERE mag1 <> mag2),
- every AS (SELECT o.mag, 'intra' AS type, coalesce(s, 0) AS signal FROM own o LEFT JOIN mean m ON mag1 = mag AND mag2 = mag UNION ALL SELECT o.mag, 'inter', coalesce(s, 0) FROM own o JOIN own p ON p.mag <> o.mag LEFT JOIN sides ON a = o.mag AND b = p.mag),
- logs AS (SELECT *, log10(signal + 1e-10) AS lg FROM every), scaled AS (SELECT *, (lg - min(lg) OVER (PARTITION BY type)) / (max(lg) OVER (PARTITION BY type) - min(lg) OVER (PARTITION BY type)) AS x FROM logs)"""
+_NOISE = """signals AS (SELECT least(x.bin, y.bin) AS mag1, greatest(x.bin, y.bin) AS mag2, w FROM network JOIN bins x ON x.id = src
+ JOIN bins y ON y.id = dst WHERE x.bin <> 'ND' AND y.bin <> 'ND'), mean AS (SELECT mag1, mag2, avg(w) AS s FROM signals GROUP BY 1, 2),
+ own AS (SELECT DISTINCT bin AS mag FROM bins WHERE bin <> 'ND'), sides AS (SELECT mag1 AS a, mag2 AS b, s FROM mean WHERE mag1 <> mag2
+ UNION ALL SELECT mag2, mag1, s FROM mean WHERE mag1 <> mag2),
+ every AS (SELECT o.mag, 'intra' AS type, coalesce(s, 0) AS signal FROM own o LEFT JOIN mean m ON mag1 = mag AND mag2 = mag UNION ALL
+ SELECT o.mag, 'inter', coalesce(s, 0) FROM own o JOIN own p ON p.mag <> o.mag LEFT JOIN sides ON a = o.mag AND b = p.mag),
+ logs AS (SELECT *, log10(signal + 1e-10) AS lg FROM every),
+ scaled AS (SELECT *, (lg - min(lg) OVER (PARTITION BY type)) / (max(lg) OVER (PARTITION BY type) - min(lg) OVER (PARTITION BY type)) AS x
+ FROM logs)"""
 
 
 @_query(with_views(f"{_NET}, {_NOISE} SELECT mag, type, count(*) AS n, round(sum(signal), 5) AS signal, round(sum(x), 4) AS scaled FROM scaled GROUP BY mag, type"))
@@ -490,7 +537,11 @@ def frame_signals(spark: SparkSession, sf_dir: str) -> DataFrame:
     return made.groupBy("mag", "type").agg(F.count("*").alias("n"), F.round(F.sum("signal"), 5).alias("signal"), F.round(F.sum("scaled_signal"), 4).alias("scaled"))
 
 
-@_query(with_views("SELECT b.bin, completeness, CASE WHEN completeness IS NULL THEN 'Unknown' WHEN redundancy > 1.1 THEN 'Contaminated' WHEN completeness > 0.9 AND redundancy <= 1.05 THEN 'Complete' WHEN completeness > 0.9 AND redundancy > 1.05 AND redundancy < 1.1 THEN 'HQ' WHEN completeness > 0.7 AND redundancy < 1.1 THEN 'MQ' WHEN completeness > 0.5 AND redundancy < 1.1 THEN 'LQ' WHEN completeness < 0.5 AND redundancy < 1.1 THEN 'PQ' ELSE 'None' END AS class FROM (SELECT DISTINCT bin FROM bins WHERE bin <> 'ND') b LEFT JOIN (SELECT * FROM bin_quality WHERE completeness < 0.8) q USING (bin)"))
+@_query(with_views("""SELECT b.bin, completeness, CASE WHEN completeness IS NULL THEN 'Unknown' WHEN redundancy > 1.1 THEN 'Contaminated' WHEN completeness > 0.9
+ AND redundancy <= 1.05 THEN 'Complete' WHEN completeness > 0.9 AND redundancy > 1.05 AND redundancy < 1.1 THEN 'HQ' WHEN completeness > 0.7
+ AND redundancy < 1.1 THEN 'MQ' WHEN completeness > 0.5 AND redundancy < 1.1 THEN 'LQ' WHEN completeness < 0.5
+ AND redundancy < 1.1 THEN 'PQ' ELSE 'None' END AS class FROM (SELECT DISTINCT bin FROM bins WHERE bin <> 'ND') b LEFT JOIN (SELECT *
+ FROM bin_quality WHERE completeness < 0.8) q USING (bin)"""))
 def join_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Bins with what a summary knows of them; the rest are Unknown."""
     found = quality.with_quality(_binned(spark, sf_dir), P.bin_quality(spark, sf_dir).where("completeness < 0.8"))
@@ -508,7 +559,8 @@ def filter_bin_prefix(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 _OBJECT = f"""own AS (SELECT id, size, (sum(size) OVER (ORDER BY id) - size)::BIGINT AS at FROM bins WHERE bin = 'bin_00003_00000' AND size >= 5000),
  met AS (SELECT DISTINCT c1, pos1, strand1, c2, pos2, strand2 FROM pairs WHERE c1 IN (SELECT id FROM own) AND c2 IN (SELECT id FROM own)),
- places AS (SELECT x.at // {MAP_BIN} + (x.at % {MAP_BIN} + pos1 - 1) // {MAP_BIN} AS a, y.at // {MAP_BIN} + (y.at % {MAP_BIN} + pos2 - 1) // {MAP_BIN} AS b FROM met JOIN own x ON x.id = c1 JOIN own y ON y.id = c2)"""
+ places AS (SELECT x.at // {MAP_BIN} + (x.at % {MAP_BIN} + pos1 - 1) // {MAP_BIN} AS a, y.at // {MAP_BIN} + (y.at % {MAP_BIN} + pos2 - 1) // {MAP_BIN} AS b
+ FROM met JOIN own x ON x.id = c1 JOIN own y ON y.id = c2)"""
 
 
 @_query(with_views(f"{_OBJECT} SELECT least(a, b) AS f1, greatest(a, b) AS f2, count(*) AS n FROM places GROUP BY 1, 2"))
@@ -517,7 +569,8 @@ def agg_object_map(spark: SparkSession, sf_dir: str) -> DataFrame:
     return facade.object_map(P.pairs(spark, sf_dir), P.bins(spark, sf_dir), "bin", "bin_00003_00000", MAP_BIN)
 
 
-_GRID = f"grid AS (SELECT id, name, unnest(range(0, size, {MAP_BIN})) AS start, size FROM contigs), map_bins AS (SELECT row_number() OVER (ORDER BY id, start) - 1 AS bin, name, start, least(start + {MAP_BIN}, size) AS \"end\" FROM grid)"
+_GRID = f"""grid AS (SELECT id, name, unnest(range(0, size, {MAP_BIN})) AS start, size FROM contigs),
+ map_bins AS (SELECT row_number() OVER (ORDER BY id, start) - 1 AS bin, name, start, least(start + {MAP_BIN}, size) AS "end" FROM grid)"""
 
 
 def _grid(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -534,10 +587,13 @@ def _grid_counts(spark: SparkSession, bins: DataFrame, sf_dir: str) -> DataFrame
     return rows.groupBy(F.least("f1", "f2").alias("f1"), F.greatest("f1", "f2").alias("f2")).agg(F.count("*").alias("n"))
 
 
-_GRID_N = f"{_GRID}, counted AS (SELECT least(x.bin, y.bin) AS f1, greatest(x.bin, y.bin) AS f2, count(*) AS n FROM pairs JOIN map_bins x ON x.name = 'NODE_' || c1 AND x.start = (pos1 - 1) // {MAP_BIN} * {MAP_BIN} JOIN map_bins y ON y.name = 'NODE_' || c2 AND y.start = (pos2 - 1) // {MAP_BIN} * {MAP_BIN} GROUP BY 1, 2)"
+_GRID_N = f"""{_GRID}, counted AS (SELECT least(x.bin, y.bin) AS f1, greatest(x.bin, y.bin) AS f2, count(*) AS n FROM pairs
+ JOIN map_bins x ON x.name = 'NODE_' || c1 AND x.start = (pos1 - 1) // {MAP_BIN} * {MAP_BIN} JOIN map_bins y ON y.name = 'NODE_' || c2
+ AND y.start = (pos2 - 1) // {MAP_BIN} * {MAP_BIN} GROUP BY 1, 2)"""
 
 
-@_query(with_views(f"{_GRID_N} SELECT x.name AS name1, x.start AS start1, x.\"end\" AS end1, y.name AS name2, y.start AS start2, y.\"end\" AS end2, n FROM counted JOIN map_bins x ON x.bin = f1 JOIN map_bins y ON y.bin = f2"))
+@_query(with_views(f"""{_GRID_N} SELECT x.name AS name1, x.start AS start1, x."end" AS end1, y.name AS name2, y.start AS start2, y."end" AS end2, n FROM counted
+ JOIN map_bins x ON x.bin = f1 JOIN map_bins y ON y.bin = f2"""))
 def io_map_bedgraph(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A map as seven columns, written and read."""
     path, bins = _folder(spark, "bedgraph"), materialize(_grid(spark, sf_dir), "grid")
@@ -545,7 +601,8 @@ def io_map_bedgraph(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.csv(path, sep="\t", schema="name1 string, start1 long, end1 long, name2 string, start2 long, end2 long, n long")
 
 
-@_query(with_views(f"{_GRID} SELECT bin AS place, row_number() OVER (PARTITION BY name ORDER BY start)::INTEGER AS id, name AS chrom, start AS start_pos, \"end\" AS end_pos, \"end\" - start AS size FROM map_bins"))
+@_query(with_views(f"""{_GRID} SELECT bin AS place, row_number() OVER (PARTITION BY name ORDER BY start)::INTEGER AS id, name AS chrom,
+ start AS start_pos, "end" AS end_pos, "end" - start AS size FROM map_bins"""))
 def io_map_fragments(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The fragment table of a fragment-based map."""
     path, bins = _folder(spark, "fragments"), materialize(_grid(spark, sf_dir), "grid")
@@ -554,7 +611,8 @@ def io_map_fragments(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.csv(path, sep="\t", header=True, schema="place long, id int, chrom string, start_pos long, end_pos long, size long")
 
 
-@_query(with_views(f"{_NET}, {_HOSTS} SELECT mge, mag, round(signal, 4) AS signal, round(percent, 2) AS percent, contigs FROM shared WHERE percent >= 2.000001 AND contigs >= 2"))
+@_query(with_views(f"""{_NET}, {_HOSTS} SELECT mge, mag, round(signal, 4) AS signal, round(percent, 2) AS percent, contigs FROM shared WHERE percent >= 2.000001
+ AND contigs >= 2"""))
 def io_hosts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Hosts that are named, written and read."""
     path = _folder(spark, "hosts")
@@ -584,10 +642,15 @@ def graph_mobile_bins(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 # ---- intervals and edits ----------------------------------------------------------------------
 
-_NEXT = "pair_up AS (SELECT id, CASE WHEN id % 2 = 0 THEN 'a' ELSE 'a' || (kind % 2) END AS n1, kind * 100 AS s1, kind * 100 + size AS e1, 'a' AS n2, rs * 90 AS s2, rs * 90 + 30000 AS e2, kind % 2 = 1 AS rev FROM contigs)"
+_NEXT = """pair_up AS (SELECT id, CASE
+ WHEN id % 2 = 0 THEN 'a' ELSE 'a' || (kind % 2) END AS n1, kind * 100 AS s1, kind * 100 + size AS e1, 'a' AS n2, rs * 90 AS s2, rs * 90 + 30000 AS e2, kind % 2 = 1 AS rev
+ FROM contigs)"""
 
 
-@_query(with_views(f"{_NEXT} SELECT id, (s1 + e1) // 2 AS mid, CASE WHEN n1 = n2 AND least(e1, e2) > greatest(s1, s2) THEN least(e1, e2) - greatest(s1, s2) ELSE 0 END AS shared, CASE WHEN rev THEN e1 - 700 ELSE s1 END AS left_start, CASE WHEN rev THEN e1 ELSE s1 + 700 END AS left_end, CASE WHEN rev THEN s1 ELSE s1 + 700 END AS right_start, CASE WHEN rev THEN e1 - 700 ELSE e1 END AS right_end FROM pair_up"))
+@_query(with_views(f"""{_NEXT} SELECT id, (s1 + e1) // 2 AS mid, CASE WHEN n1 = n2
+ AND least(e1, e2) > greatest(s1, s2) THEN least(e1, e2) - greatest(s1, s2) ELSE 0 END AS shared, CASE
+ WHEN rev THEN e1 - 700 ELSE s1 END AS left_start, CASE WHEN rev THEN e1 ELSE s1 + 700 END AS left_end, CASE
+ WHEN rev THEN s1 ELSE s1 + 700 END AS right_start, CASE WHEN rev THEN e1 - 700 ELSE e1 END AS right_end FROM pair_up"""))
 def fn_intervals(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Middles, overlaps and parts of stretches."""
     c = P.contigs(spark, sf_dir)
@@ -609,11 +672,15 @@ def _stretches(spark: SparkSession, sf_dir: str) -> DataFrame:
     return total.select("bin", F.floor(F.col("s") / 4).cast("long").alias("lo"), F.floor(F.col("s") * 3 / 4).cast("long").alias("hi"))
 
 
-_CUT = """seg AS (SELECT block AS bin, id, name, size, id % 3 = 0 AS rev, (sum(size) OVER (PARTITION BY block ORDER BY id) - size)::BIGINT AS lft, (sum(size) OVER (PARTITION BY block ORDER BY id))::BIGINT AS til FROM bins),
+_CUT = """seg AS (SELECT block AS bin, id, name, size, id % 3 = 0 AS rev, (sum(size) OVER (PARTITION BY block
+ ORDER BY id) - size)::BIGINT AS lft, (sum(size) OVER (PARTITION BY block ORDER BY id))::BIGINT AS til FROM bins),
  span AS (SELECT bin, sum(size)::BIGINT // 4 AS lo, sum(size)::BIGINT * 3 // 4 AS hi FROM seg WHERE bin % 2 = 0 GROUP BY bin),
- cut AS (SELECT seg.bin, name, rev, size, lft, til, coalesce(lo, 0) AS lo, coalesce(hi, 0) AS hi, unnest([0, 1, 2]) AS part FROM seg LEFT JOIN span ON span.bin = seg.bin),
- bounds AS (SELECT *, CASE part WHEN 0 THEN lft WHEN 1 THEN greatest(lft, lo) ELSE greatest(lft, hi) END AS a, CASE part WHEN 0 THEN least(til, lo) WHEN 1 THEN least(til, hi) ELSE til END AS b FROM cut),
- piece AS (SELECT bin, name, rev, part = 1 AS inside, lo, hi, a, b, CASE WHEN rev THEN size - (b - lft) ELSE a - lft END AS s, CASE WHEN rev THEN size - (a - lft) ELSE b - lft END AS e FROM bounds WHERE b > a)"""
+ cut AS (SELECT seg.bin, name, rev, size, lft, til, coalesce(lo, 0) AS lo, coalesce(hi, 0) AS hi, unnest([0, 1, 2]) AS part FROM seg LEFT
+ JOIN span ON span.bin = seg.bin),
+ bounds AS (SELECT *, CASE part WHEN 0 THEN lft WHEN 1 THEN greatest(lft, lo) ELSE greatest(lft, hi) END AS a, CASE part
+ WHEN 0 THEN least(til, lo) WHEN 1 THEN least(til, hi) ELSE til END AS b FROM cut),
+ piece AS (SELECT bin, name, rev, part = 1 AS inside, lo, hi, a, b, CASE WHEN rev THEN size - (b - lft) ELSE a - lft END AS s, CASE
+ WHEN rev THEN size - (a - lft) ELSE b - lft END AS e FROM bounds WHERE b > a)"""
 
 
 def _ranks(order: str, where: str = "true") -> str:
@@ -638,19 +705,26 @@ def edit_between(spark: SparkSession, sf_dir: str) -> DataFrame:
     return regions.between(_segments(spark, sf_dir), _stretches(spark, sf_dir))
 
 
-_INSERT = """, halves AS (SELECT bin, name, rev, unnest([0, 1]) AS part, lft, til, size, lo FROM (SELECT seg.*, coalesce(lo, 0) AS lo FROM seg LEFT JOIN span ON span.bin = seg.bin)),
- cut_halves AS (SELECT bin, name, rev, lft, size, CASE part WHEN 0 THEN lft ELSE greatest(lft, lo) END AS a, CASE part WHEN 0 THEN least(til, lo) ELSE til END AS b FROM halves),
- joined AS (SELECT bin, name, CASE WHEN rev THEN size - (b - lft) ELSE a - lft END AS s, CASE WHEN rev THEN size - (a - lft) ELSE b - lft END AS e, rev, a, 1 AS late FROM cut_halves WHERE b > a UNION ALL SELECT bin, 'new', 5, 105, true, lo, 0 FROM span)"""
+_INSERT = """, halves AS (SELECT bin, name, rev, unnest([0, 1]) AS part, lft, til, size, lo FROM (SELECT seg.*, coalesce(lo, 0) AS lo FROM seg LEFT
+ JOIN span ON span.bin = seg.bin)),
+ cut_halves AS (SELECT bin, name, rev, lft, size, CASE part WHEN 0 THEN lft ELSE greatest(lft, lo) END AS a, CASE part
+ WHEN 0 THEN least(til, lo) ELSE til END AS b FROM halves),
+ joined AS (SELECT bin, name, CASE WHEN rev THEN size - (b - lft) ELSE a - lft END AS s, CASE
+ WHEN rev THEN size - (a - lft) ELSE b - lft END AS e, rev, a, 1 AS late FROM cut_halves WHERE b > a UNION ALL
+ SELECT bin, 'new', 5, 105, true, lo, 0 FROM span)"""
 
 
-@_query(with_views(f"{_CUT}{_INSERT} SELECT bin, row_number() OVER (PARTITION BY bin ORDER BY a, late) - 1 AS rank, name, s AS start, e AS \"end\", rev AS is_reverse FROM joined"))
+@_query(with_views(f"""{_CUT}{_INSERT} SELECT bin, row_number() OVER (PARTITION BY bin ORDER BY a, late) - 1 AS rank, name, s AS start, e AS "end",
+ rev AS is_reverse FROM joined"""))
 def edit_insert(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A stretch put into every other bin."""
     new = _stretches(spark, sf_dir).select("bin", F.col("lo").alias("place"), F.lit("new").alias("name"), F.lit(5).cast("long").alias("start"), F.lit(105).cast("long").alias("end"), F.lit(True).alias("is_reverse"))
     return regions.insert(_segments(spark, sf_dir), new)
 
 
-_POINTS = """runs AS (SELECT block AS bin, id AS rank, name, size, id % 3 = 0 AS rev, lead(name) OVER w AS name2, lead(size) OVER w AS size2, lead(id % 3 = 0) OVER w AS rev2 FROM bins WINDOW w AS (PARTITION BY block ORDER BY id)),
+_POINTS = """runs AS (SELECT block AS bin,
+ id AS rank, name, size, id % 3 = 0 AS rev, lead(name) OVER w AS name2, lead(size) OVER w AS size2, lead(id % 3 = 0) OVER w AS rev2 FROM bins
+ WINDOW w AS (PARTITION BY block ORDER BY id)),
  points AS (SELECT bin, rank, name AS name1, size AS pos1, NOT rev AS sign1, name2, 0 AS pos2, rev2 AS sign2, size, size2 FROM runs WHERE name2 IS NOT NULL)"""
 
 
@@ -660,7 +734,8 @@ def join_breakpoints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return regions.breakpoints(_segments(spark, sf_dir)).select("bin", "rank", "name1", "pos1", "sign1", "name2", F.col("pos2").cast("int").alias("pos2"), "sign2")
 
 
-@_query(with_views(f"{_POINTS} SELECT p.bin, p.rank, q.bin AS bin2, q.rank AS rank2, greatest(p.size2, 0) AS shared FROM points p JOIN points q ON q.name1 = p.name2 AND q.sign1 <> p.sign2 WHERE p.size2 >= 20000"))
+@_query(with_views(f"""{_POINTS} SELECT p.bin, p.rank, q.bin AS bin2, q.rank AS rank2, greatest(p.size2, 0) AS shared FROM points p
+ JOIN points q ON q.name1 = p.name2 AND q.sign1 <> p.sign2 WHERE p.size2 >= 20000"""))
 def join_connectable(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Breakpoints that follow on one another over a contig that is long enough."""
     return regions.connectable(regions.breakpoints(_segments(spark, sf_dir)), 20_000)
@@ -676,7 +751,9 @@ def io_scaffold_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lines.groupBy("bin").agg(F.max(F.when(F.col("head"), F.regexp_extract("value", ">(\\S+)", 1))).alias("scaffold"), F.max(F.when(F.col("head"), F.regexp_extract("value", "length: ([0-9]+)", 1).cast("long"))).alias("length"), F.count("*").alias("lines")).select("scaffold", F.col("bin").cast("long").alias("bin"), "length", "lines")
 
 
-@_query(with_views("SELECT name, row_number() OVER (ORDER BY n, id) AS place FROM (SELECT id, repeat('0', CAST(id % 3 AS INTEGER)) || id || repeat('7', 20) AS name, (id::HUGEINT * 100000000000000000000::HUGEINT) AS n FROM contigs)"))
+@_query(with_views("""SELECT name, row_number() OVER (ORDER BY n, id) AS place
+ FROM (SELECT id, repeat('0', CAST(id % 3 AS INTEGER)) || id || repeat('7', 20) AS name, (id::HUGEINT * 100000000000000000000::HUGEINT) AS n
+ FROM contigs)"""))
 def sort_long_numbers(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Names of more digits than a number holds, with leading zeros."""
     name = F.concat(F.expr("repeat('0', cast(id % 3 as int))"), "id", F.lit("7" * 20))
