@@ -50,7 +50,8 @@ def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
     few = small_side(known)
     # Only labelled texts are measured for learning, if a broadcast can tell them.
     own = docs.join(few, docs["doc_id"] == few["labelled"], "left_semi") if few is not known else docs
-    model = learn(features(own), labels)
+    with scratch():  # written in between, so that no task needs two Python workers at once
+        model = learn(materialize(features(own), "quality-features"), labels)
     return judge(docs, model, carry=True).where("predicted = 1").select("row.*") if model else docs
 
 
