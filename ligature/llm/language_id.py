@@ -5,8 +5,9 @@ from those with a 0, by log odds of byte trigrams within and around words. Decod
 over the bits, weighted by how well each classifier did for each language on learning rows, and
 takes the nearest codeword; a small gap to the next one is flagged.
 
-Learning counts trigrams per language over all learning rows: partial sums per task, one row per
-language and trigram to the driver, bounded by languages times 2**18. Prediction is one pass.
+Learning counts trigrams per language over all learning rows, as partial sums per task. The counts
+are a table, from which the driver takes one language after the other: its model is languages
+times 2**18 numbers, and more than ``MAX_LANGS`` languages are refused. Prediction is one pass.
 """
 
 from __future__ import annotations
@@ -21,11 +22,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..storage import ship
+from ..storage import materialize, scratch, ship
 from .rowwise import held_out, per_document
 from .words import CHUNK, string_bytes
 
 GRAMS = 1 << 18
+#: Languages, at most, of a model; a column with more is taken for something else.
+MAX_LANGS = 512
 #: Rows, at most about, on which the loss weights of the bits are measured.
 WEIGHT_ROWS = 20_000
 #: How strongly the mean log odds of a text's letters count.
@@ -125,7 +128,10 @@ class Model:
 
 
 def learn(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", weight_rows: int = WEIGHT_ROWS) -> Model | None:
-    """Learn from rows that aren't held out and have an id, a language and a text; None if no such."""
+    """Learn from rows that aren't held out and have an id, a language and a text; None if no such.
+
+    More than ``MAX_LANGS`` languages are an error, before anything is counted.
+    """
     ship(docs.sparkSession)
     rows = docs.where(F.col(id_col).isNotNull() & ~held_out(id_col) & F.col(lang_col).isNotNull() & F.col(text_col).isNotNull())
 
@@ -147,16 +153,19 @@ def learn(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_
             yield pa.RecordBatch.from_pydict({"lang": [lang] * len(i), "gram": i, "n": total[i]})
 
     counted = rows.select(F.col(lang_col).alias("lang"), F.col(text_col).alias("text")).mapInArrow(count, "lang string, gram long, n long")
-    sums = counted.groupBy("lang", "gram").agg(F.sum("n").alias("n")).toPandas()  # languages x GRAMS at most
-    langs = sorted(sums["lang"].unique())
+    langs = sorted(r.lang for r in rows.select(F.col(lang_col).alias("lang")).distinct().limit(MAX_LANGS + 1).collect())
+    if len(langs) > MAX_LANGS:
+        raise ValueError(f"more than {MAX_LANGS} languages")
     if not langs:
         return None
-    rate, n_rows = np.zeros((len(langs), GRAMS)), 0
-    for k, lang in enumerate(langs):
-        own = sums[sums["lang"] == lang]
-        rate[k, own["gram"].to_numpy()] = own["n"].to_numpy()
-        n_rows += int(rate[k, 0])
-        rate[k, 0] = 0
+    rate, n_rows = np.zeros((len(langs), GRAMS), np.float64), 0
+    with scratch():
+        sums = materialize(counted.groupBy("lang", "gram").agg(F.sum("n").alias("n")), "language-counts")
+        for k, lang in enumerate(langs):
+            own = sums.where(F.col("lang") == lang).select("gram", "n").toPandas()  # GRAMS rows at most
+            rate[k, own["gram"].to_numpy()] = own["n"].to_numpy()
+            n_rows += int(rate[k, 0])
+            rate[k, 0] = 0
     known = max(int((rate.sum(axis=0) > 0).sum()), 1)
     rate = (rate + 0.5) / (rate.sum(axis=1, keepdims=True) + 0.5 * known)
     code = codebook(len(langs))

@@ -6,7 +6,7 @@ histogram of lengths, which has as many entries as the capacity however large th
 segment tree over remaining capacities finds the tightest open sequence in logarithmic time, and
 runs of alike sequences move together. The runs say where the k-th piece of each length goes;
 the k is counted per task and made global by per-task totals, a row of ``capacity`` numbers per
-task. Pieces are not shuffled while these fit a broadcast of checked size (some thousand tasks);
+task. Pieces are not shuffled while these fit a broadcast of checked size (about a thousand tasks);
 beyond, Spark shuffles the pieces by their task.
 """
 
