@@ -169,3 +169,23 @@ def test_streaming_counts(spark, tmp_path):
             part.coalesce(1).write.mode("append").parquet(folder)
             keep_updated(make(pair_stream(spark, folder, schema)), out, keys, f"{tmp_path}/{name}-ck").awaitTermination()
         assert rows(latest(spark, out, keys)) == rows(batch(one.union(two)))
+
+
+def test_scratch_tables(spark, tmp_path):
+    """Tables of a scope go at its end, but those that are kept, also through scopes inside."""
+    from pathlib import Path
+
+    from ligature.storage import materialize, release, scratch
+
+    made = {}
+    outside = materialize(spark.range(3), "outside")
+    with scratch() as keep:
+        made["kept"] = keep(materialize(spark.range(5), "kept"))
+        made["gone"] = materialize(spark.range(2), "gone")
+        with scratch() as inner:
+            made["up"] = inner(materialize(spark.range(1), "up"))
+            made["inner"] = materialize(spark.range(1), "inner")
+        assert made["up"].count() == 1 and not Path(made["inner"]._ligature_path).exists()
+        release(materialize(spark.range(1), "released"))
+    assert {k: Path(v._ligature_path).exists() for k, v in made.items()} == {"kept": True, "gone": False, "up": False, "inner": False}
+    assert made["kept"].count() == 5 and outside.count() == 3
