@@ -718,6 +718,8 @@ def test_language_id(spark, docs, none, sf_dir, duck):
     assert identify(none, model).collect() == []
     one = learn(docs)
     assert one.langs == ["en"] and {r.lang_pred for r in identify(docs, one).collect()} == {"en", "und"}
+    with pytest.raises(ValueError, match="languages"):
+        learn(spark.createDataFrame([(k, "a", f"l{k}") for k in range(900)], "doc_id long, text string, lang string"))
     for n in (2, 3, 4, 6, 9):
         code = codebook(n)
         assert len({tuple(r) for r in code}) == n and all(len(set(c)) == 2 for c in code.T)
