@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..storage import materialize
+from ..storage import materialize, release, scratch
 from .community import cluster
 from .consensus import close_cores, core_bins, core_members, label_vectors, overlapping_bins
 from .layout import recursive_ids
@@ -46,24 +46,28 @@ def decontaminate(edges: DataFrame, contigs: DataFrame, bins: DataFrame, quality
     members = materialize(bins.select("id", F.col("bin").cast("string").alias("bin")), "members")
     known = materialize(quality_of(members).select("bin", "completeness", "redundancy", F.lit(True).alias("recursive"), F.lit(0).alias("step"), F.lit(None).cast("string").alias("parent")), "quality")
     for step in range(1, max_steps + 1):
-        open_bins = materialize(contaminated(known.where("recursive")).select("bin"), "open")
-        if open_bins.isEmpty():
-            break
-        inside = materialize(members.join(open_bins, "bin", "left_semi").select("id", "bin"), "inside")
-        parts = materialize(recluster(edges, inside, iterations, overlap, algorithm, seed + 1000 * step), "parts")
-        last = parts.select("over_id").distinct().withColumn("rec_id", F.lit(0))
-        ids = recursive_ids(parts, contigs, last, size)
-        child = parts.join(ids, ["over_id", "label"]).select("id", F.col("over_id").alias("parent"), F.concat_ws(".", "over_id", F.format_string("%05d", "rec_id")).alias("bin"))
-        child = materialize(child, "children")
-        judged = quality_of(child.select("id", "bin")).join(child.select(F.col("bin").alias("_b"), "parent").distinct(), F.col("bin") == F.col("_b")).drop("_b")
-        now = compare_generations(known.join(open_bins, "bin", "left_semi").select("bin", "completeness", "redundancy"), judged, step)
-        kept = known.join(open_bins, "bin", "left_anti").select("bin", "completeness", "redundancy", "recursive", "step", "parent")
-        accepted = materialize(now.where("recursive"), "accepted")
-        stayed = now.where("not recursive").drop("step", "parent").join(known.select(F.col("bin").alias("_b"), "step", "parent"), F.col("bin") == F.col("_b")).drop("_b")
-        known = materialize(kept.unionByName(stayed).unionByName(accepted.select(kept.columns)), "quality")
-        moved = child.join(accepted.select("bin"), "bin", "left_semi").select("id", "bin")
-        replaced = accepted.select(F.col("parent").alias("bin")).distinct()
-        members = materialize(members.join(replaced, "bin", "left_anti").select("id", "bin").unionByName(moved), "members")
-        if accepted.isEmpty():
+        with scratch() as keep:  # of a step only its bins and their quality outlive it
+            open_bins = materialize(contaminated(known.where("recursive")).select("bin"), "open")
+            if open_bins.isEmpty():
+                break
+            inside = materialize(members.join(open_bins, "bin", "left_semi").select("id", "bin"), "inside")
+            parts = materialize(recluster(edges, inside, iterations, overlap, algorithm, seed + 1000 * step), "parts")
+            last = parts.select("over_id").distinct().withColumn("rec_id", F.lit(0))
+            ids = recursive_ids(parts, contigs, last, size)
+            child = parts.join(ids, ["over_id", "label"]).select("id", F.col("over_id").alias("parent"), F.concat_ws(".", "over_id", F.format_string("%05d", "rec_id")).alias("bin"))
+            child = materialize(child, "children")
+            judged = quality_of(child.select("id", "bin")).join(child.select(F.col("bin").alias("_b"), "parent").distinct(), F.col("bin") == F.col("_b")).drop("_b")
+            now = compare_generations(known.join(open_bins, "bin", "left_semi").select("bin", "completeness", "redundancy"), judged, step)
+            kept = known.join(open_bins, "bin", "left_anti").select("bin", "completeness", "redundancy", "recursive", "step", "parent")
+            accepted = materialize(now.where("recursive"), "accepted")
+            stayed = now.where("not recursive").drop("step", "parent").join(known.select(F.col("bin").alias("_b"), "step", "parent"), F.col("bin") == F.col("_b")).drop("_b")
+            judged_all = keep(materialize(kept.unionByName(stayed).unionByName(accepted.select(kept.columns)), "quality"))
+            moved = child.join(accepted.select("bin"), "bin", "left_semi").select("id", "bin")
+            replaced = accepted.select(F.col("parent").alias("bin")).distinct()
+            placed = keep(materialize(members.join(replaced, "bin", "left_anti").select("id", "bin").unionByName(moved), "members"))
+            done = accepted.isEmpty()
+        release(known, members)
+        known, members = judged_all, placed
+        if done:
             break
     return members.join(known.select(F.col("bin").alias("_b"), "step", "parent"), F.col("bin") == F.col("_b")).select("id", "bin", "step", "parent")
