@@ -611,15 +611,14 @@ def io_map_fragments(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.csv(path, sep="\t", header=True, schema="place long, id int, chrom string, start_pos long, end_pos long, size long")
 
 
-@_query(with_views(f"""{_NET}, {_HOSTS} SELECT mge, mag, round(signal, 4) AS signal, round(percent, 2) AS percent, contigs FROM shared WHERE percent >= 2.000001
+@_query(with_views(f"""{_NET}, {_HOSTS} SELECT mge, mag, printf('%.6f', signal) AS signal, round(percent, 2) AS percent, contigs FROM shared WHERE percent >= 2.000001
  AND contigs >= 2"""))
 def io_hosts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Hosts that are named, written and read."""
     path = _folder(spark, "hosts")
     found, _, _ = facade.annotate_hosts(_edges(spark, sf_dir), *_host_sides(spark, sf_dir), percent=2.000001, min_contigs=2)
     sinks.write_hosts(found, path)
-    back = spark.read.csv(path, sep="\t", header=True, schema="mge long, mag string, signal double, percent double, contigs long")
-    return back.withColumn("signal", F.round("signal", 4))
+    return spark.read.csv(path, sep="\t", header=True, schema="mge long, mag string, signal string, percent double, contigs long")
 
 
 @_query(with_views("SELECT bin, count(*) AS n FROM bins WHERE bin <> 'ND' GROUP BY bin"))
