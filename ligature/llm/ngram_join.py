@@ -313,9 +313,10 @@ def _star(met: DataFrame, num: int, den: int, first: DataFrame | None = None) ->
     (gram, of) the best is taken among those outside the component ``of``.
     """
     best = F.min(F.struct("alone", "key", "n", "rest", "part")).alias("head")
-    among = met if first is None else met.join(first, "gram").where(F.col("part") != F.col("of"))
+    among = met if first is None else met.join(small_side(first), "gram").where(F.col("part") != F.col("of"))
     heads = among.groupBy("gram").agg(best).select("gram", F.col("head.key").alias("b"), F.col("head.n").alias("n2"), F.col("head.rest").alias("rest2"), F.col("head.part").alias("part2"))
-    return met.join(heads, "gram").where((F.col("part") != F.col("part2")) & _may_link(num, den)).select(F.col("key").alias("a"), "b").distinct()
+    heads = materialize(heads, "heads")
+    return met.join(small_side(heads), "gram").where((F.col("part") != F.col("part2")) & _may_link(num, den)).select(F.col("key").alias("a"), "b").distinct()
 
 
 def ngram_jaccard_join(docs: DataFrame, n: int = 5, num: int = 4, den: int = 5, id_col: str = "doc_id", text_col: str = "text", keys: bool = False) -> DataFrame:
@@ -385,13 +386,13 @@ def _components(docs: DataFrame, sets: DataFrame, n: int, num: int, den: int, id
         placed = postings.join(small_side(parts), F.col("key") == F.col("node"), "left").select(*postings.columns, F.coalesce("component", "key").alias("part"))
         best = placed.groupBy("gram").agg(F.min("part").alias("one"), F.max("part").alias("two"), F.min(F.struct("alone", "key", "part")).alias("head"))
         mixed = materialize(best.where("one != two").select("gram", F.col("head.part").alias("of")), "mixed")
-        met = materialize(placed.join(mixed.select("gram"), "gram"), "met")
+        met = materialize(placed.join(small_side(mixed.select("gram")), "gram"), "met")
         if not last:
             pairs = _star(met, num, den, mixed)
         else:  # what is outside the best one's component, with all across
-            here = met.join(mixed, "gram").where(F.col("part") != F.col("of")).drop("of", "alone")
+            here = materialize(met.join(small_side(mixed), "gram").where(F.col("part") != F.col("of")).drop("of", "alone"), "apart")
             there = met.select("gram", *[F.col(c).alias(f"{c}2") for c in ("key", "n", "rest", "part")])
-            across = here.join(there, "gram").where((F.col("part") != F.col("part2")) & _may_link(num, den))
+            across = small_side(here).join(there, "gram").where((F.col("part") != F.col("part2")) & _may_link(num, den))
             pairs = across.select(F.least("key", "key2").alias("a"), F.greatest("key", "key2").alias("b")).distinct()
         pairs = materialize(pairs, "pairs")
         found = materialize(_verify(pairs, segments, num, den), "links")
