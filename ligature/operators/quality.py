@@ -215,8 +215,9 @@ def with_final_bins(contigs: DataFrame, records: DataFrame) -> DataFrame:
     return found.withColumn("Final_bin", F.coalesce("_b", "Final_bin")).drop("_n", "_b")
 
 
-def bins_by_prefix(members: DataFrame, mobile: str = "MetaTOR_MGE_", host: str = "metator_", column: str = "bin") -> DataFrame:
-    """Adds ``kind``: mobile or host by how a bin's name begins; other contigs drop out."""
+def bins_by_prefix(members: DataFrame, mobile: str, host: str, column: str = "bin") -> DataFrame:
+    """Adds ``kind``: mobile or host by the prefix with which a bin's name begins, the first that
+    fits; other contigs drop out."""
     name = F.col(column)
     kind = F.when(F.startswith(name, F.lit(mobile)), "mobile").when(F.startswith(name, F.lit(host)), "host")
     return members.withColumn("kind", kind).where("kind is not null")

@@ -551,8 +551,8 @@ def join_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 @_query(with_views("SELECT kind, count(*) AS n FROM (SELECT CASE WHEN mobile THEN 'mobile' ELSE 'host' END AS kind FROM bins WHERE bin <> 'ND') GROUP BY kind"))
 def filter_bin_prefix(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Contigs by the kind that their bin's name begins with."""
-    name = F.when(F.col("bin") == "ND", F.col("bin")).when(F.col("mobile"), F.concat(F.lit("MetaTOR_MGE_"), "block")).otherwise(F.concat(F.lit("metator_"), "bin"))
-    return quality.bins_by_prefix(P.bins(spark, sf_dir).select(name.alias("bin"))).groupBy("kind").agg(F.count("*").alias("n"))
+    name = F.when(F.col("bin") == "ND", F.col("bin")).when(F.col("mobile"), F.concat(F.lit("set_mobile_"), "block")).otherwise(F.concat(F.lit("set_"), "bin"))
+    return quality.bins_by_prefix(P.bins(spark, sf_dir).select(name.alias("bin")), "set_mobile_", "set_").groupBy("kind").agg(F.count("*").alias("n"))
 
 
 # ---- maps, hosts, mobile elements -------------------------------------------------------------
