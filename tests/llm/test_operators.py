@@ -551,6 +551,18 @@ def test_secret_scan_is_the_plain_loop(spark, known, forest):
     assert all(r.is_secret == (r.score >= 0.5) for r in got)
 
 
+def test_lines_are_those_of_the_lowest_hashes(spark):
+    from ligature.llm.secrets import plain_lines
+
+    texts = [(k, "\n".join(f"line {k % 40} {j} of some length" for j in range(k % 5))) for k in range(3000)] + [(None, None), (1, 'password = "abcdefgh12345678"')]
+    docs = spark.createDataFrame(texts, "doc_id long, text string").repartition(4)
+    lines = [x for _, t in texts for x in (t or "").split("\n") if 20 <= len(x) <= 400]
+    hashed = spark.createDataFrame([(x,) for x in lines], "x string").select(F.pmod(F.xxhash64("x"), F.lit(1 << 30)).alias("h"), "x").collect()
+    for limit in (3, 200, 10**6):
+        want = [r.x for r in sorted(hashed, key=lambda r: (r.h, r.x))[:limit]]
+        assert plain_lines(docs, limit) == [x for x in want if "password" not in x]
+
+
 def test_key_names_before_a_value():
     from ligature.llm.secrets import FEATURES, describe
 
