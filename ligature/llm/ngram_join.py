@@ -38,7 +38,7 @@ from pyspark.sql import functions as F
 from ..operators.components import connected_components
 from ..storage import materialize, release, scratch, ship, small_side
 from . import words as W
-from .rowwise import per_document, trim
+from .rowwise import per_document, small_batches, trim
 
 _U = np.uint64
 #: Fragments in which overlaps are counted.
@@ -332,7 +332,7 @@ def ngram_jaccard_join(docs: DataFrame, n: int = 5, num: int = 4, den: int = 5,
     ``set_keys``) and component_key, which tell rows and components of one id apart; both are
     null without words.
     """
-    with scratch() as keep:
+    with small_batches(docs.sparkSession), scratch() as keep:
         sets = keep(materialize(_sets(docs, n, id_col, text_col), "gram-sets"))
         parts = _components(docs, sets, n, num, den, id_col, text_col)
         shared = keep(materialize(_smallest(sets, parts), "shared-keys"))

@@ -4,10 +4,11 @@ from __future__ import annotations
 
 import ctypes
 from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -39,6 +40,24 @@ def trim() -> None:
         pass
 
 
+#: Rows that go to a Python worker at once, at most, where an operator or pipeline says so. Whole
+#: documents in larger batches cost an executor more memory, on either side, than they save time.
+BATCH_ROWS = 1_000
+_BATCH = "spark.sql.execution.arrow.maxRecordsPerBatch"
+
+
+@contextmanager
+def small_batches(spark: SparkSession, rows: int = BATCH_ROWS) -> Iterator[None]:
+    """Lowers the session's batch size for the actions inside, where it is higher or unlimited."""
+    before = spark.conf.get(_BATCH)
+    if not 0 < int(before) <= rows:
+        spark.conf.set(_BATCH, str(rows))
+    try:
+        yield
+    finally:
+        spark.conf.set(_BATCH, before)
+
+
 def per_document(docs: DataFrame, make: Callable[[], Kernel], columns: str, id_col: str, text_col: str, carry: bool = False, slice_rows: int | None = SLICE_ROWS) -> DataFrame:
     """``doc_id`` and the kernel's columns; with ``carry`` also ``row``, the input row as a struct.
 
