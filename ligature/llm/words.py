@@ -99,7 +99,7 @@ def string_bytes(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     _, off, data = texts.buffers()
     offsets = np.frombuffer(off, dtype=np.int64, count=n + 1, offset=texts.offset * 8) if n else np.zeros(1, np.int64)
     raw = np.frombuffer(data, dtype=np.uint8) if data is not None and data.size else np.zeros(0, np.uint8)
-    return raw, offsets
+    return raw[offsets[0] : offsets[-1]], offsets - offsets[0]  # of a slice its own bytes alone
 
 
 def chunks(texts: pa.Array, kind: Alphabet, size: int = CHUNK) -> Iterator[Chunk]:
