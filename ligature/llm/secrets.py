@@ -174,7 +174,7 @@ def plain_lines(docs: DataFrame, limit: int = MAX_LINES, text_col: str = "text")
     line = docs.select(F.explode(F.split(F.col(text_col), "\n")).alias("line")).where(F.char_length("line").between(*LINE_CHARS))
     place, top = F.pmod(F.xxhash64("line"), F.lit(1 << 30)), 1 << 30
     # Only the low end of the hashes reaches the driver, however many tasks there are.
-    upto = min(top, 4 * limit * top // max(docs.count(), 1) + 1)
+    upto = min(top, limit * top // (8 * max(docs.count(), 1)) + 1)
     while True:
         rows = line.where(place < upto).orderBy(place, "line").limit(limit).collect()
         if len(rows) == limit or upto == top:
