@@ -377,3 +377,19 @@ def test_edits_of_a_bin(spark):
     assert of(R.insert(segments, new)) == {b: v if b not in spans else v[: spans[b][0]] + bases([("n", 2, 5, True)]) + v[spans[b][0] :] for b, v in whole.items()}
     with pytest.raises(Exception, match="outside the bin"):
         R.invert(segments, spark.createDataFrame([(0, 0, 999)], asked.schema)).collect()
+
+
+def test_matrix_of_parts_of_cores(spark, monkeypatch):
+    from ligature.operators import consensus as C
+
+    monkeypatch.setattr(C, "BLOCK", 3)
+    members = spark.createDataFrame([(k, k * 7 % 3) for k in range(20)], "id long, core_id long")
+    agreement = spark.createDataFrame([(0, 0, 1.0), (1, 1, 1.0), (2, 2, 1.0), (0, 2, 0.6)], "core_a long, core_b long, agreement double")
+    core, value = {k: k * 7 % 3 for k in range(20)}, {(0, 0): 1.0, (1, 1): 1.0, (2, 2): 1.0, (0, 2): 0.6}
+    want = {(i, j): value[a] for i in range(20) for j in range(i, 20) if (a := tuple(sorted((core[i], core[j])))) in value}
+    made = C.clustering_matrix(members, agreement)
+    got = made.collect()
+    assert {(r.i, r.j): r.value for r in got} == want and len(got) == len(want)
+    # entries are made by the last step and not shuffled
+    plan = made._jdf.queryExecution().sparkPlan().toString()
+    assert "Exchange" not in plan[: plan.index("Generate explode(ys")] and "Aggregate" not in plan[: plan.index("Generate explode(ys")]
