@@ -393,3 +393,8 @@ def test_matrix_of_parts_of_cores(spark, monkeypatch):
     # entries are made by the last step and not shuffled
     plan = made._jdf.queryExecution().sparkPlan().toString()
     assert "Exchange" not in plan[: plan.index("Generate explode(ys")] and "Aggregate" not in plan[: plan.index("Generate explode(ys")]
+    # with a sparse matrix: entries in both, in one, of nodes without a core, given twice
+    other = spark.createDataFrame([(0, 3, 1.0), (2, 8, 1.0), (0, 1, 1.0), (1, 4, 1.0), (4, 4, 1.0), (5, 99, 1.0), (2, 8, 0.5), (0, 0, 1.0)], "i long, j long, value double")
+    mean = C.clustering_mean(members, agreement, other, 6).collect()
+    plain = {(r.i, r.j): round(r.value, 6) for r in C.mean_matrix(made, other).collect()}
+    assert {(r.i, r.j): r.value for r in mean} == plain and len(mean) == len(plain)
