@@ -398,3 +398,24 @@ def test_matrix_of_parts_of_cores(spark, monkeypatch):
     mean = C.clustering_mean(members, agreement, other, 6).collect()
     plain = {(r.i, r.j): round(r.value, 6) for r in C.mean_matrix(made, other).collect()}
     assert {(r.i, r.j): r.value for r in mean} == plain and len(mean) == len(plain)
+
+
+@pytest.mark.parametrize("algorithm", ["louvain", "leiden"])
+def test_clustering_by_component(spark, algorithm):
+    """A large graph is clustered a component at a time, with the weight of the whole graph."""
+    from ligature.operators import community
+
+    one = planted()
+    listed = [(a + 60 * k, b + 60 * k, w) for k in range(3) for a, b, w in one] + [(180, 181, 1.0)]
+    made = community.cluster(spark.createDataFrame(listed, "src long, dst long, w double"), 2, algorithm, seed=5, sent_edges=10)
+    assert "FlatMapGroupsInPandas" not in made._jdf.queryExecution().analyzed().toString()
+    got = made.collect()
+    alone = community.Graph(60, *(np.array(c) for c in zip(*sorted((min(a, b), max(a, b), w) for a, b, w in one), strict=True)), total=sum(w for _, _, w in listed))
+    for it in range(2):
+        of = {r.id: r.label for r in got if r.iteration == it}
+        assert len(of) == 182 and of[180] == of[181]
+        apart = [{of[k] for k in ids} for ids in (range(60), range(60, 120), range(120, 180), (180, 181))]
+        assert sum(len(x) for x in apart) == len(set(of.values()))
+        want = community.ALGORITHMS[algorithm](alone, 5 + it)
+        for c in range(3):
+            assert np.unique([of[k + 60 * c] for k in range(60)], return_inverse=True)[1].tolist() == np.unique(want, return_inverse=True)[1].tolist()
