@@ -189,3 +189,21 @@ def test_scratch_tables(spark, tmp_path):
         release(materialize(spark.range(1), "released"))
     assert {k: Path(v._ligature_path).exists() for k, v in made.items()} == {"kept": True, "gone": False, "up": False, "inner": False}
     assert made["kept"].count() == 5 and outside.count() == 3
+
+
+def test_one_file_by_many_tasks(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(K, "RANGE_ROWS", 10)
+    matrix = spark.range(100).select((F.col("id") % 7).alias("i"), F.col("id").alias("j"), F.lit(0.5).alias("value"))
+    K.write_matrix(matrix, str(tmp_path / "m"), 100)
+    files = list((tmp_path / "m").glob("part-*"))
+    lines = files[0].read_text().splitlines()
+    assert len(files) == 1 and lines[0] == "100\t100\t100"
+    assert [tuple(map(int, x.split("\t")[:2])) for x in lines[1:]] == sorted((k % 7, k) for k in range(100))
+    # packed as members that follow one another, and streamed where the name tells the kind
+    spark.read.text(str(tmp_path / "m")).repartition(4).write.text(str(tmp_path / "four"))
+    K.pack_text(spark, str(tmp_path / "four"), str(tmp_path / "gz"))
+    (packed,) = (tmp_path / "gz").glob("part-*.gz")
+    assert sorted(gzip.decompress(packed.read_bytes()).decode().splitlines()) == sorted(lines)
+    found = R.read_any_text(spark, str(tmp_path / "gz" / "*.gz"))
+    assert "binaryFile" not in found._jdf.queryExecution().toString()
+    assert sorted(r.value for r in found.collect()) == sorted(lines)
