@@ -313,6 +313,30 @@ def test_balance(spark):
     assert all(r.value == pytest.approx(want[r.i, r.j]) for r in balance(made, 6).collect())
 
 
+def test_balance_moves_factors_not_entries(spark):
+    """Many blocks, rows of zeros, a star, whose factors drift apart; entries shuffle once."""
+    from ligature.operators.layout import balance
+
+    rng = np.random.default_rng(3)
+    cells = {(min(a, b), max(a, b)): float(n) for a, b, n in zip(*rng.integers(0, 60, (2, 400)).tolist(), rng.integers(1, 50, 400).tolist(), strict=True)}
+    cells |= {(100, k): 3.0 for k in range(101, 140)} | {(200, 200): 0.0}
+    m = np.zeros((201, 201))
+    for (a, b), n in cells.items():
+        m[a, b] = m[b, a] = n
+    for _ in range(9):
+        for axis in (0, 1):
+            norm = np.linalg.norm(m, axis=axis, keepdims=True)
+            m = np.divide(m, norm, out=np.zeros_like(m), where=norm > 0)
+    made = spark.createDataFrame([(a, b, n) for (a, b), n in cells.items()], "i long, j long, n double")
+    got = balance(made, 9, block_entries=100)
+    assert {(r.i, r.j): r.value for r in got.collect()} == {k: pytest.approx(m[k], abs=1e-12) for k in cells}
+    store = spark.sparkContext._jsc.sc().statusStore()
+    before = store.executorSummary("driver").totalShuffleWrite()
+    wide = spark.range(40_000).select((F.col("id") % 200).alias("i"), (F.col("id") % 200 + F.floor(F.col("id") / 200)).alias("j"), (F.col("id") % 7 + 1).alias("n"))
+    assert balance(wide, 6).count() == 40_000
+    assert store.executorSummary("driver").totalShuffleWrite() - before < 4_000_000
+
+
 def test_pairing_and_options(spark):
     from ligature.operators.pairs import pair_interleaved, unknown_contigs
     from ligature.plans.facade import build_network, check_options, pairs_from_alignments
