@@ -209,22 +209,30 @@ def guest_histogram(found: DataFrame, hosts: DataFrame, top: int = 3) -> DataFra
     return own.groupBy(F.least(F.coalesce("g", F.lit(0)), F.lit(top)).cast("long").alias("n_guests")).agg(F.count("*").alias("n_mags"))
 
 
-def signal_frame(noise: DataFrame, bins: DataFrame, quality: DataFrame) -> DataFrame:
-    """The frame behind the noise plot: mag, type, class, signal, log_signal, scaled_signal.
+def signal_counts(noise: DataFrame, bins: DataFrame, quality: DataFrame) -> DataFrame:
+    """The frame behind the noise plot, equal rows once: mag, type, class, signal, log_signal, scaled_signal, n.
 
     One row per bin for its inner signal (0 if none), and one per pair of different bins and side
-    for the signal between them, 0 where the two do not meet. Logarithms are scaled over each type.
-    The number of rows is that of pairs of bins, as plotted; bins are few beside contigs.
+    that meet; ``n`` is 1 there. The bins that a bin doesn't meet have the signal 0 alike: they are
+    one row, and ``n`` is their number. Logarithms are scaled over each type. The number of rows
+    is that of the signals, not that of pairs of bins.
     """
     own = bins.select(F.col("bin").alias("mag")).distinct()
+    one = F.lit(1).cast("long").alias("n")
     inner = noise.where("mag1 = mag2").select(F.col("mag1").alias("_m"), "signal")
-    intra = own.join(inner, F.col("mag") == F.col("_m"), "left").select("mag", F.lit("intra").alias("type"), F.coalesce("signal", F.lit(0.0)).alias("signal"))
+    intra = own.join(inner, F.col("mag") == F.col("_m"), "left").select("mag", F.lit("intra").alias("type"), F.coalesce("signal", F.lit(0.0)).alias("signal"), one)
     between = noise.where("mag1 != mag2")
     both = between.select(F.col("mag1").alias("_m"), "signal").unionByName(between.select(F.col("mag2").alias("_m"), "signal"))
-    met = both.groupBy("_m").agg(F.array_sort(F.collect_list("signal")).alias("found"))
-    others = bins.select("bin").distinct().agg((F.count("*") - 1).cast("int").alias("_n"))  # one row
-    missing = F.array_repeat(F.lit(0.0), F.greatest(F.col("_n") - F.size(F.coalesce("found", F.array().cast("array<double>"))), F.lit(0)))
-    every = F.concat(F.coalesce("found", F.array().cast("array<double>")), missing)
-    inter = own.join(met, F.col("mag") == F.col("_m"), "left").join(F.broadcast(others)).select("mag", F.lit("inter").alias("type"), F.explode(every).alias("signal"))
+    met = both.groupBy("_m").agg(F.count("*").alias("_k"))
+    others = own.agg((F.count("*") - 1).alias("_n"))  # one row
+    apart = own.join(met, F.col("mag") == F.col("_m"), "left").join(F.broadcast(others)).select("mag", F.lit("inter").alias("type"), F.lit(0.0).alias("signal"), (F.col("_n") - F.coalesce("_k", F.lit(0))).alias("n"))
+    inter = both.join(own, F.col("_m") == F.col("mag"), "left_semi").select(F.col("_m").alias("mag"), F.lit("inter").alias("type"), "signal", one).unionByName(apart.where("n > 0"))
     frame = log_scaled(intra, "signal").unionByName(log_scaled(inter, "signal"))
-    return frame.join(quality.select(F.col("bin").alias("_q"), "class"), F.col("mag") == F.col("_q"), "left").select("mag", "type", F.coalesce("class", F.lit("Unknown")).alias("class"), "signal", "log_signal", "scaled_signal")
+    return frame.join(quality.select(F.col("bin").alias("_q"), "class"), F.col("mag") == F.col("_q"), "left").select("mag", "type", F.coalesce("class", F.lit("Unknown")).alias("class"), "signal", "log_signal", "scaled_signal", "n")
+
+
+def signal_frame(noise: DataFrame, bins: DataFrame, quality: DataFrame) -> DataFrame:
+    """``signal_counts`` with each row as often as it counts: mag, type, class, signal, log_signal,
+    scaled_signal. As many rows as pairs of bins, as plotted; sums need the counts alone."""
+    counts = signal_counts(noise, bins, quality)
+    return counts.withColumn("_x", F.explode(F.sequence(F.lit(1).cast("long"), "n"))).drop("_x", "n")

@@ -337,6 +337,21 @@ def test_balance_moves_factors_not_entries(spark):
     assert store.executorSummary("driver").totalShuffleWrite() - before < 4_000_000
 
 
+def test_signals_grow_with_contacts_not_with_pairs_of_bins(spark):
+    """100,000 bins, two that meet: 5 billion pairs of bins are counted, not made."""
+    from ligature.operators.mobile import signal_counts, signal_frame
+
+    noise = spark.createDataFrame([("b1", "b1", 0.5), ("b1", "b2", 0.01)], "mag1 string, mag2 string, signal double")
+    classes = spark.createDataFrame([("b1", "HQ")], "bin string, class string")
+    bins = lambda k: spark.range(1, k + 1).select(F.concat(F.lit("b"), "id").alias("bin"))
+    many = signal_counts(noise, bins(100_000), classes)
+    assert many.count() == 100_000 + 100_000 + 2
+    assert {(r.signal, r["class"], r.n, round(r.scaled_signal, 6)) for r in many.where("mag = 'b1'").collect()} == {(0.5, "HQ", 1, 1.0), (0.01, "HQ", 1, 1.0), (0.0, "HQ", 99_998, 0.0)}
+    assert many.where("type = 'inter'").agg(F.sum("n")).first()[0] == 100_000 * 99_999
+    assert rows(signal_frame(noise, bins(3), classes).groupBy("mag", "type", "signal").count()) == rows(signal_counts(noise, bins(3), classes).groupBy("mag", "type", "signal").agg(F.sum("n").alias("count")))
+    assert signal_counts(noise.limit(0), bins(1), classes).count() == 1
+
+
 def test_pairing_and_options(spark):
     from ligature.operators.pairs import pair_interleaved, unknown_contigs
     from ligature.plans.facade import build_network, check_options, pairs_from_alignments
