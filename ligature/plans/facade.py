@@ -14,7 +14,7 @@ from ..operators import community, consensus, layout, mobile, quality, recursion
 from ..operators import network as net
 from ..operators.pairs import drop_duplicates, join_mates, keep_alignments, one_based, unknown_contigs, upper_triangle
 from ..sources import readers
-from ..storage import materialize
+from ..storage import materialize, measured_side
 
 NEEDS = {"abundance": ["coverage"], "rs": ["rs"], "theoritical_hit": ["coverage", "rs"]}
 
@@ -116,7 +116,7 @@ def pipeline(pairs: DataFrame, contigs: DataFrame, quality_of: Callable[[DataFra
 def library_quality(pairs: DataFrame, contigs: DataFrame, bin_quality: DataFrame, sites: DataFrame, loop_sites: int, uncut_sites: int, completeness: float = 0.7, redundancy: float = 1.15, size: int = 100_000) -> DataFrame:
     """Events and ratios over pairs of good contigs. Thresholds are given, never guessed."""
     good = materialize(quality.good_contigs(contigs, bin_quality, completeness, redundancy, size), "good")
-    own = quality.fragment_index(quality.pairs_of(pairs, good), sites)
+    own = quality.fragment_index(quality.pairs_of(pairs, measured_side(good)), sites)
     return quality.library_ratios(quality.library_events(own, loop_sites, uncut_sites), good.select("bin").distinct().count())
 
 

@@ -352,6 +352,18 @@ def test_signals_grow_with_contacts_not_with_pairs_of_bins(spark):
     assert signal_counts(noise.limit(0), bins(1), classes).count() == 1
 
 
+def test_sites_are_cut_where_they_are(spark):
+    """Stretches of a contig come from its own row: nothing shuffles, and no site is a row."""
+    from ligature.operators.quality import site_buckets
+
+    sites = spark.createDataFrame([(1, [5, 9, 10, 31]), (2, [25]), (3, []), (4, None), (5, [-3, 2])], "contig long, sites array<long>")
+    made = site_buckets(sites, 10)
+    plan = made._jdf.queryExecution().optimizedPlan().toString()
+    assert "Window" not in plan and "Aggregate [" not in plan and "Join" not in plan
+    want = [(1, 0, 3, 0, [5, 9]), (1, 1, 3, 2, [0]), (1, 2, 3, 3, []), (1, 3, 3, 3, [1]), (2, 0, 2, 0, []), (2, 1, 2, 0, []), (2, 2, 2, 0, [5]), (5, 0, 0, 1, [2])]
+    assert sorted((r.contig, r.bucket, r.last, r.base, r.near) for r in made.collect()) == want
+
+
 def test_pairing_and_options(spark):
     from ligature.operators.pairs import pair_interleaved, unknown_contigs
     from ligature.plans.facade import build_network, check_options, pairs_from_alignments
